@@ -8,6 +8,8 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.sources.ship import ship
+
 #: Largest written size (bytes of Parquet) of a side that may be broadcast; above it the join shuffles.
 BROADCAST_BYTES = 24 << 20
 #: Texts are hashed in slices of about this many bytes, so that memory does not follow the Arrow batch.
@@ -19,6 +21,7 @@ SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
