@@ -67,9 +67,11 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if written_bytes(df) <= BROADCAST_BYTES else df
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a plan, from file metadata alone."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts, by a scan."""
+    from pyspark.sql import functions as F
+
+    return df.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
 
 
 # --- word hashes ---------------------------------------------------------------------------------------------------

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, distinct, fold, input_bytes, slices, utf8
+from .common import U64, Words, distinct, fold, slices, text_bytes, utf8
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Bytes of item text (four times its stored size is assumed) in one broadcast index; a larger benchmark is searched slice by slice.
+#: Bytes of item text in one broadcast index; a larger benchmark is searched slice by slice.
 INDEX_BYTES = 16 << 20
 FILTER_BITS = 20
 SCHEMA = "doc_id long, item_id long, n_item_shingles int, n_shared int, containment double"
@@ -99,7 +99,7 @@ def search(index: list[Partition], texts: list[bytes]) -> Iterator[tuple[int, in
 def indexes(benchmark: DataFrame, threshold: float) -> Iterator:
     """Broadcast indexes over the items, each over at most about INDEX_BYTES of text."""
     items = benchmark.select("item_id", "text").filter("item_id is not null").distinct()
-    n = max(1, math.ceil(4 * input_bytes(benchmark) / INDEX_BYTES))
+    n = max(1, math.ceil(text_bytes(benchmark) / INDEX_BYTES))
     for k in range(n):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
         rows = sorted((r.item_id, (r.text or "").encode()) for r in part.toLocalIterator())

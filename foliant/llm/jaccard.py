@@ -133,7 +133,7 @@ def _blocks(n_blocks: int):
     return run
 
 
-def _elsewhere(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _elsewhere(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one block: owners and how many of their shingles another batch has too, or several documents of one."""
     owners = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["owners"]])
     if key[0] < 0:
@@ -158,7 +158,7 @@ def shared_counts(sets: DataFrame, total: int) -> DataFrame:
 
 
 def _group_counts(n_blocks: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tokens, counts = np.unique(np.concatenate([_u64(x) for x in pdf["prefix"]]), return_counts=True)
         block = (tokens % U64(n_blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")

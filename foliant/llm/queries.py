@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, quality, tokenstore, warc
+from . import jaccard, language, licenses, mixing, quality, repeats, tokenstore, warc
 from .common import broadcast_if_small, new_path, table, written
 from .decontaminate import contained_items
 
@@ -45,6 +45,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.document_sums(spark, path)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut_repeats(table(spark, sf_dir, "documents"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.RuleEnsemble:
     return quality.fit(table(spark, sf_dir, "documents").filter(~held_out()), table(spark, sf_dir, "labels").filter(~held_out()))
 
@@ -54,6 +58,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= quality.REJECT_BELOW).cast("int").alias("predicted"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
