@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from foliant.plans import registry
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    registry.load()
+    return dict(registry.SQL)
