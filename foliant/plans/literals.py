@@ -9,7 +9,7 @@ LITERALS: dict[str, tuple[str, list[tuple]]] = {
         (1, "제목 장애인 전용 주차구획 표기 부적정\n본문"), (2, "제 목 : 휴가 관리\n제목 다른 것"), (3, "제 목] 대괄호"), (4, "본문만 있음"), (5, "  제목：  채용 절차  \n"), (6, "제목"), (7, ""), (8, "제목 "), (9, "제목: a\tb"),
     ]),
     "sources": ("id int, source_file string", [
-        (1, "data_repo/자체감사파일1/한국조폐공사_2016년 종합감사(27).pdf"), (2, "data_repo/a b/기관_2020년 복무감사.HWP"), (3, "/x/이름만.hwpx"), (4, "기관_종합감사(1).pdf"), (5, None), (6, ""), (7, "data_repo/"), (8, "기관_2021년 (3).doc"), (9, "a/b~c*d'(1)_2019년 특정감사（4）.docx"), (10, "_2018년 일상감사.pdf"),
+        (1, "data_repo/파일/가나공사_2016년 종합감사(27).pdf"), (2, "data_repo/a b/기관_2020년 복무감사.HWP"), (3, "/x/이름만.hwpx"), (4, "기관_종합감사(1).pdf"), (5, None), (6, ""), (7, "data_repo/"), (8, "기관_2021년 (3).doc"), (9, "a/b~c*d'(1)_2019년 특정감사（4）.docx"), (10, "_2018년 일상감사.pdf"),
     ]),
     "tiers": ("seq int, source_file string, case_number string, title string, parse_tier string, raw_text string", [
         (1, "a.pdf", "1", "t1", "standard", "first"), (2, "a.pdf", "1", "t2", "partial", "second"), (3, "a.pdf", "2", "t3", "standard_split2of2", "two"), (4, "a.pdf", "2", "t4", "standard_split1of2", "one"),
@@ -28,7 +28,7 @@ LITERALS: dict[str, tuple[str, list[tuple]]] = {
     ]),
     "years": ("id int, year string", [(1, "2019"), (2, "2019.0"), (3, "2020년"), (4, " 2021 "), (5, ""), (6, None), (7, "x")]),
     "slugs": ("id int, institution string, year int, title string", [
-        (1, "한국 조폐공사", 2016, "휴가 / 관리 #1"), (2, None, None, None), (3, "  ", None, "a?b%c"), (4, "기관", 2020, "x" * 150), (5, "/", None, "-"), (6, "a", 0, "b\\c"),
+        (1, "가나 공사", 2016, "휴가 / 관리 #1"), (2, None, None, None), (3, "  ", None, "a?b%c"), (4, "기관", 2020, "x" * 150), (5, "/", None, "-"), (6, "a", 0, "b\\c"),
     ]),
     "marks": ("id int, text string, query string", [
         (1, "음주운전 조치와 음주 관리", "음주 음주운전 때 조치"), (2, "Audit of audits", "AUDIT of"), (3, "a.b a+b (c)", "a.b (c)"), (4, "본문", "때 은 및"), (5, "본문", "  "),
