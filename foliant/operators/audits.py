@@ -42,12 +42,10 @@ def near_duplicates(docs: DataFrame, keys: list[str], head: int = 300, least: in
     return rest.groupBy(*keys, "head_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
 
 
-def pattern_frequency(docs: DataFrame, pattern: str, most: int = 500, samples: int = 2) -> DataFrame:
-    """(pattern, n_docs, sample_ids): in how many documents each match of the pattern occurs."""
+def pattern_frequency(docs: DataFrame, pattern: str, most: int = 500) -> DataFrame:
+    """(pattern, n_docs, sample_ids): in how many documents each match of the pattern occurs, with the first and the last of them."""
     found = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("pattern"))
-    first = Window.partitionBy("pattern").orderBy("doc_id")
-    ranked = found.withColumn("_n", F.row_number().over(first))
-    grouped = ranked.groupBy("pattern").agg(F.count("*").alias("n_docs"), F.array_sort(F.collect_list(F.when(F.col("_n") <= samples, F.col("doc_id")))).alias("sample_ids"))
+    grouped = found.groupBy("pattern").agg(F.count("*").alias("n_docs"), F.array_distinct(F.array(F.min("doc_id"), F.max("doc_id"))).alias("sample_ids"))
     return grouped.orderBy(F.desc("n_docs"), "pattern").limit(most)
 
 

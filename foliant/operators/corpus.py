@@ -26,20 +26,19 @@ def resolve_tiers(cases: DataFrame) -> DataFrame:
     part order, the first seen of a repeated part, and the lowest part stands for the group; else the first record does.
     A group whose best tier is a failed extraction goes. Null keys are keys like any other.
     """
-    tier = X.parse_tier(F.col("parse_tier"))
-    own = cases.withColumn("_t", tier).withColumn("tier", F.col("_t.base")).withColumn("idx", F.col("_t.idx")).drop("_t").filter("tier <> 'overview'")
-    own = own.withColumn("_rank", tier_rank(F.col("tier")))
-    group = Window.partitionBy("source_file", "case_number")
-    best = own.withColumn("_best", F.min("_rank").over(group)).filter((F.col("_rank") == F.col("_best")) & (F.col("_best") != TIER_ORDER["extraction_failed"]))
-    record = F.struct("seq", "idx", "title", "tier", "raw_text")
-    grouped = best.groupBy("source_file", "case_number").agg(F.array_sort(F.collect_list(record)).alias("r"))
-    parts = F.forall("r", lambda x: x["idx"].isNotNull())
-    by_part = F.array_sort(F.transform("r", lambda x: F.struct(x["idx"].alias("idx"), x["seq"].alias("seq"), x["title"].alias("title"), x["tier"].alias("tier"), x["raw_text"].alias("raw_text"))))
-    out = grouped.withColumn("p", by_part).withColumn("split", parts)
-    first = F.filter("p", lambda x, i: (i == 0) | (x["idx"] != F.get(F.col("p"), i - 1)["idx"]))
-    head = F.when(F.col("split"), F.struct(*[F.col("p")[0][n].alias(n) for n in ("title", "tier")])).otherwise(F.struct(*[F.col("r")[0][n].alias(n) for n in ("title", "tier")]))
-    merged = F.when(F.col("split"), F.array_join(F.transform(first, lambda x: x["raw_text"]), "\n")).otherwise(F.col("r")[0]["raw_text"])
-    return out.select("source_file", "case_number", head["title"].alias("title"), head["tier"].alias("parsing_quality"), merged.alias("raw_text"))
+    tier, keys = X.parse_tier(F.col("parse_tier")), ["source_file", "case_number"]
+    own = cases.select(*keys, tier["idx"].alias("idx"), F.struct("seq", "title", tier["base"].alias("tier"), "raw_text").alias("r")).filter("r.tier <> 'overview'")
+    own = own.withColumn("rank", tier_rank(F.col("r.tier")))
+    # minima only, so that a key with very many records is summed up before it moves
+    per = own.groupBy(*keys, "rank").agg(F.min(F.col("idx").isNotNull()).alias("split"), F.min("r").alias("r"))
+    best = per.groupBy(*keys).agg(F.min(F.struct("rank", "split", "r")).alias("b")).select(*keys, "b.*").filter(F.col("rank") != TIER_ORDER["extraction_failed"])
+    record = lambda r, text: [*keys, F.col(f"{r}.title").alias("title"), F.col(f"{r}.tier").alias("parsing_quality"), text.alias("raw_text")]
+    whole = best.filter("not split").select(*record("r", F.col("r.raw_text")))
+    parts = best.filter("split").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("rank").alias("_rank"))
+    same = own["source_file"].eqNullSafe(parts["_source_file"]) & own["case_number"].eqNullSafe(parts["_case_number"]) & (own["rank"] == parts["_rank"])
+    once = own.join(parts, same).groupBy(*keys, "idx").agg(F.min("r").alias("r"))
+    merged = once.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "r"))).alias("p")).withColumn("h", F.col("p")[0]["r"])
+    return whole.unionByName(merged.select(*record("h", F.array_join(F.col("p.r.raw_text"), "\n"))))
 
 
 def unambiguous_documents(chunks: DataFrame) -> DataFrame:
@@ -92,12 +91,20 @@ def sample_reuse(rows: DataFrame, done: DataFrame, size: int, seed: int = 42, ke
 
 
 def stratified_sample(rows: DataFrame, sizes: dict[str, int], stratum: str, length: str, key: str) -> DataFrame:
-    """Of each stratum every (n // size)-th row by length, as many as its size."""
+    """Of each stratum every (n // size)-th row by length, then key, as many as its size.
+
+    Ranks come from counts by length: only the lengths that hold a wanted rank are looked at row by row, so that no stratum is ever
+    sorted in one place.
+    """
+    size = F.lit(0)
+    for name, n in sizes.items():
+        size = F.when(F.col(stratum) == name, n).otherwise(size)
+    counts = rows.groupBy(stratum, length).agg(F.count("*").alias("_c")).withColumn("_size", size).filter("_size > 0")
     per = Window.partitionBy(stratum)
-    n = F.lit(0)
-    for name, size in sizes.items():
-        n = F.when(F.col(stratum) == name, size).otherwise(n)
-    ranked = rows.withColumn("_size", n).filter("_size > 0").withColumn("_rn", F.row_number().over(per.orderBy(length, key)) - 1)
-    step = F.greatest(F.lit(1), F.floor(F.count("*").over(per) / F.col("_size")))
-    picked = ranked.withColumn("_step", step).filter("_rn % _step = 0 and _rn / _step < _size")
-    return picked.drop("_size", "_rn", "_step")
+    ranked = counts.withColumn("_before", F.sum("_c").over(per.orderBy(length)) - F.col("_c")).withColumn("_step", F.greatest(F.lit(1), F.floor(F.sum("_c").over(per) / F.col("_size"))))
+    last = F.least(F.col("_before") + F.col("_c") - 1, (F.col("_size") - 1) * F.col("_step"))
+    wanted = ranked.filter(F.floor(last / F.col("_step")) * F.col("_step") >= F.col("_before")).select(stratum, length, "_before", "_step", "_size")
+    inside = rows.join(F.broadcast(wanted), [stratum, length])  # at most as many rows as are drawn
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(stratum, length).orderBy(key)) - 1
+    picked = inside.withColumn("_rank", rank).filter("_rank % _step = 0 and _rank / _step < _size")
+    return picked.select(rows.columns)
