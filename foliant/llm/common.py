@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it; a temporary one only where it is unset."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
         spark.conf.set("spark.checkpoint.dir", at := tempfile.mkdtemp(prefix="foliant-"))
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
     return at.rstrip("/")
 
 
