@@ -64,3 +64,9 @@ def cache(docs: DataFrame, results: DataFrame) -> DataFrame:
     """``docs`` with the results written: four lines, or nulls and the mark of failure."""
     new = results.select("doc_id", *[F.when(~F.col("failed"), F.col(n)).alias(f"summary_{n}") for n in X.SUMMARY_LABELS], F.col("failed").alias("summary_failed"))
     return update(docs, new, "doc_id", [*(f"summary_{n}" for n in X.SUMMARY_LABELS), "summary_failed"])
+
+
+def ensure(docs: DataFrame, texts: DataFrame, summariser: Callable[[str], str | None]) -> DataFrame:
+    """``docs`` with structured summaries of all that still need one; what is there or has failed stays."""
+    todo = needs(docs).filter("needs_structured").select("doc_id").join(texts.select("doc_id", "text"), "doc_id")
+    return cache(docs, summarise(todo, summariser))

@@ -34,6 +34,11 @@ def zip_vectors(ids: DataFrame, vectors: DataFrame) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select("id", "embedding")
 
 
+def read_originals(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, content) of original files from any store that Spark reads: what a fetch by URL would bring."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
@@ -51,3 +56,14 @@ def append_checkpoint(rows: DataFrame, folder: str) -> str:
 
 def read_checkpoint(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder)
+
+
+def replace_checkpoint(rows: DataFrame, folder: str) -> None:
+    """Writes beside the folder and then takes its place, so that a reader sees the old rows or the new ones, never a part."""
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    new, old = path(f"{folder}.{uuid.uuid4().hex}"), path(folder)
+    rows.write.parquet(new.toString())
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    fs.rename(new, old)

@@ -71,3 +71,41 @@ def test_incremental_loading(spark, tmp_path):
     load_incrementally(spark, source, target, check).awaitTermination(120)
     assert sorted(r.document_id for r in spark.read.parquet(target).collect()) == [1, 2, 3]
     assert spark.read.parquet(target).agg(F.count("*")).first()[0] == 3
+
+
+def test_embedding(spark):
+    from foliant.operators import embedding
+
+    chunks = spark.createDataFrame([("a", "xx", None), ("b", "y", None), ("c", "z", [1.0, 0.0])], "chunk_id string, text string, embedding array<float>")
+    factory = lambda: lambda texts: [[len(t) * 0.0 + 0.6000001, 0.8] for t in texts]
+    done = spark.createDataFrame([("b",)], "chunk_id string")
+    new = embedding.embed_missing(chunks, done, factory)
+    assert [(r.chunk_id, [round(x, 5) for x in r.embedding]) for r in new.collect()] == [("a", [0.6, 0.8])]
+    after = {r.chunk_id: r.embedding for r in embedding.apply_embeddings(chunks, new).collect()}
+    assert after["a"] is not None and after["b"] is None and after["c"] == [1.0, 0.0]
+    with pytest.raises(ValueError):
+        embedding.apply_embeddings(chunks, embedding.embed(chunks, lambda: lambda texts: [[3.0, 4.0] for _ in texts]))
+
+
+def test_ensured_summaries(spark):
+    docs = spark.createDataFrame([(1, None, None, None, None, False, None, False), (2, "p", "c", "a", "r", False, None, False), (3, None, None, None, None, True, None, False)], "doc_id long, summary_point string, summary_cause string, summary_action string, summary_result string, summary_failed boolean, summary_freeform string, freeform_failed boolean")
+    texts = spark.createDataFrame([(1, "t"), (2, "t"), (3, "t")], "doc_id long, text string")
+    got = {r.doc_id: r for r in summaries.ensure(docs, texts, summaries.stub).collect()}
+    assert got[1].summary_point == "지적사항 한 문장" and got[2].summary_point == "p" and got[3].summary_failed
+
+
+def test_sql_functions(spark):
+    from foliant.functions.sql import register
+
+    register(spark)
+    assert spark.sql("SELECT explode(chunk_text('a\n\nb')) AS c").collect()[0].c == "a\n\nb"
+    assert spark.sql("SELECT line_class('1. 업무') AS k").first().k == "heading"
+
+
+def test_originals_and_replacement(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.hwpx").write_bytes(b"abc")
+    assert bytes(tables.read_originals(spark, str(tmp_path), "*.hwpx").first().content) == b"abc"
+    for n in (1, 2):
+        tables.replace_checkpoint(spark.range(n).toDF("id"), str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 2
