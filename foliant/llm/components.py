@@ -39,14 +39,21 @@ def _contract(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(root[keep][k : k + 100_000]), pa.array(nodes[keep][k : k + 100_000])], ["root", "node"])
 
 
+#: Edges that one task contracts alone; more are dealt out, and rounds made of it.
+TASK_EDGES = 200_000
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of every node that an edge (a, b) has: root is the smallest node of its component, and has a row too.
 
-    Each round deals the edges by their larger end, joins what meets in a partition by union-find, and lets every
+    Up to TASK_EDGES edges are contracted by one task. Of more, each round deals the edges by their larger end, joins what meets in a partition by union-find, and lets every
     node point at what its root points at. It ends when no root has a root and no node two: stars, whose centres are the answer.
     Nodes with many edges are roots, and edges are never dealt by their root, so a hot component spreads evenly.
     """
     pairs = edges.select(F.least("a", "b").alias("root"), F.greatest("a", "b").alias("node")).filter("root < node")
+    if (pairs := written(pairs, name)).count() <= TASK_EDGES:
+        pairs = written(pairs.coalesce(1).mapInArrow(_contract, "root long, node long"), name)
+        return pairs.select("node", "root").unionByName(pairs.select(F.col("root").alias("node"), "root").distinct())
     while True:
         pairs = written(pairs.repartition("node").mapInArrow(_contract, "root long, node long"), name)
         up = pairs.groupBy(F.col("node").alias("up")).agg(F.min("root").alias("top"), F.count("*").alias("n"))

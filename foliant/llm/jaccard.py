@@ -36,8 +36,8 @@ from .components import connected_components, roots_of
 BLOCK_TOKENS = 1_500_000
 #: Documents whose frequencies are looked up together.
 GROUP_DOCS = 2_000
-#: Candidate groups of more documents are settled by distributed rounds.
-LOCAL_DOCS = 400
+#: Candidate groups with more shingles in all are settled by distributed rounds.
+LOCAL_TOKENS = 3_000_000
 #: After so many rounds what is left is settled pair by pair.
 ROUNDS = 8
 EPS = 1e-9
@@ -133,25 +133,45 @@ def _blocks(n_blocks: int):
     return run
 
 
-def _elsewhere(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one block: owners and how many of their shingles another batch has too, or several documents of one."""
-    owners = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["owners"]])
-    if key[0] < 0:
-        return pd.DataFrame({"doc_id": owners, "shared": np.concatenate([np.frombuffer(x, np.int64) for x in pdf["tokens"]])})
-    tokens = np.concatenate([_u64(x) for x in pdf["tokens"]])
-    order = np.argsort(tokens, kind="stable")
-    tokens, owners = tokens[order], owners[order]
-    same = tokens[1:] == tokens[:-1]
-    twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    own, n = np.unique(owners[twice & (owners != -1)], return_counts=True)
-    return pd.DataFrame({"doc_id": own, "shared": n})
+COUNTS = "deal int, owners binary, counts binary"
+
+
+def _by_owner(owners: np.ndarray, counts: np.ndarray, n_blocks: int) -> pd.DataFrame:
+    deal = (mix(owners.view(U64)) % U64(n_blocks)).astype(np.int64)
+    order = np.argsort(deal, kind="stable")
+    owners, counts, ends = owners[order], counts[order].astype(np.int64), np.cumsum(np.bincount(deal, minlength=n_blocks))
+    rows = [(i, _blob(owners[a:b]), _blob(counts[a:b])) for i, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends)) if b > a]
+    return pd.DataFrame(rows, columns=["deal", "owners", "counts"])
+
+
+def _elsewhere(n_blocks: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of one block: owners and how many of their shingles another batch has too, or several documents of one."""
+        owners = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["owners"]])
+        if key[0] < 0:
+            return _by_owner(owners, np.concatenate([np.frombuffer(x, np.int64) for x in pdf["tokens"]]), n_blocks)
+        tokens = np.concatenate([_u64(x) for x in pdf["tokens"]])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[order], owners[order]
+        same = tokens[1:] == tokens[:-1]
+        twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        return _by_owner(*np.unique(owners[twice & (owners != -1)], return_counts=True), n_blocks)
+
+    return run
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    own, at = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["owners"]]), return_inverse=True)
+    counts = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["counts"]])
+    return pd.DataFrame({"doc_id": own, "shared": np.bincount(at, weights=counts, minlength=len(own)).astype(np.int64)})
 
 
 def shared_counts(sets: DataFrame, total: int) -> DataFrame:
     """(doc_id, shared): how many of each set's shingles occur in another set (or in a row of equal set)."""
     n_blocks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BLOCK_TOKENS + 1)
     blocks = sets.mapInArrow(_blocks(n_blocks), BLOCKS)
-    return blocks.groupBy("block").applyInPandas(_elsewhere, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    counts = blocks.groupBy("block").applyInPandas(_elsewhere(n_blocks), COUNTS)
+    return counts.groupBy("deal").applyInPandas(_summed, "doc_id long, shared long")
 
 
 # --- 3: frequencies, and prefixes rarest first ---------------------------------------------------------------------
@@ -187,7 +207,7 @@ def _frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
 def _rarest(sets: pd.DataFrame, frequencies: pd.DataFrame) -> pd.DataFrame:
     """Prefixes by frequency. Shingles of one document only come first and need no list."""
     if not len(sets) or not len(frequencies):
-        return pd.DataFrame({"doc_id": [], "tokens": []})
+        return pd.DataFrame({"doc_id": [], "apart": [], "tokens": []})
     known = np.concatenate([_u64(x) for x in frequencies["tokens"]])
     df = np.concatenate([np.frombuffer(x, np.int64) for x in frequencies["df"]])
     order = np.argsort(known)
@@ -202,20 +222,21 @@ def _rarest(sets: pd.DataFrame, frequencies: pd.DataFrame) -> pd.DataFrame:
         room = n - bound(n) + 1 - (n - k)
         if k >= bound(n) and room > 0:
             own, f = s[hit], df[at[hit]]
-            rows.append((doc_id, own[np.lexsort((own, f))[:room]].astype(np.int64)))
-    return pd.DataFrame(rows, columns=["doc_id", "tokens"])
+            rows.append((doc_id, (n - k) * 1_000_000 // n, own[np.lexsort((own, f))[:room]].astype(np.int64)))
+    return pd.DataFrame(rows, columns=["doc_id", "apart", "tokens"])
 
 
 def postings(sets: DataFrame, n_docs: int, total: int) -> DataFrame:
-    """(token, doc_id): prefix shingles, rarest first, of the sets that can still have a partner."""
+    """(token, doc_id, apart): prefix shingles, rarest first, of the sets that can still have a partner; apart: the share of
+    a set's shingles (in millionths) that no other set has, small for the middle of a group of copies."""
     spark = sets.sparkSession
     groups = max(1, n_docs // GROUP_DOCS + 1)
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BLOCK_TOKENS + 1)
     own = sets.select("doc_id", "prefix", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("grp"))
     counts = own.groupBy("grp").applyInPandas(_group_counts(n_blocks), "grp int, block int, tokens binary, counts binary")
     df = counts.groupBy("block").applyInPandas(_frequencies, "grp int, tokens binary, df binary")
-    rare = own.groupBy("grp").cogroup(df.groupBy("grp")).applyInPandas(_rarest, "doc_id long, tokens array<long>")
-    return rare.select(F.explode("tokens").alias("token"), "doc_id")
+    rare = own.groupBy("grp").cogroup(df.groupBy("grp")).applyInPandas(_rarest, "doc_id long, apart int, tokens array<long>")
+    return rare.select(F.explode("tokens").alias("token"), "doc_id", "apart")
 
 
 # --- 4: settling candidates ----------------------------------------------------------------------------------------
@@ -235,21 +256,20 @@ def settle(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         flag[own] = False
         return got
 
-    def overlap(i: int, j: int) -> int:
-        return len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-
+    common = np.bincount(codes)[codes]
+    central = np.add.reduceat(common, first) / sizes
+    open_.sort(key=lambda i: -central[i])
     while open_:
         hub, got = open_[0], overlaps(open_[0])
         d = 1 - got / (sizes + sizes[hub] - got)
         star = links(got, sizes, sizes[hub])
-        fringe = [j for j in open_ if not star[j] and d[j] <= 0.4 + EPS]
-        own = [j for j in open_ if star[j] and j != hub]
-        out += [(hub, j) for j in own]
-        for j in fringe:
-            for i in own:
-                if d[i] >= d[j] - 0.2 - EPS and links(overlap(i, j), sizes[i], sizes[j]):
-                    out.append((i, j))
-                    break  # one link joins it to the star; its other members are joined already
+        own = np.array([j for j in open_ if star[j] and j != hub], int)
+        out += [(hub, int(j)) for j in own]
+        for j in open_:
+            near = own[d[own] >= d[j] - 0.2 - EPS] if not star[j] and d[j] <= 0.4 + EPS else own[:0]
+            if len(near):
+                linked = near[links(overlaps(j)[near], sizes[near], sizes[j])]
+                out += [(int(i), j) for i in linked[:1]]  # one link joins it to the star, whose members are joined already
         open_ = [j for j in open_ if not star[j] and j != hub]
     return out
 
@@ -284,10 +304,16 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def star_rounds(lists: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Links that give the components of all links among documents that share a list of (token, doc_id)."""
+    """Links that give the components of all links among documents that share a list of (token, doc_id, apart).
+
+    Each round compares the members of a list with its centre, the member with the least of its own, and joins the
+    components found so far. Done with are the centre, lists of one component, and members of a star that lie so near its
+    centre that no member of another component can be in their reach.
+    """
     out = None
     for k in range(ROUNDS + 1):
-        heads = lists.groupBy("token").agg(F.min("doc_id").alias("hub"), F.count("*").alias("m")).filter("m > 1")
+        heads = lists.groupBy("token").agg(F.min(F.struct("apart", "doc_id")).alias("h"), F.count("*").alias("m")).filter("m > 1")
+        heads = heads.select("token", F.col("h.doc_id").alias("hub"), "m")
         left = heads.agg(F.count("*").alias("n"), F.sum("m").alias("rows"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs")).first()
         if not left.n:
             return out
@@ -296,17 +322,22 @@ def star_rounds(lists: DataFrame, sets: DataFrame) -> DataFrame | None:
             a = lists.join(heads.select("token"), "token")
             pairs = a.select("token", F.col("doc_id").alias("hub")).join(a, "token").filter("hub < doc_id").select("hub", "doc_id").distinct()
         else:
-            entries = lists.join(heads.select("token", "hub"), "token")
-            pairs = entries.filter("doc_id <> hub").select("hub", "doc_id").distinct()
+            entries = lists.join(heads.select("token", "hub"), "token").filter("doc_id <> hub")
+            pairs = entries.select("hub", "doc_id").distinct()
         d = compared(pairs, sets)
         found = d.filter("link = 1").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
         out = found if out is None else out.unionByName(found)
         if last:
             return out
-        known = entries.join(d, ["hub", "doc_id"])
-        fringe = known.filter((F.col("link") == 0) & (F.col("d") <= 0.4 + EPS)).groupBy("token").agg(F.min("d").alias("nearest"))
+        roots = written(connected_components(out, "stars"), "stars")
+        label = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+        known = entries.join(d, ["hub", "doc_id"]).join(label("doc_id"), "doc_id", "left").join(label("hub"), "hub", "left")
+        known = known.withColumn("own", F.coalesce("doc_id_root", "doc_id")).withColumn("other", F.col("own") != F.coalesce("hub_root", "hub"))
+        fringe = known.filter(F.col("other") & (F.col("d") <= 0.4 + EPS)).groupBy("token").agg(F.min("d").alias("nearest"))
         keep = (F.col("link") == 0) | (F.col("d") >= F.col("nearest") - 0.2 - EPS)
-        lists = written(known.join(fringe, "token", "left").filter(keep).select("token", "doc_id"), "lists")
+        rest = written(known.join(fringe, "token", "left").filter(keep).select("token", "doc_id", "apart", "own"), "lists")
+        mixed = rest.groupBy("token").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x < y").select("token")
+        lists = written(rest.join(mixed, "token").select("token", "doc_id", "apart"), "lists")
     return out
 
 
@@ -320,12 +351,13 @@ def set_links(docs: DataFrame, survivors: DataFrame) -> DataFrame | None:
     heads = lists.groupBy("token").agg(F.min("doc_id").alias("a"), F.count("*").alias("m")).filter("m > 1")
     edges = lists.join(heads, "token").select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
     groups = connected_components(edges, "candidates")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    groups = written(groups.join(sizes, "root"), "groups").withColumnRenamed("node", "doc_id")
-    small = sets.join(groups.filter(F.col("size") <= LOCAL_DOCS).select("doc_id", "root"), "doc_id")
+    groups = groups.withColumnRenamed("node", "doc_id").join(sets.select("doc_id", "n"), "doc_id")
+    sizes = groups.groupBy("root").agg(F.sum("n").alias("size"))
+    groups = written(groups.join(sizes, "root"), "groups")
+    small = sets.join(groups.filter(F.col("size") <= LOCAL_TOKENS).select("doc_id", "root"), "doc_id")
     deal = F.pmod(F.xxhash64("root"), F.lit(size.docs // GROUP_DOCS + int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     found = small.withColumn("deal", deal).groupBy("deal").applyInPandas(_settle_groups, "a long, b long")
-    large = groups.filter(F.col("size") > LOCAL_DOCS).select("doc_id")
+    large = groups.filter(F.col("size") > LOCAL_TOKENS).select("doc_id")
     rounds = star_rounds(written(lists.join(large, "doc_id", "left_semi"), "large"), sets)
     return found if rounds is None else found.unionByName(rounds)
 
