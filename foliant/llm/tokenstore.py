@@ -18,7 +18,6 @@ Repeated rows are documents of their own, one after the other. An empty table gi
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,19 +33,19 @@ from .common import U64, _mixed, mix, powers, slices, utf8
 
 END_ID = 0
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, 511
-CACHED = 300_000
+#: Pieces whose ids a Python worker keeps, and chunks that it remembers having sent.
+CACHED = 600_000
 RECIPES_PER_RUN = 200_000
 DIGEST = 16
-SPACE_THEN_TEXT = re.compile(r" (?=\S)")
-SPACE_THEN_SPACE = re.compile(r" (?=\s)")
+#: Fixed value: the pre-tokenizer's pattern.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _encoders: dict = {}
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with a cache of what stands between spaces.
+    """Ids of whole texts by the tokenizers library, with a cache of pieces.
 
-    The byte-level pre-tokenizer begins a new piece at every space that a non-space follows, and merges never cross
-    pieces, so a text may be cut there and equal parts need encoding once.
+    Merges never cross the pieces that the pre-tokenizer cuts a text into, so each distinct piece needs encoding once.
     """
 
     def __init__(self, path: str):
@@ -55,35 +55,46 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.clear()
 
-    def clear(self) -> None:
-        self.slots: dict[str, int] = {}
+        self.slots: dict[str, int] = {}  # piece to its place in begin and lengths
         self.flat, self.begin, self.lengths = array("I", [END_ID]), array("q", [0]), array("q", [1])
 
+    def _learn(self, pieces: list[str]) -> dict[str, int]:
+        """Places of new pieces. The first CACHED ones stay; later ones, rare as they are, are there for one call."""
+        kept = max(0, min(len(pieces), CACHED - len(self.slots)))
+        found = dict(zip(pieces, range(len(self.begin), len(self.begin) + len(pieces))))
+        for a in range(0, len(pieces), 4096):
+            for got in self.tokenizer.encode_batch_fast(pieces[a : a + 4096], add_special_tokens=False):
+                ids = got.ids
+                self.begin.append(len(self.flat))
+                self.lengths.append(len(ids))
+                self.flat.extend(ids)
+        self.slots.update((p, found[p]) for p in pieces[:kept])
+        return found
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of ids of each text."""
-        if len(self.slots) > CACHED:
-            self.clear()
-        parts, counts = [], []
+        pieces, counts = [], []
         for text in texts:
-            own = SPACE_THEN_TEXT.split(text) if SPACE_THEN_SPACE.search(text) else text.split(" ")
-            own[1:] = [" " + x for x in own[1:]]
-            parts += own
+            own = PIECES.findall(text)
+            pieces += own
             counts.append(len(own))
-        new = [x for x in dict.fromkeys(parts) if x not in self.slots]
-        for a in range(0, len(new), 4096):
-            for part, got in zip(new[a : a + 4096], self.tokenizer.encode_batch_fast(new[a : a + 4096], add_special_tokens=False)):
-                self.slots[part] = len(self.begin)
-                self.begin.append(len(self.flat))
-                self.flat.extend(own := got.ids)
-                self.lengths.append(len(own))
-        at = np.fromiter(map(self.slots.__getitem__, parts), np.int64, len(parts))
-        at = np.insert(at, np.cumsum(counts), 0)  # slot 0: the end id
-        sizes = np.array(self.lengths)[at]
-        place = np.repeat(np.array(self.begin)[at] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+        at = list(map(self.slots.get, pieces))
+        if None in at:
+            lacking = [i for i, x in enumerate(at) if x is None]
+            new = [pieces[i] for i in lacking]
+            found = self._learn(list(dict.fromkeys(new)))
+            for i, p in zip(lacking, new):
+                at[i] = found[p]
+        at = np.insert(np.array(at, np.int64), np.cumsum(counts, dtype=np.int64), 0)  # slot 0: the end id
+        sizes = np.frombuffer(self.lengths, np.int64)[at]
+        place = np.repeat(np.frombuffer(self.begin, np.int64)[at] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
         first = np.concatenate(([0], np.cumsum(np.array(counts) + 1)[:-1])) if counts else np.zeros(0, int)
-        return np.array(self.flat)[place], np.add.reduceat(sizes, first) if counts else np.zeros(0, int)
+        out = np.frombuffer(self.flat, np.uint32)[place], np.add.reduceat(sizes, first) if counts else np.zeros(0, int)
+        kept = 1 + len(self.slots)
+        if kept < len(self.begin):
+            del self.flat[self.begin[kept] :], self.begin[kept:], self.lengths[kept:]
+        return out
 
 
 def encoder(path: str) -> Encoder:
