@@ -185,6 +185,17 @@ def search_index(index: DataFrame, queries: Queries, mean_length: float, k: int)
     return index.mapInArrow(run, "query_id long, doc_id long, score double")
 
 
+def _packed_queries(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists, rows = batch.column(1), []
+        terms, idf, ends = lists.values.field(0).to_numpy().view(U64), lists.values.field(1).to_numpy(), lists.offsets.to_numpy()
+        for query, a, b in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:]):
+            order = a + np.argsort(terms[a:b])
+            rows.append((query, terms[order].tobytes(), idf[order].tobytes()))
+        types = [pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 3, types)], ["query_id", "terms", "idf"])
+
+
 def query_blocks(queries: DataFrame, df: DataFrame, n_docs: int) -> Iterator[Queries]:
     """Queries with their distinct terms' weights, in blocks; the driver holds one block at a time."""
 
@@ -195,16 +206,14 @@ def query_blocks(queries: DataFrame, df: DataFrame, n_docs: int) -> Iterator[Que
 
     terms = queries.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "query_id long, term long")
     weighted = terms.join(df, "term").select("query_id", F.struct("term", F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).alias("t"))
-    per = written(weighted.groupBy("query_id").agg(F.collect_list("t").alias("t")).orderBy("query_id"), "queries")
+    listed = weighted.groupBy("query_id").agg(F.collect_list("t").alias("t"))
+    per = written(listed.mapInArrow(_packed_queries, "query_id long, terms binary, idf binary"), "queries")
     ids, own, idf, held = [], [], [], 0
     for row in per.orderBy("query_id").toLocalIterator():
-        t = np.array([x.term for x in row.t], np.int64).view(U64)
-        w = np.array([x.idf for x in row.t])
-        order = np.argsort(t)
         ids.append(row.query_id)
-        own.append(t[order])
-        idf.append(w[order])
-        held += len(t)
+        own.append(np.frombuffer(row.terms, U64))
+        idf.append(np.frombuffer(row.idf, np.float64))
+        held += len(own[-1])
         if held > QUERY_TERMS:
             yield Queries(ids, own, idf)
             ids, own, idf, held = [], [], [], 0
