@@ -103,7 +103,7 @@ _powers = {"n": 0}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and of its inverse, at least n of each."""
     if _powers["n"] < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = 1 << max(16, n.bit_length())
         out = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             x = np.full(size, base, U64)

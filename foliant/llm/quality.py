@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that are fitted on, at most: those whose ids have the smallest hashes.
-FIT_ROWS = 20_000
-TREES, DEPTH, BINS, RATE, LEAF = 40, 3, 48, 0.15, 20
+FIT_ROWS = 10_000
+TREES, DEPTH, BINS, RATE = 30, 3, 48, 0.15
 PENALTIES = (0.02, 0.008, 0.003, 0.001, 0.0003)
+#: The largest penalty whose loss on the rows set aside is within this of the least: the fewest rules that do as well.
+SLACK = 0.01
 REJECT_BELOW = 0.3
 
 
@@ -99,6 +101,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def least_rows(n: int) -> int:
+    """Rows that a rule must hold for, and fail for, of n."""
+    return min(20, max(3, n // 50))
+
+
 def _thresholds(x: np.ndarray) -> list[np.ndarray]:
     """Candidate thresholds of each statistic: quantiles, midway between neighbouring values."""
     out = []
@@ -111,19 +118,19 @@ def _thresholds(x: np.ndarray) -> list[np.ndarray]:
 
 def grow(codes: np.ndarray, cuts: list[np.ndarray], gradient: np.ndarray, rows: np.ndarray, names: list[str]) -> tuple[list[tuple], list[tuple]]:
     """One regression tree on the gradient: conditions of every node but the root, and (rows, mean) of its leaves."""
-    paths, leaves, todo = [], [], [(rows, ())]
+    paths, leaves, todo, least = [], [], [(rows, ())], least_rows(len(gradient))
     while todo:
         own, path = todo.pop()
         if path:
             paths.append(path)
         best, (g, n) = None, (gradient[own].sum(), len(own))
-        if len(path) < DEPTH and n >= 2 * LEAF:
+        if len(path) < DEPTH and n >= 2 * least:
             for j, cut in enumerate(cuts):
                 if len(cut):
                     c = codes[own, j]
                     size = np.cumsum(np.bincount(c, minlength=len(cut) + 1))[:-1]
                     total = np.cumsum(np.bincount(c, weights=gradient[own], minlength=len(cut) + 1))[:-1]
-                    ok = (size >= LEAF) & (n - size >= LEAF)
+                    ok = (size >= least) & (n - size >= least)
                     gain = np.where(ok, total**2 / np.maximum(size, 1) + (g - total) ** 2 / np.maximum(n - size, 1) - g * g / n, -1.0)
                     if (k := int(gain.argmax())) >= 0 and gain[k] > 1e-9 and (best is None or gain[k] > best[0]):
                         best = gain[k], j, k
@@ -160,25 +167,32 @@ def candidate_rules(x: np.ndarray, y: np.ndarray, names: list[str], seed: int =
         for path in paths:
             rule = Rule(tightest(path))
             holds = rule.holds(x, names)
-            if LEAF <= holds.sum() <= len(y) - LEAF:
+            if least_rows(len(y)) <= holds.sum() <= len(y) - least_rows(len(y)):
                 found.setdefault(np.packbits(holds).tobytes(), rule)
     return list(found.values())
 
 
 def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[float, np.ndarray]:
-    """Intercept and weights by accelerated proximal gradient; columns are scaled to unit deviation while fitting."""
-    mean, dev = z.mean(axis=0), z.std(axis=0) + 1e-9
-    z = (z - mean) / dev
-    step = 4 / (np.linalg.norm(z, 2) ** 2 / len(y) + 1)
+    """Intercept and weights by accelerated proximal gradient. Columns hold 0 and 1. The penalty is on columns scaled to mean 0 and unit deviation,
+    which are never built: z is multiplied as it is (single precision), and shifts and scales are applied to the vectors."""
+    n = len(y)
+    mean = z.mean(axis=0, dtype=float)
+    dev = np.sqrt(mean * (1 - mean)) + 1e-9
+    forward = lambda v: z @ (u := (v / dev).astype(np.float32)) - float(mean @ u)
+    backward = lambda r: (z.T @ r.astype(np.float32) - mean * r.sum()) / dev
+    v = np.ones(z.shape[1])
+    for _ in range(30):  # largest eigenvalue, by powers
+        v = backward(forward(v / (np.linalg.norm(v) + 1e-12)))
+    step = 4 / (1.05 * np.linalg.norm(v) / n + 1)
     b, w = float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))), np.zeros(z.shape[1])
     vb, v, t = b, w.copy(), 1.0
     for _ in range(rounds):
-        r = _sigmoid(vb + z @ v) - y
-        nb, u = vb - step * r.mean(), v - step * (z.T @ r) / len(y)
+        r = _sigmoid(vb + forward(v)) - y
+        nb, u = vb - step * r.mean(), v - step * backward(r) / n
         nw = np.sign(u) * np.maximum(np.abs(u) - step * penalty, 0)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vb, v = nb + (t - 1) / nt * (nb - b), nw + (t - 1) / nt * (nw - w)
-        done = np.abs(nw - w).max(initial=0) + abs(nb - b) < 1e-6
+        done = np.abs(nw - w).max(initial=0) + abs(nb - b) < 1e-5
         b, w, t = nb, nw, nt
         if done:
             break
@@ -194,15 +208,16 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str]) -> RuleEnsemble:
     rules = candidate_rules(x[~aside], y[~aside], names) or []
     if not rules:
         return RuleEnsemble(float(np.log(y.mean() / (1 - y.mean()))))
-    z = np.stack([r.holds(x, names) for r in rules], axis=1).astype(np.float32).astype(float)
-    best = None
+    z = np.empty((len(y), len(rules)), np.float32)
+    for j, r in enumerate(rules):
+        z[:, j] = r.holds(x, names)
+    losses, fitted, z_aside = [], z[~aside], z[aside]
     for penalty in PENALTIES:
-        b, w = lasso_logistic(z[~aside], y[~aside], penalty)
-        p = np.clip(_sigmoid(b + z[aside] @ w), 1e-6, 1 - 1e-6)
-        loss = -np.mean(y[aside] * np.log(p) + (1 - y[aside]) * np.log(1 - p)) if aside.any() else penalty
-        if best is None or loss < best[0] - 1e-4:
-            best = loss, penalty
-    b, w = lasso_logistic(z, y, best[1])
+        b, w = lasso_logistic(fitted, y[~aside], penalty)
+        p = np.clip(_sigmoid(b + z_aside @ w), 1e-6, 1 - 1e-6)
+        losses.append(-np.mean(y[aside] * np.log(p) + (1 - y[aside]) * np.log(1 - p)) if aside.any() else penalty)
+    del fitted, z_aside
+    b, w = lasso_logistic(z, y, next(p for p, x in zip(PENALTIES, losses) if x <= min(losses) + SLACK))
     kept = [Rule(r.conditions, float(v)) for r, v in zip(rules, w) if abs(v) > 1e-4]
     return RuleEnsemble(float(b), kept)
 
