@@ -21,6 +21,7 @@ import hashlib
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import groupby, repeat
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,8 @@ from .common import U64, _mixed, mix, powers, slices, utf8
 
 END_ID = 0
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, 511
-#: Pieces whose ids a Python worker keeps, and chunks that it remembers having sent.
-CACHED = 600_000
+#: Pieces whose ids a Python worker keeps; chunks that a task remembers having sent.
+CACHED, REMEMBERED = 900_000, 300_000
 RECIPES_PER_RUN = 200_000
 DIGEST = 16
 #: Fixed value: the pre-tokenizer's pattern.
@@ -58,17 +59,31 @@ class Encoder:
 
         self.slots: dict[str, int] = {}  # piece to its place in begin and lengths
         self.flat, self.begin, self.lengths = array("I", [END_ID]), array("q", [0]), array("q", [1])
+        (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def _encoded(self, pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of ids of each piece), run by run. Pieces that are no white space are encoded as the lines of one text:
+        a newline is a piece of its own there, with an id that nothing else has."""
+        for blank, run in groupby(pieces, str.isspace):
+            run = list(run)
+            for a in range(0, len(run), 1 if blank else 4096):
+                own = run[a : a + (1 if blank else 4096)]
+                (got,) = self.tokenizer.encode_batch_fast(["\n".join(own)], add_special_tokens=False)
+                ids = np.array(got.ids, np.uint32)
+                if blank:
+                    yield ids, np.array([len(ids)])
+                else:
+                    ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
+                    yield ids[ids != self.newline], np.diff(ends, prepend=-1) - 1
 
     def _learn(self, pieces: list[str]) -> dict[str, int]:
         """Places of new pieces. The first CACHED ones stay; later ones, rare as they are, are there for one call."""
         kept = max(0, min(len(pieces), CACHED - len(self.slots)))
         found = dict(zip(pieces, range(len(self.begin), len(self.begin) + len(pieces))))
-        for a in range(0, len(pieces), 4096):
-            for got in self.tokenizer.encode_batch_fast(pieces[a : a + 4096], add_special_tokens=False):
-                ids = got.ids
-                self.begin.append(len(self.flat))
-                self.lengths.append(len(ids))
-                self.flat.extend(ids)
+        for ids, lengths in self._encoded(pieces):
+            self.begin.frombytes((len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int64).tobytes())
+            self.lengths.frombytes(lengths.astype(np.int64).tobytes())
+            self.flat.frombytes(ids.tobytes())
         self.slots.update((p, found[p]) for p in pieces[:kept])
         return found
 
@@ -79,14 +94,12 @@ class Encoder:
             own = PIECES.findall(text)
             pieces += own
             counts.append(len(own))
-        at = list(map(self.slots.get, pieces))
-        if None in at:
-            lacking = [i for i, x in enumerate(at) if x is None]
-            new = [pieces[i] for i in lacking]
+        at = np.fromiter(map(self.slots.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(lacking := np.flatnonzero(at < 0)):
+            new = [pieces[i] for i in lacking.tolist()]
             found = self._learn(list(dict.fromkeys(new)))
-            for i, p in zip(lacking, new):
-                at[i] = found[p]
-        at = np.insert(np.array(at, np.int64), np.cumsum(counts, dtype=np.int64), 0)  # slot 0: the end id
+            at[lacking] = [found[p] for p in new]
+        at = np.insert(at, np.cumsum(counts, dtype=np.int64), 0)  # slot 0: the end id
         sizes = np.frombuffer(self.lengths, np.int64)[at]
         place = np.repeat(np.frombuffer(self.begin, np.int64)[at] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
         first = np.concatenate(([0], np.cumsum(np.array(counts) + 1)[:-1])) if counts else np.zeros(0, int)
@@ -158,7 +171,7 @@ def _objects(path: str, wide: bool):
                     for end in cuts(own):
                         digest = digest_of(blob := packed(own[begin:end], wide))
                         if digest not in sent:
-                            if len(sent) > CACHED:
+                            if len(sent) > REMEMBERED:
                                 sent.clear()
                             sent.add(digest)
                             rows.append((0, digest, blob, None, None))
