@@ -36,17 +36,19 @@ TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
+        "Distributed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version *.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version * of the License, or (at your option) any later version.",
     ],
-    "LGPL": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version *."],
+    "LGPL": ["This work is licensed under the GNU Lesser General Public License, version *.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version *."],
     "AGPL": ["This work is licensed under the GNU Affero General Public License, version *."],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. *."],
     "BSD": [
         "Released under the BSD License.",
+        "Licensed under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
@@ -56,8 +58,17 @@ TEMPLATES = {
     "CC-BY-ND": ["Licensed under CC BY-ND *."],
     "CC0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
-    "Proprietary": ["Copyright * All rights reserved."],
+    "Proprietary": ["Copyright * All rights reserved.", "All rights reserved."],
 }
+#: Identifiers of SPDX lines, by license.
+SPDX = {
+    "Apache": "Apache-2.0", "MIT": "MIT", "MPL": "MPL-2.0", "BSD": "BSD-2-Clause BSD-3-Clause", "ISC": "ISC", "CC0": "CC0-1.0", "Unlicense": "Unlicense",
+    "GPL": "GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later",
+    "LGPL": "LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later", "AGPL": "AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later",
+    "CC-BY": "CC-BY-4.0", "CC-BY-SA": "CC-BY-SA-4.0", "CC-BY-NC": "CC-BY-NC-4.0", "CC-BY-ND": "CC-BY-ND-4.0",
+}
+for _name, _ids in SPDX.items():
+    TEMPLATES[_name] += [f"SPDX-License-Identifier: {x}" for x in _ids.split()]
 #: Words that mark a line as a candidate.
 CUES = r"(?i)licen[cs]e|copyright|all rights reserved|public domain|permission|redistribut|waived|free software"
 CUE = re.compile(CUES)

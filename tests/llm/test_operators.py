@@ -343,6 +343,17 @@ def test_licenses(spark, sf_dir):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_short_statements(spark, sf_dir):
+    """Lines of fixed statements alone: each line of the test tables that reads so, and SPDX lines."""
+    own = table(spark, sf_dir, "documents")
+    got = {(r.doc_id, r.first_line) for r in licenses.scan(own).collect() if r.license == "Proprietary"}
+    want = {(r.doc_id, i) for r in own.select("doc_id", "text").collect() for i, line in enumerate(r.text.split("\n")) if "All rights reserved" in line}
+    assert got == want and want
+    lines = ["All rights reserved.", "SPDX-License-Identifier: MIT", "// SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: Foo-1.0"]
+    found = licenses.scan(docs(spark, list(enumerate(lines)))).collect()
+    assert sorted((r.doc_id, r.license) for r in found) == [(0, "Proprietary"), (1, "MIT"), (2, "GPL")]
+
+
 def test_wording():
     t = licenses.words("Licensed under the Apache License, Version *.")
     assert licenses.differences(t, licenses.words("Licensed under the Apache License, Version 2.0.")) == (0, 0)
