@@ -354,6 +354,25 @@ def test_short_statements(spark, sf_dir):
     assert sorted((r.doc_id, r.license) for r in found) == [(0, "Proprietary"), (1, "MIT"), (2, "GPL")]
 
 
+def test_wrapped_and_inner_statements(spark):
+    """Notices with lines that have no cue, statements within long lines, and several licenses of one text."""
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and", 'associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights', "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"]
+    lgpl = " * This library is free software; you can\n * redistribute it and/or modify it under the terms\n * of the GNU Lesser General Public\n * License as published by the Free Software Foundation;\n * either version 2.1 of the\n * License, or (at your option) any later version."
+    bsd = "# Redistribution and use in source and binary forms,\n# with or without modification, are\n# permitted provided that the following conditions are met"
+    apache = "Licensed under the Apache License, Version 2.0."
+    prose_ = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (1, "x\n" + "\n".join(mit)), (2, "/*\n" + lgpl + "\n */"), (3, bsd), (4, f"{prose_} {apache} {prose_}"), (5, "Free as in air.\n" + apache + "\n" + "\n".join(mit)),
+        (6, f"{apache} {prose_} Released under the MIT License."), (7, mit[0] + "\n\n" + "\n".join(mit[1:])), (8, prose_ + ", all rights\nreserved."), (9, apache), (9, "no cue\n" + apache),
+        (10, "Permission to copy a license, free of charge. " + prose_ + " and a copyright."),
+    ]
+    got = sorted((r.doc_id, r.first_line, r.last_line, r.license) for r in licenses.scan(docs(spark, rows, 1)).collect())
+    assert got == [
+        (1, 1, 3, "MIT"), (2, 1, 6, "LGPL"), (3, 0, 2, "BSD"), (4, 0, 0, "Apache"), (5, 1, 1, "Apache"), (5, 2, 4, "MIT"),
+        (6, 0, 0, "Apache"), (6, 0, 0, "MIT"), (8, 0, 1, "Proprietary"), (9, 0, 0, "Apache"), (9, 1, 1, "Apache"),
+    ]
+
+
 def test_wording():
     t = licenses.words("Licensed under the Apache License, Version *.")
     assert licenses.differences(t, licenses.words("Licensed under the Apache License, Version 2.0.")) == (0, 0)
