@@ -357,26 +357,32 @@ WINDOW_BLOCKS = "block int, tokens binary, owners binary, places binary"
 
 
 def _window_blocks(n_blocks: int):
-    """Hashes of all windows through the hot anchors of each text; those that a batch has twice are decided there."""
+    """Hashes of all windows through the hot anchors of each text; those that a batch has twice, or of a text that it has
+    in several rows, are decided there."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(batches):
-            tokens, owners, starts = [], [], []
-            own = {key: (x, p) for key, x, p in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()) if p}
+            tokens, owners, starts, times = [], [], [], []
+            all_keys = batch.column(0).to_pylist()
+            copies: dict[int, int] = {}
+            for key in all_keys:
+                copies[key] = copies.get(key, 0) + 1
+            own = {key: (x, p) for key, x, p in zip(all_keys, utf8(batch.column(1)), batch.column(2).to_pylist()) if p}
             for key, (text, places) in own.items():
                 s = np.unique(np.concatenate([np.arange(max(0, p - BEFORE), min(p, len(text) - LENGTH) + 1) for p in places]))
                 lo, hi = int(s[0]), int(s[-1]) + LENGTH
                 tokens.append(Hashes([text[lo:hi]]).of(s - lo, s - lo + LENGTH))
                 owners.append(np.full(len(s), key))
                 starts.append(s)
+                times.append(np.full(len(s), copies[key]))
             if not tokens:
                 continue
-            tokens, owners, starts = np.concatenate(tokens), np.concatenate(owners), np.concatenate(starts).astype(np.int32)
+            tokens, owners, starts, times = np.concatenate(tokens), np.concatenate(owners), np.concatenate(starts).astype(np.int32), np.concatenate(times)
             order = np.argsort(tokens, kind="stable")
-            tokens, owners, starts = tokens[order], owners[order], starts[order]
+            tokens, owners, starts, times = tokens[order], owners[order], starts[order], times[order]
             new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
-            count = np.diff(np.append(np.flatnonzero(new), len(tokens)))
-            many = np.repeat(count > 1, count)
+            count = np.add.reduceat(times, np.flatnonzero(new))
+            many = count[np.cumsum(new) - 1] > 1
             rows = [(-1 - k % n_blocks, b"", *_pack(owners[many], starts[many]))] if many.any() else []
             starts[new] = np.where(count > 1, -1, starts[new])  # decided here: no owner need hear of it
             rows += _dealt((tokens[new] % U64(n_blocks)).astype(np.int64), n_blocks, [tokens[new], owners[new], starts[new]])

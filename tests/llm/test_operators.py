@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import decontaminate, jaccard, language, licenses, mixing, quality, repeats, tokenstore, topk, warc
+from foliant.llm import common, decontaminate, jaccard, language, licenses, mixing, quality, repeats, tokenstore, topk, warc
 from foliant.llm.common import Words, new_path, table, written
 from foliant.llm.components import connected_components
 
@@ -288,6 +288,22 @@ def test_repeats(spark, rng, monkeypatch, hot):
     assert got == sorted((i, *x) for (i, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows])))
 
 
+@pytest.mark.parametrize("broadcast", [24 << 20, 0])
+def test_copies_that_share_only_the_second_batch(spark, rng, monkeypatch, broadcast):
+    """Exact copies with hot anchors, in different batches of the first pass and in one of the second."""
+    monkeypatch.setattr(repeats, "HOT", 1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
+    texts = ["".join(rng.choice("abcde fgh\n") for _ in range(n)) for n in (600, 250)]
+    rows = [(i, x) for i, x in enumerate([texts[0], "short", texts[0], "short too", texts[1], "s", texts[1], "t", texts[0][:100] + texts[1][:100], "u"])]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.cut_repeats(docs(spark, rows, 1)).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == [(i, *x) for (i, _), x in zip(rows, brute_repeats([t.encode() for _, t in rows]))]
+
+
 def test_long_texts_are_read_in_pieces(spark, rng, monkeypatch):
     monkeypatch.setattr(repeats, "SLICE_BYTES", 1500)
     text = "".join(rng.choice("abcdef ") for _ in range(9000))
