@@ -221,8 +221,7 @@ def table_gate(spark, d):
 
 @query()
 def seq_similarity(spark, d):
-    docs = table(spark, d, "documents").filter("n_chars < 400").select("doc_id", "text")
-    return docs.select("doc_id", F.round(seq_udf("text", F.reverse("text")), 6).alias("ratio"))
+    return table(spark, d, "documents").select("doc_id", F.round(seq_udf("text", F.reverse("text")), 6).alias("ratio"))
 
 
 @query(f"""WITH c AS (SELECT pair_id, side, ch, count(*) AS n FROM (SELECT pair_id, 'a' AS side, unnest(string_split(replace(a, ' ', ''), '')) AS ch FROM {literal_sql('pairs')} UNION ALL
