@@ -4,7 +4,8 @@ Every source's documents are dealt by hash into blocks of at most about ``block_
 an exact quota of whole passes over its blocks and of blocks drawn once more. The tree halves the set of output shards
 again and again and splits the quotas of all sources between the halves by one multivariate-hypergeometric draw, so that
 every shard gets a random, exact share. Within a source the blocks stand in a permuted order; shards take disjoint runs
-of that order, as long as their share, and shuffle the documents of their blocks locally. The block at which a source
+of that order, as long as their share, and shuffle the documents of their blocks locally. Whole passes are dealt in the same way, each in an order of its own, so that
+every copy of a document has a shard and a place in it. The block at which a source
 reaches its target is taken in part: whole documents in hash order, each one that still fits.
 
 All that moves is (doc_id, size, source): texts are read once, to count their words. What reaches the driver is a row
@@ -75,7 +76,7 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """A row per document: doc_id, size, source, source_size, target, taken (words), epochs (whole passes of its source),
-    drawn (1 if taken once more) and the shard and place of that last draw."""
+    drawn (1 if taken once more), the shard and place of that last draw, and copies: pass, shard and place of every copy."""
     spark = docs.sparkSession
     base = written(docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h")), "sizes")
     by_source = base.groupBy("source").agg(F.sum("size").alias("words")).collect()
@@ -85,29 +86,37 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     for r, g in zip(by_source, goal):
         epochs = int(g // r.words) if r.words else 0
         plan.append((r.source, r.words, g, epochs, g - epochs * r.words, min(MOST_BLOCKS, r.words // BLOCK_WORDS + 1)))
+    keys = [(p[0], e) for p in plan for e in range(p[3] + 1)]
     plan = spark.createDataFrame(plan, "source string, source_size long, target double, epochs int, rest double, n_blocks long")
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     base = base.alias("d").join(plan.alias("p"), same("d", "p")).select("d.*", "source_size", "target", "epochs", "rest", F.pmod("h", "n_blocks").cast("int").alias("block"))
 
-    blocks = base.groupBy("source", "block", "rest").agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "block"), "block")
+    blocks = base.groupBy("source", "block", "rest", "epochs").agg(F.sum("size").alias("words")).withColumn("pass", F.explode(F.sequence(F.lit(0), "epochs")))
+    order = Window.partitionBy("source", "pass").orderBy(F.xxhash64(F.lit(seed + 1), "pass", "block"), "block")
     ranked = blocks.withColumn("rank", F.row_number().over(order)).withColumn("before", F.sum("words").over(order) - F.col("words"))
-    state = F.when(F.col("before") + F.col("words") <= F.col("rest"), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0)
-    ranked = written(ranked.select("source", "block", "rank", state.alias("state"), (F.col("rest") - F.col("before")).alias("room")), "blocks")
-    quotas = {r.source: r.n for r in ranked.filter("state = 2").groupBy("source").agg(F.count("*").alias("n")).collect()}
-    ends = np.cumsum(splitting_tree(np.array([quotas.get(r.source, 0) for r in by_source], np.int64), shards, seed), axis=1)
-    runs = spark.createDataFrame([(r.source, [int(x) for x in e]) for r, e in zip(by_source, ends)], "source string, ends array<long>")
+    last = F.col("pass") == F.col("epochs")
+    state = F.when(~last | (F.col("before") + F.col("words") <= F.col("rest")), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0)
+    ranked = written(ranked.select("source", "block", "pass", "rank", last.alias("last"), state.alias("state"), (F.col("rest") - F.col("before")).alias("room")), "blocks")
+    quotas = {(r.source, r["pass"]): r.n for r in ranked.filter("state = 2").groupBy("source", "pass").agg(F.count("*").alias("n")).collect()}
+    ends = np.cumsum(splitting_tree(np.array([quotas.get(k, 0) for k in keys], np.int64), shards, seed), axis=1)
+    runs = spark.createDataFrame([(*k, [int(x) for x in e]) for k, e in zip(keys, ends)], "source string, pass int, ends array<long>")
     shard = F.size(F.filter("ends", lambda e: e < F.col("rank")))
-    dealt = ranked.alias("r").join(runs.alias("s"), same("r", "s"))
-    dealt = dealt.select("r.source", "block", "state", "room", F.when(F.col("state") == 2, shard).when(F.col("state") == 1, shards - 1).alias("shard"))
+    dealt = ranked.alias("r").join(runs.alias("s"), same("r", "s") & (F.col("r.pass") == F.col("s.pass")))
+    dealt = dealt.select("r.source", "block", "r.pass", "last", "state", "room", F.when(F.col("state") == 2, shard).when(F.col("state") == 1, shards - 1).alias("shard"))
+    of_last = lambda c: F.max(F.when(F.col("last"), F.col(c))).alias(c)
+    whole_passes = F.array_sort(F.collect_list(F.when(~F.col("last"), F.struct("pass", "shard"))))
+    dealt = dealt.groupBy("source", "block").agg(of_last("state"), of_last("room"), of_last("shard"), F.transform(whole_passes, lambda x: x["shard"]).alias("passes"))
 
-    rows = base.alias("d").join(dealt.alias("r"), same("d", "r") & (F.col("d.block") == F.col("r.block"))).select("d.*", "state", "room", "shard")
+    rows = base.alias("d").join(dealt.alias("r"), same("d", "r") & (F.col("d.block") == F.col("r.block"))).select("d.*", "state", "room", "shard", "passes")
     part = rows.filter("state = 1").groupBy("source", "block").applyInPandas(_fill, f"{_schema(rows)}, drawn int")
     whole = rows.filter("state <> 1").withColumn("drawn", (F.col("state") == 2).cast("int"))
     drawn = F.col("drawn") == 1
+    placed = lambda n, shard: F.struct(n.cast("int").alias("pass"), shard.cast("int").alias("shard"), F.xxhash64(F.lit(seed + 2), "doc_id", shard, n.cast("int")).alias("place"))
+    copies = F.concat(F.transform("passes", lambda x, i: placed(i, x)), F.when(drawn, F.array(placed(F.col("epochs"), F.col("shard")))).otherwise(F.array()))
     return whole.unionByName(part).select(
         "doc_id", "size", "source", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("drawn"))).alias("taken"), "epochs", "drawn",
-        F.when(drawn, F.col("shard")).alias("shard"), F.when(drawn, F.xxhash64(F.lit(seed + 2), "doc_id", "shard")).alias("place"),
+        F.when(drawn, F.col("shard")).alias("shard"), F.when(drawn, placed(F.col("epochs"), F.col("shard"))["place"]).alias("place"),
+        F.when(F.col("size") > 0, copies).otherwise(F.slice(copies, 1, 0)).alias("copies"),
     )
 
 
@@ -126,10 +135,12 @@ def _fill(pdf):
     return pdf.assign(drawn=drawn)
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each document as often as it is taken."""
-    taken = mix(docs, **how).withColumn("_times", F.col("epochs") + F.col("drawn")).filter("_times > 0 and size > 0")
-    times = taken.groupBy(F.col("doc_id").alias("_doc"), F.col("source").alias("_source")).agg(F.max("_times").alias("_times"))
+def mixed(docs: DataFrame, shards: int = SHARDS, **how) -> DataFrame:
+    """The mix itself: the columns of ``docs``, each document as often as it is taken. Each shard is whole in one partition,
+    its rows in the order of their places."""
+    taken = mix(docs, shards=shards, **how).filter(F.size("copies") > 0)
+    times = taken.groupBy(F.col("doc_id").alias("_doc"), F.col("source").alias("_source")).agg(F.max_by("copies", F.size("copies")).alias("_copies"))
     times = broadcast_if_small(written(times, "times"))
     joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_doc"]) & docs["source"].eqNullSafe(times["_source"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select([docs[c] for c in docs.columns])
+    dealt = joined.withColumn("_copy", F.explode("_copies")).select(*[docs[c] for c in docs.columns], F.col("_copy.shard").alias("_shard"), F.col("_copy.place").alias("_place"))
+    return dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "_place", "doc_id").drop("_shard", "_place")

@@ -171,6 +171,28 @@ def test_mix(spark, rng):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_every_copy_has_a_shard_and_a_place(spark, rng, monkeypatch):
+    """Whole passes are dealt like the last draw, and the mix comes shard by shard in the order of places."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 200)
+    own = docs(spark, [(i, prose(rng, 20)) for i in range(400)])
+    got = mixing.mix(own, shards=8).collect()
+    assert all(len(r.copies) == r.epochs + r.drawn and [c["pass"] for c in r.copies] == list(range(len(r.copies))) for r in got)
+    assert all(0 <= c.shard < 8 for r in got for c in r.copies) and max(r.epochs for r in got) == 2
+    assert all((r.copies[-1].shard, r.copies[-1].place) == (r.shard, r.place) for r in got if r.drawn)
+    filled = collections.Counter(c.shard for r in got for c in r.copies)
+    assert len(filled) == 8 and max(filled.values()) < 2 * min(filled.values())
+    parts = [[r.doc_id for r in p] for p in mixing.mixed(own, shards=8).rdd.glom().collect()]
+    at = collections.defaultdict(list)
+    for c, i in sorted(((c.shard, c.place), r.doc_id) for r in got for c in r.copies):
+        at[c[0]].append(i)
+    left = [p for p in parts if p]
+    for p in left:  # whole shards, one after another
+        while p:
+            shard = next(s for s, ids in at.items() if p[: len(ids)] == ids)
+            p = p[len(at.pop(shard)) :]
+    assert not at
+
+
 # --- 4 -------------------------------------------------------------------------------------------------------------
 
 
