@@ -169,13 +169,19 @@ _KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary"
 ARROW_RECORDS = pa.schema([(n, _KINDS[k]) for n, k in (x.split(" ") for x in RECORD_SCHEMA.split(", "))])
 
 
+def record_key(head: bytes) -> int | None:
+    """The key that a record's header names, if it is a number of signed 64 bits."""
+    key = header(head, b"X-Record-Key")
+    key = int(key) if key and re.fullmatch(rb"-?\d{1,19}", key) else None
+    return key if key is not None and -(1 << 63) <= key < 1 << 63 else None
+
+
 def _record(archive: str, x: dict) -> tuple:
     if x["problem"]:
         return (archive, x["offset"], x["version"], *[None] * 14, x["problem"])
     head, payload = split_http(x["content"])
     digest = hashlib.sha1(payload)
-    key = header(head, b"X-Record-Key")
-    key = int(key) if key and re.fullmatch(rb"-?\d{1,18}", key) else None
+    key = record_key(head)
     date = iso_date(x["Archive-date"])
     name = f"{x['URL']} {date} {key} {digest.hexdigest()}"
     return (
@@ -247,9 +253,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     kind, declared = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
                     size = int(header(head, b"Content-Length") or 0) if kind == "revisit" else len(payload)
                     digest = base64.b32decode(declared).hex() if kind == "revisit" else hashlib.sha1(payload).hexdigest()
-                    key = header(head, b"X-Record-Key")
                     valid = base64.b32decode(declared).hex() == digest and fields["warc-block-digest"] == "sha1:" + base32_sha1(block)
-                    rows.append((fields["warc-record-id"].strip("<>"), kind, fields["warc-target-uri"], fields["warc-date"], fields.get("warc-refers-to", "").strip("<>") or None, int(key) if key else None, size, digest, valid))
+                    rows.append((fields["warc-record-id"].strip("<>"), kind, fields["warc-target-uri"], fields["warc-date"], fields.get("warc-refers-to", "").strip("<>") or None, record_key(head), size, digest, valid))
                 yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in rows], schema=arrow)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")

@@ -116,6 +116,18 @@ def test_arc_versions_and_damage():
     assert warc.iso_date("19970203040506") == "1997-02-03T04:05:06Z" and warc.iso_date("199702") == "1997-02-01T00:00:00Z"
 
 
+def test_keys_of_64_bits(spark):
+    """The largest and smallest long ids, and equal payloads whose ids have 19 digits."""
+    ids = [2**63 - 1, -(2**63), 10**18, 5]
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "y" * 1500) for i in ids], "page_id long, url string, html string")
+    records = warc.arc_to_records(warc.pages_as_arc(pages))
+    warc.write_warc(records, warc.revisits(records), path := new_path(spark, "warc"))
+    got = {r.key: (r.record_type, r.refers_to) for r in warc.with_responses(warc.read_warc(spark, path)).collect()}
+    assert got == {i: ("revisit", ids[0]) if i != ids[0] else ("response", None) for i in ids}
+    head = lambda key: b"HTTP/1.1 200 OK\r\nX-Record-Key: " + key + b"\r\n\r\n"
+    assert [warc.record_key(head(x)) for x in (b"9223372036854775808", b"-9223372036854775809", b"12a", b"7")] == [None, None, None, 7]
+
+
 # --- 2 -------------------------------------------------------------------------------------------------------------
 
 
