@@ -64,7 +64,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return topk.bm25_topk(docs, docs.filter(topk.is_query()))
+    return topk.bm25_topk(docs, docs.filter(topk.is_query())).withColumn("score", F.round("score", 4))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +93,18 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce((SELEC
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents WHERE doc_id IS NOT NULL),
+t AS (SELECT r, doc_id, w, count(*) AS tf FROM (SELECT r, doc_id, unnest(w) AS w FROM d) GROUP BY r, doc_id, w),
+a AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM d),
+f AS (SELECT w, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM t, a GROUP BY w, n),
+q AS (SELECT DISTINCT doc_id AS query_id, w FROM t WHERE doc_id % 50 = 0),
+s AS (SELECT query_id, t.r, t.doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d.w) / mean))) AS score
+      FROM q JOIN t USING (w) JOIN f USING (w) JOIN d ON d.r = t.r, a GROUP BY 1, 2, 3),
+k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s)
+SELECT query_id, rank, doc_id, round(score, 4) AS score FROM k WHERE rank <= 10
+"""
+
 OP10_SQL = f"""
 WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
 b AS (SELECT item_id, w, least(5, len(w)) AS m FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
@@ -111,4 +123,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_jaccard": OP4_SQL, "op10_benchmark_decontamination": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op4_jaccard": OP4_SQL, "op9_bm25": OP9_SQL, "op10_benchmark_decontamination": OP10_SQL}

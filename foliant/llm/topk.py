@@ -1,17 +1,30 @@
-"""Exact top-k search by BM25: an inverted index in shards of documents, searched with block-max pruning, merged exactly.
+"""Exact top-k search by BM25: an inverted index in shards of documents, searched by block-max WAND, merged exactly.
 
-A shard holds up to SHARD_DOCS documents: for each term its postings in document order, cut into blocks of BLOCK documents,
-and of each (term, block) the largest weight. A query adds up, for each block, the largest weights of its terms: no document
-of the block can score more. Blocks are scored from the highest bound down, until the bound is under the k-th best score
-that the task has for the query; what is scored is scored exactly. Scores use the statistics of all documents, so the
-merged lists of all shards are the exact top k. Documents of a shard are ordered by their most frequent word, which keeps
-languages and topics in blocks of their own and bounds tight.
+A shard holds up to SHARD_DOCS documents and about SHARD_POSTINGS postings. Its documents stand in the order of their most frequent
+word and length, so that neighbours share a language and bounds are tight. For each term it has the postings in document
+order; a term that many of the shard's documents have is also laid out as a row with a place for each document. Largest
+weights are kept by block: of BLOCK documents for frequent terms, of REGION documents for the others.
+
+How a query is searched in a shard, with the k-th best score that is known for it so far as threshold:
+
+1. Blocks. The largest weights of the query's terms are added up for each block; blocks whose sum is under the threshold are
+   left out, and so are shards without any other.
+2. Pivot. In the blocks left, frequent terms are added up from their rows. The lists of the other terms are taken in the order of what
+   a posting can add, up to the pivot: what the lists before it can add together is under what even the best document
+   lacks, so that a document without a term from the pivot on cannot come in. Only lists from the pivot on are read.
+3. Candidates. Documents that still can come in have the lists before the pivot read in steps, the largest bounds first; sums so
+   far raise the threshold. What is left is scored exactly, in double precision, term by term in one order in all shards.
+
+A first pass searches each query in HOMES shards only (dealt by hash over the first shards of all tasks), and its k-th best score is the threshold that the
+query takes to all shards. Scores use the statistics of all documents, and thresholds are scores of documents, so the merged
+lists of all shards are the exact top k.
 
 Queries are dealt with in blocks of at most QUERY_TERMS terms, each broadcast to one pass over the index; the index is written once.
 
 Defined cases: a query without words finds nothing, and a document without words is found by none. Fewer than k documents that share a
-term with the query: all of them. Equal scores rank by doc_id. Rows of equal doc_id are documents of their own. Rows whose doc_id is null
-are no queries. An empty table gives an empty result.
+term with the query: all of them. Scores are rounded to DIGITS places; equal ones rank by doc_id. Rows of equal doc_id are documents of their
+own; a query has the words of all rows of its id. Rows whose doc_id is null are neither queries nor documents. A very long text is a
+document like any other; its shard ends with it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,33 +33,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, slices, utf8, written
+from .common import U64, Words, mix, slices, utf8, written
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_DOCS, BLOCK = 8_192, 16
-QUERY_TERMS = 1_000_000
+DIGITS = 9
+SHARD_DOCS, SHARD_POSTINGS = 8_192, 4_000_000
+BLOCK, REGION = 64, 512
+#: Terms of at least this share of a shard's documents, the most frequent MOST_ROWS of them, are laid out as rows.
+FREQUENT, MOST_ROWS = 0.06, 1024
+QUERY_TERMS, TOGETHER = 1_000_000, 64
+#: Shards that a query is searched in for its first threshold.
+HOMES = 2
+#: Single-precision sums are trusted up to this share; what is nearer to a threshold is scored exactly.
+SLACK = 1e-4
+#: Candidates that are scored exactly at once rather than narrowed by another list.
+FEW = 12
 
 
 def term_counts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sorted distinct term hashes of each text, and how often each occurs."""
     for a, b in slices(texts):
         words = Words(texts[a:b])
-        for lo, hi in zip(words.first[:-1], words.first[1:]):
-            yield np.unique(words.hashes[lo:hi], return_counts=True)
+        text = np.repeat(np.arange(b - a, dtype=np.uint32), np.diff(words.first))
+        order = np.argsort(words.hashes, kind="stable")
+        order = order[np.argsort(text[order], kind="stable")]
+        terms, text = words.hashes[order], text[order]
+        new = np.flatnonzero(np.concatenate(([True], (terms[1:] != terms[:-1]) | (text[1:] != text[:-1])))) if len(terms) else np.zeros(0, int)
+        counts, ends = np.diff(np.append(new, len(terms))), np.searchsorted(text[new], np.arange(b - a + 1))
+        terms = terms[new]
+        for lo, hi in zip(ends[:-1], ends[1:]):
+            yield terms[lo:hi], counts[lo:hi]
 
 
 # --- index ---------------------------------------------------------------------------------------------------------
 
-SHARD = "docs binary, lengths binary, terms binary, first binary, post_docs binary, post_counts binary"
+SHARD = "part int, docs binary, lengths binary, terms binary, first binary, post_docs binary, post_counts binary"
 KINDS = {"docs": np.int64, "lengths": np.uint32, "terms": U64, "first": np.uint32, "post_docs": np.uint16, "post_counts": np.uint32}
 
 
 def build_shard(ids: list, counted: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
     top = [int(t[c.argmax()]) if len(t) else 0 for t, c in counted]
-    order = sorted(range(len(ids)), key=lambda i: (top[i], i))
+    lengths = [int(c.sum()) for _, c in counted]
+    order = sorted(range(len(ids)), key=lambda i: (top[i], lengths[i], i))
     counted = [counted[i] for i in order]
     sizes = [len(t) for t, _ in counted]
     terms = np.concatenate([t for t, _ in counted]) if counted else np.zeros(0, U64)
@@ -54,25 +86,28 @@ def build_shard(ids: list, counted: list[tuple[np.ndarray, np.ndarray]]) -> dict
     counts = np.concatenate([c for _, c in counted]) if counted else np.zeros(0, np.int64)
     by = np.argsort(terms, kind="stable")
     own, first = np.unique(terms[by], return_index=True)
-    return {"docs": np.array([ids[i] for i in order], np.int64), "lengths": np.array([c.sum() for _, c in counted]), "terms": own, "first": np.append(first, len(terms)), "post_docs": docs[by], "post_counts": counts[by]}
+    return {"docs": np.array([ids[i] for i in order], np.int64), "lengths": np.array([lengths[i] for i in order]), "terms": own, "first": np.append(first, len(terms)), "post_docs": docs[by], "post_counts": counts[by]}
 
 
-def _pack(shard: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([shard[n].astype(k).tobytes()], pa.binary()) for n, k in KINDS.items()], list(KINDS))
+def _pack(part: int, shard: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([shard[n].astype(k).tobytes()], pa.binary()) for n, k in KINDS.items()]], ["part", *KINDS])
 
 
 def write_index(docs: DataFrame) -> DataFrame:
+    """The shards, as binary columns; the first shard of a task has its number as ``part``, others have none."""
+
     def run(batches) -> Iterator[pa.RecordBatch]:
-        ids, counted = [], []
+        ids, counted, held, part = [], [], 0, TaskContext.get().partitionId()
         for batch in batches:
             for doc_id, own in zip(batch.column(0).to_pylist(), term_counts(utf8(batch.column(1)))):
                 ids.append(doc_id)
                 counted.append(own)
-                if len(ids) == SHARD_DOCS:
-                    yield _pack(build_shard(ids, counted))
-                    ids, counted = [], []
+                held += len(own[0])
+                if len(ids) == SHARD_DOCS or held >= SHARD_POSTINGS:
+                    yield _pack(part, build_shard(ids, counted))
+                    ids, counted, held, part = [], [], 0, None
         if ids:
-            yield _pack(build_shard(ids, counted))
+            yield _pack(part, build_shard(ids, counted))
 
     return written(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, SHARD), "index")
 
@@ -100,89 +135,192 @@ def statistics(index: DataFrame) -> tuple[int, float, DataFrame]:
 # --- search --------------------------------------------------------------------------------------------------------
 
 
-class Shard:
-    """A shard as read, with weights under the statistics of the whole collection and their maxima by block."""
-
-    def __init__(self, row: dict[str, bytes], mean_length: float):
-        for n, k in KINDS.items():
-            setattr(self, n, np.frombuffer(row[n], k))
-        tf = self.post_counts.astype(np.float64)
-        self.weights = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * self.lengths / max(mean_length, 1e-9)))[self.post_docs])
-        self.n_blocks = len(self.docs) // BLOCK + 1
-        term = np.repeat(np.arange(len(self.terms)), np.diff(self.first.astype(np.int64)))
-        key = term * self.n_blocks + self.post_docs // BLOCK
-        entry = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
-        self.entry_first = np.append(entry, len(key))
-        self.entry_block = (key[entry] % self.n_blocks).astype(np.int32)
-        self.entry_most = np.maximum.reduceat(self.weights, entry) if len(entry) else np.zeros(0)
-        self.term_first = np.searchsorted(term[entry], np.arange(len(self.terms) + 1))
-
-
 def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """All numbers of all ranges, one range after the other."""
     n = last - first
     return np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
 
 
+class Shard:
+    """A shard as read, with weights under the statistics of the whole collection and their maxima by block.
+
+    Only terms of ``vocabulary`` (sorted, with their idf) are kept; place_of: where each of them is among the shard's own.
+    """
+
+    def __init__(self, row: dict[str, bytes], mean_length: float, vocabulary: np.ndarray, idf: np.ndarray):
+        own = {n: np.frombuffer(row[n], k) for n, k in KINDS.items()}
+        self.docs, n, terms, sizes = own["docs"], len(own["docs"]), own["terms"], np.diff(own["first"].astype(np.int64))
+        at = np.minimum(np.searchsorted(vocabulary, terms), max(0, len(vocabulary) - 1))
+        known = vocabulary[at] == terms if len(vocabulary) else np.zeros(len(terms), bool)
+        self.place_of = np.full(len(vocabulary), -1)
+        self.place_of[at[known]] = np.arange(known.sum())
+        self.df, asked = sizes[known], np.repeat(known, sizes)
+        self.post_docs, tf = own["post_docs"][asked].astype(np.int64), own["post_counts"][asked].astype(np.float64)
+        term = np.repeat(np.arange(len(self.df)), self.df)
+        self.first = np.concatenate(([0], np.cumsum(self.df)))
+        norm = K1 * (1 - B + B * own["lengths"] / max(mean_length, 1e-9))
+        exact = idf[at[known]][term] * (tf * (K1 + 1) / (tf + norm[self.post_docs]))
+        self.weights = exact.astype(np.float32)
+        self.most = np.maximum.reduceat(self.weights, self.first[:-1]).astype(float) if len(self.df) else np.zeros(0)
+        by = np.argsort(own["post_docs"][asked], kind="stable")  # documents' own terms, for exact scores
+        self.own_terms, self.own_weights, self.own_first = term[by], exact[by], np.searchsorted(self.post_docs[by], np.arange(n + 1))
+        frequent = np.flatnonzero(self.df >= max(1, FREQUENT * n))
+        if len(frequent) > MOST_ROWS:
+            frequent = np.sort(frequent[np.argsort(-self.df[frequent], kind="stable")[:MOST_ROWS]])
+        self.row_of = np.full(len(self.df), -1)
+        self.row_of[frequent] = np.arange(len(frequent))
+        in_row = self.row_of[term] >= 0
+        self.n_blocks, self.n_regions = -(-n // BLOCK), -(-n // REGION)
+        self.rows = np.zeros((len(frequent), self.n_blocks * BLOCK), np.float32)
+        self.rows[self.row_of[term[in_row]], self.post_docs[in_row]] = self.weights[in_row]
+        self.row_most = np.ascontiguousarray(self.rows.reshape(len(frequent), self.n_blocks, BLOCK).max(axis=2))
+        rest = np.flatnonzero(~in_row)
+        key = term[rest] * self.n_regions + self.post_docs[rest] // REGION
+        entry = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
+        self.entry_region = key[entry] % max(1, self.n_regions)
+        self.entry_most = np.maximum.reduceat(self.weights[rest], entry) if len(entry) else np.zeros(0, np.float32)
+        self.entry_first = np.searchsorted(key[entry], np.arange(len(self.df) + 1) * self.n_regions)
+
+    def exact(self, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Scores of some documents; terms (at ascending places) are added in the order of their hashes in every shard."""
+        out = np.empty(len(docs))
+        for i, (a, b) in enumerate(zip(self.own_first[docs], self.own_first[docs + 1])):
+            own = self.own_terms[a:b]
+            at = own.searchsorted(places)
+            at[at == b - a] = 0
+            out[i] = self.own_weights[a:b][at[own[at] == places]].sum()
+        return np.round(out, DIGITS)
+
+    def lists(self, places: np.ndarray) -> np.ndarray:
+        """What the lists at ``places`` add to each document."""
+        post = ranges(self.first[places], self.first[places + 1])
+        return np.bincount(self.post_docs[post], weights=self.weights[post], minlength=len(self.docs))
+
+
 def better(scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((docs, -scores))[:k]
     return scores[order], docs[order]
 
 
-def search_shard(shard: Shard, places: np.ndarray, idf: np.ndarray, best: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (scores, docs) of ``best`` and the shard, for the query terms at ``places`` (ascending) of the shard."""
-    a, b = shard.term_first[places], shard.term_first[places + 1]
-    entries, weight = ranges(a, b), np.repeat(idf, b - a)
-    block = shard.entry_block[entries]
-    bounds = np.bincount(block, weights=shard.entry_most[entries] * weight, minlength=shard.n_blocks) * (1 + 1e-9)
-    order, done, step = np.argsort(-bounds, kind="stable"), 0, 8
-    n = int((bounds > 0).sum())
-    while done < n:
-        least = best[0][-1] if len(best[0]) == k else 0.0
-        now = order[done : min(n, done + step)]
-        now = now[bounds[now] >= least]
-        if not len(now):
+class Best:
+    """The k best of each query so far, and the score that a document must have to come in."""
+
+    def __init__(self, k: int, least: np.ndarray):
+        self.k, self.least, self.found = k, least.copy(), {}
+
+    def add(self, i: int, scores: np.ndarray, docs: np.ndarray) -> None:
+        s, d = self.found.get(i, (np.zeros(0), np.zeros(0, np.int64)))
+        self.found[i] = s, d = better(np.concatenate([s, scores]), np.concatenate([d, docs]), self.k)
+        if len(s) == self.k:
+            self.least[i] = max(self.least[i], s[-1])
+
+
+def lowered(score):
+    """A bound under which no sum in single precision of so high a score can lie."""
+    return score * (1 - SLACK) - 1e-6
+
+
+def search_shard(shard: Shard, queries: list[int], places: list[np.ndarray], best: Best) -> None:
+    """The best of some queries (by number; the places of their terms in the shard) that the shard adds."""
+    frequent = np.zeros((len(queries), len(shard.rows)), np.float32)
+    rest, bounds = [], np.zeros((len(queries), shard.n_regions))
+    for j, p in enumerate(places):
+        row = shard.row_of[p]
+        frequent[j, row[row >= 0]] = 1
+        rest.append(p[row < 0])
+        e = ranges(shard.entry_first[rest[-1]], shard.entry_first[rest[-1] + 1])
+        bounds[j] = np.bincount(shard.entry_region[e], weights=shard.entry_most[e], minlength=shard.n_regions)
+    least = lowered(best.least[queries])
+    bounds = np.repeat(bounds, REGION // BLOCK, axis=1)[:, : shard.n_blocks] + frequent @ shard.row_most
+    live = (bounds >= least[:, None]) & (bounds > 0)
+    blocks = np.flatnonzero(live.any(axis=0))
+    if not len(blocks):
+        return
+    lo, hi = int(blocks[0]) * BLOCK, min((int(blocks[-1]) + 1) * BLOCK, len(shard.docs))
+    sums = frequent @ shard.rows[:, lo:hi]
+    for j, i in enumerate(queries):
+        own = np.flatnonzero(live[j])
+        if len(own):
+            a, b = max(lo, int(own[0]) * BLOCK), min(hi, (int(own[-1]) + 1) * BLOCK)
+            _search(shard, i, places[j], rest[j], a, sums[j, a - lo : b - lo], best)
+
+
+def _search(shard: Shard, i: int, places: np.ndarray, rest: np.ndarray, start: int, sums: np.ndarray, best: Best) -> None:
+    """One query in the documents from ``start`` on, whose frequent terms add up to ``sums``; rest: its other terms."""
+    k, least, high = best.k, lowered(best.least[i]), float(sums.max())
+    bound = shard.most[rest]
+    order = np.argsort(bound / shard.df[rest], kind="stable")
+    rest, before = rest[order], np.cumsum(bound[order])
+    if high + (before[-1] if len(before) else 0) < least:
+        return
+    pivot = int(np.searchsorted(before, least - high))  # the lists before it add less than the best document lacks
+    if pivot < len(rest):
+        sums = sums + shard.lists(rest[pivot:])[start : start + len(sums)]
+    at = None
+    while True:
+        room = before[pivot - 1] if pivot else 0.0
+        if len(sums) > k:
+            least = max(least, lowered(np.partition(sums, len(sums) - k)[len(sums) - k]))
+        keep = np.flatnonzero(sums >= max(least, 1e-12) - room)
+        at, sums = keep + start if at is None else at[keep], sums[keep]
+        if not pivot or len(at) <= FEW:
             break
-        chosen = np.zeros(shard.n_blocks, bool)
-        chosen[now] = True
-        on = chosen[block]
-        e, w = entries[on], weight[on]
-        lo, hi = shard.entry_first[e], shard.entry_first[e + 1]
-        post = ranges(lo, hi)
-        score = np.bincount(shard.post_docs[post], weights=shard.weights[post] * np.repeat(w, hi - lo), minlength=len(shard.docs))
-        hit = np.flatnonzero((score >= least) & (score > 0))
-        best = better(np.concatenate([best[0], score[hit]]), np.concatenate([best[1], shard.docs[hit]]), k)
-        done, step = done + step, step * 4
-    return best
+        step = pivot // 2
+        sums, pivot = sums + shard.lists(rest[step:pivot])[at], step
+    if len(at):
+        scores = shard.exact(at, places)
+        hit = (scores >= best.least[i]) & (scores > 0)
+        if hit.any():
+            best.add(i, scores[hit], shard.docs[at[hit]])
 
 
 class Queries:
+    """Queries in an order that puts those of one language side by side, as lists of places in their sorted vocabulary, and
+    the score that a document must have to come in."""
+
     def __init__(self, ids: list[int], terms: list[np.ndarray], idf: list[np.ndarray]):
-        self.ids, self.first = ids, np.concatenate(([0], np.cumsum([len(t) for t in terms])))
-        self.terms, self.idf = np.concatenate(terms), np.concatenate(idf)
+        commonest = [int(t[w.argmin()]) for t, w in zip(terms, idf)]
+        order = sorted(range(len(ids)), key=lambda i: (commonest[i], len(terms[i])))
+        self.ids, self.first = np.array([ids[i] for i in order], np.int64), np.concatenate(([0], np.cumsum([len(terms[i]) for i in order])))
+        self.vocabulary, at, self.own = np.unique(np.concatenate([terms[i] for i in order]), return_index=True, return_inverse=True)
+        self.idf, self.own = np.concatenate([idf[i] for i in order])[at], self.own.astype(np.int32)
+        self.least = np.zeros(len(ids))
 
 
-def search_index(index: DataFrame, queries: Queries, mean_length: float, k: int) -> DataFrame:
-    """(query_id, doc_id, score): for each task that reads shards the k best of those, for every query."""
-    shared = index.sparkSession.sparkContext.broadcast(queries)
+def search_index(index: DataFrame, queries: Queries, mean_length: float, k: int, parts: list[int] | None = None) -> DataFrame:
+    """(query, doc_id, score): for each task that reads shards the k best of those, for every query by number. With ``parts`` each
+    query is searched in HOMES of those shards only."""
+    shared = index.sparkSession.sparkContext.broadcast((queries, np.array(parts or [], np.int64)))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        q, best = shared.value, {}
+        q, homes = shared.value
+        best, numbers = Best(k, q.least), np.arange(len(q.ids))
+        if len(homes):
+            homes = np.stack([homes[(mix((numbers + j * len(numbers)).astype(U64)) % U64(len(homes))).astype(np.int64)] for j in range(HOMES)])
         for batch in batches:
             columns = [batch.column(n).to_pylist() for n in KINDS]
-            for row in zip(*columns):
-                shard = Shard(dict(zip(KINDS, row)), mean_length)
-                at = np.searchsorted(shard.terms, q.terms)
-                at[at == len(shard.terms)] = 0
-                there = shard.terms[at] == q.terms if len(shard.terms) else np.zeros(len(q.terms), bool)
-                for i, (a, b) in enumerate(zip(q.first[:-1], q.first[1:])):
-                    on = there[a:b]
-                    if on.any():
-                        best[i] = search_shard(shard, at[a:b][on], q.idf[a:b][on], best.get(i, (np.zeros(0), np.zeros(0, np.int64))), k)
-        for i, (scores, docs) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array([q.ids[i]] * len(docs), pa.int64()), pa.array(docs), pa.array(scores)], ["query_id", "doc_id", "score"])
-
-    return index.mapInArrow(run, "query_id long, doc_id long, score double")
+            for part, *row in zip(batch.column("part").to_pylist(), *columns):
+                mine = numbers[(homes == part).any(axis=0)] if len(homes) else numbers
+                if len(mine):
+                    search_all(Shard(dict(zip(KINDS, row)), mean_length, q.vocabulary, q.idf), q, mine.tolist(), best)
+        for i, (scores, docs) in best.found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(docs), pa.int32()), pa.array(docs), pa.array(scores)], ["query", "doc_id", "score"])
+
+    return index.filter("part is not null" if parts else "true").mapInArrow(run, "query int, doc_id long, score double")
+
+
+def search_all(shard: Shard, q: Queries, mine: list[int], best: Best) -> None:
+    """The best that a shard adds for the queries numbered ``mine``, TOGETHER at a time."""
+    for a in range(0, len(mine), TOGETHER):
+        numbers, places = [], []
+        for i in mine[a : a + TOGETHER]:
+            own = shard.place_of[q.own[q.first[i] : q.first[i + 1]]]
+            own = own[own >= 0]
+            if len(own):
+                numbers.append(i)
+                places.append(own)
+        if numbers:
+            search_shard(shard, numbers, places, best)
 
 
 def _packed_queries(batches) -> Iterator[pa.RecordBatch]:
@@ -206,10 +344,10 @@ def query_blocks(queries: DataFrame, df: DataFrame, n_docs: int) -> Iterator[Que
 
     terms = queries.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "query_id long, term long")
     weighted = terms.join(df, "term").select("query_id", F.struct("term", F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).alias("t"))
-    listed = weighted.groupBy("query_id").agg(F.collect_list("t").alias("t"))
+    listed = weighted.groupBy("query_id").agg(F.collect_set("t").alias("t"))
     per = written(listed.mapInArrow(_packed_queries, "query_id long, terms binary, idf binary"), "queries")
     ids, own, idf, held = [], [], [], 0
-    for row in per.orderBy("query_id").toLocalIterator():
+    for row in per.toLocalIterator():
         ids.append(row.query_id)
         own.append(np.frombuffer(row.terms, U64))
         idf.append(np.frombuffer(row.idf, np.float64))
@@ -221,13 +359,31 @@ def query_blocks(queries: DataFrame, df: DataFrame, n_docs: int) -> Iterator[Que
         yield Queries(ids, own, idf)
 
 
+FOUND = "query_id long, doc_id long, score double"
+
+
+def _named(found: DataFrame, queries: Queries) -> DataFrame:
+    """With the queries' ids for their numbers."""
+    ids = found.sparkSession.sparkContext.broadcast(queries.ids)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(ids.value[batch.column(0).to_numpy()]), batch.column(1), batch.column(2)], ["query_id", "doc_id", "score"])
+
+    return found.mapInArrow(run, FOUND)
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents for each query (doc_id, text), the query's own row included."""
     index = write_index(docs)
     n, mean_length, df = statistics(index)
+    parts = sorted(r.part for r in index.select("part").filter("part is not null").collect())
     out = None
     for block in query_blocks(queries, df, n):
-        found = search_index(index, block, mean_length, k)
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
+        for r in search_index(index, block, mean_length, k, parts).withColumn("rank", rank).filter(F.col("rank") == k).collect():
+            block.least[r["query"]] = r.score
+        found = _named(search_index(index, block, mean_length, k), block)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
