@@ -41,7 +41,7 @@ from .common import U64, Words, mix, slices, utf8, written
 
 K, K1, B = 10, 1.2, 0.75
 DIGITS = 9
-SHARD_DOCS, SHARD_POSTINGS = 8_192, 4_000_000
+SHARD_DOCS, SHARD_POSTINGS = 8_192, 3_000_000
 BLOCK, REGION = 64, 512
 #: Terms of at least this share of a shard's documents, the most frequent MOST_ROWS of them, are laid out as rows.
 FREQUENT, MOST_ROWS = 0.06, 1024
@@ -147,39 +147,46 @@ class Shard:
     Only terms of ``vocabulary`` (sorted, with their idf) are kept; place_of: where each of them is among the shard's own.
     """
 
-    def __init__(self, row: dict[str, bytes], mean_length: float, vocabulary: np.ndarray, idf: np.ndarray):
+    def __init__(self, row: dict, mean_length: float, vocabulary: np.ndarray, idf: np.ndarray):
         own = {n: np.frombuffer(row[n], k) for n, k in KINDS.items()}
         self.docs, n, terms, sizes = own["docs"], len(own["docs"]), own["terms"], np.diff(own["first"].astype(np.int64))
         at = np.minimum(np.searchsorted(vocabulary, terms), max(0, len(vocabulary) - 1))
         known = vocabulary[at] == terms if len(vocabulary) else np.zeros(len(terms), bool)
-        self.place_of = np.full(len(vocabulary), -1)
+        self.place_of = np.full(len(vocabulary), -1, np.int32)
         self.place_of[at[known]] = np.arange(known.sum())
         self.df, asked = sizes[known], np.repeat(known, sizes)
-        self.post_docs, tf = own["post_docs"][asked].astype(np.int64), own["post_counts"][asked].astype(np.float64)
-        term = np.repeat(np.arange(len(self.df)), self.df)
+        self.post_docs = own["post_docs"][asked]
+        term = np.repeat(np.arange(len(self.df), dtype=np.int32), self.df)
         self.first = np.concatenate(([0], np.cumsum(self.df)))
-        norm = K1 * (1 - B + B * own["lengths"] / max(mean_length, 1e-9))
-        exact = idf[at[known]][term] * (tf * (K1 + 1) / (tf + norm[self.post_docs]))
+        tf, norm = own["post_counts"][asked].astype(np.float64), K1 * (1 - B + B * own["lengths"] / max(mean_length, 1e-9))
+        del asked
+        exact = norm[self.post_docs]
+        exact += tf
+        np.divide(tf, exact, out=exact)
+        exact *= (idf[at[known]] * (K1 + 1))[term]
+        del tf
         self.weights = exact.astype(np.float32)
         self.most = np.maximum.reduceat(self.weights, self.first[:-1]).astype(float) if len(self.df) else np.zeros(0)
-        by = np.argsort(own["post_docs"][asked], kind="stable")  # documents' own terms, for exact scores
-        self.own_terms, self.own_weights, self.own_first = term[by], exact[by], np.searchsorted(self.post_docs[by], np.arange(n + 1))
+        by = np.argsort(self.post_docs, kind="stable").astype(np.int32)  # documents' own terms, for exact scores
+        self.own_terms, self.own_weights = term[by], exact[by]
+        self.own_first = np.concatenate(([0], np.cumsum(np.bincount(self.post_docs, minlength=n))))
+        del by, exact
         frequent = np.flatnonzero(self.df >= max(1, FREQUENT * n))
         if len(frequent) > MOST_ROWS:
             frequent = np.sort(frequent[np.argsort(-self.df[frequent], kind="stable")[:MOST_ROWS]])
-        self.row_of = np.full(len(self.df), -1)
+        self.row_of = np.full(len(self.df), -1, np.int32)
         self.row_of[frequent] = np.arange(len(frequent))
-        in_row = self.row_of[term] >= 0
         self.n_blocks, self.n_regions = -(-n // BLOCK), -(-n // REGION)
         self.rows = np.zeros((len(frequent), self.n_blocks * BLOCK), np.float32)
-        self.rows[self.row_of[term[in_row]], self.post_docs[in_row]] = self.weights[in_row]
+        for j, (a, b) in enumerate(zip(self.first[frequent], self.first[frequent + 1])):
+            self.rows[j, self.post_docs[a:b]] = self.weights[a:b]
         self.row_most = np.ascontiguousarray(self.rows.reshape(len(frequent), self.n_blocks, BLOCK).max(axis=2))
-        rest = np.flatnonzero(~in_row)
-        key = term[rest] * self.n_regions + self.post_docs[rest] // REGION
-        entry = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
-        self.entry_region = key[entry] % max(1, self.n_regions)
+        rest = np.flatnonzero(self.row_of[term] < 0)
+        region, term = self.post_docs[rest] // REGION, term[rest]
+        new = (term[1:] != term[:-1]) | (region[1:] != region[:-1])
+        entry = np.flatnonzero(np.concatenate(([True], new))) if len(rest) else np.zeros(0, int)
+        self.entry_region, self.entry_first = region[entry], np.searchsorted(term[entry], np.arange(len(self.df) + 1, dtype=np.int32))
         self.entry_most = np.maximum.reduceat(self.weights[rest], entry) if len(entry) else np.zeros(0, np.float32)
-        self.entry_first = np.searchsorted(key[entry], np.arange(len(self.df) + 1) * self.n_regions)
 
     def exact(self, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Scores of some documents; terms (at ascending places) are added in the order of their hashes in every shard."""
@@ -298,11 +305,10 @@ def search_index(index: DataFrame, queries: Queries, mean_length: float, k: int,
         if len(homes):
             homes = np.stack([homes[(mix((numbers + j * len(numbers)).astype(U64)) % U64(len(homes))).astype(np.int64)] for j in range(HOMES)])
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in KINDS]
-            for part, *row in zip(batch.column("part").to_pylist(), *columns):
+            for i, part in enumerate(batch.column("part").to_pylist()):
                 mine = numbers[(homes == part).any(axis=0)] if len(homes) else numbers
                 if len(mine):
-                    search_all(Shard(dict(zip(KINDS, row)), mean_length, q.vocabulary, q.idf), q, mine.tolist(), best)
+                    search_all(Shard({n: batch.column(n)[i].as_buffer() for n in KINDS}, mean_length, q.vocabulary, q.idf), q, mine.tolist(), best)
         for i, (scores, docs) in best.found.items():
             yield pa.RecordBatch.from_arrays([pa.array([i] * len(docs), pa.int32()), pa.array(docs), pa.array(scores)], ["query", "doc_id", "score"])
 
