@@ -3,11 +3,13 @@
 Statistics of a text are Spark expressions. On a bounded sample of labelled rows, boosted shallow trees are grown; every
 path from a root to a node is a rule, a conjunction of thresholds. A logistic model with a lasso penalty over the rules
 keeps the few that matter; the penalty is the one that does best on rows set aside. The rules kept become one Spark
-expression of comparisons and weights, so scoring is a scan with generated code and neither shuffles nor leaves the JVM.
+expression of comparisons and weights, so scoring is a scan that neither shuffles nor leaves the JVM.
 
 Defined cases: a null text counts as empty, and an empty one is scored like any other. Labels other than 0 and 1 and
 labels without a document are left out; of several labels of one document, the mean decides (a tie is 1). With labels of
-one kind only, the score is the share of label 1 for all; without labels it is 0.5. Repeated rows each get a score.
+one kind only, the score is near 0 or 1 for all; without labels it is 0.5. Repeated rows each get a score, and equal texts the same
+one. Very long texts are scored whole, by statistics of fixed size. Columns of ``docs`` may have any names but ``_score``. Empty tables are
+scored to empty ones; where documents or labels are missing altogether, the score is 0.5.
 """
 
 from __future__ import annotations
@@ -20,10 +22,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that are fitted on, at most: those whose ids have the smallest hashes.
 FIT_ROWS = 10_000
-TREES, DEPTH, BINS, RATE = 30, 3, 48, 0.15
+TREES, DEPTH, BINS, RATE = 40, 3, 48, 0.15
 PENALTIES = (0.02, 0.008, 0.003, 0.001, 0.0003)
-#: The largest penalty whose loss on the rows set aside is within this of the least: the fewest rules that do as well.
-SLACK = 0.01
 REJECT_BELOW = 0.3
 
 
@@ -63,10 +63,11 @@ class Rule:
     conditions: tuple[tuple[str, float, bool], ...]
     weight: float = 0.0
 
-    def column(self) -> Column:
+    def column(self, of) -> Column:
+        """The rule over ``of(name)``, the columns of statistics."""
         out = None
         for name, threshold, above in self.conditions:
-            c = F.col(name) > threshold if above else F.col(name) <= threshold
+            c = of(name) > threshold if above else of(name) <= threshold
             out = c if out is None else out & c
         return out
 
@@ -83,15 +84,18 @@ class RuleEnsemble:
     intercept: float = 0.0
     rules: list[Rule] = field(default_factory=list)
 
-    def margin(self) -> Column:
+    def margin(self, of=F.col) -> Column:
         """The model over the columns of :func:`statistics`."""
         out = F.lit(self.intercept)
         for r in self.rules:
-            out = out + F.when(r.column(), F.lit(r.weight)).otherwise(F.lit(0.0))
+            out = out + F.when(r.column(of), F.lit(r.weight)).otherwise(F.lit(0.0))
         return out
 
-    def score(self) -> Column:
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin()))
+    def score(self, text: str = "text") -> Column:
+        """0 to 1 for a text column. The statistics are the one element of an array over which the rules are a lambda, so that
+        they are computed once a row, however often the optimizer copies this expression's parts or moves filters below it."""
+        stats = F.array(F.struct(*[c.alias(n) for n, c in statistics(text).items()]))
+        return F.transform(stats, lambda s: F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin(lambda n: s[n]))))[0]
 
 
 # --- fitting -------------------------------------------------------------------------------------------------------
@@ -192,7 +196,7 @@ def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 4
         nw = np.sign(u) * np.maximum(np.abs(u) - step * penalty, 0)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vb, v = nb + (t - 1) / nt * (nb - b), nw + (t - 1) / nt * (nw - w)
-        done = np.abs(nw - w).max(initial=0) + abs(nb - b) < 1e-5
+        done = np.abs(nw - w).max(initial=0) + abs(nb - b) < 1e-6
         b, w, t = nb, nw, nt
         if done:
             break
@@ -217,7 +221,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str]) -> RuleEnsemble:
         p = np.clip(_sigmoid(b + z_aside @ w), 1e-6, 1 - 1e-6)
         losses.append(-np.mean(y[aside] * np.log(p) + (1 - y[aside]) * np.log(1 - p)) if aside.any() else penalty)
     del fitted, z_aside
-    b, w = lasso_logistic(z, y, next(p for p, x in zip(PENALTIES, losses) if x <= min(losses) + SLACK))
+    b, w = lasso_logistic(z, y, PENALTIES[int(np.argmin(losses))])
     kept = [Rule(r.conditions, float(v)) for r, v in zip(rules, w) if abs(v) > 1e-4]
     return RuleEnsemble(float(b), kept)
 
@@ -235,6 +239,4 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
 def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """The columns of ``docs`` and ``_score``, 0 to 1."""
-    kept = [docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)]
-    stats = docs.select(*kept, *[c.alias(n) for n, c in statistics().items()])
-    return stats.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)], model.score().alias("_score"))
+    return docs.withColumn("_score", model.score())
