@@ -13,9 +13,9 @@ from .decontaminate import contained_items
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.arc_to_records(warc.pages_as_arc(table(spark, sf_dir, "pages")))
+    records = warc.arc_to_records(written(warc.pages_as_arc(table(spark, sf_dir, "pages")), "arc"))
     groups = broadcast_if_small(written(warc.revisits(records), "revisits"))
-    warc.write_warc(records, groups, path := new_path(spark, "warc"))
+    warc.write_warc(records, groups, path := new_path(spark, "warc"), strict=True)
     read = warc.with_responses(warc.read_warc(spark, path))
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
 

@@ -12,7 +12,8 @@ and follows Content-Length, so payloads may contain any bytes.
 
 Defined cases: a null payload is empty. A record that ends before its declared length, a header line with a wrong
 number of fields and a length that is not a number give a row with ``problem`` set and no further records of that file.
-An empty archive gives no row. Of equal payloads of at least MIN_REVISIT bytes, the one with the largest key is the response;
+An empty archive gives no row, and an empty table no archive. Only the first record of a file is its version block: later ones whose url
+begins with ``filedesc://`` are records. A very long page ends its archive. Of equal payloads of at least MIN_REVISIT bytes, the one with the largest key is the response;
 rows with that same key are all responses; where every key is null all are.
 """
 
@@ -26,11 +27,13 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_REVISIT = 1000
-PAGES_PER_ARC = 200
+#: An ARC file ends with the page that reaches either.
+PAGES_PER_ARC, ARC_BYTES = 200, 16 << 20
 RECORDS_PER_FILE = 20_000
 #: The field lists of both ARC versions, the revisit profile of WARC/1.1.
 ARC_FIELDS = {
@@ -64,20 +67,27 @@ def arc_file(name: str, version: int, records: list[tuple[str, str, str, str, st
 
 
 def pages_as_arc(pages: DataFrame) -> DataFrame:
-    """(archive, content) ARC files of PAGES_PER_ARC pages each, of both versions in turn; page_id travels as an HTTP header."""
+    """(archive, content) ARC files of both versions in turn; page_id travels as an HTTP header."""
 
     def run(batches):
-        for n, batch in enumerate(batches):
-            for a in range(0, batch.num_rows, PAGES_PER_ARC):
-                part = batch.slice(a, PAGES_PER_ARC)
-                rows = []
-                for page_id, url, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast("binary").to_pylist()):
-                    html = html or b""
-                    key = "" if page_id is None else f"X-Record-Key: {page_id}\r\n"
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{key}Content-Length: {len(html)}\r\n\r\n"
-                    rows.append((url or f"urn:page:{page_id}", "192.0.2.1", "20240101120000", "text/html", "200", head.encode() + html))
-                name = f"pages-{n}-{a}.arc"
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([arc_file(name, 1 + (n + a // PAGES_PER_ARC) % 2, rows)], pa.binary())], ["archive", "content"])
+        task, n, rows, held = TaskContext.get().partitionId(), 0, [], 0
+
+        def archive() -> pa.RecordBatch:
+            name = f"pages-{task}-{n}.arc"
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([arc_file(name, 1 + n % 2, rows)], pa.binary())], ["archive", "content"])
+
+        for batch in batches:
+            for page_id, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast("binary")):
+                html = html.as_py() or b""
+                key = "" if page_id is None else f"X-Record-Key: {page_id}\r\n"
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{key}Content-Length: {len(html)}\r\n\r\n"
+                rows.append((url or f"urn:page:{page_id}", "192.0.2.1", "20240101120000", "text/html", "200", head.encode() + html))
+                held += len(html)
+                if len(rows) == PAGES_PER_ARC or held >= ARC_BYTES:
+                    yield archive()
+                    n, rows, held = n + 1, [], 0
+        if rows:
+            yield archive()
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "archive string, content binary")
 
@@ -96,7 +106,7 @@ def inflated(content: bytes) -> bytes:
 
 def parse_arc(content: bytes) -> Iterator[dict]:
     """Records of an ARC file as dicts of its own field names, with offset, version and content or problem."""
-    content, at, version, fields = inflated(content), 0, 0, []
+    content, at, version, fields, begun = inflated(content), 0, 0, [], False
     while at < len(content):
         if content[at : at + 1] in b"\r\n":  # what separates records
             at += 1
@@ -112,7 +122,7 @@ def parse_arc(content: bytes) -> Iterator[dict]:
         if begin + size > len(content):
             yield row | {"problem": "truncated"}
             return
-        if line.startswith("filedesc://"):
+        if not begun and line.startswith("filedesc://"):  # later on, a url like any other
             lines = content[begin : begin + size].decode("utf-8", "replace").splitlines()
             first = lines[0].split(" ")[0] if lines else ""
             version = int(first) if first.isdigit() and int(first) in ARC_FIELDS else 0
@@ -122,7 +132,7 @@ def parse_arc(content: bytes) -> Iterator[dict]:
             return
         else:
             yield row | dict(zip(fields, got)) | {"content": content[begin : begin + size], "problem": None}
-        at = begin + size
+        at, begun = begin + size, True
 
 
 def iso_date(arc: str) -> str:
@@ -200,9 +210,13 @@ def revisits(records: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
     return groups.filter("n > 1").select("payload_digest", F.col("f.key").alias("to_key"), F.col("f.record_id").alias("to_id"), F.col("f.uri").alias("to_uri"), F.col("f.warc_date").alias("to_date"))
 
 
-def warc_text(records: DataFrame, groups: DataFrame) -> DataFrame:
-    """Column value: each record as WARC/1.1, without the record end; an equal payload's later copy as a revisit."""
-    joined = records.filter("problem is null").join(groups, "payload_digest", "left")
+def warc_text(records: DataFrame, groups: DataFrame, strict: bool = False) -> DataFrame:
+    """Column value: each record as WARC/1.1, without the record end; an equal payload's later copy as a revisit.
+
+    Rows with a problem have nothing to write: they are left out, or end the job if ``strict``."""
+    damage = F.raise_error(F.concat_ws(": ", F.lit("damaged archive"), "archive", "problem")).cast("boolean")
+    whole = F.when(F.col("problem").isNull(), True).otherwise(damage) if strict else F.col("problem").isNull()
+    joined = records.filter(whole).join(groups, "payload_digest", "left")
     revisit = F.col("to_key").isNotNull() & (~F.col("to_key").eqNullSafe(F.col("key")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     common = [
@@ -217,8 +231,8 @@ def warc_text(records: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.select(block.cast("string").alias("value"))
 
 
-def write_warc(records: DataFrame, groups: DataFrame, path: str) -> None:
-    (warc_text(records, groups).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+def write_warc(records: DataFrame, groups: DataFrame, path: str, strict: bool = False) -> None:
+    (warc_text(records, groups, strict).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -262,6 +276,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_responses(read: DataFrame) -> DataFrame:
-    """The records read, with the key of the response that a revisit's WARC-Refers-To names."""
-    key = read.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to")).dropDuplicates(["refers_to_id"])
-    return read.join(key, "refers_to_id", "left")
+    """The records read, with the key of the response that a revisit's WARC-Refers-To names. Responses are joined by their own id, so
+    that they do not meet in one task for want of another."""
+    key = read.filter("record_type = 'response'").select(F.col("record_id").alias("_id"), F.col("key").alias("_key")).dropDuplicates(["_id"])
+    joined = read.join(key, F.coalesce("refers_to_id", "record_id") == F.col("_id"), "left")
+    return joined.withColumn("refers_to", F.when(F.col("refers_to_id").isNotNull(), F.col("_key"))).drop("_id", "_key")

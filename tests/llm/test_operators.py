@@ -128,6 +128,33 @@ def test_keys_of_64_bits(spark):
     assert [warc.record_key(head(x)) for x in (b"9223372036854775808", b"-9223372036854775809", b"12a", b"7")] == [None, None, None, 7]
 
 
+def test_pages_that_look_like_version_blocks(spark):
+    """A url that begins with filedesc:// is a record; no page vanishes, and damage ends a strict job."""
+    pages = spark.createDataFrame([(i, url, "z" * 20) for i, url in enumerate(["filedesc://x", "http://a", "filedesc://y 1", ""])], "page_id long, url string, html string").coalesce(1)
+    arcs = warc.pages_as_arc(pages)
+    records = warc.arc_to_records(arcs)
+    warc.write_warc(records, warc.revisits(records), path := new_path(spark, "warc"), strict=True)
+    assert sorted(r.key for r in warc.read_warc(spark, path).collect()) == [0, 1, 2, 3]
+    damaged = warc.arc_to_records(arcs.withColumn("content", F.expr("substring(content, 1, length(content) - 9)")))
+    assert damaged.filter("problem = 'truncated'").count() == 1
+    with pytest.raises(Exception, match="damaged archive"):
+        warc.write_warc(damaged, warc.revisits(damaged), new_path(spark, "warc"), strict=True)
+
+
+def test_arc_of_nothing_and_of_long_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARC_BYTES", 1000)
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    records = warc.arc_to_records(warc.pages_as_arc(empty))
+    warc.write_warc(records, warc.revisits(records), path := new_path(spark, "warc"), strict=True)
+    assert warc.with_responses(warc.read_warc(spark, path)).count() == 0
+    pages = spark.createDataFrame([(i, "http://a", "é\r\n" * n) for i, n in enumerate([10, 400_000, 10, 300, 300])], "page_id long, url string, html string").coalesce(1)
+    arcs = warc.pages_as_arc(pages)
+    assert arcs.count() == 3
+    warc.write_warc(warc.arc_to_records(arcs), warc.revisits(warc.arc_to_records(arcs)), path := new_path(spark, "warc"), strict=True)
+    got = {r.key: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.with_responses(warc.read_warc(spark, path)).collect()}
+    assert got == {0: (40, "response", None), 1: (1_600_000, "response", None), 2: (40, "response", None), 3: (1200, "revisit", 4), 4: (1200, "response", None)}
+
+
 # --- 2 -------------------------------------------------------------------------------------------------------------
 
 
@@ -371,6 +398,79 @@ def test_quality(spark, sf_dir):
     assert "Python" not in quality.score(own, model)._jdf.queryExecution().executedPlan().toString()
 
 
+def plain_statistics(t):
+    """The statistics of a text, counted one by one."""
+    w, lines, tokens = WORD.findall(t), t.split("\n"), t.split(" ")
+    share = lambda a, b: a / b if b else 0.0
+    return {
+        "chars": len(t), "words": len(w), "lines": len(lines), "word_length": share(len(t), len(w)), "symbols": share(sum(c in "#$%&*|<>{}[]\\/~^@=+_" for c in t), len(t)),
+        "symbol_runs": share(len(re.findall(r"[#$%&*|]{2,}", t)), len(w)), "digits": share(sum(c in "0123456789" for c in t), len(t)),
+        "upper": share(sum("A" <= c <= "Z" for c in t), len(t)), "stops": share(sum(c in ".!?" for c in t), len(w)), "commas": share(t.count(","), len(w)),
+        "short_words": share(sum(len(x) <= 3 for x in w), len(w)), "long_words": share(sum(len(x) >= 16 for x in w), len(w)),
+        "distinct_words": share(len(set(tokens)), len(tokens)), "distinct_lines": share(len(set(lines)), len(lines)), "pipes": share(t.count("|"), len(w)),
+        "open_lines": share(sum(a not in ".!?\n" and b == "\n" for a, b in zip(t, t[1:])), len(lines)),
+    }
+
+
+def test_quality_scores_are_those_of_the_rules(spark, sf_dir):
+    """Statistics counted one by one, and rules applied row by row, give what the compiled expression gives."""
+    own, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(own.filter("doc_id % 5 <> 0"), labels)
+    odd = docs(spark, [(-1, None), (-2, ""), (-3, "é|# \n\nA"), (-4, "x " * 40000), (-5, "a"), (-5, "a")]).select("doc_id", "text")
+    for r in quality.score(own.select("doc_id", "text").unionByName(odd), model).collect():
+        got = plain_statistics(r.text or "")
+        margin = model.intercept + sum(x.weight for x in model.rules if all(got[n] > t if above else got[n] <= t for n, t, above in x.conditions))
+        assert r._score == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-9)
+    assert quality.score(docs(spark, []), model).count() == 0
+
+
+def test_filters_do_not_copy_the_statistics(spark, sf_dir):
+    """A filter on the score moves below the projection; the statistics still stand in the plan once."""
+    own = table(spark, sf_dir, "documents")
+    rules = [quality.Rule((("words", float(i), True), ("stops", 0.1, False)), 0.1) for i in range(30)]
+    plan = quality.score(own, quality.RuleEnsemble(0.0, rules)).filter("_score >= 0.3").drop("_score")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{2,}") == 1
+
+
+def test_first_split_is_the_best_of_all():
+    """A tree's first condition against every threshold of every statistic."""
+    r = np.random.default_rng(4)
+    x = np.round(r.random((200, 4)), 1)
+    y = ((x[:, 1] > 0.42) ^ (r.random(200) < 0.1)).astype(float)
+    cuts = quality._thresholds(x)
+    codes = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T)], axis=1)
+    paths, _ = quality.grow(codes, cuts, y - y.mean(), np.arange(200), list("abcd"))
+    g = y - y.mean()
+    gain = {(j, float(t)): sum(g[m].sum() ** 2 / m.sum() for m in (x[:, j] <= t, x[:, j] > t)) for j in range(4) for t in cuts[j] if min((x[:, j] <= t).sum(), (x[:, j] > t).sum()) >= quality.least_rows(200)}
+    j, t = max(gain, key=gain.get)
+    assert {("abcd"[j], t, False), ("abcd"[j], t, True)} == {p[0] for p in paths if len(p) == 1}
+
+
+def test_lasso_is_the_minimum():
+    """The weights reach the objective of plain coordinate descent in double precision."""
+    r = np.random.default_rng(2)
+    z = (r.random((500, 12)) < 0.4).astype(np.float32)
+    y = (r.random(500) < 1 / (1 + np.exp(-(2 * z[:, 2] - 2 * z[:, 7] + 0.3)))).astype(float)
+    scaled = (z - z.mean(axis=0)) / z.std(axis=0)
+
+    def loss(b, w):
+        m = b + scaled @ w
+        return np.mean(np.log1p(np.exp(-np.abs(m))) + np.maximum(m, 0) - y * m) + 0.01 * np.abs(w).sum()
+
+    b, w = 0.0, np.zeros(12)
+    for _ in range(400):
+        for j in range(-1, 12):
+            p = 1 / (1 + np.exp(-(b + scaled @ w)))
+            if j < 0:
+                b -= 4 * np.mean(p - y)
+            else:
+                u = w[j] - 4 * np.mean((p - y) * scaled[:, j])
+                w[j] = np.sign(u) * max(abs(u) - 4 * 0.01, 0)
+    gb, gw = quality.lasso_logistic(z, y, 0.01)
+    dev, mean = z.std(axis=0), z.mean(axis=0)
+    assert loss(gb + float((gw * mean).sum()), gw * dev) == pytest.approx(loss(b, w), abs=1e-5)
+
+
 def test_lasso_keeps_few():
     r = np.random.default_rng(1)
     z = (r.random((2000, 30)) < 0.4).astype(float)
