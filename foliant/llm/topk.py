@@ -15,9 +15,10 @@ How a query is searched in a shard, with the k-th best score that is known for i
 3. Candidates. Documents that still can come in have the lists before the pivot read in steps, the largest bounds first; sums so
    far raise the threshold. What is left is scored exactly, in double precision, term by term in one order in all shards.
 
-A first pass searches each query in HOMES shards only (dealt by hash over the first shards of all tasks), and its k-th best score is the threshold that the
-query takes to all shards. Scores use the statistics of all documents, and thresholds are scores of documents, so the merged
-lists of all shards are the exact top k.
+The shards of a query are searched in rounds, in an order drawn for each query: FIRST of them, then up to MORE times as many as before. The k-th best
+score so far is the threshold that the query takes to the shards of the next round, so a round finds some k * MORE documents a query, however
+many shards there are. Scores use the statistics of all documents, and thresholds are scores of documents, so the merged lists of all
+shards are the exact top k.
 
 Queries are dealt with in blocks of at most QUERY_TERMS terms, each broadcast to one pass over the index; the index is written once.
 
@@ -46,8 +47,8 @@ BLOCK, REGION = 64, 512
 #: Terms of at least this share of a shard's documents, the most frequent MOST_ROWS of them, are laid out as rows.
 FREQUENT, MOST_ROWS = 0.06, 1024
 QUERY_TERMS, TOGETHER = 1_000_000, 64
-#: Shards that a query is searched in for its first threshold.
-HOMES = 2
+#: Shards that a query is searched in in the first round, and how many times as many it has behind it after each further round.
+FIRST, MORE = 2, 6
 #: Single-precision sums are trusted up to this share; what is nearer to a threshold is scored exactly.
 SLACK = 1e-4
 #: Candidates that are scored exactly at once rather than narrowed by another list.
@@ -71,7 +72,7 @@ def term_counts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 # --- index ---------------------------------------------------------------------------------------------------------
 
-SHARD = "part int, docs binary, lengths binary, terms binary, first binary, post_docs binary, post_counts binary"
+SHARD = "shard long, docs binary, lengths binary, terms binary, first binary, post_docs binary, post_counts binary"
 KINDS = {"docs": np.int64, "lengths": np.uint32, "terms": U64, "first": np.uint32, "post_docs": np.uint16, "post_counts": np.uint32}
 
 
@@ -89,25 +90,25 @@ def build_shard(ids: list, counted: list[tuple[np.ndarray, np.ndarray]]) -> dict
     return {"docs": np.array([ids[i] for i in order], np.int64), "lengths": np.array([lengths[i] for i in order]), "terms": own, "first": np.append(first, len(terms)), "post_docs": docs[by], "post_counts": counts[by]}
 
 
-def _pack(part: int, shard: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([shard[n].astype(k).tobytes()], pa.binary()) for n, k in KINDS.items()]], ["part", *KINDS])
+def _pack(number: int, shard: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([shard[n].astype(k).tobytes()], pa.binary()) for n, k in KINDS.items()]], ["shard", *KINDS])
 
 
 def write_index(docs: DataFrame) -> DataFrame:
-    """The shards, as binary columns; the first shard of a task has its number as ``part``, others have none."""
+    """The shards, numbered by task and place in it, as binary columns."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        ids, counted, held, part = [], [], 0, TaskContext.get().partitionId()
+        ids, counted, held, number = [], [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for doc_id, own in zip(batch.column(0).to_pylist(), term_counts(utf8(batch.column(1)))):
                 ids.append(doc_id)
                 counted.append(own)
                 held += len(own[0])
                 if len(ids) == SHARD_DOCS or held >= SHARD_POSTINGS:
-                    yield _pack(part, build_shard(ids, counted))
-                    ids, counted, held, part = [], [], 0, None
+                    yield _pack(number, build_shard(ids, counted))
+                    ids, counted, held, number = [], [], 0, number + 1
         if ids:
-            yield _pack(part, build_shard(ids, counted))
+            yield _pack(number, build_shard(ids, counted))
 
     return written(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, SHARD), "index")
 
@@ -294,25 +295,30 @@ class Queries:
         self.least = np.zeros(len(ids))
 
 
-def search_index(index: DataFrame, queries: Queries, mean_length: float, k: int, parts: list[int] | None = None) -> DataFrame:
-    """(query, doc_id, score): for each task that reads shards the k best of those, for every query by number. With ``parts`` each
-    query is searched in HOMES of those shards only."""
-    shared = index.sparkSession.sparkContext.broadcast((queries, np.array(parts or [], np.int64)))
+def drawn(queries: np.ndarray, shard: int) -> np.ndarray:
+    """For each query a number from 0 to 1 by which the shard comes early or late for it."""
+    with np.errstate(over="ignore"):
+        return mix(queries.astype(U64) * U64(0x9E3779B97F4A7C15) ^ mix(np.array([shard], U64))) / 2.0**64
+
+
+def search_index(index: DataFrame, queries: Queries, mean_length: float, k: int, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+    """(query, doc_id, score): for each task that reads shards the k best of those, for every query by number. A query is searched in the shards
+    that it draws a number from ``lo`` to below ``hi`` for."""
+    shared = index.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        q, homes = shared.value
+        q = shared.value
         best, numbers = Best(k, q.least), np.arange(len(q.ids))
-        if len(homes):
-            homes = np.stack([homes[(mix((numbers + j * len(numbers)).astype(U64)) % U64(len(homes))).astype(np.int64)] for j in range(HOMES)])
         for batch in batches:
-            for i, part in enumerate(batch.column("part").to_pylist()):
-                mine = numbers[(homes == part).any(axis=0)] if len(homes) else numbers
+            for i, number in enumerate(batch.column("shard").to_pylist()):
+                at = drawn(numbers, number)
+                mine = numbers[(at >= lo) & (at < hi)]
                 if len(mine):
                     search_all(Shard({n: batch.column(n)[i].as_buffer() for n in KINDS}, mean_length, q.vocabulary, q.idf), q, mine.tolist(), best)
         for i, (scores, docs) in best.found.items():
             yield pa.RecordBatch.from_arrays([pa.array([i] * len(docs), pa.int32()), pa.array(docs), pa.array(scores)], ["query", "doc_id", "score"])
 
-    return index.filter("part is not null" if parts else "true").mapInArrow(run, "query int, doc_id long, score double")
+    return index.mapInArrow(run, "query int, doc_id long, score double")
 
 
 def search_all(shard: Shard, q: Queries, mine: list[int], best: Best) -> None:
@@ -379,17 +385,27 @@ def _named(found: DataFrame, queries: Queries) -> DataFrame:
     return found.mapInArrow(run, FOUND)
 
 
+def search_rounds(index: DataFrame, n_shards: int, block: Queries, mean_length: float, k: int) -> DataFrame:
+    """What :func:`search_index` finds for a block of queries, in rounds of FIRST shards a query, MORE times as many, and so on."""
+    out, lo, rank = None, 0.0, F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
+    while lo < 1:
+        hi = min(1.0, lo * MORE or FIRST / max(1, n_shards))
+        hi = 1.0 if 2 * hi > 1 else hi
+        found = written(search_index(index, block, mean_length, k, lo, hi if hi < 1 else 2.0), "found")
+        out, lo = found if out is None else out.unionByName(found), hi
+        if hi < 1:
+            for r in out.withColumn("rank", rank).filter(F.col("rank") == k).collect():  # a row a query of the block
+                block.least[r["query"]] = r.score
+    return out
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents for each query (doc_id, text), the query's own row included."""
     index = write_index(docs)
     n, mean_length, df = statistics(index)
-    parts = sorted(r.part for r in index.select("part").filter("part is not null").collect())
-    out = None
+    n_shards, out = index.count(), None
     for block in query_blocks(queries, df, n):
-        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
-        for r in search_index(index, block, mean_length, k, parts).withColumn("rank", rank).filter(F.col("rank") == k).collect():
-            block.least[r["query"]] = r.score
-        found = _named(search_index(index, block, mean_length, k), block)
+        found = _named(search_rounds(index, n_shards, block, mean_length, k), block)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
