@@ -27,33 +27,35 @@ PENALTIES = (0.02, 0.008, 0.003, 0.001, 0.0003)
 REJECT_BELOW = 0.3
 
 
-def statistics(text: str = "text") -> dict[str, Column]:
-    """Expressions over a text column, by name. All are finite, also for empty texts."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    n = F.length(t)
-    words = F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+"))
-    lines = F.split(t, "\n")
-    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    count = lambda p: F.regexp_count(t, F.lit(p))
-    tokens = F.split(t, " ")
-    return {
-        "chars": n.cast("double"),
-        "words": words.cast("double"),
-        "lines": F.size(lines).cast("double"),
-        "word_length": share(n, words),
-        "symbols": share(count(r"[#$%&*|<>{}\[\]\\/~^@=+_]"), n),
-        "symbol_runs": share(count(r"[#$%&*|]{2,}"), words),
-        "digits": share(count(r"[0-9]"), n),
-        "upper": share(count(r"[A-Z]"), n),
-        "stops": share(count(r"[.!?]"), words),
-        "commas": share(count(","), words),
-        "short_words": share(count(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,3}(?![^\x20\x09-\x0D])"), words),
-        "long_words": share(count(r"[^\x20\x09-\x0D]{16,}"), words),
-        "distinct_words": share(F.size(F.array_distinct(tokens)), F.size(tokens)),
-        "distinct_lines": share(F.size(F.array_distinct(lines)), F.size(lines)),
-        "pipes": share(count(r"\|"), words),
-        "open_lines": share(count(r"[^.!?\n]\n"), F.size(lines)),
-    }
+def bound(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with further columns that are computed once a row. They come out of a generator over an array of one struct, so that
+    the optimizer can neither copy them into each expression that reads them nor move filters on those below them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def counted(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with what is counted in a text, by name."""
+    t = F.coalesce(text, F.lit(""))
+    df = bound(df, {"_text": t, "_words": F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), ""), "_lines": F.split(t, "\n")})
+    count = lambda p: F.regexp_count("_text", F.lit(p))
+    lost = lambda x: F.length("_text") - F.length(F.replace("_text", F.lit(x), F.lit("")))
+    size, words = F.size, F.col("_words")
+    counts = {
+        "n_chars": F.length("_text"), "n_words": size(words), "n_lines": size("_lines"), "n_distinct_words": size(F.array_distinct(words)), "n_distinct_lines": size(F.array_distinct("_lines")),
+        "n_short_words": size(F.filter(words, lambda w: F.length(w) <= 3)), "n_long_words": size(F.filter(words, lambda w: F.length(w) >= 16)),
+        "n_symbols": count(r"[#$%&*|<>{}\[\]\\/~^@=+_]"), "n_symbol_runs": count(r"[#$%&*|]{2,}"), "n_digits": count(r"[0-9]"), "n_upper": count(r"[A-Z]"),
+        "n_stops": count(r"[.!?]"), "n_commas": lost(","), "n_pipes": lost("|"), "n_open_lines": count(r"[^.!?\n]\n"),
+    }
+    return bound(df, counts)
+
+
+def statistics() -> dict[str, Column]:
+    """The statistics, by name, over the columns of :func:`counted`. All are finite, also for empty texts."""
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    out = {n: F.col(f"n_{n}").cast("double") for n in ("chars", "words", "lines")} | {"word_length": share("n_chars", "n_words")}
+    out |= {n: share(f"n_{n}", "n_chars") for n in ("symbols", "digits", "upper")}
+    out |= {n: share(f"n_{n}", "n_words") for n in ("symbol_runs", "stops", "commas", "short_words", "long_words", "pipes", "distinct_words")}
+    return out | {n: share(f"n_{n}", "n_lines") for n in ("distinct_lines", "open_lines")}
 
 
 @dataclass
@@ -63,11 +65,11 @@ class Rule:
     conditions: tuple[tuple[str, float, bool], ...]
     weight: float = 0.0
 
-    def column(self, of) -> Column:
-        """The rule over ``of(name)``, the columns of statistics."""
+    def column(self, of: dict[str, Column]) -> Column:
+        """The rule over the columns of :func:`statistics`."""
         out = None
         for name, threshold, above in self.conditions:
-            c = of(name) > threshold if above else of(name) <= threshold
+            c = of[name] > threshold if above else of[name] <= threshold
             out = c if out is None else out & c
         return out
 
@@ -84,18 +86,12 @@ class RuleEnsemble:
     intercept: float = 0.0
     rules: list[Rule] = field(default_factory=list)
 
-    def margin(self, of=F.col) -> Column:
-        """The model over the columns of :func:`statistics`."""
-        out = F.lit(self.intercept)
+    def score(self) -> Column:
+        """0 to 1, over the columns of :func:`counted`."""
+        of, margin = statistics(), F.lit(self.intercept)
         for r in self.rules:
-            out = out + F.when(r.column(of), F.lit(r.weight)).otherwise(F.lit(0.0))
-        return out
-
-    def score(self, text: str = "text") -> Column:
-        """0 to 1 for a text column. The statistics are the one element of an array over which the rules are a lambda, so that
-        they are computed once a row, however often the optimizer copies this expression's parts or moves filters below it."""
-        stats = F.array(F.struct(*[c.alias(n) for n, c in statistics(text).items()]))
-        return F.transform(stats, lambda s: F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin(lambda n: s[n]))))[0]
+            margin = margin + F.when(r.column(of), F.lit(r.weight)).otherwise(F.lit(0.0))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
 # --- fitting -------------------------------------------------------------------------------------------------------
@@ -232,11 +228,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
     stats = statistics()
-    got = rows.select("doc_id", *[c.alias(n) for n, c in stats.items()], "_y").toPandas().sort_values("doc_id", kind="stable")
+    got = counted(rows, F.col("text")).select("doc_id", *[c.alias(n) for n, c in stats.items()], "_y").toPandas().sort_values("doc_id", kind="stable")
     names = list(stats)
     return fit_rules(got[names].to_numpy(float), got["_y"].to_numpy(float), names)
 
 
 def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """The columns of ``docs`` and ``_score``, 0 to 1."""
-    return docs.withColumn("_score", model.score())
+    kept = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+    rows = counted(kept, F.col(f"_c{docs.columns.index('text')}"))
+    return rows.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)], model.score().alias("_score"))
