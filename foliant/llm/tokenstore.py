@@ -3,21 +3,26 @@
 Documents are encoded to ids, an end id closes each. A rolling hash over the ids cuts the stream of a document into
 chunks; each distinct chunk is stored once, under the digest of its ids; a document is a recipe, the list of its chunks.
 Recipes stand in ascending doc_id order with the place of the document in the whole id stream. A manifest holds, for each run of
-recipes, the root of a Merkle tree over them, and a root over those. Reading recomputes every digest.
+recipes, the root of a Merkle tree over them, and a root over those. Reading recomputes every digest and every root.
 
 Files under the store's path (Parquet): ``objects/kind=0`` chunks (digest, ids as little-endian unsigned 16-bit or, for
-vocabularies over 65536, 32-bit integers); ``recipes`` (doc_id, start, chunks: digest and number of ids); ``manifest``.
+vocabularies over 65536, 32-bit integers); ``recipes`` (doc_id, start, chunks: digest and number of ids); ``manifest``; ``layout`` (the
+width of ids).
 
 A chunk leaves a task once at most, and chunks are dealt by digest, so a text that a third of all documents repeat costs
 one chunk a task. Verification moves no ids: the CRC of a document is put together from the CRCs of its chunks.
 
-Defined cases: a null text is empty and has the end id alone. Strings of special tokens in a text are ordinary text.
-Repeated rows are documents of their own, one after the other. An empty table gives an empty store with a manifest root over nothing.
+Defined cases: a null text is empty and has the end id alone. Strings of special tokens in a text become their ids, as the library's
+plain call has it, or are ordinary text with ``special=False``. Repeated rows are documents of their own, one after the other. A very long text
+is encoded whole and has as many chunks as it needs. Other columns are not read. An empty table gives an empty store with a manifest
+root over nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,7 +31,6 @@ from itertools import groupby, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,69 +38,88 @@ from .common import U64, _mixed, mix, powers, slices, utf8
 
 END_ID = 0
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, 511
-#: Pieces whose ids a Python worker keeps; chunks that a task remembers having sent.
-CACHED, REMEMBERED = 900_000, 300_000
+#: Words whose ids a Python worker keeps, if they have at most LONG characters; chunks that a task remembers having sent.
+CACHED, LONG, REMEMBERED = 900_000, 64, 300_000
 RECIPES_PER_RUN = 200_000
 DIGEST = 16
-#: Fixed value: the pre-tokenizer's pattern.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: A space between two characters of which neither is white space: the pre-tokenizer below cuts there, whatever stands around.
+SAFE = re.compile(r"(?<=\S) (?=\S)")
+BLANK = re.compile(r"\s")
+#: Fixed value: the pre-tokenizer for which that holds, as tokenizer files name it.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 _encoders: dict = {}
 
 
+def kind(word) -> int:
+    """Of a word to be encoded: 0 and 1 are short, 2 and 3 long, 1 and 3 with white space inside, 4 a text to be encoded as it is."""
+    return 4 if isinstance(word, tuple) else 2 * (len(word) > LONG) + bool(BLANK.search(word))
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with a cache of pieces.
+    """Ids of whole texts by the tokenizers library, with a cache of words.
 
-    Merges never cross the pieces that the pre-tokenizer cuts a text into, so each distinct piece needs encoding once.
+    Merges never cross the pieces that the pre-tokenizer cuts a text into, so what stands between two safe cuts needs encoding
+    once. Texts that hold a special token's string are encoded whole, and so is every text if the tokenizer cuts in another way.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-        self.slots: dict[str, int] = {}  # piece to its place in begin and lengths
+        how = json.loads(self.tokenizer.to_str())
+        own = how["pre_tokenizer"] or {}
+        self.cuts = how["normalizer"] is None and {k: own.get(k) for k in BYTE_LEVEL} == BYTE_LEVEL and not how["model"].get("dropout")
+        named = [x["content"] for x in how["added_tokens"] if special or not x["special"]]
+        self.named = re.compile("|".join(map(re.escape, named))) if named else None
+        self.slots: dict[str, int] = {}  # word behind a space to its place in begin and lengths
         self.flat, self.begin, self.lengths = array("I", [END_ID]), array("q", [0]), array("q", [1])
-        (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        newline = self._whole(["\n"])[0]
+        self.newline = int(newline[0]) if len(newline) == 1 else None
 
-    def _encoded(self, pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids, number of ids of each piece), run by run. Pieces that are no white space are encoded as the lines of one text:
-        a newline is a piece of its own there, with an id that nothing else has."""
-        for blank, run in groupby(pieces, str.isspace):
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, words: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of ids of each word), run by run. Words without white space are encoded as the lines of one text: a
+        newline is a piece of its own there, with an id that nothing else has. A tuple holds a text to be encoded as it is."""
+        for lines, run in groupby(words, lambda x: kind(x) in (0, 2) and self.newline is not None):
             run = list(run)
-            for a in range(0, len(run), 1 if blank else 4096):
-                own = run[a : a + (1 if blank else 4096)]
-                (got,) = self.tokenizer.encode_batch_fast(["\n".join(own)], add_special_tokens=False)
-                ids = np.array(got.ids, np.uint32)
-                if blank:
-                    yield ids, np.array([len(ids)])
-                else:
+            for a in range(0, len(run), 4096):
+                own = run[a : a + 4096]
+                if lines:
+                    (ids,) = self._whole([" " + "\n ".join(own)])
                     ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
                     yield ids[ids != self.newline], np.diff(ends, prepend=-1) - 1
-
-    def _learn(self, pieces: list[str]) -> dict[str, int]:
-        """Places of new pieces. The first CACHED ones stay; later ones, rare as they are, are there for one call."""
-        kept = max(0, min(len(pieces), CACHED - len(self.slots)))
-        found = dict(zip(pieces, range(len(self.begin), len(self.begin) + len(pieces))))
-        for ids, lengths in self._encoded(pieces):
+                else:
+                    each = self._whole([x[0] if isinstance(x, tuple) else " " + x for x in own])
+                    yield np.concatenate(each), np.array([len(x) for x in each])
+
+    def _learn(self, words: list) -> dict:
+        """Places of new words. The first CACHED short ones stay; the others are there for one call."""
+        words.sort(key=kind)
+        kept = max(0, min(sum(kind(x) < 2 for x in words), CACHED - len(self.slots)))
+        found = dict(zip(words, range(len(self.begin), len(self.begin) + len(words))))
+        for ids, lengths in self._encoded(words):
             self.begin.frombytes((len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int64).tobytes())
             self.lengths.frombytes(lengths.astype(np.int64).tobytes())
             self.flat.frombytes(ids.tobytes())
-        self.slots.update((p, found[p]) for p in pieces[:kept])
+        self.slots.update((p, found[p]) for p in words[:kept])
         return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of ids of each text."""
-        pieces, counts = [], []
+        words, counts = [], []
         for text in texts:
-            own = PIECES.findall(text)
-            pieces += own
+            own = SAFE.split(text) if self.cuts and not (self.named and self.named.search(text)) else [text]
+            words.append((own[0],))
+            words += own[1:]
             counts.append(len(own))
-        at = np.fromiter(map(self.slots.get, pieces, repeat(-1)), np.int64, len(pieces))
+        at = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int64, len(words))
         if len(lacking := np.flatnonzero(at < 0)):
-            new = [pieces[i] for i in lacking.tolist()]
+            new = [words[i] for i in lacking.tolist()]
             found = self._learn(list(dict.fromkeys(new)))
             at[lacking] = [found[p] for p in new]
         at = np.insert(at, np.cumsum(counts, dtype=np.int64), 0)  # slot 0: the end id
@@ -110,10 +133,10 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, special: bool = True) -> Encoder:
+    if (path, special) not in _encoders:
+        _encoders[path, special] = Encoder(path, special)
+    return _encoders[path, special]
 
 
 ID_VALUES = _mixed(1 << 16, 501)
@@ -157,9 +180,9 @@ def digest_of(blob: bytes) -> bytes:
 OBJECTS = pa.schema([("kind", pa.int32()), ("digest", pa.binary()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("sizes", pa.binary())])
 
 
-def _objects(path: str, wide: bool):
+def _objects(path: str, wide: bool, special: bool):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        enc, sent = encoder(path), set()
+        enc, sent = encoder(path, special), set()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
             for a, b in slices(texts):
@@ -223,9 +246,12 @@ def _roots(pdf: pd.DataFrame) -> pd.DataFrame:
 ROOTS = "run int, n_docs long, n_ids long, first long, root binary"
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, wide: bool = False) -> None:
-    spark = docs.sparkSession
-    raw = docs.select("doc_id", "text").mapInArrow(_objects(tokenizer, wide), "kind int, digest binary, blob binary, doc_id long, sizes binary")
+def write_store(docs: DataFrame, path: str, tokenizer: str, special: bool = True) -> None:
+    from tokenizers import Tokenizer
+
+    spark, wide = docs.sparkSession, max(Tokenizer.from_file(tokenizer).get_vocab().values(), default=0) >= 1 << 16
+    spark.createDataFrame([(wide,)], "wide boolean").coalesce(1).write.parquet(f"{path}/layout")
+    raw = docs.select("doc_id", "text").mapInArrow(_objects(tokenizer, wide, special), "kind int, digest binary, blob binary, doc_id long, sizes binary")
     dealt = raw.repartition(F.xxhash64("kind", "digest", "doc_id")).sortWithinPartitions("kind", "digest")
     dealt.mapInArrow(_once, dealt.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     recipes = objects(spark, path, 1).select(F.col("doc_id"), F.col("blob").alias("digests"), "sizes", _ids_of("sizes").alias("n_ids"))
@@ -256,6 +282,10 @@ def objects(spark: SparkSession, path: str, kind: int) -> DataFrame:
     return spark.read.schema(f"{schema}, kind int").parquet(f"{path}/objects").filter(F.col("kind") == kind)
 
 
+def is_wide(spark: SparkSession, path: str) -> bool:
+    return spark.read.schema("wide boolean").parquet(f"{path}/layout").first().wide
+
+
 def manifest_root(spark: SparkSession, path: str) -> bytes:
     """The root over the roots of all runs (one row a run)."""
     return merkle([bytes(r.root) for r in spark.read.parquet(f"{path}/manifest").orderBy("run").collect()])
@@ -301,8 +331,9 @@ def crc_shifted(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
     return crc
 
 
-def chunk_sums(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
+def chunk_sums(spark: SparkSession, path: str) -> DataFrame:
     """(digest, n, crc, ok) of every stored chunk, from its ids as read."""
+    wide = is_wide(spark, path)
     schema = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("crc", pa.int64()), ("ok", pa.bool_())])
 
     def run(batches):
@@ -316,40 +347,44 @@ def chunk_sums(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
 
 def _parts(batches) -> Iterator[pa.RecordBatch]:
     """Recipes as a row per chunk: which, and how many bytes of ids follow it in its document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("pos", pa.int32()), ("digest", pa.binary()), ("after", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("run", pa.int32()), ("pos", pa.int32()), ("digest", pa.binary()), ("after", pa.int64())])
     for batch in batches:
         rows = []
-        for doc_id, start, digests, sizes in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for doc_id, start, own, digests, sizes in zip(*(batch.column(i).to_pylist() for i in range(5))):
             sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
             after = 4 * (sizes.sum() - np.cumsum(sizes))
-            rows += [(doc_id, start, i, digests[DIGEST * i : DIGEST * (i + 1)], int(x)) for i, x in enumerate(after)]
+            rows += [(doc_id, start, own, i, digests[DIGEST * i : DIGEST * (i + 1)], int(x)) for i, x in enumerate(after)]
         for a in range(0, len(rows), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[a : a + 50_000]), schema.types)], schema=schema)
 
 
 def parts(spark: SparkSession, path: str) -> DataFrame:
-    recipes = spark.read.schema("doc_id long, start long, digests binary, sizes binary").parquet(f"{path}/recipes")
-    return recipes.mapInArrow(_parts, "doc_id long, start long, pos int, digest binary, after long")
+    recipes = spark.read.schema("doc_id long, start long, run int, digests binary, sizes binary").parquet(f"{path}/recipes")
+    return recipes.mapInArrow(_parts, "doc_id long, start long, run int, pos int, digest binary, after long")
 
 
-def document_sums(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
+def document_sums(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, valid) of every document, from the files of the store.
 
     ids_crc32 is the CRC-32 of all ids of the document as little-endian unsigned 32-bit integers. valid: every chunk is
-    there and has the digest it is named by.
+    there and has the digest it is named by, and the Merkle root over the run of recipes that the document's stands in is that
+    of the manifest.
     """
 
     @F.pandas_udf("long")
     def shifted(crc: pd.Series, after: pd.Series) -> pd.Series:
         return pd.Series(crc_shifted(crc.fillna(0).to_numpy(np.int64), after.to_numpy()).astype(np.int64))
 
-    joined = parts(spark, path).join(chunk_sums(spark, path, wide), "digest", "left")
-    rows = joined.select("doc_id", "start", "n", F.coalesce("ok", F.lit(False)).alias("ok"), shifted("crc", "after").alias("crc"))
-    return rows.groupBy("doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"), F.min("ok").alias("valid"))
+    joined = parts(spark, path).join(chunk_sums(spark, path), "digest", "left")
+    rows = joined.select("doc_id", "start", "run", "n", F.coalesce("ok", F.lit(False)).alias("ok"), shifted("crc", "after").alias("crc"))
+    sums = rows.groupBy("doc_id", "start", "run").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"), F.min("ok").alias("ok"))
+    bad = F.broadcast(verify(spark, path).select("run", F.lit(True).alias("bad")))  # a row at most for RECIPES_PER_RUN documents
+    return sums.join(bad, "run", "left").select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("ok") & F.col("bad").isNull()).alias("valid"))
 
 
-def read_ids(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids): documents put together again from their chunks."""
+    wide = is_wide(spark, path)
     joined = parts(spark, path).join(objects(spark, path, 0).select("digest", "blob"), "digest")
     grouped = joined.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "blob"))).alias("c"))
 
