@@ -6,13 +6,14 @@ again and again and splits the quotas of all sources between the halves by one m
 every shard gets a random, exact share. Within a source the blocks stand in a permuted order; shards take disjoint runs
 of that order, as long as their share, and shuffle the documents of their blocks locally. Whole passes are dealt in the same way, each in an order of its own, so that
 every copy of a document has a shard and a place in it. The block at which a source
-reaches its target is taken in part: whole documents in hash order, each one that still fits.
+reaches its target is taken in part: whole documents in hash order, each one that still fits (rows of one id, source and size together).
 
 All that moves is (doc_id, size, source): texts are read once, to count their words. What reaches the driver is a row
 per source, and a quota per source and shard. Draws depend on the seed and on hashes of ids, so reruns agree.
 
 Defined cases: a null text has size 0 and is taken 0 times. A null source is a source of its own, ordered last. Rows of
-equal doc_id and source fall into the same block and are each counted. An empty table gives an empty mix.
+equal doc_id, source and size are each counted and are all taken equally often. A very long text is one document like any other. Other columns
+travel along with :func:`mixed`, which needs none of the names that it adds. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -126,12 +127,13 @@ def _schema(df: DataFrame) -> str:
 
 def _fill(pdf):
     """Of the block in which a source reaches its target: documents in hash order, each that still fits."""
-    pdf = pdf.sort_values(["h", "doc_id"], kind="stable")
+    pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable")
     room, drawn = float(pdf["room"].iloc[0]), []
-    for size in pdf["size"]:
-        take = 0 < size <= room
-        room -= size * take
-        drawn.append(int(take))
+    for _, same in pdf.groupby(["h", "doc_id", "size"], sort=False, dropna=False):
+        words = int(same["size"].sum())
+        take = 0 < words <= room
+        room -= words * take
+        drawn += [int(take)] * len(same)
     return pdf.assign(drawn=drawn)
 
 
@@ -139,8 +141,8 @@ def mixed(docs: DataFrame, shards: int = SHARDS, **how) -> DataFrame:
     """The mix itself: the columns of ``docs``, each document as often as it is taken. Each shard is whole in one partition,
     its rows in the order of their places."""
     taken = mix(docs, shards=shards, **how).filter(F.size("copies") > 0)
-    times = taken.groupBy(F.col("doc_id").alias("_doc"), F.col("source").alias("_source")).agg(F.max_by("copies", F.size("copies")).alias("_copies"))
+    times = taken.groupBy(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.first("copies").alias("_copies"))
     times = broadcast_if_small(written(times, "times"))
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_doc"]) & docs["source"].eqNullSafe(times["_source"]))
-    dealt = joined.withColumn("_copy", F.explode("_copies")).select(*[docs[c] for c in docs.columns], F.col("_copy.shard").alias("_shard"), F.col("_copy.place").alias("_place"))
+    same = docs["doc_id"].eqNullSafe(times["_doc"]) & docs["source"].eqNullSafe(times["_source"]) & (word_count() == times["_size"])
+    dealt = docs.join(times, same).withColumn("_copy", F.explode("_copies")).select(*[docs[c] for c in docs.columns], F.col("_copy.shard").alias("_shard"), F.col("_copy.place").alias("_place"))
     return dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "_place", "doc_id").drop("_shard", "_place")
