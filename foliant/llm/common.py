@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.sources.ship import ship
@@ -28,8 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it; a temporary one only where it is unset."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it. Where that is unset, a temporary one for a local master,
+    whose tasks run here; an error for any other."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         spark.conf.set("spark.checkpoint.dir", at := tempfile.mkdtemp(prefix="foliant-"))
         atexit.register(shutil.rmtree, at, ignore_errors=True)
     return at.rstrip("/")
@@ -48,6 +54,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def task_lot() -> int:
+    """A number that differs from task to task, to deal out what a task numbers from 0."""
+    return int(mix(np.array([TaskContext.get().partitionId()], U64))[0] >> U64(34))
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, broadcast_if_small, mix, slices, utf8, written
+from .common import U64, Words, broadcast_if_small, mix, slices, task_lot, utf8, written
 from .components import connected_components, roots_of
 
 #: Shingles in one block of the product, about.
@@ -109,8 +109,9 @@ BLOCKS = "block int, tokens binary, owners binary"
 def _blocks(n_blocks: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         """Per batch: shingles of one document only go to their block with their owner; those of several are credited to
-        their owners here, and go to their block once, without an owner. So a shingle is sent once a batch at most."""
-        for k, batch in enumerate(batches):
+        their owners here, and go to their block once, without an owner. So a shingle is sent once a batch at most.
+        Credit goes to blocks under 0, by task and batch in turn."""
+        for k, batch in enumerate(batches, task_lot()):
             ids, sets = batch.column(0).to_numpy(), [_u64(x) for x in batch.column(1).to_pylist()]
             tokens = np.concatenate(sets) if sets else np.zeros(0, U64)
             owners = np.repeat(ids, [len(s) for s in sets])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, SLICE_BYTES, U64, broadcast_if_small, mix, powers, slices, text_bytes, utf8, written
+from .common import BYTE_VALUES, SLICE_BYTES, U64, broadcast_if_small, mix, powers, slices, task_lot, text_bytes, utf8, written
 
 LENGTH, GRAM = 200, 50
 BEFORE = LENGTH - GRAM
@@ -228,10 +228,11 @@ def _record_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def _anchor_blocks(n_blocks: int):
     """Per batch, each (anchor, context) once; a context that the batch has several times is settled there, and a hot
-    anchor's contexts are marked for window hashes there. Blocks under 0 hold what is decided: owners, places, states."""
+    anchor's contexts are marked for window hashes there. Blocks under 0 hold what is decided, by task and batch in turn: owners,
+    places, states."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
+        for k, batch in enumerate(batches, task_lot()):
             all_keys, all_texts = batch.column(0).to_pylist(), utf8(batch.column(1))
             copies: dict[int, int] = {}
             for key in all_keys:
@@ -361,7 +362,7 @@ def _window_blocks(n_blocks: int):
     in several rows, are decided there."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
+        for k, batch in enumerate(batches, task_lot()):
             tokens, owners, starts, times = [], [], [], []
             all_keys = batch.column(0).to_pylist()
             copies: dict[int, int] = {}
@@ -425,8 +426,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     marks = written(blocks.groupBy("block").applyInPandas(_repeated, MARKS), "anchors")
     spans = marks.filter(F.col("state") == SETTLED).select("owner", (F.col("place") - BEFORE).cast("long").alias("lo"), (F.col("place") + LENGTH).cast("long").alias("hi"))
     wanted = marks.filter(F.col("state") >= SEND).groupBy("owner").agg(
-        F.array_sort(F.collect_list(F.when(F.col("state") == SEND, F.col("place")))).alias("send"),
-        F.array_sort(F.collect_list(F.when(F.col("state") == WINDOWS, F.col("place")))).alias("windows"),
+        F.array_sort(F.collect_set(F.when(F.col("state") == SEND, F.col("place")))).alias("send"),
+        F.array_sort(F.collect_set(F.when(F.col("state") == WINDOWS, F.col("place")))).alias("windows"),
     )
     wanted = broadcast_if_small(written(wanted, "wanted"))
     count = marks.groupBy("state").count().collect()
@@ -439,7 +440,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         n_blocks = max(least, n_hot * BEFORE // BLOCK_ANCHORS + 1)
         windows = asked.select("owner", "text", "windows").mapInArrow(_window_blocks(n_blocks), WINDOW_BLOCKS)
         spans = spans.unionByName(windows.groupBy("block").applyInPandas(_repeated_windows, "owner long, lo long, hi long"))
-    listed = spans.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    listed = spans.groupBy("owner").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
     return listed.mapInArrow(_joined, "owner long, spans array<struct<lo:long,hi:long>>")
 
 
