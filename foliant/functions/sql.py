@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from foliant.functions import blocks, udfs
+from foliant.functions import udfs
 
-FUNCTIONS = {
-    "chunk_text": udfs.chunks, "build_preview": udfs.preview, "strip_markup": udfs._without_leak, "seq_similarity": udfs.seq_similarity, "html_tables": udfs.html_tables,
-    "hwpx_text": udfs.hwpx_paragraphs, "document_blocks": blocks.document_blocks, "render_anomalies": blocks.render_anomalies, "line_class": blocks.line_class,
-}
+FUNCTIONS = {"chunk_text": udfs.chunks, "build_preview": udfs.preview, "strip_markup": udfs._without_leak, "html_unescape": udfs.html_unescape}
 
 
 def register(spark: SparkSession) -> None:

@@ -355,4 +355,5 @@ def table_gate(merge_ok: Column, ratio: Column) -> Column:
 
 
 def length_ratio(old: Column, new: Column) -> Column:
-    return F.when(F.length(old) > 0, F.length(new) / F.length(old)).otherwise(F.lit(0.0))
+    """New by old length; 0 for texts that were empty."""
+    return F.when(old > 0, new / old).otherwise(F.lit(0.0))

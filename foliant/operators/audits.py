@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
+from foliant.functions.udfs import bag_ratio
 from foliant.functions.vectors import norm
 
 
@@ -78,10 +79,7 @@ def norm_gate(vectors: DataFrame, tolerance: float = 0.01) -> DataFrame:
 
 def bag_similarity(pairs: DataFrame) -> DataFrame:
     """(pair_id, bag): characters but the space that both texts have, by the larger text's number; 1 if neither has any."""
-    chars = lambda c, side: pairs.select("pair_id", F.explode(F.filter(F.split(F.replace(F.col(c), F.lit(" "), F.lit("")), ""), lambda x: x != "")).alias("ch"), F.lit(side).alias("side"))
-    per = chars("a", 0).unionByName(chars("b", 1)).groupBy("pair_id", "ch").agg(F.sum((F.col("side") == 0).cast("long")).alias("na"), F.sum((F.col("side") == 1).cast("long")).alias("nb"))
-    sums = per.groupBy("pair_id").agg(F.sum(F.least("na", "nb")).alias("common"), F.greatest(F.sum("na"), F.sum("nb")).alias("total"))
-    return pairs.join(sums, "pair_id", "left").select("pair_id", F.when(F.coalesce("total", F.lit(0)) == 0, 1.0).otherwise(F.col("common") / F.col("total")).alias("bag"))
+    return pairs.select("pair_id", bag_ratio("a", "b").alias("bag"))
 
 
 def fallback_usage(rows: DataFrame) -> DataFrame:

@@ -49,12 +49,15 @@ def unambiguous_documents(chunks: DataFrame) -> DataFrame:
 
 
 def keyed_match(documents: DataFrame, records: DataFrame) -> DataFrame:
-    """Documents with the record of equal (source_file, title), nulls equal; of several records the last by seq; others go."""
+    """Documents with the record of equal (source_file, title), nulls equal; of several records the last by seq; others go. source_file is the document's
+    or, where that is empty, the record's, and audit_type what its name says."""
     order = Window.partitionBy("source_file", "title").orderBy(F.desc("seq"))
     last = records.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
     renamed = last.withColumnsRenamed({c: f"r_{c}" for c in last.columns})
     on = documents["source_file"].eqNullSafe(renamed["r_source_file"]) & documents["title"].eqNullSafe(renamed["r_title"])
-    return documents.join(renamed, on).drop("r_source_file", "r_title", "r_seq")
+    source = F.coalesce(X.none_if_empty(documents["source_file"]), F.col("r_source_file"))
+    joined = documents.join(renamed, on).select(*[documents[c] for c in documents.columns if c != "source_file"], source.alias("source_file"), *[c for c in renamed.columns])
+    return joined.withColumn("audit_type", X.parse_source(F.col("source_file"))["audit_type"]).drop("r_source_file", "r_title", "r_seq")
 
 
 def semi_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -66,21 +69,21 @@ def orphan_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def preflight(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """One row of counts, and whether any of them is fatal."""
+    """One row of counts, and whether any of them is fatal. Each side is summed up by its key and then as a whole."""
     one = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    docs = documents.agg(
-        F.count("*").alias("n_documents"), one(~F.coalesce(F.col("parsing_quality").isin(QUALITIES), F.lit(False))).alias("bad_quality"),
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    repeated = lambda name: F.count_if(F.col("_n") > 1).alias(name)
+    by_document = documents.groupBy("document_id").agg(
+        F.count("*").alias("_n"), one(~F.coalesce(F.col("parsing_quality").isin(QUALITIES), F.lit(False))).alias("bad_quality"),
         one(F.coalesce(F.col("raw_text"), F.lit("")) == "").alias("missing_text"), one(F.col("year").isNull()).alias("missing_year"),
     )
-    repeated = lambda df, key, name: df.groupBy(key).count().filter("count > 1").agg(F.count("*").alias(name))
-    counts = [
-        docs, repeated(documents, "document_id", "duplicate_documents"), chunks.agg(F.count("*").alias("n_chunks")), repeated(chunks, "chunk_id", "duplicate_chunks"),
-        orphan_chunks(chunks, documents).agg(F.count("*").alias("orphans")), chunks.join(embeddings.select("chunk_id"), "chunk_id", "left_anti").agg(F.count("*").alias("missing_embeddings")),
-    ]
-    out = counts[0].withColumn("_k", F.lit(1))
-    for c in counts[1:]:  # single rows
-        out = out.join(c.withColumn("_k", F.lit(1)), "_k")
-    return out.drop("_k").withColumn("fatal", F.expr("bad_quality + missing_text + orphans > 0"))
+    of_documents = by_document.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_documents"), total("bad_quality"), total("missing_text"), total("missing_year"), repeated("duplicate_documents"))
+    known = chunks.select("chunk_id", "document_id").join(by_document.select("document_id", F.lit(True).alias("_d")), "document_id", "left")
+    known = known.join(embeddings.select("chunk_id", F.lit(True).alias("_e")).distinct(), "chunk_id", "left")
+    by_chunk = known.groupBy("chunk_id").agg(F.count("*").alias("_n"), one(F.col("_d").isNull()).alias("orphans"), one(F.col("_e").isNull()).alias("missing_embeddings"))
+    of_chunks = by_chunk.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_chunks"), repeated("duplicate_chunks"), total("orphans"), total("missing_embeddings"))
+    both = of_documents.withColumn("_k", F.lit(1)).join(of_chunks.withColumn("_k", F.lit(1)), "_k").drop("_k")  # single rows
+    return both.withColumn("fatal", F.expr("bad_quality + missing_text + orphans > 0"))
 
 
 def sample_reuse(rows: DataFrame, done: DataFrame, size: int, seed: int = 42, key: str = "doc_id") -> DataFrame:

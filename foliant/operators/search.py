@@ -1,20 +1,25 @@
 """Hybrid retrieval: vector and keyword legs, rank fusion, one result per document, cards.
 
-Legs carry ids and scores only; texts and metadata are joined to the few rows that are left at the end.
+What searches read is stored once (:func:`write_index`): chunks with their unit vectors and the buffer that previews need, and postings in the order
+of terms, so that a query's terms reach the scan as a filter on ranges. Legs carry ids and scores only. The few rows that are left go to the
+driver, and texts and metadata are read by their ids.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
 from foliant.functions.udfs import preview
-from foliant.functions.vectors import cosine_distance, rrf
+from foliant.functions.vectors import cosine_distance, rrf, unit
 
 LEG, RESULTS, DEBUG_RESULTS, PAGE = 100, 40, 100, 10
+BUFFER = 320
 
 
 def tokens(text: Column) -> Column:
@@ -22,9 +27,29 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
-def with_tokens(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with the token column that keyword search reads; store it once, as it depends on the text only."""
-    return chunks.withColumn("tokens", tokens(F.col("text")))
+@dataclass
+class Index:
+    """chunks: (chunk_id, document_id, buffer, unit), postings: (term, chunk_id, document_id, times)."""
+
+    chunks: DataFrame
+    postings: DataFrame
+
+
+def write_index(chunks: DataFrame, path: str) -> None:
+    """Of (chunk_id, document_id, text, embedding); embedding may be null. Postings are dealt by term and chunk, so a term that most chunks have
+    takes as many files as it needs."""
+    chunks.select("chunk_id", "document_id", F.substring("text", 1, BUFFER).alias("buffer"), unit("embedding").alias("unit")).write.parquet(f"{path}/chunks")
+    rows = chunks.select("chunk_id", "document_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "chunk_id", "document_id").agg(F.count("*").alias("times"))
+    rows.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"))
+
+
+def terms_of(query: str) -> list[str]:
+    """The distinct terms of a query, as :func:`tokens` has them."""
+    return list(dict.fromkeys(re.findall(r"[^\W]+", query.lower())))
 
 
 def _ranked(scored: DataFrame, order: list[Column], rank: str, most: int) -> DataFrame:
@@ -36,22 +61,21 @@ def vector_topk(chunks: DataFrame, query: list[float], most: int = LEG) -> DataF
 
     A limit before the rank keeps the sort to the best of each partition.
     """
-    vector = F.lit(query).cast("array<double>")
-    scored = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "document_id", cosine_distance(F.col("embedding"), vector).alias("distance"))
+    scored = chunks.filter(F.col("unit").isNotNull()).select("chunk_id", "document_id", cosine_distance(F.col("unit"), query).alias("distance"))
     best = scored.filter(F.col("distance").isNotNull()).orderBy("distance", "chunk_id").limit(most)
     return _ranked(best, [F.col("distance"), F.col("chunk_id")], "rank_vector", most)
 
 
-def text_topk(chunks: DataFrame, query: str, most: int = LEG) -> DataFrame:
-    """(chunk_id, document_id, score, rank_text) of the chunks that have all terms of the query; score: how often they occur.
+def text_match(postings: DataFrame, query: str) -> DataFrame:
+    """(chunk_id, document_id, score) of the chunks that have all terms of the query; score: how often they occur. Without terms, none."""
+    terms = terms_of(query)
+    own = postings.filter(F.col("term").isin(terms) if terms else F.lit(False))
+    return own.groupBy("chunk_id", "document_id").agg(F.sum("times").alias("score"), F.count("*").alias("_n")).filter(F.col("_n") == len(terms)).drop("_n")
 
-    ``chunks`` needs a ``tokens`` column (:func:`with_tokens`). A query without terms finds nothing.
-    """
-    terms = F.array_distinct(tokens(F.lit(query)))
-    own = F.col("tokens")
-    match = (F.size(terms) > 0) & F.forall(terms, lambda t: F.array_contains(own, t))
-    score = F.size(F.filter(own, lambda t: F.array_contains(terms, t)))
-    best = chunks.filter(match).select("chunk_id", "document_id", score.cast("long").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(most)
+
+def text_topk(postings: DataFrame, query: str, most: int = LEG) -> DataFrame:
+    """(chunk_id, document_id, score, rank_text) of the best of :func:`text_match`."""
+    best = text_match(postings, query).orderBy(F.desc("score"), "chunk_id").limit(most)
     return _ranked(best, [F.desc("score"), F.col("chunk_id")], "rank_text", most)
 
 
@@ -67,14 +91,15 @@ def best_per_document(scored: DataFrame) -> DataFrame:
     return scored.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def hybrid_search(chunks: DataFrame, documents: DataFrame, vector: list[float], query: str, most: int = RESULTS, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Fused, one chunk a document, with text buffers and metadata, best first. At most 2 * LEG rows are ever joined."""
-    legs = rrf_fusion(vector_topk(chunks, vector), text_topk(chunks, query))
-    top = best_per_document(legs).orderBy(F.desc("score"), "document_id").limit(most)
-    top = F.broadcast(top)  # at most ``most`` rows
-    previews = chunks.select("chunk_id", F.substring("text", 1, 320).alias("chunk_buffer"))
-    found = top.join(previews, "chunk_id").join(documents.withColumn("title_buffer", F.substring("raw_text", 1, 200)).drop("raw_text"), "document_id")
-    found = found.orderBy(F.desc("score"), "document_id")
+def hybrid_search(index: Index, documents: DataFrame, vector: list[float], query: str, most: int = RESULTS, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Fused, one chunk a document, with text buffers and metadata, best first. The ``most`` best ids and scores pass through the driver."""
+    spark = documents.sparkSession
+    legs = best_per_document(rrf_fusion(vector_topk(index.chunks, vector), text_topk(index.postings, query)))
+    rows = legs.orderBy(F.desc("score"), "document_id").limit(most).collect()
+    top = F.broadcast(spark.createDataFrame(rows, legs.schema).coalesce(1))
+    previews = index.chunks.filter(F.col("chunk_id").isin([r.chunk_id for r in rows])).select("chunk_id", F.col("buffer").alias("chunk_buffer"))
+    own = documents.filter(F.col("document_id").isin([r.document_id for r in rows])).withColumn("title_buffer", F.substring("raw_text", 1, 200)).drop("raw_text")
+    found = top.join(previews, "chunk_id").join(own, "document_id").orderBy(F.desc("score"), "document_id")
     return rerank(found) if rerank else found
 
 
@@ -94,11 +119,11 @@ def page(found: DataFrame, number: int, order: list[Column], size: int = PAGE) -
     return ranked.filter(F.col("position").between((number - 1) * size + 1, number * size))
 
 
-def search(spark: SparkSession, chunks: DataFrame, documents: DataFrame, vector: list[float], query: str, most: int | None = None, debug: bool = False) -> DataFrame:
+def search(index: Index, documents: DataFrame, vector: list[float], query: str, most: int | None = None, debug: bool = False) -> DataFrame:
     """Cards for a query; a blank one is an error. Debugging widens the pool and shows scores."""
     if not query.strip():
         raise ValueError("the query is blank")
-    return cards(hybrid_search(chunks, documents, vector, query, most or (DEBUG_RESULTS if debug else RESULTS)), debug)
+    return cards(hybrid_search(index, documents, vector, query, most or (DEBUG_RESULTS if debug else RESULTS)), debug)
 
 
 def document(documents: DataFrame, document_id) -> DataFrame:

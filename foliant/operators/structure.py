@@ -10,9 +10,55 @@ from foliant.functions.udfs import chunks as chunk_udf
 from foliant.functions import text as X
 
 
+def document_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, s, numbers) of (doc_id, text): lines without white space around them; ornaments are blank lines. A bullet that stands
+    alone moves to the beginning of the next line; before a blank line or the end it stays, and before another it goes."""
+    order = Window.partitionBy("doc_id").orderBy("line")
+    rows = docs.select("doc_id", B.references(F.col("text")).alias("numbers"), F.posexplode(X.lines(F.col("text"))).alias("line", "s"))
+    rows = rows.withColumn("s", X.strip(F.col("s"))).withColumn("s", F.when(B.like(F.col("s"), B.ORNAMENT), "").otherwise(F.col("s")))
+    alone = B.like(F.col("s"), B.LONE_BULLET)
+    rows = rows.select("*", alone.alias("alone"), F.lag(F.when(alone, F.col("s"))).over(order).alias("glyph"), F.coalesce(F.lead("s").over(order), F.lit("")).alias("next"))
+    joined = F.when(~F.col("alone") & (F.col("s") != "") & F.col("glyph").isNotNull(), F.concat("glyph", F.lit(" "), "s")).otherwise(F.col("s"))
+    return rows.filter("not alone or next = ''").select("doc_id", "line", joined.alias("s"), "numbers")
+
+
+def pieces(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, sub, role, text, label, value, is_title): what each line adds to which kind of block, or "more" to the open one."""
+    own = document_lines(docs)
+    own = own.select("doc_id", F.struct("line", "s", B.signs(F.col("s"), F.col("numbers")).alias("signs")).alias("x"))
+    listed = own.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    played = listed.select("doc_id", "x", B.roles(F.transform("x", lambda x: x["signs"])).alias("r"))
+    rows = played.select("doc_id", F.explode(F.arrays_zip("x", "r")).alias("z")).select("doc_id", "z.x.line", "z.x.s", "z.x.signs.kind", F.col("z.r").alias("role")).filter("role <> 'end'")
+    s, none = F.col("s"), F.lit(None).cast("string")
+    piece = lambda role, text, label=none, value=none, title=F.lit(False): F.struct(role.alias("role"), text.alias("text"), label.alias("label"), value.alias("value"), title.alias("is_title"))
+    rest = B.heading_rest(s)
+    heading = F.array(piece(F.col("role"), B.heading_label(s), title=rest.isNull() & B.like(s, B.TITLE)))
+    parts = F.when(F.col("role") == "heading", F.when(rest != "", F.concat(heading, F.array(piece(F.lit("body"), rest)))).otherwise(heading))
+    parts = parts.when(F.col("role") == "field", F.array(piece(F.col("role"), none, B.field_label(s), B.field_value(s))))
+    parts = parts.otherwise(F.array(piece(F.col("role"), F.when(F.col("kind") == "bullet", B.repaired_bullet(s)).otherwise(s))))
+    return rows.select("doc_id", "line", F.posexplode(parts).alias("sub", "p")).select("doc_id", "line", "sub", "p.*")
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, type, text, label, value, is_title)"""
-    return docs.select("doc_id", F.posexplode(B.document_blocks("text")).alias("pos", "b")).select("doc_id", "pos", "b.*")
+    """(doc_id, pos, type, text, label, value, is_title). Ids are unique; a null text has no blocks."""
+    order = Window.partitionBy("doc_id").orderBy("line", "sub")
+    rows = pieces(docs).withColumn("n", F.sum((F.col("role") != "more").cast("int")).over(order))
+    one = lambda c: F.max(c).alias(c)
+    got = rows.groupBy("doc_id", "n").agg(
+        F.max(F.when(F.col("role") != "more", F.col("role"))).alias("type"), F.transform(F.array_sort(F.collect_list(F.struct("line", "sub", "text"))), lambda x: x["text"]).alias("t"),
+        one("label"), one("value"), one("is_title"),
+    )
+    flat = (F.col("type") == "table") | ((F.col("type") == "bullet") & X.flattened_table(F.array_join("t", " ")))
+    got = got.select("doc_id", (F.col("n") - 1).cast("int").alias("pos"), F.when(flat, "table").otherwise(F.col("type")).alias("type"), "label", "value", "is_title",
+                     F.when(F.col("type") != "field", F.when(flat, F.array_join("t", "\n")).otherwise(F.array_join("t", " "))).alias("text"))
+    # a title before a heading numbered 2 or more has lost its 1
+    along, number = Window.partitionBy("doc_id").orderBy("pos"), r"(?U)^(\d{1,2})[.)]\s"
+    first = F.col("is_title") & (F.sum(F.col("is_title").cast("int")).over(along) == 1)
+    after = F.regexp_extract(F.coalesce(F.when(F.lead("type").over(along) == "heading", F.lead("text").over(along)), F.lit("")), number, 1)
+    lost = first & ~F.col("text").rlike(number) & (F.coalesce(F.when(after != "", after.cast("int")), F.lit(0)) >= 2)
+    got = got.withColumn("text", F.when(lost, F.concat(F.lit("1. "), "text")).otherwise(F.col("text")))
+    shown = lambda c: F.replace(c, F.lit(B.DEPARTMENT), F.lit(B.DEPARTMENT_SHOWN)).alias(c)
+    return got.select("doc_id", "pos", "type", *[shown(c) for c in ("text", "label", "value")], "is_title")
 
 
 def toc(rows: DataFrame, least: int = 3) -> DataFrame:
@@ -28,12 +74,45 @@ def footnotes(rows: DataFrame) -> DataFrame:
 
 
 def render_anomalies(docs: DataFrame) -> DataFrame:
-    """(doc_id, reasons) of documents with any."""
-    return docs.select("doc_id", B.render_anomalies("text").alias("reasons")).filter(F.size("reasons") > 0)
+    """(doc_id, reasons) of documents with any: oversized blocks, footnotes without definition, lost content, no headings."""
+    size = F.length(F.coalesce("text", F.lit("")))
+    long = {k: (F.col("type") == k) & (size > n) for k, n in B.LONG.items()}
+    solid = lambda *c: F.length(X.squeezed(F.concat(*[F.coalesce(x, F.lit("")) for x in c])))
+    start = lambda c, p: F.regexp_extract(c, p, 1)
+    found = blocks(docs).groupBy("doc_id").agg(
+        *[F.count_if(c).alias(f"n_{k}") for k, c in long.items()], *[F.max(F.when(c, size)).alias(f"most_{k}") for k, c in long.items()],
+        F.count_if(F.col("type") == "heading").alias("headings"), F.count_if(F.col("type") == "footnote").alias("notes"), F.sum(solid("label", "value", "text")).alias("shown"),
+        F.collect_set(F.when(F.col("type") == "heading", start("text", r"(?U)^(\d+)\)\s"))).alias("heads"),
+    )
+    text, none = F.col("text"), F.array().cast("array<string>")
+    lines = F.transform(X.lines(text), lambda x: start(X.strip(x), r"(?U)^(\d+)\)\s*\S"))
+    own = docs.filter("text is not null").select("doc_id", F.length("text").alias("size"), solid("text").alias("there"), B.strict_references(text).alias("numbers"), lines.alias("starts"))
+    rows = own.join(found, "doc_id", "left")
+    n, defined = lambda c: F.coalesce(c, F.lit(0)), F.array_intersect("numbers", "starts")
+    why = F.when(F.size(F.array_except(defined, F.coalesce("heads", none))) > 0, B.ABSORBED).when(F.size(defined) > 0, B.HEADING_LIKE).otherwise(B.MISSING)
+    say = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    reasons = [F.when(n(f"n_{k}") > 0, say(f"long {k}: ", F.col(f"n_{k}"), ", up to ", F.col(f"most_{k}"))) for k in B.LONG]
+    reasons.append(F.when((F.size("numbers") > 0) & (n("notes") == 0) & (why != B.HEADING_LIKE), say("footnotes: ", F.size("numbers"), " references, ", why)))
+    reasons.append(F.when((F.col("there") > 0) & (n("shown") < B.LOSS_RATIO * F.col("there")), say("lost content: ", n("shown"), " of ", F.col("there"))))
+    reasons.append(F.when((F.col("size") >= B.HEADING_LENGTH) & (n("headings") == 0), say("no heading in ", F.col("size"))))
+    return rows.select("doc_id", F.array_compact(F.array(*reasons)).alias("reasons")).filter(F.size("reasons") > 0)
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(X.lines(F.col("text"))).alias("line", "text")).withColumn("kind", B.line_class("text"))
+    """(doc_id, line, text, kind)"""
+    rows = docs.select("doc_id", F.posexplode(X.lines(F.col("text"))).alias("line", "text"))
+    return rows.withColumn("kind", B.line_class(X.strip(F.col("text"))))
+
+
+def field_labels(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, label, value) of the lines that give the value of a known field."""
+    rows = docs.select("doc_id", F.posexplode(X.lines(F.col("text"))).alias("line", "text")).withColumn("text", X.strip(F.col("text")))
+    return rows.select("doc_id", "line", B.field_label(F.col("text")).alias("label"), B.field_value(F.col("text")).alias("value")).filter("label is not null")
+
+
+def caption_flags(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", F.posexplode(X.lines(F.col("text"))).alias("line", "text")).withColumn("text", X.strip(F.col("text")))
+    return rows.select("doc_id", "line", *[c.alias(n) for n, c in B.caption_tests(F.col("text")).items()])
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:

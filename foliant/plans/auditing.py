@@ -8,6 +8,8 @@ from foliant.functions import text as X
 from foliant.operators import audits as A
 from foliant.plans.literals import literal, literal_sql
 from foliant.plans.registry import query
+from foliant.plans.repairing import CORRUPT_SQL, corrupt
+from foliant.plans.retrieval import DOCS_SQL, documents
 from foliant.sources.tables import table
 
 DISPOSITION_SQL = " OR ".join(f"ends_with(bare, '{w}')" for w in X.DISPOSITIONS)
@@ -69,15 +71,23 @@ def exact_dups(spark, d):
     return A.exact_duplicates(table(spark, d, "documents"))
 
 
-@query("""WITH s AS (SELECT * FROM documents QUALIFY count(*) OVER (PARTITION BY text) = 1)
-SELECT lang, sha256(left(regexp_replace(text, '\\s+', '', 'g'), 60)) AS head_hash, count(*) AS n, min(doc_id) AS first_id FROM s WHERE length(text) >= 100 GROUP BY 1, 2 HAVING count(*) > 1""".replace("\\\\", "\\"))
+@query(f"""WITH {DOCS_SQL}, s AS (SELECT document_id AS doc_id, institution, year, raw_text AS text FROM docs QUALIFY count(*) OVER (PARTITION BY raw_text) = 1)
+SELECT institution, year, sha256(left(regexp_replace(text, '\\s+', '', 'g'), 300)) AS head_hash, count(*) AS n, min(doc_id) AS first_id FROM s WHERE length(text) >= 100 GROUP BY 1, 2, 3 HAVING count(*) > 1""")
 def near_dups(spark, d):
-    return A.near_duplicates(table(spark, d, "documents"), ["lang"], head=60)
+    docs = documents(spark, d).select(F.col("document_id").alias("doc_id"), "institution", "year", F.col("raw_text").alias("text"))
+    return A.near_duplicates(docs, ["institution", "year"])
 
 
-@query()
+DOUBLES_SQL = f"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -id, text FROM {CORRUPT_SQL}),
+f AS (SELECT DISTINCT doc_id, text[i:i + 1] AS pattern FROM (SELECT doc_id, text, unnest(range(1, length(text))) AS i FROM t) WHERE text[i] = text[i + 1] AND text[i] BETWEEN '가' AND '힣')
+SELECT pattern, count(*) AS n_docs, CASE WHEN min(doc_id) = max(doc_id) THEN [min(doc_id)] ELSE [min(doc_id), max(doc_id)] END AS sample_ids FROM f GROUP BY pattern ORDER BY n_docs DESC, pattern LIMIT 500"""
+
+
+@query(DOUBLES_SQL)
 def isolated_dup_freq(spark, d):
-    return A.pattern_frequency(table(spark, d, "documents"), r"([a-z])\1")
+    """Doubled syllables of all documents, and of texts that have some."""
+    docs = table(spark, d, "documents").select("doc_id", "text").unionByName(corrupt(spark).select((-F.col("id")).cast("long").alias("doc_id"), "text"))
+    return A.pattern_frequency(docs, rf"([{X.HANGUL}])\1")
 
 
 @query(f"""SELECT unnest(['runs', 'shapes', 'positions', 'links', 'outline']) AS family, unnest([sum(regexp_matches(text, 'hp:run|hp:linesegarray')::INT), sum(regexp_matches(text, 'hc:\\w+')::INT),

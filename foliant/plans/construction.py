@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
-from foliant.functions.udfs import seq_similarity as seq_udf
 from foliant.operators import audits as A
 from foliant.operators import corpus as C
 from foliant.operators import structure as T
@@ -63,8 +62,9 @@ def unambiguous_docs(spark, d):
     return C.unambiguous_documents(literal(spark, "embed_ready"))
 
 
-@query(f"""WITH {UNAMBIGUOUS_SQL}, r AS (SELECT * FROM {literal_sql('records')} QUALIFY row_number() OVER (PARTITION BY source_file, title ORDER BY seq DESC) = 1)
-SELECT document_id, u.title, u.source_file, r.raw_text AS r_raw_text FROM u JOIN r ON u.source_file IS NOT DISTINCT FROM r.source_file AND u.title IS NOT DISTINCT FROM r.title""")
+@query(rf"""WITH {UNAMBIGUOUS_SQL}, r AS (SELECT * FROM {literal_sql('records')} QUALIFY row_number() OVER (PARTITION BY source_file, title ORDER BY seq DESC) = 1),
+m AS (SELECT document_id, u.title, coalesce(nullif(u.source_file, ''), r.source_file) AS source_file, r.raw_text AS r_raw_text FROM u JOIN r ON u.source_file IS NOT DISTINCT FROM r.source_file AND u.title IS NOT DISTINCT FROM r.title)
+SELECT *, nullif(trim(regexp_replace(regexp_extract(source_file, '_\d{{4}}년\s*(.*)\.[a-zA-Z]+$', 1), '[(（]\d+[)）]\s*$', '')), '') AS audit_type FROM m""".replace("\\\\", "\\"))
 def keyed_match(spark, d):
     return C.keyed_match(C.unambiguous_documents(literal(spark, "embed_ready")), literal(spark, "records"))
 
@@ -106,14 +106,19 @@ def resume_todo(spark, d):
     return U.resume(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
-@query(f"""WITH {DOCS_SQL}, {CHUNKS_SQL}, x AS (SELECT CASE WHEN document_id % 50 = 0 THEN 'odd' ELSE parsing_quality END AS q, * FROM docs WHERE document_id % 10 <> 3)
-SELECT (SELECT count(*) FROM x) AS n_documents, (SELECT count(*) FROM x WHERE q = 'odd') AS bad_quality, (SELECT count(*) FROM x WHERE coalesce(raw_text, '') = '') AS missing_text, (SELECT count(*) FROM x WHERE year IS NULL) AS missing_year,
-  CAST(0 AS BIGINT) AS duplicate_documents, (SELECT count(*) FROM chunks) AS n_chunks, CAST(0 AS BIGINT) AS duplicate_chunks, (SELECT count(*) FROM chunks WHERE document_id NOT IN (SELECT document_id FROM x)) AS orphans,
-  (SELECT count(*) FROM chunks WHERE document_id % 7 = 0) AS missing_embeddings, true AS fatal""")
+@query(f"""WITH {DOCS_SQL}, {CHUNKS_SQL}, x AS (SELECT CASE WHEN document_id % 100 = 3 THEN document_id - 1 ELSE document_id END AS id, CASE WHEN document_id % 50 = 0 THEN 'odd' ELSE parsing_quality END AS q, raw_text, year FROM docs),
+c AS (SELECT CASE WHEN document_id % 97 = 5 THEN 'c' || (document_id - 1) ELSE chunk_id END AS cid, document_id, embedding FROM chunks), e AS (SELECT DISTINCT cid FROM c WHERE embedding IS NOT NULL)
+SELECT *, bad_quality + missing_text + orphans > 0 AS fatal FROM (SELECT (SELECT count(*) FROM x) AS n_documents, (SELECT count(*) FROM x WHERE coalesce(q, '') NOT IN ('standard', 'partial', 'fallback')) AS bad_quality, (SELECT count(*) FROM x WHERE coalesce(raw_text, '') = '') AS missing_text,
+  (SELECT count(*) FROM x WHERE year IS NULL) AS missing_year, (SELECT count(*) FROM (SELECT id FROM x GROUP BY id HAVING count(*) > 1)) AS duplicate_documents, (SELECT count(*) FROM c) AS n_chunks,
+  (SELECT count(*) FROM (SELECT cid FROM c GROUP BY cid HAVING count(*) > 1)) AS duplicate_chunks, (SELECT count(*) FROM c WHERE document_id NOT IN (SELECT id FROM x)) AS orphans,
+  (SELECT count(*) FROM c WHERE cid NOT IN (SELECT cid FROM e)) AS missing_embeddings)""")
 def preflight(spark, d):
-    docs = documents(spark, d).filter("document_id % 10 <> 3").withColumn("parsing_quality", F.when(F.col("document_id") % 50 == 0, "odd").otherwise(F.col("parsing_quality")))
-    own = chunks(spark, d)
-    return C.preflight(docs, own, own.filter("document_id % 7 <> 0"))
+    """Over all rows, some with an odd quality, some with the id of the row before."""
+    docs, own = documents(spark, d), chunks(spark, d)
+    docs = docs.withColumn("parsing_quality", F.when(F.col("document_id") % 50 == 0, "odd").otherwise(F.col("parsing_quality")))
+    docs = docs.withColumn("document_id", F.col("document_id") - F.when(F.col("document_id") % 100 == 3, 1).otherwise(0))
+    own = own.withColumn("chunk_id", F.when(F.col("document_id") % 97 == 5, F.concat(F.lit("c"), (F.col("document_id") - 1).cast("string"))).otherwise(F.col("chunk_id")))
+    return C.preflight(docs, own, own.filter("embedding is not null"))
 
 
 @query(f"""SELECT r_regionkey AS region_key, r_name AS name FROM region UNION ALL
@@ -138,7 +143,7 @@ def cascade_delete(spark, d):
     return count(parents, "parent").unionByName(count(children, "child"))
 
 
-CAS_SQL = """c AS (SELECT doc_id + (CASE WHEN doc_id % 5 = 4 THEN 10000000 ELSE 0 END) AS doc_id, CASE WHEN doc_id % 5 = 2 THEN 'xx' ELSE lang END AS old, upper(lang) AS new FROM documents WHERE doc_id % 3 = 0),
+CAS_SQL = """c AS (SELECT doc_id + (CASE WHEN doc_id % 5 = 4 THEN 10000000 ELSE 0 END) AS doc_id, CASE WHEN doc_id % 5 = 2 THEN 'xx' ELSE lang END AS old, upper(lang) AS new FROM documents),
 p AS (SELECT c.*, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN d.lang IS NOT DISTINCT FROM c.old THEN 'apply' ELSE 'mismatch' END AS status FROM c LEFT JOIN documents d USING (doc_id))"""
 
 
@@ -146,7 +151,7 @@ def _cas(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")
     moved = F.col("doc_id") + F.when(F.col("doc_id") % 5 == 4, 10000000).otherwise(0)
     old = F.when(F.col("doc_id") % 5 == 2, "xx").otherwise(F.col("lang"))
-    return docs, docs.filter("doc_id % 3 = 0").select(moved.alias("doc_id"), old.alias("old"), F.upper("lang").alias("new"))
+    return docs, docs.select(moved.alias("doc_id"), old.alias("old"), F.upper("lang").alias("new"))
 
 
 @query(f"WITH {CAS_SQL} SELECT * FROM p")
@@ -199,35 +204,37 @@ def chunk_documents(spark, d):
 
 @query()
 def rechunk_replace(spark, d):
-    fresh = T.chunk_rows(table(spark, d, "documents").filter("lang = 'de'")).select("chunk_id", "document_id", "text")
+    fresh = T.chunk_rows(table(spark, d, "documents")).select("chunk_id", "document_id", "text")
     return U.rechunk_replace(chunks(spark, d), fresh).select("chunk_id", "document_id", F.col("embedding").isNull().alias("to_embed"))
 
 
+BAG_SQL = f"""WITH c AS (SELECT pair_id, side, ch, count(*) AS n FROM (SELECT pair_id, 'a' AS side, unnest(string_split(replace(a, ' ', ''), '')) AS ch FROM {literal_sql('pairs')} UNION ALL
+  SELECT pair_id, 'b', unnest(string_split(replace(b, ' ', ''), '')) FROM {literal_sql('pairs')}) WHERE ch <> '' GROUP BY ALL),
+m AS (SELECT pair_id, ch, sum(n) FILTER (side = 'a') AS na, sum(n) FILTER (side = 'b') AS nb FROM c GROUP BY ALL),
+s AS (SELECT pair_id, sum(least(coalesce(na, 0), coalesce(nb, 0))) AS common, greatest(sum(coalesce(na, 0)), sum(coalesce(nb, 0))) AS total FROM m GROUP BY pair_id)
+SELECT p.pair_id, CASE WHEN coalesce(total, 0) = 0 THEN 1e0 ELSE CAST(common AS DOUBLE) / total END AS bag FROM {literal_sql('pairs')} p LEFT JOIN s USING (pair_id)"""
 GATE_SQL = f"SELECT *, CASE WHEN old_len > 0 THEN new_len / old_len ELSE 0 END AS lr FROM {literal_sql('reviews')}"
 
 
 @query(f"""SELECT id, CASE WHEN similarity >= 0.9 THEN 'apply' ELSE 'review' END AS first, CASE WHEN similarity >= 0.9 OR (bag >= 0.97 AND lr BETWEEN 0.95 AND 1.05) THEN 'apply' ELSE 'review' END AS second,
   CASE WHEN similarity >= 0.9 THEN 'sequence' WHEN bag >= 0.97 AND lr BETWEEN 0.95 AND 1.05 THEN 'reorder' END AS reason FROM ({GATE_SQL})""")
 def accept_gate(spark, d):
-    own = literal(spark, "reviews").withColumn("lr", F.when(F.col("old_len") > 0, F.col("new_len") / F.col("old_len")).otherwise(F.lit(0.0)))
+    own = literal(spark, "reviews").withColumn("lr", X.length_ratio(F.col("old_len"), F.col("new_len")))
     second = X.accept_second(F.col("similarity"), F.col("bag"), F.col("lr"))
     return own.select("id", X.accept_first(F.col("similarity")).alias("first"), second["decision"].alias("second"), second["reason"].alias("reason"))
 
 
+@query(f"SELECT pair_id, CASE WHEN a = b THEN 'unchanged' WHEN bag >= 0.9 THEN 'apply' ELSE 'review' END AS third FROM ({BAG_SQL}) JOIN {literal_sql('pairs')} USING (pair_id)")
+def third_gate(spark, d):
+    own = literal(spark, "pairs")
+    return A.bag_similarity(own).join(own, "pair_id").select("pair_id", X.accept_third(F.col("bag"), F.col("a"), F.col("b")).alias("third"))
+
+
 @query(f"SELECT id, CASE WHEN id % 2 = 0 THEN 'marker_table_count_mismatch' WHEN coalesce(similarity, 0) < 0.9 THEN 'low_similarity_after_merge' END AS reason FROM {literal_sql('reviews')}")
 def table_gate(spark, d):
     return literal(spark, "reviews").select("id", X.table_gate(F.col("id") % 2 == 1, F.coalesce("similarity", F.lit(0.0))).alias("reason"))
 
 
-@query()
-def seq_similarity(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(seq_udf("text", F.reverse("text")), 6).alias("ratio"))
-
-
-@query(f"""WITH c AS (SELECT pair_id, side, ch, count(*) AS n FROM (SELECT pair_id, 'a' AS side, unnest(string_split(replace(a, ' ', ''), '')) AS ch FROM {literal_sql('pairs')} UNION ALL
-  SELECT pair_id, 'b', unnest(string_split(replace(b, ' ', ''), '')) FROM {literal_sql('pairs')}) WHERE ch <> '' GROUP BY ALL),
-m AS (SELECT pair_id, ch, sum(n) FILTER (side = 'a') AS na, sum(n) FILTER (side = 'b') AS nb FROM c GROUP BY ALL),
-s AS (SELECT pair_id, sum(least(coalesce(na, 0), coalesce(nb, 0))) AS common, greatest(sum(coalesce(na, 0)), sum(coalesce(nb, 0))) AS total FROM m GROUP BY pair_id)
-SELECT p.pair_id, CASE WHEN coalesce(total, 0) = 0 THEN 1e0 ELSE CAST(common AS DOUBLE) / total END AS bag FROM {literal_sql('pairs')} p LEFT JOIN s USING (pair_id)""")
+@query(BAG_SQL)
 def bag_similarity(spark, d):
     return A.bag_similarity(literal(spark, "pairs"))

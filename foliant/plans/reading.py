@@ -7,10 +7,9 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from foliant.functions import blocks as B
 from foliant.functions import text as X
-from foliant.functions import udfs as V
 from foliant.operators import layout as L
+from foliant.operators import markup as M
 from foliant.operators import structure as T
 from foliant.operators import summaries as Z
 from foliant.plans.auditing import LINES_SQL
@@ -26,43 +25,55 @@ REPORTS = [
 ]
 
 
-def reports(spark):
-    return spark.createDataFrame(REPORTS, "doc_id long, text string")
+def reports(spark, d):
+    """All documents, and reports that show what documents in one language of prose do not, under ids below 0."""
+    own = spark.createDataFrame(REPORTS, "doc_id long, text string").withColumn("doc_id", -F.col("doc_id"))
+    return table(spark, d, "documents").select("doc_id", "text").unionByName(own)
+
+
+REPORTS_SQL = "(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in REPORTS) + ") v(doc_id, text))"
 
 
 @query()
 def document_blocks(spark, d):
-    return T.blocks(table(spark, d, "documents").select("doc_id", "text").unionByName(reports(spark).withColumn("doc_id", -F.col("doc_id"))))
+    return T.blocks(reports(spark, d))
 
 
 @query()
 def line_classes(spark, d):
-    return T.line_classes(reports(spark))
+    return T.line_classes(reports(spark, d))
 
 
 @query()
 def toc(spark, d):
-    return T.toc(T.blocks(reports(spark)), least=2)
+    return T.toc(T.blocks(reports(spark, d)), least=2)
 
 
 @query()
 def footnotes(spark, d):
-    return T.footnotes(T.blocks(reports(spark)))
+    return T.footnotes(T.blocks(reports(spark, d)))
 
 
 @query()
 def render_anomalies(spark, d):
-    return T.render_anomalies(reports(spark))
+    return T.render_anomalies(reports(spark, d))
 
 
 @query()
 def field_labels(spark, d):
-    return T.line_classes(reports(spark)).select("doc_id", "line", B.field_parts("text").alias("f")).select("doc_id", "line", "f.*").filter("label is not null")
+    return T.field_labels(reports(spark, d))
 
 
-@query()
+CAPTION_SQL = r"""WITH l AS (SELECT doc_id, i - 1 AS line, regexp_replace(regexp_replace(w[i], '^\s+', ''), '\s+$', '') AS t
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM %s)))
+SELECT doc_id, CAST(line AS INTEGER) AS line, regexp_matches(t, '^(자료|출처)\s*[:：]') AS source_note, regexp_matches(t, '^본\s*문서의\s*감사요지\s*및\s*귀책내용이\s*누설되어') AS security_notice,
+  contains(t, '_') AND regexp_matches(t, '^[A-Za-z0-9_:.\s-]{20,}$') AS watermark, length(t) - length(regexp_replace(t, '\(cid:\d+\)', '', 'g')) > 0.3 * length(t) AS broken_font
+FROM l""" % REPORTS_SQL
+
+
+@query(CAPTION_SQL)
 def caption_flags(spark, d):
-    return T.line_classes(reports(spark)).select("doc_id", "line", B.caption_flags("text").alias("c")).select("doc_id", "line", "c.*")
+    return T.caption_flags(reports(spark, d))
 
 
 @query("SELECT doc_id, length(t) >= 500 AND len(regexp_extract_all(t, '\\s[-–—□○◦▪‣·❍※•*①②③④⑤⑥⑦⑧⑨⑩]\\s')) >= 5 AS flat FROM (SELECT doc_id, replace(text, ', ', ' - ') AS t FROM documents)")
@@ -118,8 +129,7 @@ TABLE_PAGE = "<p>x</p><table><tr><th>a</th><td> b \n c </td></tr><tr><td><table>
 @query()
 def html_tables(spark, d):
     pages = table(spark, d, "pages").select("page_id", F.concat("html", F.lit(TABLE_PAGE)).alias("html"))
-    own = pages.select("page_id", F.posexplode(V.html_tables("html")).alias("n", "cells"))
-    return own.select("page_id", "n", X.table_flatten(F.col("cells")).alias("flat"))
+    return M.html_tables(pages).select("page_id", "n", X.table_flatten(F.col("cells")).alias("flat"))
 
 
 def hwpx_bytes() -> bytes:
@@ -132,10 +142,10 @@ def hwpx_bytes() -> bytes:
     return buf.getvalue()
 
 
-@query()
+@query("SELECT 1 AS id, E'첫 문단\n칸\n둘째 문단\n칸' AS text, E'첫 문단\n칸\n\n둘째 문단\n칸\n' AS naive")
 def hwpx_paragraphs(spark, d):
     files = spark.createDataFrame([(1, bytearray(hwpx_bytes()))], "id int, content binary")
-    return files.select("id", V.hwpx_paragraphs("content").alias("text"), V.hwpx_naive("content").alias("naive"))
+    return M.archive_paragraphs(files).join(M.archive_runs(files), "id")
 
 
 @query(f"SELECT doc_id, summary_point IS NULL AND NOT summary_failed AS needs_structured, summary_freeform IS NULL AND NOT freeform_failed AS needs_freeform FROM {literal_sql('summary_rows')}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
+from foliant.functions.udfs import html_unescape
 from foliant.functions.udfs import strip_markup as markup
 from foliant.operators.upserts import changed_texts
 from foliant.plans.literals import literal, literal_sql
@@ -29,18 +30,36 @@ def corrupt(spark):
     return spark.createDataFrame(CORRUPT, "id int, text string")
 
 
-def _each(name, f):
+CORRUPT_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in CORRUPT) + ") v(id, text))"
+#: All documents, and texts that need each repair, under ids below 0.
+REPAIRED_SQL = f"(SELECT doc_id AS id, text FROM documents UNION ALL SELECT -id, text FROM {CORRUPT_SQL})"
+
+
+def damaged(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(corrupt(spark).select((-F.col("id")).cast("long").alias("id"), "text"))
+
+
+LABEL = r"^(제\s*목)"
+COLON_SQL = rf"""CASE WHEN regexp_matches(text, '{LABEL}\s+([^\s:：]|$)') THEN regexp_replace(text, '{LABEL}\s+', '\1 : ')
+  WHEN regexp_matches(text, '{LABEL}\s+\s[:：]') THEN regexp_replace(text, '{LABEL}\s+(\s[:：])', '\1 : \2') ELSE text END"""
+GLYPHS_SQL = "text"
+for _ch in X.MASK_GLYPHS:
+    GLYPHS_SQL = f"regexp_replace({GLYPHS_SQL}, '{_ch}{{2,}}', '{X.DEPARTMENT}', 'g')"
+
+
+def _each(name, f, sql=None):
     def run(spark, d):
-        return corrupt(spark).select("id", f(F.col("text")).alias("fixed"))
+        return damaged(spark, d).select("id", f(F.col("text")).alias("fixed"))
 
     run.__name__ = name
-    return query()(run)
+    return query(sql and f"SELECT id, {sql} AS fixed FROM {REPAIRED_SQL}")(run)
 
 
-for _name, _f in {
-    "dedup_chars": X.dedup_chars, "dedup_digits": X.dedup_digits, "title_colon": X.title_colon, "strip_markup": markup, "mask_glyphs": X.mask_glyphs, "title_number": X.title_number, "full_fix": full_fix_column,
-}.items():
-    globals()[_name] = _each(_name, _f)
+for _name, _f, _sql in [
+    ("dedup_chars", X.dedup_chars, None), ("dedup_digits", X.dedup_digits, None), ("title_colon", X.title_colon, COLON_SQL), ("strip_markup", markup, None), ("mask_glyphs", X.mask_glyphs, GLYPHS_SQL),
+    ("title_number", X.title_number, None), ("full_fix", full_fix_column, None),
+]:
+    globals()[_name] = _each(_name, _f, _sql)
 
 
 BRACKETS_SQL = "text"
@@ -64,9 +83,10 @@ def strip_placeholder(spark, d):
     return literal(spark, "texts").select("id", X.strip_placeholder(F.col("text")).alias("fixed"))
 
 
-@query(f"SELECT id, regexp_replace(text || chr(57345) || chr(57346) || 'z', '[\\x{{E000}}-\\x{{F8FF}}]+', '[코드]', 'g') AS fixed FROM {literal_sql('texts')}")
+@query(f"SELECT id, regexp_replace(text || chr(57345) || chr(57346) || '<z' || chr(57347), '[\\x{{E000}}-\\x{{F8FF}}]+', '[코드]', 'g') AS fixed FROM {literal_sql('texts')}")
 def pua_mask(spark, d):
-    return literal(spark, "texts").select("id", X.mask_private_use(F.concat("text", F.lit("z"))).alias("fixed"))
+    """Entities are resolved first, as they may stand for characters of private use."""
+    return literal(spark, "texts").select("id", X.mask_private_use(html_unescape(F.concat("text", F.lit("\ue001\ue002&lt;z&#xE003;")))).alias("fixed"))
 
 
 @query(f"SELECT id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x), '^-\\s*\\d+\\s*-$')), chr(10)) AS fixed FROM {literal_sql('texts')}")
@@ -88,4 +108,4 @@ def marker_merge(spark, d):
 
 @query()
 def reembed_list(spark, d):
-    return changed_texts(corrupt(spark), F.col("text"), full_fix_column(F.col("text")))
+    return changed_texts(damaged(spark, d), F.col("text"), full_fix_column(F.col("text")))

@@ -1,4 +1,4 @@
-"""Search queries over the tables: a chunk for each document that has a vector."""
+"""Search queries over the tables: a chunk for each document, with a vector if it has one. The index is written once an application."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from foliant.functions.vectors import cosine_distance
 from foliant.operators import search as S
 from foliant.plans.literals import literal, literal_sql
 from foliant.plans.registry import query
+from foliant.sources.shared import once
 from foliant.sources.tables import table
 
 QUERY = "the of"
@@ -18,10 +19,10 @@ CDN = "https://files.example/"
 
 DOCS_SQL = """docs AS (SELECT d.doc_id AS document_id, d.source AS institution, CAST(2016 + d.doc_id % 11 AS INTEGER) AS year, 'data_repo/' || d.source || '/' || d.doc_id || '.pdf' AS source_file,
   CASE l.quality WHEN 1 THEN 'standard' WHEN 0 THEN 'partial' ELSE 'fallback' END AS parsing_quality, d.text AS raw_text FROM documents d LEFT JOIN labels l USING (doc_id))"""
-CHUNKS_SQL = "chunks AS (SELECT 'c' || doc_id AS chunk_id, doc_id AS document_id, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id)"
+CHUNKS_SQL = "chunks AS (SELECT 'c' || doc_id AS chunk_id, doc_id AS document_id, text, embedding FROM documents LEFT JOIN embeddings ON doc_id = vec_id)"
 LEGS_SQL = rf"""{CHUNKS_SQL}, q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
 v AS (SELECT *, row_number() OVER (ORDER BY distance, chunk_id) AS rank_vector FROM
-  (SELECT chunk_id, document_id, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) AS distance FROM chunks, q) QUALIFY rank_vector <= 100),
+  (SELECT chunk_id, document_id, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) AS distance FROM chunks, q WHERE embedding IS NOT NULL) QUALIFY rank_vector <= 100),
 t AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank_text FROM
   (SELECT chunk_id, document_id, len(list_filter(w, lambda x: x IN ('the', 'of'))) AS score FROM
     (SELECT chunk_id, document_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM chunks) WHERE list_contains(w, 'the') AND list_contains(w, 'of')) QUALIFY rank_text <= 100),
@@ -37,39 +38,48 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    both = table(spark, d, "documents").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    both = table(spark, d, "documents").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left")
     return both.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "text", "embedding")
 
 
+def index(spark: SparkSession, d: str) -> S.Index:
+    return S.read_index(spark, once(spark, f"search {d}", lambda path: S.write_index(chunks(spark, d), path)))
+
+
+@query(rf"WITH {CHUNKS_SQL}, w AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM chunks) SELECT term, count(*) AS times FROM w GROUP BY term")
+def search_terms(spark, d):
+    return index(spark, d).postings.groupBy("term").agg(F.sum("times").alias("times"))
+
+
 def query_vector(spark: SparkSession, d: str) -> list[float]:
     row = table(spark, d, "embeddings").filter("vec_id = 0").select("embedding").first()
     return [float(x) for x in row.embedding]
 
 
-@query(f"WITH {CHUNKS_SQL}, q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT chunk_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS distance FROM chunks, q")
+@query(f"WITH {CHUNKS_SQL}, q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT chunk_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS distance FROM chunks, q WHERE embedding IS NOT NULL")
 def cosine_distances(spark, d):
-    return chunks(spark, d).select("chunk_id", F.round(cosine_distance(F.col("embedding"), F.lit(query_vector(spark, d)).cast("array<double>")), 6).alias("distance"))
+    own = index(spark, d).chunks.filter("unit is not null")
+    return own.select("chunk_id", F.round(cosine_distance(F.col("unit"), query_vector(spark, d)), 6).alias("distance"))
 
 
 @query(f"WITH {LEGS_SQL} SELECT chunk_id, document_id, round(distance, 6) AS distance, CAST(rank_vector AS INTEGER) AS rank_vector FROM v")
 def vector_topk(spark, d):
-    return S.vector_topk(chunks(spark, d), query_vector(spark, d)).withColumn("distance", F.round("distance", 6))
+    return S.vector_topk(index(spark, d).chunks, query_vector(spark, d)).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"WITH {LEGS_SQL} SELECT chunk_id, document_id, score, CAST(rank_text AS INTEGER) AS rank_text FROM t")
 def text_topk(spark, d):
-    return S.text_topk(S.with_tokens(chunks(spark, d)), QUERY)
+    return S.text_topk(index(spark, d).postings, QUERY)
 
 
 @query(rf"WITH {CHUNKS_SQL} SELECT chunk_id, document_id FROM (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM chunks) WHERE list_contains(w, 'the') AND list_contains(w, 'of')")
 def text_match(spark, d):
-    own = S.with_tokens(chunks(spark, d))
-    return own.filter(F.forall(S.tokens(F.lit(QUERY)), lambda t: F.array_contains(own["tokens"], t))).select("chunk_id", "document_id")
+    return S.text_match(index(spark, d).postings, QUERY).select("chunk_id", "document_id")
 
 
 def fused(spark, d):
-    own = chunks(spark, d)
-    return S.rrf_fusion(S.vector_topk(own, query_vector(spark, d)), S.text_topk(S.with_tokens(own), QUERY))
+    own = index(spark, d)
+    return S.rrf_fusion(S.vector_topk(own.chunks, query_vector(spark, d)), S.text_topk(own.postings, QUERY))
 
 
 @query(f"WITH {LEGS_SQL} SELECT chunk_id, document_id, CAST(rank_vector AS INTEGER) AS rank_vector, CAST(rank_text AS INTEGER) AS rank_text, round(score, 9) AS score FROM f")
@@ -91,7 +101,7 @@ FROM top JOIN docs USING (document_id) JOIN chunks USING (chunk_id)"""
 
 
 def found(spark, d, most=S.RESULTS):
-    return S.hybrid_search(S.with_tokens(chunks(spark, d)), documents(spark, d), query_vector(spark, d), QUERY, most)
+    return S.hybrid_search(index(spark, d), documents(spark, d), query_vector(spark, d), QUERY, most)
 
 
 @query(SEARCH_SQL)
@@ -145,14 +155,19 @@ def parse_source(spark, d):
     return literal(spark, "sources").select("id", X.parse_source(F.col("source_file")).alias("p")).select("id", "p.*")
 
 
-@query(f"""WITH p AS (SELECT id, array_to_string(list_filter([CASE WHEN trim(institution) <> '' THEN institution END, CASE WHEN year <> 0 THEN CAST(year AS VARCHAR) END, CASE WHEN trim(title) <> '' THEN title END], lambda x: x IS NOT NULL), ' ') AS raw FROM {literal_sql('slugs')}),
-s AS (SELECT id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(raw), '\\s+', '-', 'g'), '[/\\\\?#%]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 100) AS slug FROM p)
-SELECT id, CASE WHEN slug <> '' THEN slug ELSE '사례' END AS slug FROM s""")
+SLUGS_SQL = f"""WITH p AS (SELECT id, array_to_string(list_filter([CASE WHEN trim(institution) <> '' THEN institution END, CASE WHEN year <> 0 THEN CAST(year AS VARCHAR) END, CASE WHEN trim(title) <> '' THEN title END], lambda x: x IS NOT NULL), ' ') AS raw FROM {literal_sql('slugs')}),
+s AS (SELECT id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(raw), '\\s+', '-', 'g'), '[/\\\\?#%]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 100) AS slug FROM p)"""
+
+
+@query(f"{SLUGS_SQL} SELECT id, CASE WHEN slug <> '' THEN slug ELSE '사례' END AS slug FROM s")
 def case_slug(spark, d):
     return literal(spark, "slugs").select("id", X.case_slug(F.col("institution"), F.col("year"), F.col("title")).alias("slug"))
 
 
-@query()
+KEPT_SQL = "replace(replace(replace(replace(replace(url_encode(%s), '%%21', '!'), '%%27', chr(39)), '%%28', '('), '%%29', ')'), '%%2A', '*')"
+
+
+@query(f"{SLUGS_SQL} SELECT id, '/cases/' || {KEPT_SQL % 'CAST(id AS VARCHAR)'} || '/' || {KEPT_SQL % 'slug'} AS path FROM (SELECT id, CASE WHEN slug <> '' THEN slug ELSE '사례' END AS slug FROM s)")
 def case_path(spark, d):
     own = literal(spark, "slugs").withColumn("slug", X.case_slug(F.col("institution"), F.col("year"), F.col("title")))
     return own.select("id", X.case_path(F.col("id"), F.col("slug")).alias("path"))

@@ -59,11 +59,20 @@ def read_checkpoint(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def replace_checkpoint(rows: DataFrame, folder: str) -> None:
-    """Writes beside the folder and then takes its place, so that a reader sees the old rows or the new ones, never a part."""
+    """Writes beside the folder, moves the old one aside and takes its place; the old one goes last. A move that fails is an error and
+    leaves the old rows where they were, and a crash in between leaves them beside the folder, under a name that begins like its own."""
     spark = rows.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path
-    new, old = path(f"{folder}.{uuid.uuid4().hex}"), path(folder)
+    name = uuid.uuid4().hex
+    new, old, aside = path(f"{folder}.new-{name}"), path(folder), path(f"{folder}.old-{name}")
     rows.write.parquet(new.toString())
     fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    there = fs.exists(old)
+    if there and not fs.rename(old, aside):
+        raise OSError(f"{folder} cannot be moved aside")
+    if not fs.rename(new, old):
+        if there:
+            fs.rename(aside, old)
+        raise OSError(f"{new.toString()} cannot take the place of {folder}")
+    if there:
+        fs.delete(aside, True)

@@ -22,7 +22,7 @@ def append_new(batch: DataFrame, target: str) -> None:
     rows = first_per_key(batch.withColumn("_seq", F.monotonically_increasing_id()), "doc_id", "_seq").drop("_seq")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(target)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        rows = resume(rows, spark.read.parquet(target).select(F.col("document_id").alias("doc_id")).distinct(), "doc_id")
+        rows = resume(rows, spark.read.parquet(target).select(F.col("document_id").alias("doc_id")), "doc_id")
     chunk_rows(rows).write.mode("append").parquet(target)
 
 

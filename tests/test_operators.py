@@ -41,7 +41,7 @@ def test_checkpoints_and_exports(spark, tmp_path):
 
 def test_blank_search_is_an_error(spark):
     with pytest.raises(ValueError):
-        search.search(spark, None, None, [], "  ")
+        search.search(None, None, [], "  ")
 
 
 def test_summaries(spark):

@@ -27,22 +27,6 @@ def test_scans_read_only_what_they_need(spark, sf_dir):
     assert "ReadSchema: struct<doc_id:bigint,lang:string,n_chars:bigint>" in plan(construction.scan_project(spark, sf_dir))
 
 
-def test_similarity_of_all_documents(spark, tmp_path):
-    """Long texts and rows without n_chars are compared like others."""
-    import difflib
-    import re
-
-    from foliant.plans import construction
-
-    texts = ["abc  cba", "short\n\ttext", "The long one. " * 60 + "Its end, without a period", "ab" * 400 + "xyz", "", None]
-    rows = [(i, t, None if t is None or i == 1 else len(t)) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    brute = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
-    flat = lambda x: re.sub(r"\s+", " ", x).strip()
-    want = {i: None if t is None else round(brute(flat(t), flat(t[::-1])), 6) for i, t in enumerate(texts)}
-    assert {r.doc_id: r.ratio for r in construction.seq_similarity(spark, str(tmp_path)).collect()} == want
-
-
 def test_nothing_else_imports_the_subpackage():
     for p in (ROOT / "foliant").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:

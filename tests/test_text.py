@@ -62,15 +62,3 @@ def test_chunk_sizes():
     assert V.chunk_text("a" * 700 + "\n\n" + "b" * 700) == ["a" * 700, "b" * 700]
     assert V.chunk_text("a" * 600 + "\n\n" + "b" * 700) == ["a" * 600 + "\n\n" + "b" * 700]
     assert [len(c) for c in V.chunk_text("x" * 7000)] == [3000, 3000, 1000]
-
-
-def test_sequence_ratio():
-    assert V.sequence_ratio("a  b", "a b") == 1.0
-    assert V.sequence_ratio("abc", "xyz") == 0.0
-    assert V.sequence_ratio("abcd", "abxd") == 0.75
-
-
-def test_tables_of():
-    page = "<table><tr><th>a</th><td> b \n c </td></tr><tr><td>x<table><tr><td>in</td></tr></table></td></tr></table>"
-    assert V.tables_of(page)[0][0] == ["a", "b c"]
-    assert V.tables_of("<td>outside</td>") == []
