@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as X
 from foliant.functions.udfs import preview as preview_udf
 from foliant.functions.vectors import cosine_distance
+from foliant.operators import nearest as N
 from foliant.operators import search as S
 from foliant.plans.literals import literal, literal_sql
 from foliant.plans.registry import query
@@ -67,6 +68,13 @@ def vector_topk(spark, d):
     return S.vector_topk(index(spark, d).chunks, query_vector(spark, d)).withColumn("distance", F.round("distance", 6))
 
 
+@query()
+def vector_cells_topk(spark, d):
+    """The nearest chunks by the index of cells; the test measures its recall."""
+    path = once(spark, f"cells {d}", lambda path: N.write_cells(index(spark, d).chunks, path))
+    return N.nearest(spark, path, query_vector(spark, d), S.LEG)
+
+
 @query(f"WITH {LEGS_SQL} SELECT chunk_id, document_id, score, CAST(rank_text AS INTEGER) AS rank_text FROM t")
 def text_topk(spark, d):
     return S.text_topk(index(spark, d).postings, QUERY)
