@@ -1,6 +1,6 @@
 """A nearest-neighbour index beside the exact scan: vectors in cells around centroids, of which a query reads the nearest few.
 
-Centroids are fitted on a bounded sample (SAMPLE vectors, those whose ids have the smallest hashes); every vector is indexed. Cells are
+Centroids are fitted on a bounded sample (SAMPLE vectors, those whose ids have the smallest hashes); every vector is indexed, in the COPIES cells nearest to it. Cells are
 partitions of the written table, so the cells that are not asked for are never read, and a cell that holds many vectors has many files.
 """
 
@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from foliant.functions.vectors import cosine_distance
 
 SAMPLE, MOST_CELLS, ROUNDS = 10_000, 256, 10
-#: Share of the cells that a query reads.
-PROBED = 0.5
+#: Cells that a vector is in, and the share of the cells that a query reads.
+COPIES, PROBED = 2, 0.5
 
 
 def centroids(own: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
@@ -39,11 +39,12 @@ def write_cells(chunks: DataFrame, path: str, cells: int | None = None) -> None:
     k = min(cells or MOST_CELLS, max(1, int(len(fitted) ** 0.5)), len(fitted))
     middle = centroids(fitted, k) if k else fitted
 
-    @F.pandas_udf(T.IntegerType())
-    def cell(units: pd.Series) -> pd.Series:
-        return pd.Series((np.stack(units).astype(np.float64) @ middle.T).argmax(axis=1) if len(units) else [], dtype="int32")
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def near(units: pd.Series) -> pd.Series:
+        order = np.argsort(-(np.stack(units).astype(np.float64) @ middle.T), axis=1, kind="stable")[:, :COPIES] if len(units) else []
+        return pd.Series([x.astype(np.int32) for x in order], dtype=object)
 
-    own.withColumn("cell", cell("unit")).repartitionByRange("cell", "chunk_id").write.partitionBy("cell").parquet(f"{path}/cells")
+    own.withColumn("cell", F.explode(near("unit"))).repartitionByRange("cell", "chunk_id").write.partitionBy("cell").parquet(f"{path}/cells")
     spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(middle)], "cell int, unit array<double>").coalesce(1).write.parquet(f"{path}/centroids")
 
 
@@ -55,4 +56,5 @@ def nearest(spark: SparkSession, path: str, query: list[float], most: int, probe
     near = np.argsort(-(np.array([r.unit for r in rows]) @ np.asarray(query, float)), kind="stable")[: max(1, int(np.ceil(probed * len(rows))))]
     own = spark.read.parquet(f"{path}/cells").filter(F.col("cell").isin([int(i) for i in near]))
     scored = own.select("chunk_id", "document_id", cosine_distance(F.col("unit"), query).alias("distance"))
-    return scored.filter(F.col("distance").isNotNull()).orderBy("distance", "chunk_id").limit(most)
+    once = scored.filter(F.col("distance").isNotNull()).groupBy("chunk_id", "document_id").agg(F.min("distance").alias("distance"))
+    return once.orderBy("distance", "chunk_id").limit(most)
