@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.sources.shared import shared_dir
 from foliant.sources.ship import ship
 
 #: Largest written size (bytes of Parquet) of a side that may be broadcast; above it the join shuffles.
@@ -29,20 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it. Where that is unset, a temporary one for a local master,
-    whose tasks run here; an error for any other."""
-    if not (at := spark.conf.get("spark.checkpoint.dir", None)):
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        spark.conf.set("spark.checkpoint.dir", at := tempfile.mkdtemp(prefix="foliant-"))
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-    return at.rstrip("/")
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, under that of the application (see :func:`clear`)."""
+    ship(spark)
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that operators of this application have written. Results that were not stored elsewhere go with them."""
+    drop_path(spark, _own(spark))
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, with this package sent to the workers that its Python functions run on."""
+    ship(df.sparkSession)
+    return df
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

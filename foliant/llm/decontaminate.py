@@ -8,8 +8,8 @@ Long documents therefore cost no recall, and what the sketch proposes is verifie
 
 Defined cases: a null or empty text, document or item, contains nothing and is contained nowhere. An item of m < 5
 words is one shingle of m words and is sought among the m-word shingles of documents. Repeated rows give repeated
-results for documents (same doc_id, one row per row) and one for items of equal id and text. Columns other than those
-named are ignored.
+results for documents (same doc_id, one row per row) and one for items of equal id and text. A very long text is searched whole, in a slice of
+its own. Columns other than those named are ignored, and empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, distinct, fold, slices, text_bytes, utf8
+from .common import U64, Words, distinct, fold, shipped, slices, text_bytes, utf8
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -108,7 +108,7 @@ def indexes(benchmark: DataFrame, threshold: float) -> Iterator:
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of a document (doc_id, text) and an item (item_id, text) that it contains, with exact shingle counts."""
-    docs, out = docs.select("doc_id", "text"), None
+    docs, out = shipped(docs).select("doc_id", "text"), None
     for shared in indexes(benchmark, threshold):
 
         def run(batches, shared=shared):
@@ -126,7 +126,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that contain an item. All columns stay, and no text moves between executors."""
-    at = docs.columns.index("text")
+    at = shipped(docs).columns.index("text")
     for shared in indexes(benchmark, threshold):
 
         def run(batches, shared=shared):

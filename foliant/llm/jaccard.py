@@ -16,7 +16,8 @@ overlaps it contributes; documents and pairs that cannot reach their bound are d
    is ever expanded into all its pairs, and no link between different sets is lost.
 
 Defined cases: null and wordless texts have an empty set and link with nothing. Rows of equal doc_id are one document
-for reachability, and each keeps a row. A null doc_id takes no part and has itself (null) as component. An empty table gives an empty result.
+for reachability, and each keeps a row. A null doc_id takes no part and has itself (null) as component. A very long text is one set, hashed in a slice of its own. Other columns are not read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations

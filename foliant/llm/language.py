@@ -12,6 +12,8 @@ a fixed size, so it can be broadcast; the counts it is made of are summed by the
 
 Defined cases: a null text and one without a letter are ``und`` with score 0, as is every text if there is nothing to learn from.
 Training documents with a null lang are left out. Of languages of equal share, the first in alphabetical order. Repeated rows each count.
+A very long text is inferred whole, alone in its slice: some dozen numbers for each of its words and languages. Columns but those named are not read,
+and empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import shipped, slices, utf8
 
 BITS = 16
 SMOOTH = 0.5
@@ -74,7 +76,7 @@ def train_counts(docs: DataFrame) -> DataFrame:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(own[at])], ["lang", "code", "n"])
 
-    rows = docs.filter("lang is not null").select("text", "lang").mapInArrow(run, "lang string, code int, n long")
+    rows = shipped(docs).filter("lang is not null").select("text", "lang").mapInArrow(run, "lang string, code int, n long")
     return rows.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
@@ -167,4 +169,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 every = [[{"lang": m.langs[i], "share": float(row[i])} for i in np.argsort(-row, kind="stable")[:k]] for row, k in zip(pi, n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs), pa.array(score), pa.array(n, pa.int32()), pa.array(every, mixture)], ["doc_id", "lang_pred", "score", "n_langs", "langs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return shipped(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -11,7 +11,7 @@ is laid over the words around it, up to the next blank lines; of the parts that
 saves most bytes wins. It is reported unless the same license is already reported of an overlapping block.
 
 Defined cases: null and empty texts have no blocks. Templates that save equally much rank by their name. Rows each have their own
-results; a block that occurs twice in a text is reported at each place. Within a line or paragraph, a place for names holds at most
+results; a block that occurs twice in a text is reported at each place. Very long texts and lines are read whole. Within a line or paragraph, a place for names holds at most
 SLOT words.
 """
 
@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shipped
+
 LEVEL = 9
 #: A template must save at least this share of the bytes that a block takes alone.
 LEAST_SAVED = 0.25
@@ -254,4 +256,4 @@ def scan(docs: DataFrame) -> DataFrame:
                     rows.append((doc_id, first, last, name, template, plain, size, (plain - size) / plain, missing, extra, block))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * len(schema), schema.types)], schema=schema)
 
-    return docs.select("doc_id", "text").filter(F.col("text").rlike(CUES)).mapInArrow(run, SCHEMA)
+    return shipped(docs).select("doc_id", "text").filter(F.col("text").rlike(CUES)).mapInArrow(run, SCHEMA)

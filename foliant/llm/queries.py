@@ -93,6 +93,19 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce((SELEC
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, b[i:i + 199] AS s FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200)),
+x AS (SELECT r, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM x),
+k AS (SELECT r, k, min(i) AS lo, max(i) + 199 AS hi FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM g) GROUP BY r, k),
+p AS (SELECT r, k, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY r ORDER BY k) AS before FROM k),
+c AS (SELECT r, string_agg(hex(b[before + 1:lo - 1]), '' ORDER BY k) AS kept, max(hi) AS last, sum(hi - lo + 1) AS removed, count(*) AS spans FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(CASE WHEN c.r IS NULL THEN b ELSE unhex(kept || hex(b[last + 1:octet_length(b)])) END) AS kept_sha256
+FROM d LEFT JOIN c ON c.r = d.r
+"""
+
 OP9_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents WHERE doc_id IS NOT NULL),
 t AS (SELECT r, doc_id, w, count(*) AS tf FROM (SELECT r, doc_id, unnest(w) AS w FROM d) GROUP BY r, doc_id, w),
@@ -123,4 +136,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_jaccard": OP4_SQL, "op9_bm25": OP9_SQL, "op10_benchmark_decontamination": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op4_jaccard": OP4_SQL, "op6_repeats": OP6_SQL, "op9_bm25": OP9_SQL, "op10_benchmark_decontamination": OP10_SQL}

@@ -14,7 +14,8 @@ A suffix array of the whole corpus is not needed, only the parts of it in which
 * An anchor with very many different contexts (HOT in one batch) is not gathered: its windows are hashed one by one, and
   counted with a sum per batch before anything moves.
 
-Equal texts are treated as one text that occurs several times. Texts are identified by a 64-bit hash of their bytes.
+Equal texts are treated as one text that occurs several times. Texts are told apart by 128 bits of hashes, contexts by the hashes of their anchor and of
+their whole, windows through hot anchors by 64 bits; contexts that are compared in suffix arrays are compared byte by byte.
 
 Defined cases: a null text counts as empty: 0 bytes, nothing removed, the SHA-256 of nothing. Texts under LENGTH bytes lose
 nothing. Rows of equal doc_id are texts of their own, each with its row.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, SLICE_BYTES, U64, broadcast_if_small, mix, powers, slices, task_lot, text_bytes, utf8, written
+from .common import BYTE_VALUES, SLICE_BYTES, U64, broadcast_if_small, mix, powers, shipped, slices, task_lot, text_bytes, utf8, written
 
 LENGTH, GRAM = 200, 50
 BEFORE = LENGTH - GRAM
@@ -40,6 +41,8 @@ HOT = 64
 #: Anchors or contexts in one block, about.
 BLOCK_ANCHORS, BLOCK_CONTEXTS = 1_000_000, 20_000
 UNIQUE, SETTLED, SEND, WINDOWS = 0, 1, 2, 3
+#: Seed of the second hash of a text; texts that may share the first (chance gives some 30 among 10**11 texts).
+SECOND, MOST_SHARED = 99, 10_000
 
 
 # --- enhanced suffix arrays ----------------------------------------------------------------------------------------
@@ -412,16 +415,23 @@ def _repeated_windows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, owner, text): owner is a 64-bit hash of the text. Texts that share it by chance, as a second hash of the same width tells, have
+    both hashes mixed instead, so that texts are told apart by 128 bits."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("owner"), text.alias("text"))
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(owner, spans): for each text (by hash) the parts [lo, hi) of repeats found in it; they may overlap and pass its end."""
-    spark = docs.sparkSession
-    texts = keyed(docs)
+    rows = docs.select("doc_id", F.xxhash64(text).alias("owner"), F.xxhash64(F.lit(SECOND), text).alias("_second"), text.alias("text"))
+    shared = rows.groupBy("owner").agg(F.min("_second").alias("a"), F.max("_second").alias("b")).filter("a <> b").select("owner").limit(MOST_SHARED + 1).collect()
+    if len(shared) > MOST_SHARED:
+        raise ValueError("too many texts share a 64-bit hash")
+    mixed = F.xxhash64("owner", "_second")
+    owner = F.when(F.col("owner").isin([r.owner for r in shared]), mixed).otherwise(F.col("owner")) if shared else F.col("owner")
+    return rows.select("doc_id", owner.alias("owner"), "text")
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """(owner, spans) of :func:`keyed`: for each text the parts [lo, hi) of repeats found in it; they may overlap and pass its end."""
+    spark = texts.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks = max(least, text_bytes(docs) // 76 // BLOCK_ANCHORS + 1)
+    n_blocks = max(least, text_bytes(texts) // 76 // BLOCK_ANCHORS + 1)
     blocks = texts.select("owner", "text").mapInArrow(_anchor_blocks(n_blocks), ANCHORS)
     marks = written(blocks.groupBy("block").applyInPandas(_repeated, MARKS), "anchors")
     spans = marks.filter(F.col("state") == SETTLED).select("owner", (F.col("place") - BEFORE).cast("long").alias("lo"), (F.col("place") + LENGTH).cast("long").alias("hi"))
@@ -487,7 +497,8 @@ def _cut(texts: bool):
 
 def cut_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``texts`` also the bytes kept and the spans removed."""
-    spans = broadcast_if_small(written(repeated_spans(docs), "spans"))
+    own = keyed(shipped(docs))
+    spans = broadcast_if_small(written(repeated_spans(own), "spans"))
     more = ", kept binary, spans array<struct<lo:long,hi:long>>" if texts else ""
-    joined = keyed(docs).join(spans, "owner", "left").select("doc_id", "text", "spans")
+    joined = own.join(spans, "owner", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut(texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")

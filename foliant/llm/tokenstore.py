@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, _mixed, mix, powers, slices, utf8
+from .common import U64, _mixed, mix, powers, shipped, slices, utf8
 
 END_ID = 0
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, 511
@@ -251,7 +251,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, special: bool = True
 
     spark, wide = docs.sparkSession, max(Tokenizer.from_file(tokenizer).get_vocab().values(), default=0) >= 1 << 16
     spark.createDataFrame([(wide,)], "wide boolean").coalesce(1).write.parquet(f"{path}/layout")
-    raw = docs.select("doc_id", "text").mapInArrow(_objects(tokenizer, wide, special), "kind int, digest binary, blob binary, doc_id long, sizes binary")
+    raw = shipped(docs).select("doc_id", "text").mapInArrow(_objects(tokenizer, wide, special), "kind int, digest binary, blob binary, doc_id long, sizes binary")
     dealt = raw.repartition(F.xxhash64("kind", "digest", "doc_id")).sortWithinPartitions("kind", "digest")
     dealt.mapInArrow(_once, dealt.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     recipes = objects(spark, path, 1).select(F.col("doc_id"), F.col("blob").alias("digests"), "sizes", _ids_of("sizes").alias("n_ids"))
@@ -375,7 +375,7 @@ def document_sums(spark: SparkSession, path: str) -> DataFrame:
     def shifted(crc: pd.Series, after: pd.Series) -> pd.Series:
         return pd.Series(crc_shifted(crc.fillna(0).to_numpy(np.int64), after.to_numpy()).astype(np.int64))
 
-    joined = parts(spark, path).join(chunk_sums(spark, path), "digest", "left")
+    joined = shipped(parts(spark, path)).join(chunk_sums(spark, path), "digest", "left")
     rows = joined.select("doc_id", "start", "run", "n", F.coalesce("ok", F.lit(False)).alias("ok"), shifted("crc", "after").alias("crc"))
     sums = rows.groupBy("doc_id", "start", "run").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"), F.min("ok").alias("ok"))
     bad = F.broadcast(verify(spark, path).select("run", F.lit(True).alias("bad")))  # a row at most for RECIPES_PER_RUN documents
@@ -385,7 +385,7 @@ def document_sums(spark: SparkSession, path: str) -> DataFrame:
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids): documents put together again from their chunks."""
     wide = is_wide(spark, path)
-    joined = parts(spark, path).join(objects(spark, path, 0).select("digest", "blob"), "digest")
+    joined = shipped(parts(spark, path)).join(objects(spark, path, 0).select("digest", "blob"), "digest")
     grouped = joined.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "blob"))).alias("c"))
 
     @F.pandas_udf("array<long>")

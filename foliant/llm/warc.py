@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shipped
+
 MIN_REVISIT = 1000
 #: An ARC file ends with the page that reaches either.
 PAGES_PER_ARC, ARC_BYTES = 200, 16 << 20
@@ -89,7 +91,7 @@ def pages_as_arc(pages: DataFrame) -> DataFrame:
         if rows:
             yield archive()
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "archive string, content binary")
+    return shipped(pages).select("page_id", "url", "html").mapInArrow(run, "archive string, content binary")
 
 
 def inflated(content: bytes) -> bytes:
@@ -172,7 +174,7 @@ def arc_to_records(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in rows], schema=ARROW_RECORDS)
 
-    return archives.select("archive", "content").mapInArrow(run, RECORD_SCHEMA)
+    return shipped(archives).select("archive", "content").mapInArrow(run, RECORD_SCHEMA)
 
 
 _KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
@@ -272,7 +274,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in rows], schema=arrow)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, WARC_SCHEMA)
+    return shipped(files).mapInArrow(run, WARC_SCHEMA)
 
 
 def with_responses(read: DataFrame) -> DataFrame:

@@ -175,6 +175,53 @@ def test_language_mixtures(spark, sf_dir):
     assert language.predict(docs(spark, []), model).count() == 0
 
 
+def plain_mixture(model, text):
+    """Proportions and number of languages by EM in plain loops, word by word."""
+    words = re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())
+    if not words or not any(map(str.isalpha, text)):
+        return None
+    like = []
+    for w in words:
+        c = [0, *[(b - 101) if b >= 128 else (b | 32) - 96 for b in w], 0]
+        codes = [((c[i - 1] * 155 + c[i]) * 155 + c[i + 1]) * 2654435761 % 2**32 >> (32 - language.BITS) for i in range(1, len(c) - 1)]
+        logs = [sum(float(model.logp[x, j]) for x in codes) for j in range(len(model.langs))]
+        like.append([math.exp(max(x - max(logs), -60.0)) for x in logs])
+
+    def em(allowed, rounds):
+        pi = [1 / len(allowed) if j in allowed else 0.0 for j in range(len(model.langs))]
+        for _ in range(rounds):
+            sums = [0.0] * len(pi)
+            for row in like:
+                total = sum(a * p for a, p in zip(row, pi))
+                sums = [s + a * p / total for s, a, p in zip(sums, row, pi)]
+            pi = [s / len(like) for s in sums]
+        return pi, sum(math.log(sum(a * p for a, p in zip(row, pi))) for row in like)
+
+    k = len(model.langs)
+    full = em(set(range(k)), language.ROUNDS)
+    order, best = sorted(range(k), key=lambda j: -full[0][j]), None
+    for n in range(1, k + 1):
+        pi, ll = full if n == k else em(set(order[:n]), language.ROUNDS if n > 1 else 0)
+        value = ll - language.PENALTY * 0.5 * math.log(len(words) + 1) * (n - 1)
+        if best is None or value > best[0] + 1e-9:
+            best = value, pi, n
+    return best[1:]
+
+
+def test_mixtures_are_those_of_plain_em(spark, sf_dir):
+    train = table(spark, sf_dir, "documents")
+    model = language.fit(train.filter("doc_id % 5 <> 0"))
+    some = [(r.doc_id, r.text[:400]) for r in train.filter("doc_id < 12").select("doc_id", "text").collect()]
+    rows = some + [(100, some[0][1][:200] + " " + some[1][1][:200]), (101, "Äpfel und the apples"), (102, None), (103, "1 2"), (104, "語"), (104, "語")]
+    want = {i: plain_mixture(model, t) for i, t in rows}
+    for r in language.predict(docs(spark, rows), model).collect():
+        if want[r.doc_id] is None:
+            assert (r.lang_pred, r.n_langs) == ("und", 0)
+        else:
+            pi, n = want[r.doc_id]
+            assert r.n_langs == n and r.score == pytest.approx(max(pi), abs=1e-4) and pi[model.langs.index(r.lang_pred)] == pytest.approx(max(pi), abs=1e-4)
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------------
 
 
@@ -708,6 +755,30 @@ def test_decontamination(spark, rng):
     many.undo()
 
 
+def test_texts_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    """With a first hash of a few values, texts still keep their own spans."""
+    real = repeats.F.xxhash64
+    first = lambda *c: F.pmod(real(*c), F.lit(3)) if len(c) == 1 else real(*c)
+    monkeypatch.setattr(repeats.F, "xxhash64", first)
+    texts = ["".join(random.Random(i).choice("abcdef ") for _ in range(400)) for i in range(6)]
+    rows = list(enumerate([*texts, texts[0], "x" + texts[1][:250], None]))
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.cut_repeats(docs(spark, rows)).collect())
+    assert got == [(i, *x) for (i, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows]))]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from foliant.sources.shared import shared_dir
+
+    for master, ok in (("local[4]", True), ("local", True), ("spark://host:7077", False), ("local-cluster[2,1,1024]", False)):
+        conf = type("Conf", (), {"get": lambda self, k, d=None: d, "set": lambda self, k, v: None})()
+        session = type("Session", (), {"conf": conf, "sparkContext": type("Context", (), {"master": master})()})()
+        if ok:
+            assert shared_dir(session)
+        else:
+            with pytest.raises(ValueError):
+                shared_dir(session)
+
+
 def test_written_tables_are_in_the_shared_folder(spark):
     df = written(spark.range(3).toDF("x"), "t")
     assert df.count() == 3 and df.foliant_path.startswith(spark.conf.get("spark.checkpoint.dir"))

@@ -3,6 +3,7 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -37,3 +38,38 @@ def test_stages(spark, sf_dir):
     times = collections.Counter(r.doc_id for r in fourth)
     assert set(times) <= set(clean) and max(times.values()) == 2
     assert collections.Counter(r.doc_id for r in last) == times and all(r.valid for r in last)
+
+
+ODD = [(9001, None), (9002, ""), (9003, "one two"), (9004, "word " * 20_000), (9005, None), (9005, None), (None, "a text without an id")]
+
+
+def folder(spark, sf_dir, tmp_path, rows):
+    """A data folder of some documents, and odd ones among them, with columns whose names operators use."""
+    own = table(spark, sf_dir, "documents").filter("doc_id < 60")
+    odd = spark.createDataFrame(ODD, "doc_id long, text string")
+    more = [F.lit(None).cast(t).alias(n) for n, t in own.dtypes if n not in ("doc_id", "text")]
+    odd = odd.select("doc_id", "text", *more).select(own.columns).unionByName(own.filter("doc_id in (3, 4)"))
+    docs = own.unionByName(odd) if rows else own.limit(0)
+    for c in ("n", "block", "size", "h", "words", "shard", "owner", "n_words", "_text", "label"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, sf_dir, "labels").filter("true" if rows else "false").write.parquet(str(tmp_path / "labels.parquet"))
+    table(spark, sf_dir, "benchmark").filter("true" if rows else "false").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_run_of_odd_rows(spark, sf_dir, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through every stage; the run is that of its stages."""
+    at = folder(spark, sf_dir, tmp_path, True)
+    docs, seen = table(spark, at, "documents"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, at), name)
+        assert docs.columns == table(spark, at, "documents").columns
+        seen.append(collections.Counter(r.doc_id for r in docs.collect()))
+    assert seen[1] <= seen[0] and seen[2] <= seen[1] and set(seen[3]) <= set(seen[2])
+    got = corpus_pipeline.run(spark, at).collect()
+    assert collections.Counter(r.doc_id for r in got) == seen[3] and all(r.valid for r in got)
+
+
+def test_run_of_nothing(spark, sf_dir, tmp_path):
+    assert corpus_pipeline.run(spark, folder(spark, sf_dir, tmp_path, False)).count() == 0
