@@ -89,7 +89,7 @@ def preflight(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame) ->
 def sample_reuse(rows: DataFrame, done: DataFrame, size: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """A random sample by hash of the key, rows already processed first."""
     marked = rows.join(done.select(key, F.lit(1).alias("_done")), key, "left")
-    order = [F.col("_done").isNull(), F.xxhash64(F.lit(seed), key), F.col(key)]
+    order = [F.col("_done").isNull(), F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]
     return marked.orderBy(*order).limit(size).withColumn("reused", F.col("_done").isNotNull()).drop("_done")
 
 

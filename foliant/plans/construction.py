@@ -174,7 +174,8 @@ def id_except(spark, d):
     return U.id_except(table(spark, d, "documents").filter("lang = 'de'"), table(spark, d, "labels"), "doc_id")
 
 
-@query()
+@query(f"""SELECT d.doc_id, lang, r.doc_id IS NOT NULL AS reused FROM documents d LEFT JOIN {literal_sql('done')} r ON r.doc_id = d.doc_id
+ORDER BY r.doc_id IS NULL, md5('42:' || d.doc_id), d.doc_id LIMIT 100""")
 def sample_reuse(spark, d):
     return C.sample_reuse(table(spark, d, "documents").select("doc_id", "lang"), literal(spark, "done"), 100)
 
