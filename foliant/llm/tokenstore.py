@@ -27,6 +27,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import groupby, repeat
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
@@ -38,28 +39,27 @@ from .common import U64, _mixed, mix, powers, shipped, slices, utf8
 
 END_ID = 0
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, 511
-#: Words whose ids a Python worker keeps, if they have at most LONG characters; chunks that a task remembers having sent.
-CACHED, LONG, REMEMBERED = 900_000, 64, 300_000
+#: Pieces whose ids a Python worker keeps, if they have at most LONG characters; chunks that a task remembers having sent.
+CACHED, LONG, REMEMBERED = 500_000, 32, 300_000
 RECIPES_PER_RUN = 200_000
 DIGEST = 16
-#: A space between two characters of which neither is white space: the pre-tokenizer below cuts there, whatever stands around.
-SAFE = re.compile(r"(?<=\S) (?=\S)")
-BLANK = re.compile(r"\s")
-#: Fixed value: the pre-tokenizer for which that holds, as tokenizer files name it.
+#: Fixed value: the pre-tokenizer's pattern. Of characters of :func:`usual` kinds, re's classes are the pattern's own.
+PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Fixed value: the pre-tokenizer with that pattern, as tokenizer files name it.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 _encoders: dict = {}
 
 
-def kind(word) -> int:
-    """Of a word to be encoded: 0 and 1 are short, 2 and 3 long, 1 and 3 with white space inside, 4 a text to be encoded as it is."""
-    return 4 if isinstance(word, tuple) else 2 * (len(word) > LONG) + bool(BLANK.search(word))
+def usual(c: str) -> bool:
+    """Whether a character is a letter, a decimal digit, or neither of these nor a number, to re and to the pattern alike."""
+    return not "\x1c" <= c <= "\x1f" and (not c.isnumeric() or c.isdecimal() or c.isalpha() and not category(c).startswith("N"))
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with a cache of words.
+    """Ids of whole texts by the tokenizers library, with a cache of pieces.
 
-    Merges never cross the pieces that the pre-tokenizer cuts a text into, so what stands between two safe cuts needs encoding
-    once. Texts that hold a special token's string are encoded whole, and so is every text if the tokenizer cuts in another way.
+    Merges never cross the pieces that the pre-tokenizer cuts a text into, so each distinct piece needs encoding once. Texts with a special
+    token's string or an unusual character are encoded whole, and so is every text if the tokenizer cuts in another way.
     """
 
     def __init__(self, path: str, special: bool = True):
@@ -69,12 +69,14 @@ class Encoder:
         self.tokenizer.encode_special_tokens = not special
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        how = json.loads(self.tokenizer.to_str())
-        own = how["pre_tokenizer"] or {}
-        self.cuts = how["normalizer"] is None and {k: own.get(k) for k in BYTE_LEVEL} == BYTE_LEVEL and not how["model"].get("dropout")
-        named = [x["content"] for x in how["added_tokens"] if special or not x["special"]]
+        cutter = self.tokenizer.pre_tokenizer
+        own = json.loads(cutter.__getstate__()) if cutter else {}
+        plain = self.tokenizer.normalizer is None and not getattr(self.tokenizer.model, "dropout", None)
+        self.cuts = plain and {k: own.get(k) for k in BYTE_LEVEL} == BYTE_LEVEL
+        named = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if special or not x.special]
         self.named = re.compile("|".join(map(re.escape, named))) if named else None
-        self.slots: dict[str, int] = {}  # word behind a space to its place in begin and lengths
+        self.seen: set[str] = set()  # usual characters
+        self.slots: dict[str, int] = {}  # piece to its place in begin and lengths
         self.flat, self.begin, self.lengths = array("I", [END_ID]), array("q", [0]), array("q", [1])
         newline = self._whole(["\n"])[0]
         self.newline = int(newline[0]) if len(newline) == 1 else None
@@ -82,44 +84,53 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encoded(self, words: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids, number of ids of each word), run by run. Words without white space are encoded as the lines of one text: a
-        newline is a piece of its own there, with an id that nothing else has. A tuple holds a text to be encoded as it is."""
-        for lines, run in groupby(words, lambda x: kind(x) in (0, 2) and self.newline is not None):
+    def _pieces(self, text: str) -> list:
+        """What a text is encoded from: its pieces, or itself as the one element of a tuple."""
+        if not self.cuts or self.named and self.named.search(text):
+            return [(text,)]
+        if not self.seen.issuperset(own := set(text)):
+            if not all(map(usual, own - self.seen)):
+                return [(text,)]
+            self.seen |= own
+        return PIECES.findall(text)
+
+    def _encoded(self, pieces: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of ids of each piece), run by run. Pieces that are no white space are encoded as the lines of one text: a
+        newline is a piece of its own there, with an id that nothing else has."""
+        for lines, run in groupby(pieces, lambda x: kind(x) in (0, 2) and self.newline is not None):
             run = list(run)
             for a in range(0, len(run), 4096):
                 own = run[a : a + 4096]
                 if lines:
-                    (ids,) = self._whole([" " + "\n ".join(own)])
+                    (ids,) = self._whole(["\n".join(own)])
                     ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
                     yield ids[ids != self.newline], np.diff(ends, prepend=-1) - 1
                 else:
-                    each = self._whole([x[0] if isinstance(x, tuple) else " " + x for x in own])
+                    each = self._whole([x[0] if isinstance(x, tuple) else x for x in own])
                     yield np.concatenate(each), np.array([len(x) for x in each])
 
-    def _learn(self, words: list) -> dict:
-        """Places of new words. The first CACHED short ones stay; the others are there for one call."""
-        words.sort(key=kind)
-        kept = max(0, min(sum(kind(x) < 2 for x in words), CACHED - len(self.slots)))
-        found = dict(zip(words, range(len(self.begin), len(self.begin) + len(words))))
-        for ids, lengths in self._encoded(words):
+    def _learn(self, pieces: list) -> dict:
+        """Places of new pieces. The first CACHED short ones stay; the others are there for one call."""
+        pieces.sort(key=kind)
+        kept = max(0, min(sum(kind(x) < 2 for x in pieces), CACHED - len(self.slots)))
+        found = dict(zip(pieces, range(len(self.begin), len(self.begin) + len(pieces))))
+        for ids, lengths in self._encoded(pieces):
             self.begin.frombytes((len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int64).tobytes())
             self.lengths.frombytes(lengths.astype(np.int64).tobytes())
             self.flat.frombytes(ids.tobytes())
-        self.slots.update((p, found[p]) for p in words[:kept])
+        self.slots.update((p, found[p]) for p in pieces[:kept])
         return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of ids of each text."""
-        words, counts = [], []
+        pieces, counts = [], []
         for text in texts:
-            own = SAFE.split(text) if self.cuts and not (self.named and self.named.search(text)) else [text]
-            words.append((own[0],))
-            words += own[1:]
+            own = self._pieces(text)
+            pieces += own
             counts.append(len(own))
-        at = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int64, len(words))
+        at = np.fromiter(map(self.slots.get, pieces, repeat(-1)), np.int64, len(pieces))
         if len(lacking := np.flatnonzero(at < 0)):
-            new = [words[i] for i in lacking.tolist()]
+            new = [pieces[i] for i in lacking.tolist()]
             found = self._learn(list(dict.fromkeys(new)))
             at[lacking] = [found[p] for p in new]
         at = np.insert(at, np.cumsum(counts, dtype=np.int64), 0)  # slot 0: the end id
@@ -133,6 +144,11 @@ class Encoder:
         return out
 
 
+def kind(piece) -> int:
+    """0 and 1 are short, 2 and 3 long, 1 and 3 white space; 4 is a text to be encoded as it is."""
+    return 4 if isinstance(piece, tuple) else 2 * (len(piece) > LONG) + piece.isspace()
+
+
 def encoder(path: str, special: bool = True) -> Encoder:
     if (path, special) not in _encoders:
         _encoders[path, special] = Encoder(path, special)
