@@ -7,6 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from foliant.functions import blocks as B
 from foliant.functions import text as X
 from foliant.operators import layout as L
 from foliant.operators import markup as M
@@ -15,6 +16,7 @@ from foliant.operators import summaries as Z
 from foliant.plans.auditing import LINES_SQL
 from foliant.plans.literals import literal, literal_sql
 from foliant.plans.registry import query
+from foliant.plans.repairing import GLYPHS_SQL as GLYPHS_MASKED_SQL
 from foliant.sources.tables import table
 
 REPORTS = [
@@ -39,7 +41,25 @@ def document_blocks(spark, d):
     return T.blocks(reports(spark, d))
 
 
-@query()
+LINE_SQL = f"""l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, w[i] AS text, regexp_replace(regexp_replace(w[i], '^\\s+', ''), '\\s+$', '') AS t
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM {REPORTS_SQL})))"""
+
+
+def _fits(pattern: str) -> str:
+    """The test of a pattern in SQL, where classes are ASCII's and there is no looking ahead."""
+    return "regexp_matches(t, '" + pattern.removeprefix("(?U)").replace("(?=[^a-z\\s])", "[^a-z\\s]").replace("'", "''") + "')"
+
+
+_group = lambda p, n: "regexp_extract(t, '^" + p + f"(.*?)$', {n})"
+FIELD_SQL = {n: "coalesce(" + ", ".join(f"CASE WHEN {_group(p, 2)} <> '' THEN {_group(p, n)} END" for p in B.FIELDS) + ")" for n in (1, 2)}
+LIST_SQL = f"""({_fits(B.SYLLABLE_ITEM)} AND length(t) <= {B.SHORT}) OR ({_fits(B.NUMBERED)} AND (length(t) <= {B.SHORT}
+  OR (length(t) <= {B.LAW_LENGTH} AND {_fits(B.LAW_HINT)} AND NOT {_fits(B.SENTENCE_END)}) OR {_fits('^' + B.CITATION + '$')}))"""
+CLASS_SQL = f"""CASE WHEN t = '' THEN 'blank' WHEN {LIST_SQL} OR {' OR '.join(map(_fits, [B.TITLE, B.IN_PARENTHESES, *B.HEADINGS]))} THEN 'heading' WHEN {FIELD_SQL[1]} IS NOT NULL THEN 'field'
+  WHEN {_fits(B.SOURCE_NOTE)} OR {_fits(B.SECURITY_NOTICE)} OR (contains(t, '_') AND {_fits(B.WATERMARK)}) OR length(t) - length(regexp_replace(t, '\\(cid:\\d+\\)', '', 'g')) > 0.3 * length(t) THEN 'caption'
+  WHEN {' OR '.join(map(_fits, [B.BULLET, B.FONT_BULLET, B.PERSON]))} THEN 'bullet' ELSE 'body' END"""
+
+
+@query(f"WITH {LINE_SQL} SELECT doc_id, line, text, {CLASS_SQL} AS kind FROM l")
 def line_classes(spark, d):
     return T.line_classes(reports(spark, d))
 
@@ -59,7 +79,7 @@ def render_anomalies(spark, d):
     return T.render_anomalies(reports(spark, d))
 
 
-@query()
+@query(f"WITH {LINE_SQL} SELECT doc_id, line, {FIELD_SQL[1]} AS label, {FIELD_SQL[2]} AS value FROM l WHERE label IS NOT NULL")
 def field_labels(spark, d):
     return T.field_labels(reports(spark, d))
 
@@ -103,22 +123,46 @@ def glyphs(spark):
     return spark.createDataFrame(glyph_rows(), "doc_id long, page int, page_width double, fragment int, seq int, c string, x0 double, y0 double, x1 double, y1 double")
 
 
-@query()
+GLYPHS_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({d}, {p}, {w}, {f}, {i}, '{c}', {x0}, {y0}, {x1}, {y1})" for d, p, w, f, i, c, x0, y0, x1, y1 in glyph_rows()) + ") g(doc_id, page, page_width, fragment, seq, c, x0, y0, x1, y1))"
+ROWS_SQL = f"""g AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, page, CAST(page_width AS DOUBLE) AS page_width, fragment, seq, c, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM {GLYPHS_SQL}),
+b0 AS (SELECT doc_id, page, fragment, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, max(page_width) AS page_width FROM g GROUP BY 1, 2, 3),
+b1 AS (SELECT *, CASE WHEN abs(y0 - lag(y0) OVER w) <= {L.ROW_TOLERANCE} THEN 0 ELSE 1 END AS new FROM b0 WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0, fragment)),
+b2 AS (SELECT * EXCLUDE (new), CAST(sum(new) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, fragment) AS BIGINT) AS band FROM b1),
+b3 AS (SELECT *, CASE WHEN x0 - lag(x1) OVER w <= {L.ROW_GAP} THEN 0 ELSE 1 END AS new, row_number() OVER w AS place FROM b2 WINDOW w AS (PARTITION BY doc_id, page, band ORDER BY x0, y0, fragment)),
+r AS (SELECT * EXCLUDE (new), CAST(sum(new) OVER (PARTITION BY doc_id, page, band ORDER BY x0, y0, fragment) AS BIGINT) AS part FROM b3)"""
+TEXTS_SQL = f"""{ROWS_SQL}, o AS (SELECT r.*, g.seq, g.c, g.x0 AS gx0, g.x1 AS gx1 FROM g JOIN r USING (doc_id, page, fragment)),
+s AS (SELECT *, CASE WHEN gx0 - lag(gx1) OVER w >= {L.SPACE_GAP} AND lag(c) OVER w <> ' ' AND c <> ' ' THEN ' ' || c ELSE c END AS s FROM o WINDOW w AS (PARTITION BY doc_id, page, band, part ORDER BY place, seq)),
+n AS (SELECT * FROM (SELECT doc_id, page, band, part, trim(string_agg(s, '' ORDER BY place, seq)) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(page_width) AS page_width FROM s GROUP BY 1, 2, 3, 4) WHERE text <> '')"""
+
+
+def _columns_sql(width: int, least: int) -> str:
+    return f"""wide AS (SELECT * FROM n WHERE x1 - x0 > {width} AND length(text) > {least}),
+st AS (SELECT *, row_number() OVER w AS k, lead(x0) OVER w - x0 AS gap FROM wide WINDOW w AS (PARTITION BY doc_id, page ORDER BY x0, y0)),
+sp AS (SELECT doc_id, page, x0 AS split_x FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, page) AS lines FROM st QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY gap DESC NULLS LAST, k DESC) = 1)
+  WHERE lines >= {L.LEAST_LINES} AND gap > page_width * {L.GAP_SHARE}),
+sd AS (SELECT doc_id, page, split_x, x0 > split_x AS side FROM wide JOIN sp USING (doc_id, page) GROUP BY 1, 2, 3, 4 HAVING count(*) >= {L.LEAST_SIDE} AND max(y0) - min(y0) > {L.LEAST_SPAN}),
+cols AS (SELECT doc_id, page, split_x FROM sd GROUP BY 1, 2, 3 HAVING count(*) = 2)"""
+
+
+@query(f"WITH {ROWS_SQL} SELECT doc_id, page, fragment, band, part FROM r")
 def pdf_rows(spark, d):
     return L.page_rows(glyphs(spark)).select("doc_id", "page", "fragment", "band", "part")
 
 
-@query()
+@query(f"WITH {TEXTS_SQL}, {_columns_sql(L.LINE_WIDTH, 0)} SELECT * FROM cols")
 def pdf_columns(spark, d):
     return L.two_columns(L.page_lines(glyphs(spark)))
 
 
-@query()
+@query(f"""WITH {TEXTS_SQL}, {_columns_sql(L.LINE_WIDTH, 0)},
+o2 AS (SELECT n.*, CASE WHEN x0 > split_x THEN 1 ELSE 0 END AS side FROM n LEFT JOIN cols USING (doc_id, page)),
+t AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page, side, y0, band, part) FILTER (NOT regexp_matches(text, '^-\\s*\\d+\\s*-$')) AS text FROM o2 GROUP BY doc_id)
+SELECT doc_id, {GLYPHS_MASKED_SQL} AS text FROM t""")
 def pdf_text(spark, d):
     return L.document_text(glyphs(spark))
 
 
-@query()
+@query(f"WITH {TEXTS_SQL}, {_columns_sql(L.BLOCK_WIDTH, L.BLOCK_TEXT)} SELECT * FROM cols")
 def multicolumn_pages(spark, d):
     return L.multicolumn_pages(L.page_lines(glyphs(spark)))
 
@@ -184,6 +228,6 @@ def summary_cache(spark, d):
     return Z.cache(literal(spark, "summary_rows"), literal(spark, "summary_results")).select("doc_id", "summary_point", "summary_result", "summary_failed")
 
 
-@query()
+@query("SELECT doc_id, '지적사항 한 문장' AS point, '원인 한 문장' AS cause, '조치사항 한 문장' AS action, '처리결과 한 문장' AS result, false AS failed FROM documents")
 def summarise_documents(spark, d):
     return Z.summarise(table(spark, d, "documents"), Z.stub)
