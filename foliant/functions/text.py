@@ -173,7 +173,8 @@ def _within(c: Column, chain: str, change) -> Column:
 
     def rewritten(x: Column) -> Column:
         between, found = F.split(x, chain, -1), F.regexp_extract_all(x, F.lit(chain), F.lit(0))
-        return F.array_join(F.zip_with(between, F.transform(found, change), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        joined = F.array_join(F.zip_with(between, F.transform(found, change), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(x.rlike(chain), joined).otherwise(x)
 
     return F.get(F.transform(F.array(c), rewritten), F.lit(0))
 
