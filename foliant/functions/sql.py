@@ -1,10 +1,11 @@
-"""The Arrow UDFs by name for SQL."""
+"""Functions by name for SQL: the Arrow UDFs, and the class of a line as an expression."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from foliant.functions import udfs
+from foliant.functions import blocks, udfs
 
 FUNCTIONS = {"chunk_text": udfs.chunks, "build_preview": udfs.preview, "strip_markup": udfs._without_leak, "html_unescape": udfs.html_unescape}
 
@@ -13,3 +14,6 @@ def register(spark: SparkSession) -> None:
     """Afterwards ``SELECT explode(chunk_text(text)) FROM documents`` and the like work."""
     for name, f in FUNCTIONS.items():
         spark.udf.register(name, f)
+    rows = spark.range(1).select(F.lit("").alias("line")).select(blocks.line_class(F.col("line")).alias("kind"))
+    expression = rows._jdf.queryExecution().analyzed().expressions().head().child().sql()
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION line_class(line STRING) RETURNS STRING RETURN {expression}")
