@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, licenses, mixing, quality, repeats, tokenstore, topk, warc
+from . import jaccard, language, licenses, mixing, quality, repeats, sharding, tokenstore, topk, variants, warc, whitening
 from .common import broadcast_if_small, new_path, table, written
 from .decontaminate import contained_items
 
@@ -71,6 +71,36 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sharding.write_shards(docs, path := new_path(spark, "shards"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return sharding.read_shards(spark, path, docs.schema).select(
+        "doc_id", sharding.record_bytes().alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+#: One run in so many loses a letter, so that variants stand in the texts.
+WORN = 31
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.counted(variants.worn(variants.runs(table(spark, sf_dir, "documents")), WORN)))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = whitening.usable(table(spark, sf_dir, "embeddings"))
+    if (model := whitening.fit(own)) is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    rows = whitening.whitened(own.select("vec_id", "embedding"), model)
+    explained = F.array(*[F.lit(float(e / model.trace)) for e in model.eigenvalues[: whitening.COMPONENTS]])
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(whitening.identity_error(rows)).alias("identity_error"),
+    )
+
+
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 OP1_SQL = """
@@ -130,10 +160,28 @@ SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_item_shingles, CAST(count(*) AS
 FROM bs JOIN ds USING (m, s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING 5 * count(*) >= 4 * n
 """
 
+#: CRC32 by its table, over the UTF-8 bytes of texts of ASCII characters and letters up to U+00FF.
+CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(s, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))),
+  lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT)"""
+OP12_SQL = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+h AS (SELECT run, m, {CRC_SQL} AS h FROM (SELECT run, count(*) AS m, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s FROM r GROUP BY doc_id, run), crc),
+o AS (SELECT m, CASE WHEN h % {WORN} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+d AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b USING (i, k) WHERE a.word <> b.word
+      UNION SELECT w.word, d.word FROM w JOIN d ON d.k = w.word UNION SELECT d.word, w.word FROM w JOIN d ON d.k = w.word),
+c AS (SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS place FROM p JOIN w ON w.word = b),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN c.n >= 10 * w.n THEN b END AS form, CASE WHEN c.n >= 10 * w.n THEN c.n END AS form_n FROM w LEFT JOIN c ON a = word AND place = 1),
+z AS (SELECT word, word AS at, form AS up FROM f UNION ALL SELECT z.word, f.word, f.form FROM z JOIN f ON f.word = z.up)
+SELECT f.*, z.at AS root FROM f JOIN z ON z.word = f.word AND z.up IS NULL
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_jaccard": OP4_SQL, "op6_repeats": OP6_SQL, "op9_bm25": OP9_SQL, "op10_benchmark_decontamination": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op4_jaccard": OP4_SQL, "op6_repeats": OP6_SQL, "op9_bm25": OP9_SQL, "op10_benchmark_decontamination": OP10_SQL, "op12_variants": OP12_SQL}
