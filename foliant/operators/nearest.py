@@ -1,60 +1,200 @@
-"""A nearest-neighbour index beside the exact scan: vectors in cells around centroids, of which a query reads the nearest few.
+"""A nearest-neighbour index: cells around centroids, codes of what vectors differ from these by, and the vectors themselves by id.
 
-Centroids are fitted on a bounded sample (SAMPLE vectors, those whose ids have the smallest hashes); every vector is indexed, in the COPIES cells nearest to it. Cells are
-partitions of the written table, so the cells that are not asked for are never read, and a cell that holds many vectors has many files.
+Of a vector the index keeps its cell and, for every SUB dimensions of the rest, the number of the nearest of 256 code words: a byte in place of SUB floats. A search has two steps. The
+first reads codes only, those of the cells nearest to the query, and then of every other cell that can hold one of its neighbours: no vector of a cell is nearer than the cell's radius allows,
+and the vectors found already, less what their codes lose, say how near it must be. The second reads the exact vectors of a short list by id (:mod:`foliant.sources.points`) and ranks these.
+Cells are skipped without loss; what recall there is to lose is in the short list.
+
+Centroids and code words are fitted on a bounded sample (SAMPLE vectors at most, those whose ids have the smallest hashes); every vector is indexed. Cells are partitions of the written table, so
+a cell with many vectors has many files. The fitted numbers reach the driver and the tasks: at most MOST_CELLS + 256 vectors.
+
+Vectors that are null, zero or of another length than most of the sample are not indexed; a query of another length finds nothing.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.functions.vectors import cosine_distance
+from foliant.sources.points import read_points, write_points
 
-SAMPLE, MOST_CELLS, ROUNDS = 10_000, 256, 10
-#: Cells that a vector is in, and the share of the cells that a query reads.
-COPIES, PROBED = 2, 0.5
+SAMPLE, MOST_CELLS, ROUNDS = 100_000, 4096, 8
+#: Dimensions of a code word, and how many words there are at most.
+SUB, WORDS = 2, 256
+#: The short list, as a multiple of what is asked for; vectors whose codes the first step reads before it looks for more cells, as a multiple of that list.
+SHORT, FIRST = 1.4, 4
+HIT = "query_id long, chunk_id string, document_id long, near double, lost double"
 
 
-def centroids(own: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
-    """Spherical k-means: unit vectors to unit centroids."""
-    out = own[np.random.default_rng(seed).choice(len(own), cells, replace=False)]
+def clusters(own: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
+    """k-means."""
+    out = own[np.random.default_rng(seed).choice(len(own), k, replace=False)]
     for _ in range(rounds):
-        nearest = (own @ out.T).argmax(axis=1)
-        sums = np.zeros_like(out)
-        np.add.at(sums, nearest, own)
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        out = np.where(size > 0, sums / np.maximum(size, 1e-12), out)
+        at = closest(own, out)
+        sums, n = np.zeros_like(out), np.bincount(at, minlength=k)[:, None]
+        np.add.at(sums, at, own)
+        out = np.where(n > 0, sums / np.maximum(n, 1), out)
     return out
 
 
+def closest(own: np.ndarray, centres: np.ndarray, block: int = 4096) -> np.ndarray:
+    """For each row the place of the centre next to it."""
+    size = (centres**2).sum(axis=1)
+    parts = [(size - 2 * own[k : k + block] @ centres.T).argmin(axis=1) for k in range(0, len(own), block)]
+    return np.concatenate(parts) if parts else np.zeros(0, int)
+
+
+@dataclass
+class Codes:
+    """centres [cells, d]; words: for each group of dimensions [words, SUB or fewer]."""
+
+    centres: np.ndarray
+    words: list[np.ndarray]
+
+    @staticmethod
+    def fit(sample: np.ndarray, cells: int | None = None) -> Codes:
+        k = min(cells or MOST_CELLS, max(1, int(len(sample) ** 0.5)))
+        centres = clusters(sample, k)
+        rest = sample - centres[closest(sample, centres)]
+        words = [clusters(np.ascontiguousarray(rest[:, j : j + SUB]), min(WORDS, max(1, len(sample) // 2))) for j in range(0, sample.shape[1], SUB)]
+        return Codes(centres, words)
+
+    def encode(self, own: np.ndarray) -> pd.DataFrame:
+        cell = closest(own, self.centres)
+        rest = own - self.centres[cell]
+        code = np.stack([closest(rest[:, SUB * j : SUB * j + SUB], w) for j, w in enumerate(self.words)], axis=1).astype(np.uint8)
+        lost = rest - np.concatenate([w[code[:, j]] for j, w in enumerate(self.words)], axis=1)
+        return pd.DataFrame({"cell": cell.astype(np.int32), "code": [x.tobytes() for x in code], "apart": np.linalg.norm(rest, axis=1), "lost": np.linalg.norm(lost, axis=1)})
+
+    def near(self, cell: np.ndarray, code: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Products of the query with the vectors that the codes stand for."""
+        out = (self.centres @ query)[cell]
+        for j, w in enumerate(self.words):
+            out += (w @ query[SUB * j : SUB * j + SUB])[code[:, j]]
+        return out
+
+
 def write_cells(chunks: DataFrame, path: str, cells: int | None = None) -> None:
-    """Of (chunk_id, document_id, unit): ``path/cells`` by cell, and ``path/centroids``. Rows without a vector are left out."""
+    """Of (chunk_id, document_id, unit), chunk_id unique: codes by cell, cells, code words, and vectors by id."""
     spark, own = chunks.sparkSession, chunks.filter(F.col("unit").isNotNull()).select("chunk_id", "document_id", "unit")
     sample = own.select("unit", F.xxhash64("chunk_id").alias("_h")).orderBy("_h").limit(SAMPLE).toPandas()["unit"]
-    fitted = np.stack(sample).astype(np.float64) if len(sample) else np.zeros((0, 0))
-    k = min(cells or MOST_CELLS, max(1, int(len(fitted) ** 0.5)), len(fitted))
-    middle = centroids(fitted, k) if k else fitted
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def near(units: pd.Series) -> pd.Series:
-        order = np.argsort(-(np.stack(units).astype(np.float64) @ middle.T), axis=1, kind="stable")[:, :COPIES] if len(units) else []
-        return pd.Series([x.astype(np.int32) for x in order], dtype=object)
-
-    own.withColumn("cell", F.explode(near("unit"))).repartitionByRange("cell", "chunk_id").write.partitionBy("cell").parquet(f"{path}/cells")
-    spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(middle)], "cell int, unit array<double>").coalesce(1).write.parquet(f"{path}/centroids")
-
-
-def nearest(spark: SparkSession, path: str, query: list[float], most: int, probed: float = PROBED) -> DataFrame:
-    """(chunk_id, document_id, distance) of the nearest chunks in the cells nearest to the query; ties by id. With ``probed`` 1 it is exact."""
-    rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # at most MOST_CELLS
-    if not rows:
-        return spark.createDataFrame([], "chunk_id string, document_id long, distance double")
-    near = np.argsort(-(np.array([r.unit for r in rows]) @ np.asarray(query, float)), kind="stable")[: max(1, int(np.ceil(probed * len(rows))))]
-    own = spark.read.parquet(f"{path}/cells").filter(F.col("cell").isin([int(i) for i in near]))
-    scored = own.select("chunk_id", "document_id", cosine_distance(F.col("unit"), query).alias("distance"))
-    once = scored.filter(F.col("distance").isNotNull()).groupBy("chunk_id", "document_id").agg(F.min("distance").alias("distance"))
-    return once.orderBy("distance", "chunk_id").limit(most)
+    length = int(sample.map(len).mode().max()) if len(sample) else 0
+    fitted = np.stack(sample[sample.map(len) == length]).astype(np.float64) if length else np.zeros((0, 0))
+    own = own.filter(F.size("unit") == length)
+    codes = Codes.fit(fitted, cells) if length else Codes(fitted, [])
+
+    @F.pandas_udf("cell int, code binary, apart double, lost double")
+    def coded(units: pd.Series) -> pd.DataFrame:
+        return codes.encode(np.stack(units).astype(np.float64)) if len(units) else pd.DataFrame({"cell": [], "code": [], "apart": [], "lost": []})
+
+    rows = own.select("chunk_id", "document_id", coded("unit").alias("e")).select("chunk_id", "document_id", "e.*")
+    rows.repartitionByRange("cell", "chunk_id").write.partitionBy("cell").parquet(f"{path}/codes")
+    stored = _codes(spark, path)
+    found = stored.groupBy("cell").agg(F.count("*").alias("n"), F.max("apart").alias("radius"))
+    middle = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(codes.centres)], "cell int, centre array<double>")
+    found.join(middle, "cell").coalesce(1).write.parquet(f"{path}/cells")
+    spark.createDataFrame([(j, w.ravel().tolist()) for j, w in enumerate(codes.words)], "place int, words array<double>").coalesce(1).write.parquet(f"{path}/words")
+    write_points(own, f"{path}/vectors", "chunk_id")
+
+
+def _codes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("chunk_id string, document_id long, code binary, apart double, lost double, cell int").parquet(f"{path}/codes")
+
+
+def _best(rows: DataFrame, most: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "chunk_id")
+    return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
+
+
+def _scan(spark: SparkSession, path: str, codes: Codes, number: np.ndarray, queries: dict[int, np.ndarray], cells: dict[int, list[int]], short: int) -> DataFrame:
+    """Of each query the ``short`` best by code in its cells. Tasks put out their own best only."""
+    wanted = {q: np.isin(number, c) for q, c in cells.items()}
+    row_of = np.full(int(number.max(initial=-1)) + 1, -1)
+    row_of[number] = np.arange(len(number))
+
+    def run(frames):
+        best: dict[int, pd.DataFrame] = {}
+        for f in frames:
+            at, code = row_of[f["cell"].to_numpy()], np.frombuffer(b"".join(f["code"]), np.uint8).reshape(len(f), -1)
+            for q, query in queries.items():
+                if (there := np.flatnonzero(wanted[q][at])).size:
+                    own = f.iloc[there][["chunk_id", "document_id", "lost"]].assign(query_id=q, near=codes.near(at[there], code[there], query))
+                    both = pd.concat([best[q], own]) if q in best else own
+                    best[q] = both.sort_values(["near", "chunk_id"], ascending=[False, True]).head(short)
+        for own in best.values():
+            yield own[[x.split()[0] for x in HIT.split(", ")]]
+
+    union = sorted({int(c) for x in cells.values() for c in x})
+    rows = _codes(spark, path).filter(F.col("cell").isin(union) if union else F.lit(False)).select("chunk_id", "document_id", "cell", "code", "lost")
+    return _best(rows.mapInPandas(run, HIT), short)
+
+
+def nearest_to(spark: SparkSession, path: str, queries: dict[int, list[float]], most: int, short: float = SHORT) -> DataFrame:
+    """(query_id, chunk_id, document_id, distance, rank) of the nearest chunks of each of a few queries by cosine distance; ties by id. Bounded lists pass through the driver."""
+    none = spark.createDataFrame([], "query_id long, chunk_id string, document_id long, distance double, rank int")
+    cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()  # at most MOST_CELLS
+    if not cells:
+        return none
+    number, centres = np.array([r["cell"] for r in cells]), np.array([r.centre for r in cells])
+    words = [np.array(r.words) for r in spark.read.parquet(f"{path}/words").orderBy("place").collect()]
+    dims = [min(SUB, centres.shape[1] - SUB * j) for j in range(len(words))]
+    codes = Codes(centres, [w.reshape(-1, k) for w, k in zip(words, dims)])
+    units = {q: np.asarray(v, float) for q, v in queries.items()}
+    units = {q: v / np.linalg.norm(v) for q, v in units.items() if len(v) == centres.shape[1] and np.linalg.norm(v) > 0}
+    if not units:
+        return none
+    keep = max(most, int(np.ceil(short * most)))
+    near = {q: centres @ v for q, v in units.items()}
+    counts, radius = np.array([r.n for r in cells]), np.array([r.radius for r in cells])
+    first = {}
+    for q in units:
+        order = np.argsort(-near[q], kind="stable")
+        first[q] = order[: int(np.searchsorted(np.cumsum(counts[order]), FIRST * keep)) + 1]
+    hits = _scan(spark, path, codes, number, units, {q: number[c].tolist() for q, c in first.items()}, keep).toPandas()
+    rest = {}
+    for q in units:
+        sure = np.sort((hits["near"] - hits["lost"])[hits["query_id"] == q].to_numpy())[::-1]
+        least = sure[most - 1] if len(sure) >= most else -np.inf
+        may = near[q] + radius >= least
+        may[first[q]] = False
+        rest[q] = number[may].tolist()
+    if any(rest.values()):
+        hits = pd.concat([hits, _scan(spark, path, codes, number, units, rest, keep).toPandas()])
+    hits = hits.sort_values(["near", "chunk_id"], ascending=[False, True]).groupby("query_id").head(keep)
+    wanted = F.broadcast(spark.createDataFrame(hits[["query_id", "chunk_id"]], "query_id long, chunk_id string"))
+    rows = read_points(spark, f"{path}/vectors", "chunk_id", hits["chunk_id"].tolist()).join(wanted, "chunk_id")
+
+    @F.pandas_udf(T.DoubleType())
+    def distance(query: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([1 - float(units[q] @ np.asarray(x, np.float64)) for q, x in zip(query, own)])
+
+    scored = rows.select("query_id", "chunk_id", "document_id", distance("query_id", "unit").alias("distance"))
+    order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
+def nearest(spark: SparkSession, path: str, query: list[float], most: int, short: float = SHORT) -> DataFrame:
+    """(chunk_id, document_id, distance) of the nearest chunks of one query, nearest first."""
+    return nearest_to(spark, path, {0: query}, most, short).orderBy("rank").select("chunk_id", "document_id", "distance")
+
+
+def exactly_nearest(chunks: DataFrame, queries: dict[int, list[float]], most: int) -> DataFrame:
+    """(query_id, chunk_id) of the nearest chunks of each query by a scan of all vectors: what the index is measured against."""
+    units = {q: np.asarray(v, float) / np.linalg.norm(v) for q, v in queries.items()}
+
+    def run(frames):
+        best: dict[int, pd.DataFrame] = {}
+        for f in frames:
+            own = np.stack(f["unit"]).astype(np.float64)
+            for q, v in units.items():
+                rows = pd.concat([*([best[q]] if q in best else []), pd.DataFrame({"query_id": q, "chunk_id": f["chunk_id"], "document_id": f["document_id"], "near": own @ v, "lost": 0.0})])
+                best[q] = rows.sort_values(["near", "chunk_id"], ascending=[False, True]).head(most)
+        yield from best.values()
+
+    return _best(chunks.filter("unit is not null").select("chunk_id", "document_id", "unit").mapInPandas(run, HIT), most).select("query_id", "chunk_id")
+

@@ -1,8 +1,10 @@
 """Hybrid retrieval: vector and keyword legs, rank fusion, one result per document, cards.
 
-What searches read is stored once (:func:`write_index`): chunks with their unit vectors and the buffer that previews need, and postings in the order
+What searches read is stored (:func:`write_index`): chunks with their unit vectors, the buffers that previews need by id, and postings in the order
 of terms, so that a query's terms reach the scan as a filter on ranges. Legs carry ids and scores only. The few rows that are left go to the
 driver, and texts and metadata are read by their ids.
+
+An index may grow by layers (:mod:`foliant.sources.layers`): documents that come, are chunked anew or go are a layer each, searched at once, and only their own chunks are written.
 """
 
 from __future__ import annotations
@@ -11,45 +13,94 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.functions import text as X
 from foliant.functions.udfs import preview
 from foliant.functions.vectors import cosine_distance, rrf, unit
+from foliant.sources import layers
+from foliant.sources.points import read_points, write_points
 
 LEG, RESULTS, DEBUG_RESULTS, PAGE = 100, 40, 100, 10
-BUFFER = 320
+BUFFER, TITLE = 320, 200
+TERM = re.compile(r"\w+")
+#: Fixed values of the rank by places: the weight of a word, places a word has at most, the last place, the distance from which words are far apart.
+WEIGHT, MOST_PLACES, LAST_PLACE, FAR = 0.1, 256, 16383, 100
+
+
+POSTING = T.StructType([T.StructField("term", T.StringType()), T.StructField("times", T.LongType()), T.StructField("gaps", T.ArrayType(T.IntegerType()))])
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters, digits and underscores."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
+@F.pandas_udf(T.ArrayType(POSTING))
+def terms(texts: pd.Series) -> pd.Series:
+    """Of a text its terms (lower-case runs of letters, digits and underscores) and where each stands: the first place, from 1, and the distance from each to the next."""
+
+    def one(text):
+        at: dict[str, list[int]] = {}
+        for k, t in enumerate(TERM.findall((text or "").lower()), 1):
+            at.setdefault(t, []).append(k)
+        return [{"term": t, "times": len(x), "gaps": np.diff(x, prepend=0).tolist()} for t, x in at.items()]
+
+    return texts.map(one)
 
 
 @dataclass
 class Index:
-    """chunks: (chunk_id, document_id, buffer, unit), postings: (term, chunk_id, document_id, times)."""
+    """chunks: (chunk_id, document_id, unit), postings: (term, chunk_id, document_id, times, gaps), buffers(ids): (chunk_id, document_id, buffer) of some chunks."""
 
     chunks: DataFrame
     postings: DataFrame
+    buffers: Callable[[list[str]], DataFrame]
 
 
 def write_index(chunks: DataFrame, path: str) -> None:
     """Of (chunk_id, document_id, text, embedding); embedding may be null. Postings are dealt by term and chunk, so a term that most chunks have
     takes as many files as it needs."""
-    chunks.select("chunk_id", "document_id", F.substring("text", 1, BUFFER).alias("buffer"), unit("embedding").alias("unit")).write.parquet(f"{path}/chunks")
-    rows = chunks.select("chunk_id", "document_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "chunk_id", "document_id").agg(F.count("*").alias("times"))
-    rows.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
+    postings = chunks.select("chunk_id", "document_id", F.inline(terms("text"))).select("term", "chunk_id", "document_id", "times", "gaps")
+    _write(chunks.select("chunk_id", "document_id", unit("embedding").alias("unit")), postings, chunks.select("chunk_id", "document_id", F.substring("text", 1, BUFFER).alias("buffer")), path)
+
+
+def _write(chunks: DataFrame, postings: DataFrame, buffers: DataFrame, path: str) -> None:
+    chunks.write.parquet(f"{path}/chunks")
+    postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
+    write_points(buffers, f"{path}/buffers", "chunk_id")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"))
+    """An index that was written as a whole."""
+    return Index(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"), lambda ids: read_points(spark, f"{path}/buffers", "chunk_id", ids))
+
+
+def change_index(spark: SparkSession, folder: str, chunks: DataFrame | None, gone: DataFrame | None = None, base: layers.Version | None = None) -> layers.Version:
+    """A version of the index at ``folder`` with the chunks of new documents, or of old ones that were chunked anew, and without all earlier chunks of the document ids in the one
+    column of ``gone``. Re-chunked documents belong into both."""
+    return layers.add(spark, folder, lambda path: chunks is not None and write_index(chunks, path), gone, base)
+
+
+def open_index(spark: SparkSession, folder: str, at: layers.Version | None = None) -> Index:
+    """The index as a version shows it, the latest one if none is given."""
+    at = at or layers.latest(spark, folder)
+    read = lambda table, **how: layers.read(spark, folder, table, "document_id", at, **how)
+    return Index(read("chunks"), read("postings"), lambda ids: read("buffers", read=lambda path: read_points(spark, path, "chunk_id", ids)))
+
+
+def merge_index(spark: SparkSession, folder: str) -> layers.Version:
+    """All layers as one, from what they hold: no text is read or tokenized again."""
+
+    def write(path: str, at: layers.Version) -> None:
+        own = open_index(spark, folder, at)
+        _write(own.chunks, own.postings, layers.read(spark, folder, "buffers", "document_id", at), path)
+
+    return layers.merge(spark, folder, write)
 
 
 def terms_of(query: str) -> list[str]:
-    """The distinct terms of a query, as :func:`tokens` has them."""
-    return list(dict.fromkeys(re.findall(r"[^\W]+", query.lower())))
+    """The distinct terms of a query, as :func:`terms` has them."""
+    return list(dict.fromkeys(TERM.findall(query.lower())))
 
 
 def _ranked(scored: DataFrame, order: list[Column], rank: str, most: int) -> DataFrame:
@@ -79,6 +130,41 @@ def text_topk(postings: DataFrame, query: str, most: int = LEG) -> DataFrame:
     return _ranked(best, [F.desc("score"), F.col("chunk_id")], "rank_text", most)
 
 
+def nearness(distance: np.ndarray) -> np.ndarray:
+    """How much two words count that stand so far apart."""
+    close = np.minimum(distance, FAR)
+    return np.where(distance > FAR, 1e-30, 1 / (1.005 + 0.05 * np.exp(close / 1.5 - 2)))
+
+
+def rank_of_places(places: list[np.ndarray]) -> float:
+    """Rank of a text by the places of the terms asked for: of one term, the sum of its weights over the squares of their numbers; of several, the chance that any pair of places of two terms
+    counts, if each does independently with a chance that falls with their distance."""
+    places = [np.minimum(p[:MOST_PLACES], LAST_PLACE) for p in places]
+    if len(places) == 1:
+        return float(WEIGHT * (1 / np.arange(1, len(places[0]) + 1) ** 2).sum() / 1.64493406685)
+    none, pairs = 0.0, 0
+    for i in range(1, len(places)):
+        for k in range(i):
+            apart = np.abs(places[i][:, None] - places[k][None, :])
+            chance = np.sqrt(WEIGHT * WEIGHT * nearness(apart[apart > 0]))
+            none, pairs = none + float(np.log1p(-chance).sum()), pairs + chance.size
+    return -float(np.expm1(none)) if pairs else 1e-20
+
+
+@F.pandas_udf(T.DoubleType())
+def _rank(gaps: pd.Series) -> pd.Series:
+    return gaps.map(lambda x: rank_of_places([np.cumsum(g) for g in x]))
+
+
+def ranked_topk(postings: DataFrame, query: str, most: int = LEG) -> DataFrame:
+    """(chunk_id, document_id, score, rank_text) of the chunks that have all terms, best by where these stand (:func:`rank_of_places`); ties by id."""
+    asked = terms_of(query)
+    own = postings.filter(F.col("term").isin(asked) if asked else F.lit(False)).withColumn("_k", F.array_position(F.array(*map(F.lit, asked)) if asked else F.array(F.lit("")), F.col("term")))
+    each = own.groupBy("chunk_id", "document_id").agg(F.array_sort(F.collect_list(F.struct("_k", F.slice("gaps", 1, MOST_PLACES).alias("gaps")))).alias("x")).filter(F.size("x") == len(asked))
+    best = each.select("chunk_id", "document_id", _rank(F.col("x.gaps")).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(most)
+    return _ranked(best, [F.desc("score"), F.col("chunk_id")], "rank_text", most)
+
+
 def rrf_fusion(vector: DataFrame, text: DataFrame) -> DataFrame:
     """(chunk_id, document_id, rank_vector, rank_text, score): either leg may lack a chunk."""
     v, t = vector.select("chunk_id", F.col("document_id").alias("_dv"), "rank_vector"), text.select("chunk_id", F.col("document_id").alias("_dt"), "rank_text")
@@ -91,14 +177,19 @@ def best_per_document(scored: DataFrame) -> DataFrame:
     return scored.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def hybrid_search(index: Index, documents: DataFrame, vector: list[float], query: str, most: int = RESULTS, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Fused, one chunk a document, with text buffers and metadata, best first. The ``most`` best ids and scores pass through the driver."""
-    spark = documents.sparkSession
-    legs = best_per_document(rrf_fusion(vector_topk(index.chunks, vector), text_topk(index.postings, query)))
+def hybrid_search(
+    index: Index, documents: DataFrame | Callable[[list], DataFrame], vector: list[float], query: str, most: int = RESULTS, rerank: Callable[[DataFrame], DataFrame] | None = None,
+    leg: Callable[[DataFrame, str], DataFrame] = text_topk,
+) -> DataFrame:
+    """Fused, one chunk a document, with text buffers and metadata, best first. The ``most`` best ids and scores pass through the driver. ``documents``: a table with raw_text,
+    or what reads metadata and title_buffer by ids; ``leg``: the keyword leg, :func:`text_topk` or :func:`ranked_topk`."""
+    spark = index.chunks.sparkSession
+    legs = best_per_document(rrf_fusion(vector_topk(index.chunks, vector), leg(index.postings, query)))
     rows = legs.orderBy(F.desc("score"), "document_id").limit(most).collect()
     top = F.broadcast(spark.createDataFrame(rows, legs.schema).coalesce(1))
-    previews = index.chunks.filter(F.col("chunk_id").isin([r.chunk_id for r in rows])).select("chunk_id", F.col("buffer").alias("chunk_buffer"))
-    own = documents.filter(F.col("document_id").isin([r.document_id for r in rows])).withColumn("title_buffer", F.substring("raw_text", 1, 200)).drop("raw_text")
+    previews = index.buffers([r.chunk_id for r in rows]).select("chunk_id", F.col("buffer").alias("chunk_buffer"))
+    ids = [r.document_id for r in rows]
+    own = documents(ids) if callable(documents) else documents.filter(F.col("document_id").isin(ids)).withColumn("title_buffer", F.substring("raw_text", 1, TITLE)).drop("raw_text")
     found = top.join(previews, "chunk_id").join(own, "document_id").orderBy(F.desc("score"), "document_id")
     return rerank(found) if rerank else found
 

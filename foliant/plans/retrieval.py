@@ -12,6 +12,8 @@ from foliant.operators import nearest as N
 from foliant.operators import search as S
 from foliant.plans.literals import literal, literal_sql
 from foliant.plans.registry import query
+from foliant.sources import layers
+from foliant.sources.points import read_points, write_points
 from foliant.sources.shared import once
 from foliant.sources.tables import table
 
@@ -43,8 +45,27 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return both.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "text", "embedding")
 
 
+def sources(d: str, *names: str) -> list[str]:
+    return [f"{d}/{n}.parquet" for n in names]
+
+
 def index(spark: SparkSession, d: str) -> S.Index:
-    return S.read_index(spark, once(spark, f"search {d}", lambda path: S.write_index(chunks(spark, d), path)))
+    return S.read_index(spark, once(spark, f"search {d}", lambda path: S.write_index(chunks(spark, d), path), *sources(d, "documents", "embeddings")))
+
+
+def store(spark: SparkSession, d: str) -> str:
+    """Documents by id, their texts in a store of their own."""
+
+    def write(path: str) -> None:
+        own = documents(spark, d)
+        write_points(own.withColumn("title_buffer", F.substring("raw_text", 1, S.TITLE)).drop("raw_text"), f"{path}/documents", "document_id")
+        write_points(own.select("document_id", "raw_text"), f"{path}/texts", "document_id")
+
+    return once(spark, f"documents {d}", write, *sources(d, "documents", "labels"))
+
+
+def by_id(spark: SparkSession, d: str, table: str = "documents"):
+    return lambda ids: read_points(spark, f"{store(spark, d)}/{table}", "document_id", ids)
 
 
 @query(rf"WITH {CHUNKS_SQL}, w AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM chunks) SELECT term, count(*) AS times FROM w GROUP BY term")
@@ -68,11 +89,30 @@ def vector_topk(spark, d):
     return S.vector_topk(index(spark, d).chunks, query_vector(spark, d)).withColumn("distance", F.round("distance", 6))
 
 
+def cells(spark: SparkSession, d: str) -> str:
+    return once(spark, f"cells {d}", lambda path: N.write_cells(index(spark, d).chunks, path), *sources(d, "documents", "embeddings"))
+
+
 @query()
 def vector_cells_topk(spark, d):
-    """The nearest chunks by the index of cells; the test measures its recall."""
-    path = once(spark, f"cells {d}", lambda path: N.write_cells(index(spark, d).chunks, path))
-    return N.nearest(spark, path, query_vector(spark, d), S.LEG)
+    """The nearest chunks by the index of cells and codes; :func:`vector_cells_recall` measures it."""
+    return N.nearest(spark, cells(spark, d), query_vector(spark, d), S.LEG)
+
+
+RECALL_SQL = f"""WITH {CHUNKS_SQL}, q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL QUALIFY row_number() OVER (ORDER BY vec_id) <= 50),
+x AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), chunk_id) AS n FROM chunks, q WHERE embedding IS NOT NULL)
+SELECT query_id, count(*) AS n_exact, true AS found_95 FROM x WHERE n <= 100 GROUP BY query_id"""
+
+
+@query(RECALL_SQL)
+def vector_cells_recall(spark, d):
+    """For 50 queries, how many neighbours an exact scan has, and whether the index finds 95 in 100 of them."""
+    rows = table(spark, d, "embeddings").filter("embedding is not null").orderBy("vec_id").limit(50).collect()
+    queries = {r.vec_id: [float(x) for x in r.embedding] for r in rows}
+    exact = N.exactly_nearest(index(spark, d).chunks, queries, S.LEG)
+    got = N.nearest_to(spark, cells(spark, d), queries, S.LEG).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    both = exact.join(got, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count("*").alias("n_exact"), F.count("hit").alias("n_found"))
+    return both.select("query_id", "n_exact", (F.col("n_found") >= 0.95 * F.col("n_exact")).alias("found_95"))
 
 
 @query(f"WITH {LEGS_SQL} SELECT chunk_id, document_id, score, CAST(rank_text AS INTEGER) AS rank_text FROM t")
@@ -109,7 +149,7 @@ FROM top JOIN docs USING (document_id) JOIN chunks USING (chunk_id)"""
 
 
 def found(spark, d, most=S.RESULTS):
-    return S.hybrid_search(index(spark, d), documents(spark, d), query_vector(spark, d), QUERY, most)
+    return S.hybrid_search(index(spark, d), by_id(spark, d), query_vector(spark, d), QUERY, most)
 
 
 @query(SEARCH_SQL)
@@ -123,14 +163,63 @@ def search_page(spark, d):
     return S.page(found(spark, d), 2, [F.desc("score"), F.col("document_id")]).select("document_id", "position")
 
 
+NEAR_SQL = "CASE WHEN d > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(d / 1.5 - 2)) END"
+RANKED_LEG_SQL = rf"""r AS (SELECT chunk_id, document_id, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i] = 'the' THEN least(i, 16383) END) AS a, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i] = 'of' THEN least(i, 16383) END) AS b
+  FROM (SELECT chunk_id, document_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM chunks) WHERE list_contains(w, 'the') AND list_contains(w, 'of')),
+ra AS (SELECT chunk_id, document_id, unnest(list_filter(a, lambda x: x IS NOT NULL)[1:256]) AS x, list_filter(b, lambda x: x IS NOT NULL)[1:256] AS b FROM r),
+rb AS (SELECT chunk_id, document_id, abs(x - y) AS d FROM (SELECT chunk_id, document_id, x, unnest(b) AS y FROM ra)),
+rs AS (SELECT chunk_id, document_id, 1 - exp(sum(ln(1 - sqrt(0.01 * {NEAR_SQL})))) AS score FROM rb WHERE d > 0 GROUP BY chunk_id, document_id)"""
+
+
+@query(f"WITH {LEGS_SQL}, {RANKED_LEG_SQL} SELECT chunk_id, document_id, round(score, 6) AS score FROM rs")
+def text_rank(spark, d):
+    """Every chunk that has all terms, ranked by where they stand."""
+    own = index(spark, d)
+    return S.ranked_topk(own.postings, QUERY, 1 << 30).select("chunk_id", "document_id", F.round("score", 6).alias("score"))
+
+
 @query()
 def search_cards(spark, d):
     return S.cards(found(spark, d), debug=True, base=CDN)
 
 
+#: Documents that come later, that are chunked anew, and that go.
+LATER, ANEW, GONE = "document_id % 4 = 0", "document_id % 10 = 3", "document_id % 7 = 5"
+ADDED = " of the very same"
+LIVE_SQL = SEARCH_SQL.replace(CHUNKS_SQL, f"chunks AS (SELECT 'c' || document_id || CASE WHEN {ANEW} THEN '-2' ELSE '' END AS chunk_id, document_id, CASE WHEN {ANEW} THEN text || '{ADDED}' ELSE text END AS text, embedding FROM (SELECT doc_id AS document_id, text, embedding FROM documents LEFT JOIN embeddings ON doc_id = vec_id) WHERE NOT ({GONE}))")
+
+
+def live_index(spark: SparkSession, d: str) -> str:
+    """An index that has seen documents come, being chunked anew and go, each as a layer."""
+
+    def write(folder: str) -> None:
+        own = chunks(spark, d)
+        anew = own.filter(ANEW).withColumn("chunk_id", F.concat("chunk_id", F.lit("-2"))).withColumn("text", F.concat("text", F.lit(ADDED)))
+        S.change_index(spark, folder, own.filter(f"not ({LATER})"))
+        S.change_index(spark, folder, own.filter(LATER))
+        S.change_index(spark, folder, anew, anew.select("document_id"))
+        S.change_index(spark, folder, None, own.filter(GONE).select("document_id"))
+
+    return once(spark, f"live {d}", write, *sources(d, "documents", "embeddings"))
+
+
+@query(LIVE_SQL)
+def live_search(spark, d):
+    """Hybrid search over an index of four layers gives what one that is written anew gives."""
+    own = S.hybrid_search(S.open_index(spark, live_index(spark, d)), by_id(spark, d), query_vector(spark, d), QUERY)
+    return own.select("document_id", "chunk_id", "institution", "year", "parsing_quality", F.round("score", 9).alias("score"), "title_buffer", "chunk_buffer")
+
+
+@query(f"""SELECT document_id, CASE WHEN {ANEW} AND NOT ({GONE}) THEN 'replaced' ELSE 'deleted' END AS change FROM (SELECT doc_id AS document_id FROM documents) WHERE ({GONE}) OR ({ANEW})""")
+def index_diff(spark, d):
+    """What the last two changes of the index did, read from their layers."""
+    folder = live_index(spark, d)
+    return layers.diff(spark, folder, "chunks", "document_id", layers.version(spark, folder, 2), layers.version(spark, folder, 4))
+
+
 @query(f"WITH {DOCS_SQL} SELECT document_id, raw_text, parsing_quality FROM docs WHERE document_id = 7")
 def document_detail(spark, d):
-    return S.document(documents(spark, d), 7).select("document_id", "raw_text", "parsing_quality")
+    return by_id(spark, d)([7]).join(by_id(spark, d, "texts")([7]), "document_id").select("document_id", "raw_text", "parsing_quality")
 
 
 @query(f"WITH {DOCS_SQL} SELECT document_id, CASE WHEN parsing_quality = 'standard' THEN '신뢰도 높음' ELSE '일부 참고' END AS label FROM docs")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import re
 import shutil
 import tempfile
@@ -24,9 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def once(spark: SparkSession, key: str, write) -> str:
-    """The path that ``write(path)`` has filled for this key; it does so the first time that an application asks."""
-    full = (spark.sparkContext.applicationId, key)
+def files_of(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files at a path: it changes when a table is rewritten or appended to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, out, todo = p.getFileSystem(spark._jsc.hadoopConfiguration()), [], [p]
+    while todo:
+        for f in fs.listStatus(todo.pop()):
+            todo += [f.getPath()] if f.isDirectory() else []
+            out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(out)).encode()).hexdigest()
+
+
+def once(spark: SparkSession, key: str, write, *sources: str) -> str:
+    """The path that ``write(path)`` has filled for this key and for the tables at ``sources`` as they are now; it does so the first time that an application asks."""
+    full = (spark.sparkContext.applicationId, key, *(files_of(spark, s) for s in sources))
     if full not in _once:
         write(path := f"{shared_dir(spark)}/foliant/once-{uuid.uuid4().hex}")
         _once[full] = path
