@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +63,19 @@ def task_lot() -> int:
     return int(mix(np.array([TaskContext.get().partitionId()], U64))[0] >> U64(34))
 
 
+_states: dict[str, dict] = {}
+
+
+def state(owner: str) -> dict:
+    """What an operator keeps in a Python worker from one task to the next. Workers are reused, also by other operators: what those have kept goes first."""
+    if others := [k for k in _states if k != owner]:
+        for k in others:
+            del _states[k]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return _states.setdefault(owner, {})
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, broadcast_if_small, mix, slices, task_lot, utf8, written
+from .common import U64, Words, broadcast_if_small, mix, slices, state, task_lot, utf8, written
 from .components import connected_components, roots_of
 
 #: Shingles in one block of the product, about.
 BLOCK_TOKENS = 1_500_000
-#: Documents whose frequencies are looked up together.
-GROUP_DOCS = 2_000
+#: Shingles, and documents, of which a task takes the sets at once, about.
+GROUP_TOKENS, GROUP_DOCS = 1_000_000, 2_000
 #: Candidate groups with more shingles in all are settled by distributed rounds.
 LOCAL_TOKENS = 3_000_000
 #: After so many rounds what is left is settled pair by pair.
@@ -83,6 +83,7 @@ SETS = "doc_id long, n long, h1 long, h2 long, prefix binary"
 
 def _sets(whole: bool):
     def run(batches) -> Iterator[pa.RecordBatch]:
+        state("jaccard")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
             for a, b in slices(texts):
@@ -149,6 +150,7 @@ def _by_owner(owners: np.ndarray, counts: np.ndarray, n_blocks: int) -> pd.DataF
 def _elsewhere(n_blocks: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Of one block: owners and how many of their shingles another batch has too, or several documents of one."""
+        state("jaccard")
         owners = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["owners"]])
         if key[0] < 0:
             return _by_owner(owners, np.concatenate([np.frombuffer(x, np.int64) for x in pdf["tokens"]]), n_blocks)
@@ -208,6 +210,7 @@ def _frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _rarest(sets: pd.DataFrame, frequencies: pd.DataFrame) -> pd.DataFrame:
     """Prefixes by frequency. Shingles of one document only come first and need no list."""
+    state("jaccard")
     if not len(sets) or not len(frequencies):
         return pd.DataFrame({"doc_id": [], "apart": [], "tokens": []})
     known = np.concatenate([_u64(x) for x in frequencies["tokens"]])
@@ -228,11 +231,16 @@ def _rarest(sets: pd.DataFrame, frequencies: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["doc_id", "apart", "tokens"])
 
 
+def deals(n_docs: int, total: int) -> int:
+    """Into how many groups documents are dealt by hash, so that none has many documents or many shingles."""
+    return max(n_docs // GROUP_DOCS, total // GROUP_TOKENS) + 1
+
+
 def postings(sets: DataFrame, n_docs: int, total: int) -> DataFrame:
     """(token, doc_id, apart): prefix shingles, rarest first, of the sets that can still have a partner; apart: the share of
     a set's shingles (in millionths) that no other set has, small for the middle of a group of copies."""
     spark = sets.sparkSession
-    groups = max(1, n_docs // GROUP_DOCS + 1)
+    groups = deals(n_docs, total)
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BLOCK_TOKENS + 1)
     own = sets.select("doc_id", "prefix", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("grp"))
     counts = own.groupBy("grp").applyInPandas(_group_counts(n_blocks), "grp int, block int, tokens binary, counts binary")
@@ -277,6 +285,7 @@ def settle(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _settle_groups(pdf: pd.DataFrame) -> pd.DataFrame:
+    state("jaccard")
     a, b = [], []
     for _, own in pdf.groupby("root", sort=False):
         ids = own["doc_id"].to_numpy()
@@ -357,7 +366,7 @@ def set_links(docs: DataFrame, survivors: DataFrame) -> DataFrame | None:
     sizes = groups.groupBy("root").agg(F.sum("n").alias("size"))
     groups = written(groups.join(sizes, "root"), "groups")
     small = sets.join(groups.filter(F.col("size") <= LOCAL_TOKENS).select("doc_id", "root"), "doc_id")
-    deal = F.pmod(F.xxhash64("root"), F.lit(size.docs // GROUP_DOCS + int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    deal = F.pmod(F.xxhash64("root"), F.lit(deals(size.docs, size.tokens) + int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     found = small.withColumn("deal", deal).groupBy("deal").applyInPandas(_settle_groups, "a long, b long")
     large = groups.filter(F.col("size") > LOCAL_TOKENS).select("doc_id")
     rounds = star_rounds(written(lists.join(large, "doc_id", "left_semi"), "large"), sets)

@@ -134,8 +134,20 @@ def tokens(text: str, start: int, stop: int) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(text, start, stop) if m[0] != "*"]
 
 
-@lru_cache(20_000)
+#: Blocks up to this long are remembered, so that the 20,000 of them that a worker keeps stay in bounds.
+REMEMBERED = 2_000
+
+
 def best(block: str) -> tuple | None:
+    return _remembered(block) if len(block) <= REMEMBERED else _best(block)
+
+
+@lru_cache(20_000)
+def _remembered(block: str) -> tuple | None:
+    return _best(block)
+
+
+def _best(block: str) -> tuple | None:
     """(license, template, plain size, size with the template, missing, extra, begin and end of the matched part) of the
     winner, if its wording confirms it."""
     raw = block.encode()

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, _mixed, mix, powers, shipped, slices, utf8
+from .common import U64, _mixed, mix, powers, shipped, slices, state, utf8
 
 END_ID = 0
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, 511
@@ -47,7 +47,6 @@ DIGEST = 16
 PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Fixed value: the pre-tokenizer with that pattern, as tokenizer files name it.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-_encoders: dict = {}
 
 
 def usual(c: str) -> bool:
@@ -150,9 +149,11 @@ def kind(piece) -> int:
 
 
 def encoder(path: str, special: bool = True) -> Encoder:
-    if (path, special) not in _encoders:
-        _encoders[path, special] = Encoder(path, special)
-    return _encoders[path, special]
+    """The worker's encoder, with the pieces that it has seen, as long as the worker does nothing else."""
+    kept = state("tokenstore")
+    if (path, special) not in kept:
+        kept[path, special] = Encoder(path, special)
+    return kept[path, special]
 
 
 ID_VALUES = _mixed(1 << 16, 501)

@@ -269,3 +269,23 @@ def test_whitening_query(spark, sf_dir, tmp_path):
     table(spark, sf_dir, "embeddings").limit(0).write.parquet(str(tmp_path / "embeddings.parquet"))
     none = queries.op13_whitening(spark, str(tmp_path))
     assert none.count() == 0 and none.dtypes == got.dtypes
+
+
+# --- what workers keep ---------------------------------------------------------------------------------------------
+
+
+def test_what_one_operator_keeps_goes_when_another_begins():
+    from foliant.llm import common, jaccard, licenses, tokenstore
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc = tokenstore.encoder(path)
+    assert tokenstore.encoder(path) is enc
+    next(jaccard._sets(False)(iter([])), None)
+    assert list(common._states) == ["jaccard"] and tokenstore.encoder(path) is not enc
+    long = "MIT License " + "x" * 10_000
+    licenses._remembered.cache_clear()
+    licenses.best(long), licenses.best("MIT License")
+    assert licenses._remembered.cache_info().currsize == 1
+    assert jaccard.deals(10, 5 * jaccard.GROUP_TOKENS) == 6
