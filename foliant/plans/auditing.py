@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as X
 from foliant.operators import audits as A
-from foliant.plans.literals import literal, literal_sql
+from foliant.plans.literals import rows, rows_sql
 from foliant.plans.registry import query
 from foliant.plans.repairing import CORRUPT_SQL, corrupt
 from foliant.plans.retrieval import DOCS_SQL, documents
@@ -15,10 +15,10 @@ from foliant.sources.tables import table
 DISPOSITION_SQL = " OR ".join(f"ends_with(bare, '{w}')" for w in X.DISPOSITIONS)
 
 
-@query(f"SELECT id FROM {literal_sql('sources')} WHERE source_file ILIKE '%.pdf' OR (source_file ILIKE '%.hwp' AND NOT source_file ILIKE '%.hwpx')")
+@query(f"SELECT id FROM {rows_sql('sources')} WHERE source_file ILIKE '%.pdf' OR (source_file ILIKE '%.hwp' AND NOT source_file ILIKE '%.hwpx')")
 def ext_filter(spark, d):
     s = F.col("source_file")
-    return literal(spark, "sources").filter(s.ilike("%.pdf") | (s.ilike("%.hwp") & ~s.ilike("%.hwpx"))).select("id")
+    return rows(spark, d, "sources").filter(s.ilike("%.pdf") | (s.ilike("%.hwp") & ~s.ilike("%.hwpx"))).select("id")
 
 
 @query("SELECT doc_id FROM documents WHERE length(text) BETWEEN 900 AND 1020")
@@ -31,14 +31,14 @@ def marker_like(spark, d):
     return table(spark, d, "pages").filter(F.col("html").contains("<table") | F.col("html").contains("</ul>")).select("page_id")
 
 
-@query(f"SELECT id FROM {literal_sql('texts')} WHERE contains(text, '연번 지적사항 처분') OR contains(text, '연번' || chr(10) || '지적사항' || chr(10) || '처분')")
+@query(f"SELECT id FROM {rows_sql('texts')} WHERE contains(text, '연번 지적사항 처분') OR contains(text, '연번' || chr(10) || '지적사항' || chr(10) || '처분')")
 def template_marker(spark, d):
-    return literal(spark, "texts").filter(X.any_of(X.TEMPLATE_MARKERS, F.col("text").contains)).select("id")
+    return rows(spark, d, "texts").filter(X.any_of(X.TEMPLATE_MARKERS, F.col("text").contains)).select("id")
 
 
-@query(f"SELECT id, regexp_matches(text, '연번[\\s\\n]*지적사항[\\s\\n]*처분') AS flag FROM {literal_sql('texts')}")
+@query(f"SELECT id, regexp_matches(text, '연번[\\s\\n]*지적사항[\\s\\n]*처분') AS flag FROM {rows_sql('texts')}")
 def interleave_flag(spark, d):
-    return literal(spark, "texts").select("id", F.col("text").rlike(X.INTERLEAVED).alias("flag"))
+    return rows(spark, d, "texts").select("id", F.col("text").rlike(X.INTERLEAVED).alias("flag"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, event_type LIMIT 20")
@@ -71,11 +71,17 @@ def exact_dups(spark, d):
     return A.exact_duplicates(table(spark, d, "documents"))
 
 
-@query(f"""WITH {DOCS_SQL}, s AS (SELECT document_id AS doc_id, institution, year, raw_text AS text FROM docs QUALIFY count(*) OVER (PARTITION BY raw_text) = 1)
+#: Every third document comes a second time, with another ending.
+COPIED_SQL = "copied AS (SELECT document_id AS doc_id, institution, year, raw_text AS text FROM docs UNION ALL SELECT -1 - document_id, institution, year, raw_text || ' (' || document_id || ')' FROM docs WHERE document_id % 3 = 0)"
+
+
+@query(f"""WITH {DOCS_SQL}, {COPIED_SQL}, s AS (SELECT * FROM copied QUALIFY count(*) OVER (PARTITION BY text) = 1)
 SELECT institution, year, sha256(left(regexp_replace(text, '\\s+', '', 'g'), 300)) AS head_hash, count(*) AS n, min(doc_id) AS first_id FROM s WHERE length(text) >= 100 GROUP BY 1, 2, 3 HAVING count(*) > 1""")
 def near_dups(spark, d):
+    """Of all documents, and of copies of every third one that end in another way."""
     docs = documents(spark, d).select(F.col("document_id").alias("doc_id"), "institution", "year", F.col("raw_text").alias("text"))
-    return A.near_duplicates(docs, ["institution", "year"])
+    copies = docs.filter("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" ("), F.col("doc_id").cast("string"), F.lit(")"))).withColumn("doc_id", -1 - F.col("doc_id"))
+    return A.near_duplicates(docs.unionByName(copies), ["institution", "year"])
 
 
 DOUBLES_SQL = f"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -id, text FROM {CORRUPT_SQL}),
@@ -91,46 +97,46 @@ def isolated_dup_freq(spark, d):
 
 
 @query(f"""SELECT unnest(['runs', 'shapes', 'positions', 'links', 'outline']) AS family, unnest([sum(regexp_matches(text, 'hp:run|hp:linesegarray')::INT), sum(regexp_matches(text, 'hc:\\w+')::INT),
-  sum(regexp_matches(text, 'textpos=|vertpos=')::INT), sum(regexp_matches(text, 'linkListNextIDRef=')::INT), sum(regexp_matches(text, 'outlineS')::INT)])::BIGINT AS n_docs FROM {literal_sql('texts')}""")
+  sum(regexp_matches(text, 'textpos=|vertpos=')::INT), sum(regexp_matches(text, 'linkListNextIDRef=')::INT), sum(regexp_matches(text, 'outlineS')::INT)])::BIGINT AS n_docs FROM {rows_sql('texts')}""")
 def tag_families(spark, d):
-    return A.tag_families(literal(spark, "texts"), X.TAG_FAMILIES)
+    return A.tag_families(rows(spark, d, "texts"), X.TAG_FAMILIES)
 
 
-@query(f"SELECT count(similarity) AS n, round(avg(similarity), 9) AS mean, median(similarity) AS median, min(similarity) AS least, max(similarity) AS most FROM {literal_sql('reviews')}")
+@query(f"SELECT count(similarity) AS n, round(avg(similarity), 9) AS mean, median(similarity) AS median, min(similarity) AS least, max(similarity) AS most FROM {rows_sql('reviews')}")
 def sim_stats(spark, d):
-    return A.similarity_statistics(literal(spark, "reviews")).withColumn("mean", F.round("mean", 9))
+    return A.similarity_statistics(rows(spark, d, "reviews")).withColumn("mean", F.round("mean", 9))
 
 
-@query(f"""SELECT CASE WHEN similarity < 0.5 THEN '[0,.5)' WHEN similarity < 0.7 THEN '[.5,.7)' WHEN similarity < 0.8 THEN '[.7,.8)' ELSE '[.8,.9)' END AS bucket, count(*) AS n FROM {literal_sql('reviews')} WHERE similarity < 0.9 GROUP BY 1""")
+@query(f"""SELECT CASE WHEN similarity < 0.5 THEN '[0,.5)' WHEN similarity < 0.7 THEN '[.5,.7)' WHEN similarity < 0.8 THEN '[.7,.8)' ELSE '[.8,.9)' END AS bucket, count(*) AS n FROM {rows_sql('reviews')} WHERE similarity < 0.9 GROUP BY 1""")
 def sim_buckets(spark, d):
-    own = literal(spark, "reviews").withColumn("bucket", A.similarity_bucket(F.col("similarity")))
+    own = rows(spark, d, "reviews").withColumn("bucket", A.similarity_bucket(F.col("similarity")))
     return A.group_counts(own.filter("bucket is not null"), ["bucket"])
 
 
-@query(f"SELECT count(*) AS n, count(*) FILTER (new_len / old_len >= 1.1) AS longer, count(*) FILTER (new_len / old_len <= 0.9) AS shorter FROM {literal_sql('reviews')} WHERE old_len > 0")
+@query(f"SELECT count(*) AS n, count(*) FILTER (new_len / old_len >= 1.1) AS longer, count(*) FILTER (new_len / old_len <= 0.9) AS shorter FROM {rows_sql('reviews')} WHERE old_len > 0")
 def len_ratio_flags(spark, d):
-    return A.length_flags(literal(spark, "reviews"))
+    return A.length_flags(rows(spark, d, "reviews"))
 
 
-@query(f"SELECT left(error, 60) AS error, count(*) AS n FROM {literal_sql('reviews')} WHERE error IS NOT NULL GROUP BY 1")
+@query(f"SELECT left(error, 60) AS error, count(*) AS n FROM {rows_sql('reviews')} WHERE error IS NOT NULL GROUP BY 1")
 def error_patterns(spark, d):
-    return A.group_counts(literal(spark, "reviews").filter("error is not null").select(F.substring("error", 1, 60).alias("error")), ["error"])
+    return A.group_counts(rows(spark, d, "reviews").filter("error is not null").select(F.substring("error", 1, 60).alias("error")), ["error"])
 
 
 LINES_SQL = "list_filter(string_split(trim(summary, chr(10) || ' '), chr(10)), lambda x: trim(x) <> '')"
 
 
-@query(f"""WITH s AS (SELECT quality, {LINES_SQL} AS l FROM {literal_sql('summaries')})
+@query(f"""WITH s AS (SELECT quality, {LINES_SQL} AS l FROM {rows_sql('summaries')})
 SELECT quality, count(*) AS n, count(*) FILTER (contains(l[1], '지적사항 불분명')) AS line1, count(*) FILTER (contains(l[2], '원인 미기재')) AS line2, count(*) FILTER (contains(l[3], '조치사항 미기재')) AS line3, count(*) FILTER (contains(l[4], '처리결과 미기재')) AS line4
 FROM s WHERE len(l) = 4 GROUP BY quality""")
 def fallback_usage(spark, d):
-    return A.fallback_usage(literal(spark, "summaries"))
+    return A.fallback_usage(rows(spark, d, "summaries"))
 
 
-@query(f"""WITH m AS (SELECT avg(input_tokens) AS avg_in, avg(output_tokens) AS avg_out, avg(seconds) AS avg_seconds FROM {literal_sql('usage')}), c AS (SELECT *, avg_in / 1e6 * 0.15 + avg_out / 1e6 * 0.6 AS cost_each FROM m)
+@query(f"""WITH m AS (SELECT avg(input_tokens) AS avg_in, avg(output_tokens) AS avg_out, avg(seconds) AS avg_seconds FROM {rows_sql('usage')}), c AS (SELECT *, avg_in / 1e6 * 0.15 + avg_out / 1e6 * 0.6 AS cost_each FROM m)
 SELECT avg_in, avg_out, avg_seconds, round(cost_each, 12) AS cost_each, round(cost_each * 72913, 6) AS cost_all, round(avg_seconds * 72913 / 3600 / 5, 6) AS hours FROM c""")
 def cost_projection(spark, d):
-    out = A.cost_projection(literal(spark, "usage"), 72913, 0.15, 0.6, 5)
+    out = A.cost_projection(rows(spark, d, "usage"), 72913, 0.15, 0.6, 5)
     return out.withColumn("cost_each", F.round("cost_each", 12)).withColumn("cost_all", F.round("cost_all", 6)).withColumn("hours", F.round("hours", 6))
 
 
@@ -151,15 +157,15 @@ def chunk_stats(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean"), F.min(n).alias("least"), F.max(n).alias("most"))
 
 
-@query(f"SELECT (len(string_split(original, '<표>')) - 1)::INTEGER AS n_table_markers, count(*) AS n FROM {literal_sql('originals')} GROUP BY 1")
+@query(f"SELECT (len(string_split(original, '<표>')) - 1)::INTEGER AS n_table_markers, count(*) AS n FROM {rows_sql('originals')} GROUP BY 1")
 def table_count_histogram(spark, d):
-    return A.group_counts(A.table_loss(literal(spark, "originals")), ["n_table_markers"])
+    return A.group_counts(A.table_loss(rows(spark, d, "originals")), ["n_table_markers"])
 
 
-@query(f"""WITH t AS (SELECT id, (len(string_split(original, '<표>')) - 1)::INTEGER AS n_table_markers, contains(stored, '<표>') OR contains(stored, '[표]') OR length(stored) - length(replace(stored, '|', '')) >= 3 AS has_trace FROM {literal_sql('originals')})
+@query(f"""WITH t AS (SELECT id, (len(string_split(original, '<표>')) - 1)::INTEGER AS n_table_markers, contains(stored, '<표>') OR contains(stored, '[표]') OR length(stored) - length(replace(stored, '|', '')) >= 3 AS has_trace FROM {rows_sql('originals')})
 SELECT *, n_table_markers > 0 AND NOT has_trace AS affected FROM t""")
 def table_loss(spark, d):
-    return A.table_loss(literal(spark, "originals"))
+    return A.table_loss(rows(spark, d, "originals"))
 
 
 PLACEHOLDER_SQL = "trim(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '표'), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ')"
@@ -181,13 +187,13 @@ def placeholder_spike(spark, d):
     return A.group_counts(own.select((F.length(X.strip_placeholder(F.col("text"))) < 300).alias("short")), ["short"])
 
 
-@query(f"""WITH t AS (SELECT id, trim(string_split(rtrim(text, chr(10) || ' '), chr(10))[-1]) AS last FROM {literal_sql('texts')}), b AS (SELECT *, regexp_replace(last, '\\s+', '', 'g') AS bare FROM t)
+@query(f"""WITH t AS (SELECT id, trim(string_split(rtrim(text, chr(10) || ' '), chr(10))[-1]) AS last FROM {rows_sql('texts')}), b AS (SELECT *, regexp_replace(last, '\\s+', '', 'g') AS bare FROM t)
 SELECT id, regexp_matches(last, '(및|에|은|는|이|가|을|를|로|와|과|의|하고|하며|또는|그리고)\\s*$') AND NOT regexp_matches(last, '[.!?。」』"'')\\]】>]\\s*$') AND NOT ({DISPOSITION_SQL}) AS cut FROM b""")
 def truncated(spark, d):
-    return literal(spark, "texts").select("id", X.looks_truncated(F.col("text")).alias("cut"))
+    return rows(spark, d, "texts").select("id", X.looks_truncated(F.col("text")).alias("cut"))
 
 
-@query(f"""WITH t AS (SELECT id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS l FROM {literal_sql('texts')})
+@query(f"""WITH t AS (SELECT id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS l FROM {rows_sql('texts')})
 SELECT id, CAST(len(list_filter(range(2, len(l) + 1), lambda i: regexp_matches(l[i], '^({'|'.join(X.LEADING_PARTICLES)})(\\s|$)') AND l[i - 1] <> '' AND NOT regexp_matches(l[i - 1], '[.!?。:：)\\]】」』]$'))) AS INTEGER) AS hits FROM t""")
 def wordbreak_scan(spark, d):
-    return literal(spark, "texts").select("id", X.word_breaks(F.col("text")).alias("hits"))
+    return rows(spark, d, "texts").select("id", X.word_breaks(F.col("text")).alias("hits"))

@@ -9,7 +9,7 @@ from foliant.operators import audits as A
 from foliant.operators import corpus as C
 from foliant.operators import structure as T
 from foliant.operators import upserts as U
-from foliant.plans.literals import literal, literal_sql
+from foliant.plans.literals import literal, literal_sql, rows, rows_sql
 from foliant.plans.registry import query
 from foliant.plans.retrieval import CHUNKS_SQL, DOCS_SQL, chunks, documents
 from foliant.sources.tables import table
@@ -29,49 +29,49 @@ def id_list_lookup(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang").join(ids, "doc_id", "left_semi")
 
 
-@query(f"SELECT seq, base, idx, total FROM ({TIER_SQL}{literal_sql('tiers')})")
+@query(f"SELECT seq, base, idx, total FROM ({TIER_SQL}{rows_sql('tiers')})")
 def parse_tier(spark, d):
-    return literal(spark, "tiers").select("seq", X.parse_tier(F.col("parse_tier")).alias("t")).select("seq", "t.*")
+    return rows(spark, d, "tiers").select("seq", X.parse_tier(F.col("parse_tier")).alias("t")).select("seq", "t.*")
 
 
-@query(f"""WITH t AS ({TIER_SQL}{literal_sql('tiers')}),
+@query(f"""WITH t AS ({TIER_SQL}{rows_sql('tiers')}),
 r AS (SELECT *, CASE base WHEN 'standard' THEN 0 WHEN 'partial' THEN 1 WHEN 'fallback' THEN 2 WHEN 'extraction_failed' THEN 99 ELSE 50 END AS rank FROM t WHERE base <> 'overview'),
 b AS (SELECT *, count(*) OVER g = count(idx) OVER g AS split FROM (SELECT * FROM r QUALIFY rank = min(rank) OVER (PARTITION BY source_file, case_number)) WHERE rank < 99 WINDOW g AS (PARTITION BY source_file, case_number)),
 o AS (SELECT *, row_number() OVER (PARTITION BY source_file, case_number ORDER BY CASE WHEN split THEN idx END, seq) AS n, row_number() OVER (PARTITION BY source_file, case_number, CASE WHEN split THEN idx ELSE seq END ORDER BY seq) AS k FROM b)
 SELECT source_file, case_number, min(title) FILTER (n = 1) AS title, min(base) FILTER (n = 1) AS parsing_quality,
   CASE WHEN bool_and(split) THEN string_agg(raw_text, chr(10) ORDER BY idx) FILTER (k = 1) ELSE min(raw_text) FILTER (n = 1) END AS raw_text FROM o GROUP BY source_file, case_number""")
 def tier_resolve(spark, d):
-    return C.resolve_tiers(literal(spark, "tiers"))
+    return C.resolve_tiers(rows(spark, d, "tiers"))
 
 
-@query(f"""WITH t AS ({TIER_SQL}{literal_sql('tiers')}),
+@query(f"""WITH t AS ({TIER_SQL}{rows_sql('tiers')}),
 b AS (SELECT * FROM t WHERE idx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_file, case_number, idx ORDER BY seq) = 1)
 SELECT source_file, case_number, string_agg(raw_text, chr(10) ORDER BY idx) AS raw_text FROM b GROUP BY source_file, case_number HAVING count(*) > 1""")
 def split_merge(spark, d):
-    parts = literal(spark, "tiers").filter(F.col("parse_tier").rlike(X.TIER))
+    parts = rows(spark, d, "tiers").filter(F.col("parse_tier").rlike(X.TIER))
     counts = parts.withColumn("_i", X.parse_tier(F.col("parse_tier"))["idx"]).groupBy("source_file", "case_number").agg(F.count_distinct("_i").alias("c")).filter("c > 1")
     return C.resolve_tiers(parts).join(counts.select("source_file", "case_number"), ["source_file", "case_number"]).select("source_file", "case_number", "raw_text")
 
 
-UNAMBIGUOUS_SQL = f"""u AS (SELECT document_id, any_value(title) AS title, arg_min(source_file, seq) AS source_file FROM {literal_sql('embed_ready')}
+UNAMBIGUOUS_SQL = f"""u AS (SELECT document_id, any_value(title) AS title, arg_min(source_file, seq) AS source_file FROM {rows_sql('embed_ready')}
   GROUP BY document_id HAVING count(DISTINCT coalesce(title, chr(1))) = 1)"""
 
 
 @query(f"WITH {UNAMBIGUOUS_SQL} SELECT * FROM u")
 def unambiguous_docs(spark, d):
-    return C.unambiguous_documents(literal(spark, "embed_ready"))
+    return C.unambiguous_documents(rows(spark, d, "embed_ready"))
 
 
-@query(rf"""WITH {UNAMBIGUOUS_SQL}, r AS (SELECT * FROM {literal_sql('records')} QUALIFY row_number() OVER (PARTITION BY source_file, title ORDER BY seq DESC) = 1),
+@query(rf"""WITH {UNAMBIGUOUS_SQL}, r AS (SELECT * FROM {rows_sql('records')} QUALIFY row_number() OVER (PARTITION BY source_file, title ORDER BY seq DESC) = 1),
 m AS (SELECT document_id, u.title, coalesce(nullif(u.source_file, ''), r.source_file) AS source_file, r.raw_text AS r_raw_text FROM u JOIN r ON u.source_file IS NOT DISTINCT FROM r.source_file AND u.title IS NOT DISTINCT FROM r.title)
 SELECT *, nullif(trim(regexp_replace(regexp_extract(source_file, '_\d{{4}}년\s*(.*)\.[a-zA-Z]+$', 1), '[(（]\d+[)）]\s*$', '')), '') AS audit_type FROM m""".replace("\\\\", "\\"))
 def keyed_match(spark, d):
-    return C.keyed_match(C.unambiguous_documents(literal(spark, "embed_ready")), literal(spark, "records"))
+    return C.keyed_match(C.unambiguous_documents(rows(spark, d, "embed_ready")), rows(spark, d, "records"))
 
 
-@query(f"SELECT document_id, arg_min(source_file, seq) AS source_file FROM {literal_sql('embed_ready')} GROUP BY document_id")
+@query(f"SELECT document_id, arg_min(source_file, seq) AS source_file FROM {rows_sql('embed_ready')} GROUP BY document_id")
 def first_source(spark, d):
-    return literal(spark, "embed_ready").groupBy("document_id").agg(F.min_by("source_file", "seq").alias("source_file"))
+    return rows(spark, d, "embed_ready").groupBy("document_id").agg(F.min_by("source_file", "seq").alias("source_file"))
 
 
 @query(f"WITH {CHUNKS_SQL}, {DOCS_SQL} SELECT chunk_id FROM chunks WHERE document_id IN (SELECT document_id FROM docs WHERE parsing_quality = 'standard')")
@@ -188,9 +188,9 @@ def stratified_sample(spark, d):
     return C.stratified_sample(docs, {"standard": 20, "partial": 10, "fallback": 5}, "parsing_quality", "n", "document_id").select(F.col("document_id").alias("doc_id"), "parsing_quality")
 
 
-@query(f"SELECT id, TRY_CAST(CASE WHEN regexp_full_match(trim(year), '[+-]?\\d+') THEN trim(year) END AS INTEGER) AS year FROM {literal_sql('years')}")
+@query(f"SELECT id, TRY_CAST(CASE WHEN regexp_full_match(trim(year), '[+-]?\\d+') THEN trim(year) END AS INTEGER) AS year FROM {rows_sql('years')}")
 def safe_year(spark, d):
-    return literal(spark, "years").select("id", X.safe_year(F.col("year")).alias("year"))
+    return rows(spark, d, "years").select("id", X.safe_year(F.col("year")).alias("year"))
 
 
 @query("SELECT doc_id, doc_id || '_' || left(md5(doc_id || '_' || 0 || '_' || left(text, 30)), 8) AS chunk_id FROM documents")
@@ -209,33 +209,33 @@ def rechunk_replace(spark, d):
     return U.rechunk_replace(chunks(spark, d), fresh).select("chunk_id", "document_id", F.col("embedding").isNull().alias("to_embed"))
 
 
-BAG_SQL = f"""WITH c AS (SELECT pair_id, side, ch, count(*) AS n FROM (SELECT pair_id, 'a' AS side, unnest(string_split(replace(a, ' ', ''), '')) AS ch FROM {literal_sql('pairs')} UNION ALL
-  SELECT pair_id, 'b', unnest(string_split(replace(b, ' ', ''), '')) FROM {literal_sql('pairs')}) WHERE ch <> '' GROUP BY ALL),
+BAG_SQL = f"""WITH c AS (SELECT pair_id, side, ch, count(*) AS n FROM (SELECT pair_id, 'a' AS side, unnest(string_split(replace(a, ' ', ''), '')) AS ch FROM {rows_sql('pairs')} UNION ALL
+  SELECT pair_id, 'b', unnest(string_split(replace(b, ' ', ''), '')) FROM {rows_sql('pairs')}) WHERE ch <> '' GROUP BY ALL),
 m AS (SELECT pair_id, ch, sum(n) FILTER (side = 'a') AS na, sum(n) FILTER (side = 'b') AS nb FROM c GROUP BY ALL),
 s AS (SELECT pair_id, sum(least(coalesce(na, 0), coalesce(nb, 0))) AS common, greatest(sum(coalesce(na, 0)), sum(coalesce(nb, 0))) AS total FROM m GROUP BY pair_id)
-SELECT p.pair_id, CASE WHEN coalesce(total, 0) = 0 THEN 1e0 ELSE CAST(common AS DOUBLE) / total END AS bag FROM {literal_sql('pairs')} p LEFT JOIN s USING (pair_id)"""
-GATE_SQL = f"SELECT *, CASE WHEN old_len > 0 THEN new_len / old_len ELSE 0 END AS lr FROM {literal_sql('reviews')}"
+SELECT p.pair_id, CASE WHEN coalesce(total, 0) = 0 THEN 1e0 ELSE CAST(common AS DOUBLE) / total END AS bag FROM {rows_sql('pairs')} p LEFT JOIN s USING (pair_id)"""
+GATE_SQL = f"SELECT *, CASE WHEN old_len > 0 THEN new_len / old_len ELSE 0 END AS lr FROM {rows_sql('reviews')}"
 
 
 @query(f"""SELECT id, CASE WHEN similarity >= 0.9 THEN 'apply' ELSE 'review' END AS first, CASE WHEN similarity >= 0.9 OR (bag >= 0.97 AND lr BETWEEN 0.95 AND 1.05) THEN 'apply' ELSE 'review' END AS second,
   CASE WHEN similarity >= 0.9 THEN 'sequence' WHEN bag >= 0.97 AND lr BETWEEN 0.95 AND 1.05 THEN 'reorder' END AS reason FROM ({GATE_SQL})""")
 def accept_gate(spark, d):
-    own = literal(spark, "reviews").withColumn("lr", X.length_ratio(F.col("old_len"), F.col("new_len")))
+    own = rows(spark, d, "reviews").withColumn("lr", X.length_ratio(F.col("old_len"), F.col("new_len")))
     second = X.accept_second(F.col("similarity"), F.col("bag"), F.col("lr"))
     return own.select("id", X.accept_first(F.col("similarity")).alias("first"), second["decision"].alias("second"), second["reason"].alias("reason"))
 
 
-@query(f"SELECT pair_id, CASE WHEN a = b THEN 'unchanged' WHEN bag >= 0.9 THEN 'apply' ELSE 'review' END AS third FROM ({BAG_SQL}) JOIN {literal_sql('pairs')} USING (pair_id)")
+@query(f"SELECT pair_id, CASE WHEN a = b THEN 'unchanged' WHEN bag >= 0.9 THEN 'apply' ELSE 'review' END AS third FROM ({BAG_SQL}) JOIN {rows_sql('pairs')} USING (pair_id)")
 def third_gate(spark, d):
-    own = literal(spark, "pairs")
+    own = rows(spark, d, "pairs")
     return A.bag_similarity(own).join(own, "pair_id").select("pair_id", X.accept_third(F.col("bag"), F.col("a"), F.col("b")).alias("third"))
 
 
-@query(f"SELECT id, CASE WHEN id % 2 = 0 THEN 'marker_table_count_mismatch' WHEN coalesce(similarity, 0) < 0.9 THEN 'low_similarity_after_merge' END AS reason FROM {literal_sql('reviews')}")
+@query(f"SELECT id, CASE WHEN id % 2 = 0 THEN 'marker_table_count_mismatch' WHEN coalesce(similarity, 0) < 0.9 THEN 'low_similarity_after_merge' END AS reason FROM {rows_sql('reviews')}")
 def table_gate(spark, d):
-    return literal(spark, "reviews").select("id", X.table_gate(F.col("id") % 2 == 1, F.coalesce("similarity", F.lit(0.0))).alias("reason"))
+    return rows(spark, d, "reviews").select("id", X.table_gate(F.col("id") % 2 == 1, F.coalesce("similarity", F.lit(0.0))).alias("reason"))
 
 
 @query(BAG_SQL)
 def bag_similarity(spark, d):
-    return A.bag_similarity(literal(spark, "pairs"))
+    return A.bag_similarity(rows(spark, d, "pairs"))

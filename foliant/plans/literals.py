@@ -1,8 +1,12 @@
-"""Small literal inputs for operators whose cases do not occur in the tables, as Spark rows and as SQL."""
+"""Inputs of operators whose columns the tables do not have: derived from all rows of a table by SQL that Spark and DuckDB both read, and a few literal rows for cases that even
+those do not show."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.sources.tables import table
 
 LITERALS: dict[str, tuple[str, list[tuple]]] = {
     "titles": ("id int, text string", [
@@ -45,7 +49,6 @@ LITERALS: dict[str, tuple[str, list[tuple]]] = {
         (1, None, None, None, None, False, None, False), (2, "p", "c", "", None, False, "f", False), (3, None, None, None, None, True, None, True), (4, None, None, None, None, False, "f", False),
     ]),
     "summary_results": ("doc_id int, point string, cause string, action string, result string, failed boolean", [(1, "P", "C", "A", "R", False), (4, "x", "x", "x", "x", True), (9, "n", "n", "n", "n", False)]),
-    "changes": ("doc_id long, old string, new string", [(1, None, "set")]),
     "reviews": ("id int, similarity double, bag double, old_len int, new_len int, error string", [
         (1, 0.95, 0.99, 100, 100, None), (2, 0.5, 0.98, 100, 104, None), (3, 0.72, 0.98, 100, 120, None), (4, 0.85, 0.5, 100, 80, None), (5, 0.1, 0.97, 200, 190, None), (6, None, None, 0, 10, "TimeoutExpired: Command 'x' timed out after 90 seconds while converting the file"), (7, None, None, 0, 0, "ValueError"), (8, 0.7, 0.2, 100, 110, "ValueError"), (9, 0.9, 0.0, 50, 45, None),
     ]),
@@ -57,9 +60,60 @@ LITERALS: dict[str, tuple[str, list[tuple]]] = {
 }
 
 
+#: Rows of the same columns from the given tables. Ids begin at 1000, behind those of the literal rows; OF( makes an array; {table} is a table.
+SOURCE = "source || '_' || CAST(2010 + doc_id % 9 AS STRING) || '년 특정감사(' || CAST(doc_id % 4 AS STRING) || ')'"
+REVIEW = "CAST(1000 + l_orderkey * 8 + l_linenumber AS INT)"
+DERIVED: dict[str, str] = {
+    "titles": "SELECT CAST(1000 + doc_id AS INT) AS id, CASE doc_id % 4 WHEN 0 THEN '제목: ' || text WHEN 1 THEN '제 목 ' || text WHEN 2 THEN '  제목：' || text ELSE text END AS text FROM {documents}",
+    "sources": f"SELECT CAST(1000 + doc_id AS INT) AS id, CASE doc_id % 3 WHEN 0 THEN 'data_repo/' || lang || '/' WHEN 1 THEN lang || ' (a)/' ELSE '' END || {SOURCE} || CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.HWP' WHEN 2 THEN '.hwpx' WHEN 3 THEN '.docx' ELSE '' END AS source_file FROM {{documents}}",
+    # two records of four neighbours are a case; each case has records of two tiers, or two parts
+    "tiers": """SELECT CAST(1000 + doc_id AS INT) AS seq, CASE WHEN doc_id % 40 = 3 THEN NULL ELSE 'cases/' || CAST(CAST(floor(doc_id / 4.0) AS INT) AS STRING) END AS source_file, CAST(doc_id % 2 AS STRING) AS case_number, left(text, 20) AS title,
+      CASE CAST(floor(doc_id / 4.0) AS INT) % 5 * 4 + doc_id % 4 WHEN 0 THEN 'standard_split1of2' WHEN 1 THEN 'fallback' WHEN 2 THEN 'standard_split2of2' WHEN 3 THEN 'standard' WHEN 4 THEN 'partial_split2of2' WHEN 5 THEN 'extraction_failed' WHEN 6 THEN 'partial_split1of2'
+      WHEN 7 THEN 'overview' WHEN 8 THEN 'partial' WHEN 9 THEN 'odd' WHEN 10 THEN 'standard' WHEN 11 THEN 'partial_split1of2' ELSE 'standard' END AS parse_tier, text AS raw_text FROM {documents}""",
+    "embed_ready": f"SELECT CAST(1000 + doc_id AS INT) AS seq, 'x' || CAST(CAST(floor(doc_id / 3.0) AS INT) AS STRING) AS document_id, 'c' || CAST(doc_id AS STRING) AS chunk_id, CASE WHEN doc_id % 18 > 14 THEN NULL WHEN doc_id % 9 < 3 THEN lang ELSE 'report' END AS title, {SOURCE} || '.pdf' AS source_file, text FROM {{documents}}",
+    "records": f"SELECT CAST(1000 + doc_id AS INT) AS seq, {SOURCE} || '.pdf' AS source_file, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN lang ELSE 'report' END AS title, text AS raw_text FROM {{documents}}",
+    "texts": """SELECT CAST(1000 + doc_id AS INT) AS id, CASE doc_id % 14 WHEN 0 THEN '표' || chr(10) || text || chr(10) || ' 표 ' || chr(10) || chr(10) || chr(10) || '끝' WHEN 1 THEN text || chr(10) || '- 3 -' || chr(10) || '-12-' WHEN 2 THEN '「「' || text || '」」 『『안』』' WHEN 3 THEN text || ' 연번 지적사항 처분 이다'
+      WHEN 4 THEN text || chr(10) || '연번' || chr(10) || '지적사항' || chr(10) || '처분' WHEN 5 THEN 'hp:run hc:abc ' || text || ' textpos=' WHEN 6 THEN 'outlineS ' || text || ' 때문에는' WHEN 7 THEN text || ' 처분 결과 주 의' WHEN 8 THEN replace(text, '. ', chr(10) || '은 ') WHEN 9 THEN text || ' 그리고'
+      WHEN 10 THEN replace(text, ', ', ' | ') WHEN 11 THEN replace(text, ', ', chr(10) || '도 ') WHEN 12 THEN text || ' linkListNextIDRef= 및' ELSE text END AS text FROM {documents}""",
+    "years": "SELECT CAST(1000 + o_orderkey AS INT) AS id, CASE o_orderkey % 6 WHEN 0 THEN CAST(year(o_orderdate) AS STRING) WHEN 1 THEN ' ' || CAST(year(o_orderdate) AS STRING) || ' ' WHEN 2 THEN CAST(year(o_orderdate) AS STRING) || '년' WHEN 3 THEN '' WHEN 4 THEN CAST(year(o_orderdate) AS STRING) || '.0' END AS year FROM {orders}",
+    "slugs": "SELECT CAST(1000 + doc_id AS INT) AS id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE source END AS institution, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE CAST(2010 + doc_id % 12 AS INT) END AS year, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE replace(left(text, 120), ',', '/') END AS title FROM {documents}",
+    "marks": "SELECT CAST(1000 + doc_id AS INT) AS id, text, CASE doc_id % 4 WHEN 0 THEN 'the of THE' WHEN 1 THEN 'a.b (un) de der' WHEN 2 THEN ' ' || left(replace(text, chr(10), ' '), 12) ELSE ' 및 때 ' END AS query FROM {documents}",
+    "searches": "SELECT CAST(1000 + doc_id AS INT) AS id, CASE doc_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN ' ' || lang || ' ' ELSE source END AS query, OF('en', lang, source, left(text, 5), 'fr') AS earlier FROM {documents}",
+    "tables": "SELECT CAST(1000 + doc_id AS INT) AS id, OF(OF(lang, '', source), OF('', ''), OF(left(text, 20)), OF(CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'x' END)) AS cells FROM {documents}",
+    "marked": "SELECT CAST(1000 + doc_id AS INT) AS id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN left(text, 50) || '<표>' || substr(text, 51) || '<그림>' WHEN 2 THEN '<표>' || text || '<표>' ELSE replace(text, '. ', ' <표> ') END AS text, CASE WHEN doc_id % 8 < 4 THEN OF(source) ELSE OF(source, lang) END AS tables FROM {documents}",
+    "summaries": """SELECT CAST(1000 + doc_id AS INT) AS id, CASE doc_id % 3 WHEN 0 THEN 'standard' WHEN 1 THEN 'partial' ELSE 'fallback' END AS quality, CASE doc_id % 5 WHEN 0 THEN replace(left(text, 40), chr(10), ' ') || chr(10) || '원인 미기재' || chr(10) || chr(10) || lang || chr(10) || source
+      WHEN 1 THEN '지적사항 불분명' || chr(10) || '원인 미기재' || chr(10) || ' ' || chr(10) || '조치사항 미기재' || chr(10) || '처리결과 미기재' WHEN 2 THEN text WHEN 3 THEN lang || chr(10) || source ELSE '지적사항 불분명' || chr(10) || lang || chr(10) || lang || chr(10) || '처리결과 미기재' END AS summary FROM {documents}""",
+    "summary_rows": """SELECT CAST(1000 + doc_id AS INT) AS doc_id, CASE WHEN doc_id % 4 = 0 THEN left(text, 30) END AS summary_point, CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN '' END AS summary_cause, CASE WHEN doc_id % 4 = 0 THEN source END AS summary_action, CASE WHEN doc_id % 8 = 0 THEN lang END AS summary_result,
+      doc_id % 5 = 1 AS summary_failed, CASE WHEN doc_id % 3 = 0 THEN left(text, 60) END AS summary_freeform, doc_id % 7 = 2 AS freeform_failed FROM {documents}""",
+    "summary_results": "SELECT CAST(1000 + doc_id AS INT) AS doc_id, left(text, 10) AS point, lang AS cause, source AS action, lang || source AS result, doc_id % 9 = 4 AS failed FROM {documents} WHERE doc_id % 3 = 1",
+    "reviews": f"SELECT {REVIEW} AS id, CASE WHEN l_linenumber = 5 THEN NULL ELSE 1 - l_discount * 6 END AS similarity, 1 - l_tax AS bag, CAST(l_quantity AS INT) - 1 AS old_len, CAST(l_quantity + l_linenumber - 3 AS INT) AS new_len, CASE l_linenumber WHEN 5 THEN 'TimeoutExpired: part ' || CAST(l_suppkey AS STRING) || ' timed out after 90 seconds while converting the file' WHEN 6 THEN 'ValueError' END AS error FROM {{lineitem}}",
+    "pairs": "SELECT CAST(1000 + doc_id AS INT) AS pair_id, text AS a, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, 'e', 'a') WHEN 2 THEN left(text, 200) ELSE replace(text, ' ', '') || '.' END AS b FROM {documents}",
+    "usage": "SELECT CAST(1000 + doc_id AS INT) AS id, CAST(length(text) AS INT) AS input_tokens, CAST(40 + doc_id % 90 AS INT) AS output_tokens, doc_id % 16 * 0.25E0 AS seconds FROM {documents}",
+    "originals": "SELECT CAST(1000 + doc_id AS INT) AS id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '<표>' || text ELSE replace(text, '. ', ' <표> ') END AS original, CASE doc_id % 5 WHEN 0 THEN text || ' [표]' WHEN 1 THEN replace(text, ', ', '|') ELSE text END AS stored FROM {documents}",
+}
+TABLES = ("documents", "orders", "lineitem")
+
+
+def rows(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The derived rows of an input, and its literal ones."""
+    schema, own = LITERALS[name]
+    given = {t: table(spark, d, t) for t in TABLES if f"{{{t}}}" in DERIVED[name]}
+    literals = spark.createDataFrame(own, schema)
+    derived = spark.sql(DERIVED[name].replace("OF(", "array("), **given)
+    return derived.select(*[F.col(f.name).cast(f.dataType) for f in literals.schema]).unionByName(literals)
+
+
+def rows_sql(name: str) -> str:
+    """The same rows as a parenthesised SQL query."""
+    derived = DERIVED[name].replace("OF(", "list_value(")
+    for t in TABLES:
+        derived = derived.replace(f"{{{t}}}", t)
+    return f"({derived} UNION ALL {literal_sql(name)[1:-1]})"
+
+
 def literal(spark: SparkSession, name: str) -> DataFrame:
-    schema, rows = LITERALS[name]
-    return spark.createDataFrame(rows, schema)
+    schema, own = LITERALS[name]
+    return spark.createDataFrame(own, schema)
 
 
 def _sql(value, kind: str) -> str:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 import io
 import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from foliant.functions import blocks as B
 from foliant.functions import text as X
@@ -14,7 +17,7 @@ from foliant.operators import markup as M
 from foliant.operators import structure as T
 from foliant.operators import summaries as Z
 from foliant.plans.auditing import LINES_SQL
-from foliant.plans.literals import literal, literal_sql
+from foliant.plans.literals import rows, rows_sql
 from foliant.plans.registry import query
 from foliant.plans.repairing import GLYPHS_SQL as GLYPHS_MASKED_SQL
 from foliant.sources.tables import table
@@ -64,14 +67,22 @@ def line_classes(spark, d):
     return T.line_classes(reports(spark, d))
 
 
-@query()
+#: A title, three headings, a footnote and a table before the text of every document, from its own columns.
+PLANTED = """'제목: ' || source || ' 점검' || chr(10) || '2. ' || lang || ' 개요' || chr(10) || '직원은 규정1)을 지킨다.' || chr(10) || '1) 취업규칙 ' || source || chr(10) || chr(10) || '가. ' || source || chr(10) || '[표 1] ' || lang || ' 현황' || chr(10) || source || ' 1' || chr(10) || chr(10) || text"""
+
+
+def planted(spark, d):
+    return table(spark, d, "documents").selectExpr("doc_id", f"{PLANTED} AS text")
+
+
+@query("SELECT doc_id, 'heading-' || unnest([1, 2, 3]) AS anchor, unnest(['2. ' || lang || ' 개요', '가. ' || source, '[표 1] ' || lang || ' 현황']) AS text FROM documents")
 def toc(spark, d):
-    return T.toc(T.blocks(reports(spark, d)), least=2)
+    return T.toc(T.blocks(planted(spark, d)))
 
 
-@query()
+@query("SELECT doc_id, CAST(1 AS INTEGER) AS number, '취업규칙 ' || source AS text FROM documents")
 def footnotes(spark, d):
-    return T.footnotes(T.blocks(reports(spark, d)))
+    return T.footnotes(T.blocks(planted(spark, d)))
 
 
 @query()
@@ -123,7 +134,21 @@ def glyphs(spark):
     return spark.createDataFrame(glyph_rows(), "doc_id long, page int, page_width double, fragment int, seq int, c string, x0 double, y0 double, x1 double, y1 double")
 
 
-GLYPHS_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({d}, {p}, {w}, {f}, {i}, '{c}', {x0}, {y0}, {x1}, {y1})" for d, p, w, f, i, c, x0, y0, x1, y1 in glyph_rows()) + ") g(doc_id, page, page_width, fragment, seq, c, x0, y0, x1, y1))"
+#: Texts laid out in lines of 40 glyphs: of even documents twelve a page in two columns, of odd ones nine in one. p: the place of a glyph c in its text, from 0.
+LINE, WIDE = 40, "doc_id % 2 = 0"
+LAID_OUT = f"""SELECT doc_id, CAST(CASE WHEN {WIDE} THEN floor(k / 12.0) ELSE floor(k / 9.0) END AS INT) AS page, 600E0 AS page_width, CAST(k AS INT) AS fragment, CAST(p % {LINE} AS INT) AS seq, c,
+  x + p % {LINE} * 6E0 AS x0, y AS y0, x + p % {LINE} * 6E0 + 6E0 AS x1, y + 9E0 AS y1
+  FROM (SELECT *, CASE WHEN {WIDE} AND k % 12 >= 6 THEN 340E0 ELSE 40E0 END AS x, 100E0 + 30E0 * (CASE WHEN {WIDE} THEN k % 6 ELSE k % 9 END) AS y FROM (SELECT doc_id, p, c, CAST(floor(p / {LINE}.0) AS INT) AS k FROM placed))"""
+
+
+def glyph_table(spark, d):
+    """Glyphs of all documents, and of the two literal pages under an id below 0."""
+    placed = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), "")).alias("p", "c")).filter("c <> ''")
+    return spark.sql(LAID_OUT.replace("FROM placed", "FROM {placed}"), placed=placed).unionByName(glyphs(spark).withColumn("doc_id", -F.col("doc_id")))
+
+
+GLYPHS_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({-d}, {p}, {w}, {f}, {i}, '{c}', {x0}, {y0}, {x1}, {y1})" for d, p, w, f, i, c, x0, y0, x1, y1 in glyph_rows()) + ") g(doc_id, page, page_width, fragment, seq, c, x0, y0, x1, y1)"
+GLYPHS_SQL += f" UNION ALL (WITH placed AS (SELECT doc_id, i - 1 AS p, w[i] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), '') AS w FROM documents WHERE text <> ''))) {LAID_OUT}))"
 ROWS_SQL = f"""g AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, page, CAST(page_width AS DOUBLE) AS page_width, fragment, seq, c, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM {GLYPHS_SQL}),
 b0 AS (SELECT doc_id, page, fragment, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, max(page_width) AS page_width FROM g GROUP BY 1, 2, 3),
 b1 AS (SELECT *, CASE WHEN abs(y0 - lag(y0) OVER w) <= {L.ROW_TOLERANCE} THEN 0 ELSE 1 END AS new FROM b0 WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0, fragment)),
@@ -146,12 +171,12 @@ cols AS (SELECT doc_id, page, split_x FROM sd GROUP BY 1, 2, 3 HAVING count(*) =
 
 @query(f"WITH {ROWS_SQL} SELECT doc_id, page, fragment, band, part FROM r")
 def pdf_rows(spark, d):
-    return L.page_rows(glyphs(spark)).select("doc_id", "page", "fragment", "band", "part")
+    return L.page_rows(glyph_table(spark, d)).select("doc_id", "page", "fragment", "band", "part")
 
 
 @query(f"WITH {TEXTS_SQL}, {_columns_sql(L.LINE_WIDTH, 0)} SELECT * FROM cols")
 def pdf_columns(spark, d):
-    return L.two_columns(L.page_lines(glyphs(spark)))
+    return L.two_columns(L.page_lines(glyph_table(spark, d)))
 
 
 @query(f"""WITH {TEXTS_SQL}, {_columns_sql(L.LINE_WIDTH, 0)},
@@ -159,73 +184,87 @@ o2 AS (SELECT n.*, CASE WHEN x0 > split_x THEN 1 ELSE 0 END AS side FROM n LEFT
 t AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page, side, y0, band, part) FILTER (NOT regexp_matches(text, '^-\\s*\\d+\\s*-$')) AS text FROM o2 GROUP BY doc_id)
 SELECT doc_id, {GLYPHS_MASKED_SQL} AS text FROM t""")
 def pdf_text(spark, d):
-    return L.document_text(glyphs(spark))
+    return L.document_text(glyph_table(spark, d))
 
 
 @query(f"WITH {TEXTS_SQL}, {_columns_sql(L.BLOCK_WIDTH, L.BLOCK_TEXT)} SELECT * FROM cols")
 def multicolumn_pages(spark, d):
-    return L.multicolumn_pages(L.page_lines(glyphs(spark)))
+    return L.multicolumn_pages(L.page_lines(glyph_table(spark, d)))
 
 
-TABLE_PAGE = "<p>x</p><table><tr><th>a</th><td> b \n c </td></tr><tr><td><table><tr><td>in</td></tr></table></td></tr></table><table><tr><td></td></tr></table>"
+#: Tables of what a page's own columns hold, behind the page: cells, white space, an entity, a nested table, rows that are empty, and a table that ends nowhere.
+TABLES = """html || '<p>x</p><table class="a"><tr><th>' || page_id || '</th><td> ' || replace(url, '/', ' / ') || ' ' || chr(10) || ' b &amp; c </td></tr><tr></tr><tr><td>x<table><tr><td>in ' || page_id || '</td></tr></table></td></tr></table><TABLE><tr><td></td></tr></TABLE><table><tr><td>open'"""
+SPACED_SQL = "trim(regexp_replace(replace(url, '/', ' / '), '\\s+', ' ', 'g'))"
 
 
-@query()
+@query(f"""SELECT page_id, CAST(unnest([0, 1]) AS INTEGER) AS n, unnest([page_id || ' | ' || {SPACED_SQL} || ' b & c' || chr(10) || 'in ' || page_id, '']) AS flat FROM pages""")
 def html_tables(spark, d):
-    pages = table(spark, d, "pages").select("page_id", F.concat("html", F.lit(TABLE_PAGE)).alias("html"))
+    """Of all pages. These have no tables of their own, so SQL can say what comes out."""
+    pages = table(spark, d, "pages").selectExpr("page_id", f"{TABLES} AS html")
     return M.html_tables(pages).select("page_id", "n", X.table_flatten(F.col("cells")).alias("flat"))
 
 
-def hwpx_bytes() -> bytes:
-    ns = 'xmlns:hp="http://www.hancom.co.kr/hwpml/2011/paragraph"'
-    section = f"<sec {ns}><hp:p><hp:run><hp:t>첫 문단</hp:t></hp:run><hp:run><hp:tbl><hp:p><hp:run><hp:t>칸</hp:t></hp:run></hp:p></hp:tbl></hp:run></hp:p><hp:p><hp:run><hp:t></hp:t></hp:run></hp:p></sec>"
-    with zipfile.ZipFile(buf := io.BytesIO(), "w") as z:
-        z.writestr("Contents/section1.xml", section.replace("첫", "둘째"))
-        z.writestr("Contents/section0.xml", section)
-        z.writestr("mimetype", "application/hwp+zip")
-    return buf.getvalue()
+@F.pandas_udf(BinaryType())
+def archived(texts: pd.Series) -> pd.Series:
+    """A zipped document of two sections: a paragraph a line; a paragraph with a table around another."""
+
+    def one(text: str) -> bytes:
+        part = lambda x: f"<hp:p><hp:run><hp:t>{html.escape(x, quote=False)}</hp:t></hp:run></hp:p>"
+        sec = lambda x: f'<sec xmlns:hp="http://www.hancom.co.kr/hwpml/2011/paragraph">{x}</sec>'
+        with zipfile.ZipFile(buf := io.BytesIO(), "w") as z:
+            z.writestr("Contents/section1.xml", sec("<hp:p><hp:run><hp:t>둘째 문단</hp:t></hp:run><hp:run><hp:tbl><hp:p><hp:run><hp:t>칸</hp:t></hp:run></hp:p></hp:tbl></hp:run></hp:p>"))
+            z.writestr("Contents/section0.xml", sec("".join(map(part, text.split("\n")))))
+            z.writestr("mimetype", "application/hwp+zip")
+        return buf.getvalue()
+
+    return texts.map(one)
+
+
+ESCAPED_SQL = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-@query("SELECT 1 AS id, E'첫 문단\n칸\n둘째 문단\n칸' AS text, E'첫 문단\n칸\n\n둘째 문단\n칸\n' AS naive")
+@query(f"""SELECT doc_id AS id, array_to_string(list_filter(string_split(text || chr(10) || '둘째 문단' || chr(10) || '칸', chr(10)), lambda x: x <> ''), chr(10)) AS text,
+  {ESCAPED_SQL} || chr(10) || '둘째 문단' || chr(10) || '칸' AS naive FROM documents""")
 def hwpx_paragraphs(spark, d):
-    files = spark.createDataFrame([(1, bytearray(hwpx_bytes()))], "id int, content binary")
+    """Every document as an archive, read back in both ways."""
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("id"), archived("text").alias("content"))
     return M.archive_paragraphs(files).join(M.archive_runs(files), "id")
 
 
-@query(f"SELECT doc_id, summary_point IS NULL AND NOT summary_failed AS needs_structured, summary_freeform IS NULL AND NOT freeform_failed AS needs_freeform FROM {literal_sql('summary_rows')}")
+@query(f"SELECT doc_id, summary_point IS NULL AND NOT summary_failed AS needs_structured, summary_freeform IS NULL AND NOT freeform_failed AS needs_freeform FROM {rows_sql('summary_rows')}")
 def summary_needs(spark, d):
-    return Z.needs(literal(spark, "summary_rows")).select("doc_id", "needs_structured", "needs_freeform")
+    return Z.needs(rows(spark, d, "summary_rows")).select("doc_id", "needs_structured", "needs_freeform")
 
 
-@query(f"WITH s AS (SELECT id, {LINES_SQL} AS l FROM {literal_sql('summaries')}) SELECT id, CASE WHEN len(l) = 4 THEN l[1] END AS point, CASE WHEN len(l) = 4 THEN l[2] END AS cause, CASE WHEN len(l) = 4 THEN l[3] END AS action, CASE WHEN len(l) = 4 THEN l[4] END AS result FROM s")
+@query(f"WITH s AS (SELECT id, {LINES_SQL} AS l FROM {rows_sql('summaries')}) SELECT id, CASE WHEN len(l) = 4 THEN l[1] END AS point, CASE WHEN len(l) = 4 THEN l[2] END AS cause, CASE WHEN len(l) = 4 THEN l[3] END AS action, CASE WHEN len(l) = 4 THEN l[4] END AS result FROM s")
 def parse_summary(spark, d):
-    return literal(spark, "summaries").select("id", X.parse_summary(F.col("summary")).alias("s")).select("id", "s.*")
+    return rows(spark, d, "summaries").select("id", X.parse_summary(F.col("summary")).alias("s")).select("id", "s.*")
 
 
 FALLBACK_SQL = "list_transform(l, lambda x: contains(x, '지적사항 불분명') OR contains(x, '원인 미기재') OR contains(x, '조치사항 미기재') OR contains(x, '처리결과 미기재'))"
 
 
-@query(f"WITH s AS (SELECT id, {LINES_SQL} AS l FROM {literal_sql('summaries')}) SELECT id, list_bool_and({FALLBACK_SQL}) AS fallback FROM s WHERE len(l) = 4".replace("list_bool_and(", "list_aggregate(").replace(") AS fallback", ", 'bool_and') AS fallback"))
+@query(f"WITH s AS (SELECT id, {LINES_SQL} AS l FROM {rows_sql('summaries')}) SELECT id, list_bool_and({FALLBACK_SQL}) AS fallback FROM s WHERE len(l) = 4".replace("list_bool_and(", "list_aggregate(").replace(") AS fallback", ", 'bool_and') AS fallback"))
 def summary_fallback(spark, d):
-    own = literal(spark, "summaries").select("id", X.parse_summary(F.col("summary")).alias("s")).filter("s is not null")
+    own = rows(spark, d, "summaries").select("id", X.parse_summary(F.col("summary")).alias("s")).filter("s is not null")
     return own.select("id", X.all_fallback([F.col(f"s.{n}") for n in X.SUMMARY_LABELS]).alias("fallback"))
 
 
-@query(f"WITH s AS (SELECT id, len({LINES_SQL}) AS n FROM {literal_sql('summaries')}) SELECT id, CASE WHEN n <> 4 THEN '줄 수 불일치: ' || n || '줄 (4줄이어야 함)' END AS issue FROM s")
+@query(f"WITH s AS (SELECT id, len({LINES_SQL}) AS n FROM {rows_sql('summaries')}) SELECT id, CASE WHEN n <> 4 THEN '줄 수 불일치: ' || n || '줄 (4줄이어야 함)' END AS issue FROM s")
 def summary_format(spark, d):
-    return literal(spark, "summaries").select("id", X.summary_issue(F.col("summary")).alias("issue"))
+    return rows(spark, d, "summaries").select("id", X.summary_issue(F.col("summary")).alias("issue"))
 
 
-@query(f"SELECT doc_id, '지적사항: ' || coalesce(nullif(summary_point, ''), '미기재') || chr(10) || '원인: ' || coalesce(nullif(summary_cause, ''), '미기재') || chr(10) || '조치: ' || coalesce(nullif(summary_action, ''), '미기재') || chr(10) || '결과: ' || coalesce(nullif(summary_result, ''), '미기재') AS copied FROM {literal_sql('summary_rows')}")
+@query(f"SELECT doc_id, '지적사항: ' || coalesce(nullif(summary_point, ''), '미기재') || chr(10) || '원인: ' || coalesce(nullif(summary_cause, ''), '미기재') || chr(10) || '조치: ' || coalesce(nullif(summary_action, ''), '미기재') || chr(10) || '결과: ' || coalesce(nullif(summary_result, ''), '미기재') AS copied FROM {rows_sql('summary_rows')}")
 def summary_copy(spark, d):
     fields = {n: F.col(f"summary_{n}") for n in X.SUMMARY_LABELS}
-    return literal(spark, "summary_rows").select("doc_id", X.summary_copy(fields).alias("copied"))
+    return rows(spark, d, "summary_rows").select("doc_id", X.summary_copy(fields).alias("copied"))
 
 
 @query(f"""SELECT s.doc_id, CASE WHEN r.doc_id IS NULL THEN summary_point WHEN NOT r.failed THEN r.point END AS summary_point, CASE WHEN r.doc_id IS NULL THEN summary_result WHEN NOT r.failed THEN r.result END AS summary_result,
-  coalesce(r.failed, summary_failed) AS summary_failed FROM {literal_sql('summary_rows')} s LEFT JOIN {literal_sql('summary_results')} r USING (doc_id)""")
+  coalesce(r.failed, summary_failed) AS summary_failed FROM {rows_sql('summary_rows')} s LEFT JOIN {rows_sql('summary_results')} r USING (doc_id)""")
 def summary_cache(spark, d):
-    return Z.cache(literal(spark, "summary_rows"), literal(spark, "summary_results")).select("doc_id", "summary_point", "summary_result", "summary_failed")
+    return Z.cache(rows(spark, d, "summary_rows"), rows(spark, d, "summary_results")).select("doc_id", "summary_point", "summary_result", "summary_failed")
 
 
 @query("SELECT doc_id, '지적사항 한 문장' AS point, '원인 한 문장' AS cause, '조치사항 한 문장' AS action, '처리결과 한 문장' AS result, false AS failed FROM documents")

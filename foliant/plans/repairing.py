@@ -8,7 +8,7 @@ from foliant.functions import text as X
 from foliant.functions.udfs import html_unescape
 from foliant.functions.udfs import strip_markup as markup
 from foliant.operators.upserts import changed_texts
-from foliant.plans.literals import literal, literal_sql
+from foliant.plans.literals import rows, rows_sql
 from foliant.plans.registry import query
 from foliant.sources.tables import table
 
@@ -68,9 +68,9 @@ for _ch in X.BRACKETS:
         BRACKETS_SQL = f"replace({BRACKETS_SQL}, '{_ch * _n}', '{_ch}')"
 
 
-@query(f"SELECT id, {BRACKETS_SQL} AS fixed FROM {literal_sql('texts')}")
+@query(f"SELECT id, {BRACKETS_SQL} AS fixed FROM {rows_sql('texts')}")
 def dedup_brackets(spark, d):
-    return literal(spark, "texts").select("id", X.dedup_brackets(F.col("text")).alias("fixed"))
+    return rows(spark, d, "texts").select("id", X.dedup_brackets(F.col("text")).alias("fixed"))
 
 
 @query("SELECT doc_id, md5(replace(text || chr(0) || 'x', chr(0), '')) AS digest FROM documents")
@@ -78,32 +78,32 @@ def nul_strip(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.nul_strip(F.concat("text", F.lit("\0x")))).alias("digest"))
 
 
-@query(f"SELECT id, trim(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '표'), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS fixed FROM {literal_sql('texts')}")
+@query(f"SELECT id, trim(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '표'), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS fixed FROM {rows_sql('texts')}")
 def strip_placeholder(spark, d):
-    return literal(spark, "texts").select("id", X.strip_placeholder(F.col("text")).alias("fixed"))
+    return rows(spark, d, "texts").select("id", X.strip_placeholder(F.col("text")).alias("fixed"))
 
 
-@query(f"SELECT id, regexp_replace(text || chr(57345) || chr(57346) || '<z' || chr(57347), '[\\x{{E000}}-\\x{{F8FF}}]+', '[코드]', 'g') AS fixed FROM {literal_sql('texts')}")
+@query(f"SELECT id, regexp_replace(text || chr(57345) || chr(57346) || '<z' || chr(57347), '[\\x{{E000}}-\\x{{F8FF}}]+', '[코드]', 'g') AS fixed FROM {rows_sql('texts')}")
 def pua_mask(spark, d):
     """Entities are resolved first, as they may stand for characters of private use."""
-    return literal(spark, "texts").select("id", X.mask_private_use(html_unescape(F.concat("text", F.lit("\ue001\ue002&lt;z&#xE003;")))).alias("fixed"))
+    return rows(spark, d, "texts").select("id", X.mask_private_use(html_unescape(F.concat("text", F.lit("\ue001\ue002&lt;z&#xE003;")))).alias("fixed"))
 
 
-@query(f"SELECT id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x), '^-\\s*\\d+\\s*-$')), chr(10)) AS fixed FROM {literal_sql('texts')}")
+@query(f"SELECT id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x), '^-\\s*\\d+\\s*-$')), chr(10)) AS fixed FROM {rows_sql('texts')}")
 def strip_footers(spark, d):
-    return literal(spark, "texts").select("id", X.strip_footers(F.col("text")).alias("fixed"))
+    return rows(spark, d, "texts").select("id", X.strip_footers(F.col("text")).alias("fixed"))
 
 
-@query(f"SELECT id, array_to_string(list_transform(list_filter(cells, lambda r: len(list_filter(r, lambda x: x <> '')) > 0), lambda r: array_to_string(list_filter(r, lambda x: x <> ''), ' | ')), chr(10)) AS flat FROM {literal_sql('tables')}")
+@query(f"SELECT id, array_to_string(list_transform(list_filter(cells, lambda r: len(list_filter(r, lambda x: x <> '')) > 0), lambda r: array_to_string(list_filter(r, lambda x: x <> ''), ' | ')), chr(10)) AS flat FROM {rows_sql('tables')}")
 def table_flatten(spark, d):
-    return literal(spark, "tables").select("id", X.table_flatten(F.col("cells")).alias("flat"))
+    return rows(spark, d, "tables").select("id", X.table_flatten(F.col("cells")).alias("flat"))
 
 
-@query(f"""WITH p AS (SELECT *, string_split(replace(text, '<그림>', '그림'), '<표>') AS parts, replace(replace(text, '<그림>', '그림'), '<표>', '') AS baseline FROM {literal_sql('marked')}), n AS (SELECT *, len(parts) - 1 AS k FROM p)
+@query(f"""WITH p AS (SELECT *, string_split(replace(text, '<그림>', '그림'), '<표>') AS parts, replace(replace(text, '<그림>', '그림'), '<표>', '') AS baseline FROM {rows_sql('marked')}), n AS (SELECT *, len(parts) - 1 AS k FROM p)
 SELECT id, CASE WHEN k = 0 THEN baseline WHEN k = len(tables) THEN parts[1] || array_to_string(list_transform(range(1, k + 1), lambda i: chr(10) || tables[i] || chr(10) || parts[i + 1]), '') ELSE baseline END AS merged,
   baseline, CAST(k AS INTEGER) AS n_markers, k = 0 OR k = len(tables) AS ok FROM n""")
 def marker_merge(spark, d):
-    return literal(spark, "marked").select("id", X.merge_markers(F.col("text"), F.col("tables")).alias("m")).select("id", "m.*")
+    return rows(spark, d, "marked").select("id", X.merge_markers(F.col("text"), F.col("tables")).alias("m")).select("id", "m.*")
 
 
 @query()

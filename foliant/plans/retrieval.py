@@ -10,7 +10,7 @@ from foliant.functions.udfs import preview as preview_udf
 from foliant.functions.vectors import cosine_distance
 from foliant.operators import nearest as N
 from foliant.operators import search as S
-from foliant.plans.literals import literal, literal_sql
+from foliant.plans.literals import rows, rows_sql
 from foliant.plans.registry import query
 from foliant.sources import layers
 from foliant.sources.points import read_points, write_points
@@ -227,9 +227,9 @@ def confidence_label(spark, d):
     return documents(spark, d).select("document_id", X.confidence_label(F.col("parsing_quality")).alias("label"))
 
 
-@query(f"SELECT id, nullif(trim(regexp_extract(string_split(text, chr(10))[1], '^\\s*제\\s*목(?:\\s*[:：]\\s*|\\s+)(.+?)\\s*$', 1)), '') AS title FROM {literal_sql('titles')}")
+@query(f"SELECT id, nullif(trim(regexp_extract(string_split(text, chr(10))[1], '^\\s*제\\s*목(?:\\s*[:：]\\s*|\\s+)(.+?)\\s*$', 1)), '') AS title FROM {rows_sql('titles')}")
 def extract_title(spark, d):
-    return literal(spark, "titles").select("id", X.extract_title(F.col("text")).alias("title"))
+    return rows(spark, d, "titles").select("id", X.extract_title(F.col("text")).alias("title"))
 
 
 @query()
@@ -237,28 +237,28 @@ def preview(spark, d):
     return table(spark, d, "documents").select("doc_id", preview_udf("text").alias("preview"))
 
 
-@query(f"""WITH p AS (SELECT id, trim(CASE WHEN starts_with(trim(source_file), 'data_repo/') THEN substr(trim(source_file), 11) ELSE trim(source_file) END, '/') AS path FROM {literal_sql('sources')})
+@query(f"""WITH p AS (SELECT id, trim(CASE WHEN starts_with(trim(source_file), 'data_repo/') THEN substr(trim(source_file), 11) ELSE trim(source_file) END, '/') AS path FROM {rows_sql('sources')})
 SELECT id, CASE WHEN path <> '' THEN '{CDN}' || array_to_string(list_transform(string_split(path, '/'), lambda x: url_encode(x)), '/') END AS url FROM p""")
 def source_url(spark, d):
-    return literal(spark, "sources").select("id", X.source_url(F.col("source_file"), CDN).alias("url"))
+    return rows(spark, d, "sources").select("id", X.source_url(F.col("source_file"), CDN).alias("url"))
 
 
-@query(f"""WITH p AS (SELECT id, source_file, regexp_replace(string_split(trim(source_file), '/')[-1], '\\.(pdf|hwp|hwpx|doc|docx)$', '', 'i') AS b FROM {literal_sql('sources')}),
+@query(f"""WITH p AS (SELECT id, source_file, regexp_replace(string_split(trim(source_file), '/')[-1], '\\.(pdf|hwp|hwpx|doc|docx)$', '', 'i') AS b FROM {rows_sql('sources')}),
 r AS (SELECT *, contains(b, '_') AS has, trim(substr(b, strpos(b, '_') + 1)) AS rest FROM p)
 SELECT id, CASE WHEN source_file <> '' THEN nullif(trim(CASE WHEN has THEN left(b, strpos(b, '_') - 1) ELSE b END), '') END AS institution,
   CASE WHEN source_file <> '' AND has THEN TRY_CAST(nullif(regexp_extract(rest, '^(\\d{{4}})년\\s*(.*)$', 1), '') AS INTEGER) END AS year,
   CASE WHEN source_file <> '' AND has THEN nullif(trim(regexp_replace(regexp_extract(rest, '^(\\d{{4}})년\\s*(.*)$', 2), '[(（]\\d+[)）]\\s*$', '')), '') END AS audit_type FROM r""")
 def parse_source(spark, d):
-    return literal(spark, "sources").select("id", X.parse_source(F.col("source_file")).alias("p")).select("id", "p.*")
+    return rows(spark, d, "sources").select("id", X.parse_source(F.col("source_file")).alias("p")).select("id", "p.*")
 
 
-SLUGS_SQL = f"""WITH p AS (SELECT id, array_to_string(list_filter([CASE WHEN trim(institution) <> '' THEN institution END, CASE WHEN year <> 0 THEN CAST(year AS VARCHAR) END, CASE WHEN trim(title) <> '' THEN title END], lambda x: x IS NOT NULL), ' ') AS raw FROM {literal_sql('slugs')}),
+SLUGS_SQL = f"""WITH p AS (SELECT id, array_to_string(list_filter([CASE WHEN trim(institution) <> '' THEN institution END, CASE WHEN year <> 0 THEN CAST(year AS VARCHAR) END, CASE WHEN trim(title) <> '' THEN title END], lambda x: x IS NOT NULL), ' ') AS raw FROM {rows_sql('slugs')}),
 s AS (SELECT id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(raw), '\\s+', '-', 'g'), '[/\\\\?#%]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 100) AS slug FROM p)"""
 
 
 @query(f"{SLUGS_SQL} SELECT id, CASE WHEN slug <> '' THEN slug ELSE '사례' END AS slug FROM s")
 def case_slug(spark, d):
-    return literal(spark, "slugs").select("id", X.case_slug(F.col("institution"), F.col("year"), F.col("title")).alias("slug"))
+    return rows(spark, d, "slugs").select("id", X.case_slug(F.col("institution"), F.col("year"), F.col("title")).alias("slug"))
 
 
 KEPT_SQL = "replace(replace(replace(replace(replace(url_encode(%s), '%%21', '!'), '%%27', chr(39)), '%%28', '('), '%%29', ')'), '%%2A', '*')"
@@ -266,20 +266,20 @@ KEPT_SQL = "replace(replace(replace(replace(replace(url_encode(%s), '%%21', '!')
 
 @query(f"{SLUGS_SQL} SELECT id, '/cases/' || {KEPT_SQL % 'CAST(id AS VARCHAR)'} || '/' || {KEPT_SQL % 'slug'} AS path FROM (SELECT id, CASE WHEN slug <> '' THEN slug ELSE '사례' END AS slug FROM s)")
 def case_path(spark, d):
-    own = literal(spark, "slugs").withColumn("slug", X.case_slug(F.col("institution"), F.col("year"), F.col("title")))
+    own = rows(spark, d, "slugs").withColumn("slug", X.case_slug(F.col("institution"), F.col("year"), F.col("title")))
     return own.select("id", X.case_path(F.col("id"), F.col("slug")).alias("path"))
 
 
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ")"
 
 
-@query(f"""WITH w AS (SELECT *, list_filter(string_split_regex(trim(query), '\\s+'), lambda x: length(x) >= 2 AND x NOT IN {STOP_SQL}) AS w FROM {literal_sql('marks')}),
+@query(f"""WITH w AS (SELECT *, list_filter(string_split_regex(trim(query), '\\s+'), lambda x: length(x) >= 2 AND x NOT IN {STOP_SQL}) AS w FROM {rows_sql('marks')}),
 s AS (SELECT *, list_transform(list_sort(list_transform(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: {{'n': -length(x), 'i': list_position(w, x), 't': x}})), lambda x: x.t) AS terms FROM w)
 SELECT id, CASE WHEN len(terms) = 0 THEN text ELSE regexp_replace(text, '(' || array_to_string(list_transform(terms, lambda x: regexp_escape(x)), '|') || ')', '<mark>\\1</mark>', 'gi') END AS marked FROM s""")
 def highlight(spark, d):
-    return literal(spark, "marks").select("id", X.highlight(F.col("text"), F.col("query")).alias("marked"))
+    return rows(spark, d, "marks").select("id", X.highlight(F.col("text"), F.col("query")).alias("marked"))
 
 
-@query(f"""SELECT id, array_to_string(CASE WHEN trim(query) = '' THEN earlier ELSE (list_concat([trim(query)], list_filter(earlier, lambda x: x <> trim(query))))[1:5] END, ',') AS recent FROM {literal_sql('searches')}""")
+@query(f"""SELECT id, array_to_string(CASE WHEN trim(query) = '' THEN earlier ELSE (list_concat([trim(query)], list_filter(earlier, lambda x: x <> trim(query))))[1:5] END, ',') AS recent FROM {rows_sql('searches')}""")
 def recent_searches(spark, d):
-    return literal(spark, "searches").select("id", F.array_join(X.recent_searches(F.col("query"), F.col("earlier")), ",").alias("recent"))
+    return rows(spark, d, "searches").select("id", F.array_join(X.recent_searches(F.col("query"), F.col("earlier")), ",").alias("recent"))

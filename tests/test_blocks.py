@@ -30,6 +30,9 @@ BLOCKS = {
     "[통보] 조치할 것": [("heading", "[통보]"), ("body", "조치할 것")],
     "붙임 : 1. 문답서\n2. 확인서": [("heading", "붙임"), ("body", "1. 문답서 2. 확인서")],
     "붙임 :\n문답서\n2. 확인서\n\n3. 끝": [("heading", "붙임"), ("body", "문답서 2. 확인서"), ("heading", "3. 끝")],
+    # the list of attachments may begin below its heading
+    "본문\n붙임 :\n1. 문답서\n2. 확인서": [("body", "본문"), ("heading", "붙임"), ("body", "1. 문답서 2. 확인서")],
+    "붙임 :\n\n1. 문답서\n2. 확인서": [("heading", "붙임"), ("heading", "1. 문답서"), ("heading", "2. 확인서")],
     # tables keep their lines
     "[표 1] 현황\n하나 1\n(단위)\n둘 2": [("heading", "[표 1] 현황"), ("table", "하나 1\n(단위)\n둘 2")],
     # titles, masks, glyphs, ornaments
