@@ -58,6 +58,11 @@ def statistics() -> dict[str, Column]:
     return out | {n: share(f"n_{n}", "n_lines") for n in ("distinct_lines", "open_lines")}
 
 
+def described(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with the statistics of a text by name, each computed once a row however many rules read it."""
+    return bound(counted(df, text), statistics())
+
+
 @dataclass
 class Rule:
     """statistic, threshold and side (above: greater than) of each condition; all must hold."""
@@ -87,8 +92,8 @@ class RuleEnsemble:
     rules: list[Rule] = field(default_factory=list)
 
     def score(self) -> Column:
-        """0 to 1, over the columns of :func:`counted`."""
-        of, margin = statistics(), F.lit(self.intercept)
+        """0 to 1, over the columns of :func:`described`."""
+        of, margin = {n: F.col(n) for n in statistics()}, F.lit(self.intercept)
         for r in self.rules:
             margin = margin + F.when(r.column(of), F.lit(r.weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
@@ -227,14 +232,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     own = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("_y"))
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    stats = statistics()
-    got = counted(rows, F.col("text")).select("doc_id", *[c.alias(n) for n, c in stats.items()], "_y").toPandas().sort_values("doc_id", kind="stable")
-    names = list(stats)
+    names = list(statistics())
+    got = described(rows, F.col("text")).select("doc_id", *names, "_y").toPandas().sort_values("doc_id", kind="stable")
     return fit_rules(got[names].to_numpy(float), got["_y"].to_numpy(float), names)
 
 
 def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """The columns of ``docs`` and ``_score``, 0 to 1."""
     kept = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)])
-    rows = counted(kept, F.col(f"_c{docs.columns.index('text')}"))
+    rows = described(kept, F.col(f"_c{docs.columns.index('text')}"))
     return rows.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)], model.score().alias("_score"))
