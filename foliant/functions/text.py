@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: labels, word lists and patterns whose results must agree with the reference's ---
@@ -58,17 +58,26 @@ EMBEDDED_BULLET = r"(?U)\s[-–—□○◦▪‣·❍※•*①②③④⑤⑥
 # --- small pieces --------------------------------------------------------------------------------------------------
 
 
+#: White space as Unicode has it, and as (?U)\\s does.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, also beyond ASCII."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+\z", "")
+    return F.rtrim(c, F.lit(WHITE))
 
 
 def squeezed(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+", "")
+    return F.translate(c, WHITE, "")
+
+
+def bound(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are computed once a row, however often what follows reads them: they come out of a generator, into which the optimizer copies nothing."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def lines(c: Column) -> Column:
@@ -179,18 +188,26 @@ def _within(c: Column, chain: str, change) -> Column:
     return F.get(F.transform(F.array(c), rewritten), F.lit(0))
 
 
+def _passes(c: Column, chain: str, change, passes: int) -> Column:
+    """:func:`_within` again and again. Texts without any match, most of them, are tested once and left alone."""
+
+    def nested(x: Column) -> Column:
+        for _ in range(passes):
+            x = _within(x, chain, change)
+        return x
+
+    return F.get(F.transform(F.array(c), lambda x: F.when(x.rlike(chain), nested(x)).otherwise(x)), F.lit(0))
+
+
 def dedup_chars(c: Column, passes: int = 5) -> Column:
     """Runs of doubled Hangul syllables, once each; repeated until nothing changes, five times at most."""
-    for _ in range(passes):
-        c = _within(c, CHAR_CHAIN, lambda m: F.regexp_replace(m, CHAR_REPEAT, "$1"))
-    return c
+    return _passes(c, CHAR_CHAIN, lambda m: F.regexp_replace(m, CHAR_REPEAT, "$1"), passes)
 
 
 def dedup_digits(c: Column, passes: int = 5) -> Column:
     """Runs of doubled digits, once each; a run of one digit only is a mask and stays."""
-    for _ in range(passes):
-        c = _within(c, DIGIT_CHAIN, lambda m: F.when(F.size(F.array_distinct(F.regexp_extract_all(m, F.lit(r"\d"), F.lit(0)))) < 2, m).otherwise(F.regexp_replace(m, DIGIT_REPEAT, "$1")))
-    return c
+    one_digit = lambda m: F.size(F.array_distinct(F.regexp_extract_all(m, F.lit(r"\d"), F.lit(0)))) < 2
+    return _passes(c, DIGIT_CHAIN, lambda m: F.when(one_digit(m), m).otherwise(F.regexp_replace(m, DIGIT_REPEAT, "$1")), passes)
 
 
 def dedup_brackets(c: Column) -> Column:

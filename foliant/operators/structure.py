@@ -11,24 +11,25 @@ from foliant.functions import text as X
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, s, numbers) of (doc_id, text): lines without white space around them; ornaments are blank lines. A bullet that stands
-    alone moves to the beginning of the next line; before a blank line or the end it stays, and before another it goes."""
-    order = Window.partitionBy("doc_id").orderBy("line")
-    rows = docs.select("doc_id", B.references(F.col("text")).alias("numbers"), F.posexplode(X.lines(F.col("text"))).alias("line", "s"))
-    rows = rows.withColumn("s", X.strip(F.col("s"))).withColumn("s", F.when(B.like(F.col("s"), B.ORNAMENT), "").otherwise(F.col("s")))
-    alone = B.like(F.col("s"), B.LONE_BULLET)
-    rows = rows.select("*", alone.alias("alone"), F.lag(F.when(alone, F.col("s"))).over(order).alias("glyph"), F.coalesce(F.lead("s").over(order), F.lit("")).alias("next"))
-    joined = F.when(~F.col("alone") & (F.col("s") != "") & F.col("glyph").isNotNull(), F.concat("glyph", F.lit(" "), "s")).otherwise(F.col("s"))
-    return rows.filter("not alone or next = ''").select("doc_id", "line", joined.alias("s"), "numbers")
+    """(doc_id, numbers, x) of (doc_id, text): x are the lines (line, s), without white space around them; ornaments are blank lines. A bullet that stands
+    alone moves to the beginning of the next line; before a blank line or the end it stays, and before another it goes. Null texts have no row."""
+    s, none = F.col("s"), F.lit("")
+    own = X.bound(docs.filter("text is not null").select("doc_id", "text"), {"own": F.transform(X.lines(F.col("text")), X.strip)})
+    alone = lambda x: F.when(F.length(x) == 1, B.like(x, B.LONE_BULLET)).otherwise(F.lit(False))
+    own = X.bound(own, {"s": F.transform("own", lambda x: F.when(x.rlike(B.ORNAMENT), "").otherwise(x))})
+    own = X.bound(own, {"glyph": F.concat(F.array(none), F.transform("s", lambda x: F.when(alone(x), x).otherwise(""))), "next": F.concat(F.slice(s, 2, F.size("s")), F.array(none))})
+    each = F.transform(F.arrays_zip("s", "glyph", "next"), lambda x, i: F.struct(i.alias("line"), x["s"].alias("s"), x["glyph"].alias("glyph"), x["next"].alias("next")))
+    stays = F.filter(F.slice(each, 1, F.size("s")), lambda x: ~alone(x["s"]) | (x["next"] == ""))
+    joined = F.transform(stays, lambda x: F.struct(x["line"].alias("line"), F.when(~alone(x["s"]) & (x["s"] != "") & (x["glyph"] != ""), F.concat(x["glyph"], F.lit(" "), x["s"])).otherwise(x["s"]).alias("s")))
+    return own.select("doc_id", B.references(F.col("text")).alias("numbers"), joined.alias("x"))
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, sub, role, text, label, value, is_title): what each line adds to which kind of block, or "more" to the open one."""
-    own = document_lines(docs)
-    own = own.select("doc_id", F.struct("line", "s", B.signs(F.col("s"), F.col("numbers")).alias("signs")).alias("x"))
-    listed = own.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    played = listed.select("doc_id", "x", B.roles(F.transform("x", lambda x: x["signs"])).alias("r"))
-    rows = played.select("doc_id", F.explode(F.arrays_zip("x", "r")).alias("z")).select("doc_id", "z.x.line", "z.x.s", "z.x.signs.kind", F.col("z.r").alias("role")).filter("role <> 'end'")
+    """(doc_id, line, sub, role, text, label, value, is_title): what each line adds to which kind of block, or "more" to the open one. Lines stay in their document's row until their roles are known."""
+    own = X.bound(document_lines(docs), {"lines": F.col("x")}).drop("x")
+    played = X.bound(own, {"signs": F.transform("lines", lambda x: B.signs(x["s"], F.col("numbers")))})
+    played = X.bound(played.select("doc_id", "lines", "signs", B.roles("signs").alias("_r")), {"r": F.col("_r")})
+    rows = played.select("doc_id", F.explode(F.arrays_zip("lines", "signs", "r")).alias("z")).select("doc_id", "z.lines.line", "z.lines.s", "z.signs.kind", F.col("z.r").alias("role")).filter("role <> 'end'")
     s, none = F.col("s"), F.lit(None).cast("string")
     piece = lambda role, text, label=none, value=none, title=F.lit(False): F.struct(role.alias("role"), text.alias("text"), label.alias("label"), value.alias("value"), title.alias("is_title"))
     rest = B.heading_rest(s)

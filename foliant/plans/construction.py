@@ -12,7 +12,7 @@ from foliant.operators import upserts as U
 from foliant.plans.literals import literal, literal_sql, rows, rows_sql
 from foliant.plans.registry import query
 from foliant.plans.retrieval import CHUNKS_SQL, DOCS_SQL, chunks, documents
-from foliant.sources.tables import table
+from foliant.sources.tables import spread, table
 
 TIER_SQL = r"""SELECT *, coalesce(nullif(regexp_extract(parse_tier, '^(.*?)_split(\d+)of(\d+)$', 1), ''), parse_tier) AS base,
   TRY_CAST(nullif(regexp_extract(parse_tier, '^(.*?)_split(\d+)of(\d+)$', 2), '') AS INTEGER) AS idx, TRY_CAST(nullif(regexp_extract(parse_tier, '^(.*?)_split(\d+)of(\d+)$', 3), '') AS INTEGER) AS total FROM """
@@ -200,12 +200,12 @@ def chunk_id(spark, d):
 
 @query()
 def chunk_documents(spark, d):
-    return T.chunk_rows(table(spark, d, "documents"))
+    return T.chunk_rows(spread(table(spark, d, "documents")))
 
 
 @query()
 def rechunk_replace(spark, d):
-    fresh = T.chunk_rows(table(spark, d, "documents")).select("chunk_id", "document_id", "text")
+    fresh = T.chunk_rows(spread(table(spark, d, "documents"))).select("chunk_id", "document_id", "text")
     return U.rechunk_replace(chunks(spark, d), fresh).select("chunk_id", "document_id", F.col("embedding").isNull().alias("to_embed"))
 
 

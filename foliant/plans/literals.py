@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.sources.tables import table
+from foliant.sources.tables import spread, table
 
 LITERALS: dict[str, tuple[str, list[tuple]]] = {
     "titles": ("id int, text string", [
@@ -97,7 +97,7 @@ TABLES = ("documents", "orders", "lineitem")
 def rows(spark: SparkSession, d: str, name: str) -> DataFrame:
     """The derived rows of an input, and its literal ones."""
     schema, own = LITERALS[name]
-    given = {t: table(spark, d, t) for t in TABLES if f"{{{t}}}" in DERIVED[name]}
+    given = {t: spread(table(spark, d, t)) for t in TABLES if f"{{{t}}}" in DERIVED[name]}
     literals = spark.createDataFrame(own, schema)
     derived = spark.sql(DERIVED[name].replace("OF(", "array("), **given)
     return derived.select(*[F.col(f.name).cast(f.dataType) for f in literals.schema]).unionByName(literals)

@@ -20,7 +20,7 @@ from foliant.plans.auditing import LINES_SQL
 from foliant.plans.literals import rows, rows_sql
 from foliant.plans.registry import query
 from foliant.plans.repairing import GLYPHS_SQL as GLYPHS_MASKED_SQL
-from foliant.sources.tables import table
+from foliant.sources.tables import spread, table
 
 REPORTS = [
     (1, "제목: 휴가 관리 부적정\n소관부서 : 총무팀\n2. 업무개요\n직원은 규정1)을 지켜야 한다.\n1) 취업규칙 제5조\n5. 짧은 항목\n\n[표 1] 현황\n가 1\n(단위: 원)\n자료: 제출자료\n- 첫째 항목\n둘째 줄\n□\n혼자 선 기호"),
@@ -33,7 +33,7 @@ REPORTS = [
 def reports(spark, d):
     """All documents, and reports that show what documents in one language of prose do not, under ids below 0."""
     own = spark.createDataFrame(REPORTS, "doc_id long, text string").withColumn("doc_id", -F.col("doc_id"))
-    return table(spark, d, "documents").select("doc_id", "text").unionByName(own)
+    return spread(table(spark, d, "documents").select("doc_id", "text")).unionByName(own)
 
 
 REPORTS_SQL = "(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in REPORTS) + ") v(doc_id, text))"
@@ -72,7 +72,7 @@ PLANTED = """'제목: ' || source || ' 점검' || chr(10) || '2. ' || lang || '
 
 
 def planted(spark, d):
-    return table(spark, d, "documents").selectExpr("doc_id", f"{PLANTED} AS text")
+    return spread(table(spark, d, "documents")).selectExpr("doc_id", f"{PLANTED} AS text")
 
 
 @query("SELECT doc_id, 'heading-' || unnest([1, 2, 3]) AS anchor, unnest(['2. ' || lang || ' 개요', '가. ' || source, '[표 1] ' || lang || ' 현황']) AS text FROM documents")
@@ -143,7 +143,7 @@ LAID_OUT = f"""SELECT doc_id, CAST(CASE WHEN {WIDE} THEN floor(k / 12.0) ELSE fl
 
 def glyph_table(spark, d):
     """Glyphs of all documents, and of the two literal pages under an id below 0."""
-    placed = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), "")).alias("p", "c")).filter("c <> ''")
+    placed = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), "")).alias("p", "c")).filter("c <> ''")
     return spark.sql(LAID_OUT.replace("FROM placed", "FROM {placed}"), placed=placed).unionByName(glyphs(spark).withColumn("doc_id", -F.col("doc_id")))
 
 
@@ -200,7 +200,7 @@ SPACED_SQL = "trim(regexp_replace(replace(url, '/', ' / '), '\\s+', ' ', 'g'))"
 @query(f"""SELECT page_id, CAST(unnest([0, 1]) AS INTEGER) AS n, unnest([page_id || ' | ' || {SPACED_SQL} || ' b & c' || chr(10) || 'in ' || page_id, '']) AS flat FROM pages""")
 def html_tables(spark, d):
     """Of all pages. These have no tables of their own, so SQL can say what comes out."""
-    pages = table(spark, d, "pages").selectExpr("page_id", f"{TABLES} AS html")
+    pages = spread(table(spark, d, "pages")).selectExpr("page_id", f"{TABLES} AS html")
     return M.html_tables(pages).select("page_id", "n", X.table_flatten(F.col("cells")).alias("flat"))
 
 

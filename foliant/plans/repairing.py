@@ -10,7 +10,7 @@ from foliant.functions.udfs import strip_markup as markup
 from foliant.operators.upserts import changed_texts
 from foliant.plans.literals import rows, rows_sql
 from foliant.plans.registry import query
-from foliant.sources.tables import table
+from foliant.sources.tables import spread, table
 
 
 def full_fix_column(c):
@@ -36,7 +36,7 @@ REPAIRED_SQL = f"(SELECT doc_id AS id, text FROM documents UNION ALL SELECT -id,
 
 
 def damaged(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(corrupt(spark).select((-F.col("id")).cast("long").alias("id"), "text"))
+    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).unionByName(corrupt(spark).select((-F.col("id")).cast("long").alias("id"), "text"))
 
 
 LABEL = r"^(제\s*목)"

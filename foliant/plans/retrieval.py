@@ -15,7 +15,7 @@ from foliant.plans.registry import query
 from foliant.sources import layers
 from foliant.sources.points import read_points, write_points
 from foliant.sources.shared import once
-from foliant.sources.tables import table
+from foliant.sources.tables import spread, table
 
 QUERY = "the of"
 CDN = "https://files.example/"
@@ -41,7 +41,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    both = table(spark, d, "documents").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left")
+    both = spread(table(spark, d, "documents").select("doc_id", "text")).join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left")
     return both.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "text", "embedding")
 
 
@@ -234,7 +234,7 @@ def extract_title(spark, d):
 
 @query()
 def preview(spark, d):
-    return table(spark, d, "documents").select("doc_id", preview_udf("text").alias("preview"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", preview_udf("text").alias("preview"))
 
 
 @query(f"""WITH p AS (SELECT id, trim(CASE WHEN starts_with(trim(source_file), 'data_repo/') THEN substr(trim(source_file), 11) ELSE trim(source_file) END, '/') AS path FROM {rows_sql('sources')})

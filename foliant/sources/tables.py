@@ -16,6 +16,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores, if they come in fewer partitions than twice these: a small file may be one row group, and all work on it one task's. Larger inputs are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.rdd().getNumPartitions() < 2 * cores else rows
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, tolerant: bool = False) -> DataFrame:
     """Line-delimited JSON under a schema, missing keys null; ``tolerant`` leaves undecodable lines out, else they are an error."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
