@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as X
 from foliant.functions.udfs import bag_ratio
 from foliant.functions.vectors import norm
+from foliant.operators.ranks import quantile
 
 
 def group_counts(rows: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
@@ -58,7 +59,9 @@ def tag_families(docs: DataFrame, families: dict[str, str]) -> DataFrame:
 
 
 def similarity_statistics(rows: DataFrame, by: str = "similarity") -> DataFrame:
-    return rows.agg(F.count(by).alias("n"), F.avg(by).alias("mean"), F.expr(f"percentile({by}, 0.5)").alias("median"), F.min(by).alias("least"), F.max(by).alias("most"))
+    """(n, mean, median, least, most). The median is exact, by counts alone (:mod:`foliant.operators.ranks`)."""
+    median = F.lit(quantile(rows, by)).cast("double").alias("median")
+    return rows.agg(F.count(by).alias("n"), F.avg(by).alias("mean"), F.min(by).alias("least"), F.max(by).alias("most")).select("n", "mean", median, "least", "most")
 
 
 def similarity_bucket(x: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as X
 from foliant.operators import audits as A
+from foliant.operators.ranks import quantile
 from foliant.plans.literals import rows, rows_sql
 from foliant.plans.registry import query
 from foliant.plans.repairing import CORRUPT_SQL, corrupt
@@ -107,6 +108,14 @@ def sim_stats(spark, d):
     return A.similarity_statistics(rows(spark, d, "reviews")).withColumn("mean", F.round("mean", 9))
 
 
+@query("SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS least, max(l_extendedprice) AS most, (SELECT median(l_extendedprice) FROM lineitem) AS median_of_all, (SELECT quantile_cont(l_extendedprice, 0.99) FROM lineitem) AS high_of_all FROM lineitem GROUP BY l_returnflag")
+def price_ranks(spark, d):
+    """Exact median and 99th percentile of all prices beside the groups' extremes."""
+    own = table(spark, d, "lineitem")
+    groups = own.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most"))
+    return groups.select("*", F.lit(quantile(own, "l_extendedprice")).alias("median_of_all"), F.lit(quantile(own, "l_extendedprice", 0.99)).alias("high_of_all"))
+
+
 @query(f"""SELECT CASE WHEN similarity < 0.5 THEN '[0,.5)' WHEN similarity < 0.7 THEN '[.5,.7)' WHEN similarity < 0.8 THEN '[.7,.8)' ELSE '[.8,.9)' END AS bucket, count(*) AS n FROM {rows_sql('reviews')} WHERE similarity < 0.9 GROUP BY 1""")
 def sim_buckets(spark, d):
     own = rows(spark, d, "reviews").withColumn("bucket", A.similarity_bucket(F.col("similarity")))

@@ -12,6 +12,7 @@ from pyspark.sql.types import BinaryType
 
 from foliant.functions import blocks as B
 from foliant.functions import text as X
+from foliant.functions.sql import register
 from foliant.operators import layout as L
 from foliant.operators import markup as M
 from foliant.operators import structure as T
@@ -90,6 +91,20 @@ def render_anomalies(spark, d):
     return T.render_anomalies(reports(spark, d))
 
 
+@query(f"WITH {LINE_SQL} SELECT doc_id, line, text AS line_text, {CLASS_SQL} AS kind FROM l")
+def lines_by_sql(spark, d):
+    """The classes of lines by a table function."""
+    register(spark)
+    return spark.sql("SELECT doc_id, l.* FROM {docs}, LATERAL text_lines(text) l", docs=reports(spark, d))
+
+
+@query()
+def chunks_by_sql(spark, d):
+    """The chunks of documents by a table function; a test holds it against chunk_documents."""
+    register(spark)
+    return spark.sql("SELECT doc_id AS document_id, c.chunk_index, c.chunk FROM {docs}, LATERAL chunks(doc_id, text) c", docs=spread(table(spark, d, "documents")))
+
+
 @query(f"WITH {LINE_SQL} SELECT doc_id, line, {FIELD_SQL[1]} AS label, {FIELD_SQL[2]} AS value FROM l WHERE label IS NOT NULL")
 def field_labels(spark, d):
     return T.field_labels(reports(spark, d))

@@ -75,6 +75,43 @@ def test_incremental_loading(spark, tmp_path):
     assert spark.read.parquet(target).agg(F.count("*")).first()[0] == 3
 
 
+def test_ids_of_others_and_of_earlier_batches_are_known(spark, tmp_path):
+    """Of a repeated id the first row counts; what the target held before is not loaded again; later batches do not read the target."""
+    import shutil
+
+    source, target, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string").coalesce(1)
+    load = lambda: load_incrementally(spark, source, target, check).awaitTermination(120)
+    spark.createDataFrame([(7, 0, "old", "7_old")], "document_id long, chunk_index int, text string, chunk_id string").write.parquet(f"{target}/load=other")
+    rows((1, "first"), (1, "second"), (7, "again"), (None, "no id"), (2, None)).write.parquet(source)
+    load()
+    assert sorted((r.document_id, r.text) for r in spark.read.parquet(target).collect()) == [(1, "first"), (7, "old")]
+    shutil.move(target, target + "-away")
+    rows((1, "third"), (3, "new"), (7, "again")).write.mode("append").parquet(source)
+    load()
+    assert [(r.document_id, r.text) for r in spark.read.parquet(target).collect()] == [(3, "new")]
+    load()
+    assert spark.read.parquet(target).count() == 1
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    import random
+    import statistics
+
+    from foliant.operators import ranks
+
+    monkeypatch.setattr(ranks, "FEW", 3)
+    monkeypatch.setattr(ranks, "BINS", 5)
+    rng = random.Random(1)
+    for values in ([3.5], [1.0, 2.0], [5.0] * 40 + [1.0], [rng.gauss(0, 1) ** 9 for _ in range(501)], [float(rng.randrange(4)) for _ in range(200)], [1e-300, 1.0, 1e300, -1e300]):
+        df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double").repartition(3)
+        assert ranks.quantile(df, "v") == statistics.median(values)
+        assert ranks.quantile(df, "v", 0.0) == min(values) and ranks.quantile(df, "v", 1.0) == max(values)
+    assert ranks.quantile(spark.createDataFrame([(None,)], "v double"), "v") is None
+    with pytest.raises(ValueError):
+        ranks.quantile(spark.createDataFrame([(float("inf"),)], "v double"), "v")
+
+
 def test_embedding(spark):
     from foliant.operators import embedding
 
@@ -102,6 +139,16 @@ def test_sql_functions(spark):
     register(spark)
     assert spark.sql("SELECT explode(chunk_text('a\n\nb')) AS c").collect()[0].c == "a\n\nb"
     assert spark.sql("SELECT line_class('1. 업무') AS k").first().k == "heading"
+    spark.createDataFrame([(1, "a\n\n가. 목적 "), (2, None), (3, "")], "doc_id long, text string").createOrReplaceTempView("some_texts")
+    assert [tuple(r) for r in spark.sql("SELECT doc_id, c.* FROM some_texts, LATERAL chunks(doc_id, text) c").collect()] == [(1, 0, "a\n\n가. 목적")]
+    assert [tuple(r) for r in spark.sql("SELECT doc_id, l.* FROM some_texts, LATERAL text_lines(text) l ORDER BY doc_id, line").collect()] == [(1, 0, "a", "body"), (1, 1, "", "blank"), (1, 2, "가. 목적 ", "heading"), (3, 0, "", "blank")]
+
+
+def test_chunks_of_both_ways(spark, sf_dir):
+    from foliant.plans import construction
+
+    one = {(r.document_id, r.chunk_index, r.text) for r in construction.chunk_documents(spark, sf_dir).collect()}
+    assert one == {(r.document_id, r.chunk_index, r.chunk) for r in reading.chunks_by_sql(spark, sf_dir).collect()}
 
 
 def test_originals_and_replacement(spark, tmp_path):
