@@ -40,11 +40,6 @@ def reports(spark, d):
 REPORTS_SQL = "(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in REPORTS) + ") v(doc_id, text))"
 
 
-@query()
-def document_blocks(spark, d):
-    return T.blocks(reports(spark, d))
-
-
 LINE_SQL = f"""l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, w[i] AS text, regexp_replace(regexp_replace(w[i], '^\\s+', ''), '\\s+$', '') AS t
   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM {REPORTS_SQL})))"""
 
@@ -68,6 +63,48 @@ def line_classes(spark, d):
     return T.line_classes(reports(spark, d))
 
 
+_take = lambda p, n, of="t": f"regexp_extract({of}, '" + p.removeprefix("(?U)").replace("'", "''") + f"', {n})"
+_whole = lambda p, n: _take(f"^{p}$", n)
+BRACKETED, ATTACHED = rf"({B.BRACKET_LABEL})\s*(\S.*)", f"{B.ATTACHMENT}(.*)"
+TRIMMED_SQL = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
+SOURCES_SQL = f"""z AS (SELECT doc_id, text, regexp_extract_all(text, '{B.FOOTNOTE_REFERENCE.removeprefix("(?U)")}', 1) AS numbers FROM {REPORTS_SQL} WHERE text IS NOT NULL)"""
+#: What each line is and opens, line after line, in SQL.
+ROLES_SQL = f"""{LINE_SQL}, {SOURCES_SQL},
+g AS (SELECT *, {_fits(B.LONE_BULLET)} AS alone, lag(t) OVER w AS before, coalesce(lead(t) OVER w, '') AS after FROM (SELECT doc_id, line, CASE WHEN {_fits(B.ORNAMENT)} THEN '' ELSE t END AS t FROM l) WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+h AS (SELECT doc_id, line, CASE WHEN NOT alone AND t <> '' AND regexp_matches(before, '{B.LONE_BULLET}') THEN before || ' ' || t ELSE t END AS t FROM g WHERE NOT alone OR after = ''),
+k AS (SELECT *, {CLASS_SQL} AS kind, {_fits("^" + B.CITATION + "$")} AS cited, {_fits("^" + B.BRACKET_LABEL + chr(92) + "s*" + chr(92) + "S")} AS bracketed, {_fits("^" + B.ATTACHMENT)} AS attaching FROM h),
+q AS (SELECT *, CASE WHEN cited THEN {_whole(B.CITATION, 1)} WHEN bracketed THEN {_whole(BRACKETED, 1)} WHEN attaching THEN {_whole(ATTACHED, 1)} ELSE t END AS label,
+  CASE WHEN cited THEN {_whole(B.CITATION, 2)} WHEN bracketed THEN {_whole(BRACKETED, 2)} WHEN attaching THEN {TRIMMED_SQL.format(_whole(ATTACHED, 2))} END AS rest FROM k),
+s AS (SELECT q.*, row_number() OVER (PARTITION BY q.doc_id ORDER BY line) AS i, CASE WHEN list_contains(numbers, {_take(r"^(\d{1,2})\)\s*\S", 1)}) THEN CAST({_take(r"^(\d{1,2})\)\s*\S", 1)} AS INTEGER) END AS note,
+  TRY_CAST(nullif({_take(r"^(\d{1,2})\)\s+\S", 1, "label")}, '') AS INTEGER) AS number, {_fits(B.IN_PARENTHESES)} AS enclosed, ({LIST_SQL}) AND NOT cited AS item, rest IS NULL AND ({_fits(B.TABLE_CAPTION)}) AS announces, coalesce(rest <> '', false) AS goes_on, attaching AND NOT cited AS attaches
+  FROM q JOIN z ON z.doc_id = q.doc_id),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS open, false AS attached, CAST(NULL AS INTEGER) AS number, false AS announced, false AS seen, CAST(NULL AS VARCHAR) AS role FROM z UNION ALL
+  SELECT doc_id, i, CASE how WHEN 'end' THEN NULL WHEN 'note' THEN 'footnote' WHEN 'absorbed' THEN coalesce(open, 'body') WHEN 'more' THEN open ELSE CASE how WHEN 'heading' THEN CASE WHEN goes_on THEN 'body' END WHEN 'field' THEN NULL WHEN 'caption' THEN NULL ELSE how END END,
+    CASE WHEN how IN ('end', 'note') THEN false WHEN how IN ('absorbed', 'more') THEN attached ELSE (kind = 'heading' AND attaches) OR (kind = 'body' AND attached) END, CASE WHEN how = 'heading' THEN own_number ELSE number END,
+    CASE WHEN how IN ('end', 'note', 'absorbed', 'more') THEN announced ELSE kind = 'heading' AND announces END, seen OR kind <> 'blank', CASE how WHEN 'note' THEN 'footnote' WHEN 'absorbed' THEN CASE WHEN open IS NULL THEN 'body' ELSE 'more' END ELSE how END
+  FROM (SELECT s.doc_id, s.i, kind, goes_on, attaches, announces, s.number AS own_number, r.number, open, attached, announced, seen, CASE WHEN kind = 'blank' THEN 'end' WHEN note IS NOT NULL AND seen AND (r.number IS NULL OR note <> r.number + 1) THEN 'note'
+      WHEN kind = 'heading' AND ((enclosed AND coalesce(open, '') = 'table') OR (item AND (coalesce(open, '') = 'footnote' OR attached))) THEN 'absorbed' WHEN (kind = 'bullet' AND coalesce(open, '') = 'footnote') OR (kind = 'body' AND open IS NOT NULL) THEN 'more'
+      WHEN kind = 'body' AND announced THEN 'table' ELSE kind END AS how FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1))"""
+REPAIRED_BULLET_SQL = f"CASE WHEN {_fits(B.FONT_BULLET)} THEN CASE left(t, 1) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in B.FONT_BULLETS.items()) + " END || substr(t, 2) ELSE t END"
+BLOCKS_SQL = f"""{ROLES_SQL}, o AS (SELECT s.*, role FROM s JOIN r ON r.doc_id = s.doc_id AND r.i = s.i WHERE role <> 'end'),
+p AS (SELECT doc_id, line, 0 AS sub, role, CASE WHEN role = 'heading' THEN label WHEN role <> 'field' THEN CASE WHEN kind = 'bullet' THEN {REPAIRED_BULLET_SQL} ELSE t END END AS text,
+    CASE WHEN role = 'field' THEN {FIELD_SQL[1]} END AS label, CASE WHEN role = 'field' THEN {FIELD_SQL[2]} END AS value, role = 'heading' AND rest IS NULL AND {_fits(B.TITLE)} AS is_title FROM o
+  UNION ALL SELECT doc_id, line, 1, 'body', rest, NULL, NULL, false FROM o WHERE role = 'heading' AND goes_on),
+n AS (SELECT *, sum(CASE WHEN role <> 'more' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line, sub) AS n FROM p),
+b AS (SELECT doc_id, n, max(role) FILTER (role <> 'more') AS type, string_agg(text, ' ' ORDER BY line, sub) AS spaced, string_agg(text, chr(10) ORDER BY line, sub) AS lined, max(label) AS label, max(value) AS value, bool_or(is_title) AS is_title FROM n GROUP BY doc_id, n),
+f AS (SELECT *, type = 'table' OR (type = 'bullet' AND length(spaced) >= 500 AND len(regexp_extract_all(spaced, '{X.EMBEDDED_BULLET.removeprefix("(?U)")}')) >= 5) AS flat FROM b),
+e AS (SELECT doc_id, n, CASE WHEN flat THEN 'table' ELSE type END AS type, CASE WHEN type <> 'field' THEN CASE WHEN flat THEN lined ELSE spaced END END AS text, label, value, is_title FROM f),
+x AS (SELECT *, is_title AND count(*) FILTER (is_title) OVER w = 1 AND NOT regexp_matches(text, '^\\d{{1,2}}[.)]\\s') AND coalesce(CASE WHEN lead(type) OVER w = 'heading' THEN TRY_CAST(nullif(regexp_extract(lead(text) OVER w, '^(\\d{{1,2}})[.)]\\s', 1), '') AS INTEGER) END, 0) >= 2 AS lost
+  FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+blocks AS (SELECT doc_id, CAST(n - 1 AS INTEGER) AS pos, type, replace(CASE WHEN lost THEN '1. ' || text ELSE text END, '{B.DEPARTMENT}', '{B.DEPARTMENT_SHOWN}') AS text, replace(label, '{B.DEPARTMENT}', '{B.DEPARTMENT_SHOWN}') AS label,
+  replace(value, '{B.DEPARTMENT}', '{B.DEPARTMENT_SHOWN}') AS value, is_title FROM x)"""
+
+
+@query(f"WITH RECURSIVE {BLOCKS_SQL} SELECT * FROM blocks")
+def document_blocks(spark, d):
+    return T.blocks(reports(spark, d))
+
+
 #: A title, three headings, a footnote and a table before the text of every document, from its own columns.
 PLANTED = """'제목: ' || source || ' 점검' || chr(10) || '2. ' || lang || ' 개요' || chr(10) || '직원은 규정1)을 지킨다.' || chr(10) || '1) 취업규칙 ' || source || chr(10) || chr(10) || '가. ' || source || chr(10) || '[표 1] ' || lang || ' 현황' || chr(10) || source || ' 1' || chr(10) || chr(10) || text"""
 
@@ -86,7 +123,22 @@ def footnotes(spark, d):
     return T.footnotes(T.blocks(planted(spark, d)))
 
 
-@query()
+_solid = lambda c: f"length(regexp_replace({c}, '\\s+', '', 'g'))"
+_of_type = lambda k, n: f"(type = '{k}' AND length(coalesce(text, '')) > {n})"
+ANOMALIES_SQL = f"""WITH RECURSIVE {BLOCKS_SQL},
+fd AS (SELECT doc_id, {", ".join(f"count(*) FILTER {_of_type(k, n)} AS n_{k}, max(length(text)) FILTER {_of_type(k, n)} AS most_{k}" for k, n in B.LONG.items())}, count(*) FILTER (type = 'heading') AS headings, count(*) FILTER (type = 'footnote') AS notes,
+  sum({_solid("coalesce(label, '') || coalesce(value, '') || coalesce(text, '')")}) AS shown, list(DISTINCT regexp_extract(text, '^(\\d+)\\)\\s', 1)) FILTER (type = 'heading') AS heads FROM blocks GROUP BY doc_id),
+ow AS (SELECT doc_id, length(text) AS size, {_solid("text")} AS there, list_distinct(regexp_extract_all(regexp_replace(text, '{B.ACTION_CODE}', '()', 'g'), '{B.STRICT_REFERENCE}', 1)) AS numbers,
+  list_transform(string_split(text, chr(10)), lambda v: regexp_extract({TRIMMED_SQL.format("v")}, '^(\\d+)\\)\\s*\\S', 1)) AS starts FROM z),
+w AS (SELECT ow.*, fd.* EXCLUDE (doc_id), list_filter(numbers, lambda v: list_contains(starts, v)) AS defined FROM ow LEFT JOIN fd ON fd.doc_id = ow.doc_id),
+y AS (SELECT *, CASE WHEN len(list_filter(defined, lambda v: NOT list_contains(coalesce(heads, []), v))) > 0 THEN '{B.ABSORBED}' WHEN len(defined) > 0 THEN '{B.HEADING_LIKE}' ELSE '{B.MISSING}' END AS why FROM w)
+SELECT doc_id, reasons FROM (SELECT doc_id, list_filter([{", ".join(f"CASE WHEN coalesce(n_{k}, 0) > 0 THEN 'long {k}: ' || n_{k} || ', up to ' || most_{k} END" for k in B.LONG)},
+  CASE WHEN len(numbers) > 0 AND coalesce(notes, 0) = 0 AND why <> '{B.HEADING_LIKE}' THEN 'footnotes: ' || len(numbers) || ' references, ' || why END,
+  CASE WHEN there > 0 AND coalesce(shown, 0) < {B.LOSS_RATIO} * there THEN 'lost content: ' || CAST(coalesce(shown, 0) AS BIGINT) || ' of ' || there END,
+  CASE WHEN size >= {B.HEADING_LENGTH} AND coalesce(headings, 0) = 0 THEN 'no heading in ' || size END], lambda v: v IS NOT NULL) AS reasons FROM y) WHERE len(reasons) > 0"""
+
+
+@query(ANOMALIES_SQL)
 def render_anomalies(spark, d):
     return T.render_anomalies(reports(spark, d))
 
