@@ -32,7 +32,8 @@ SEED = 42
 #: blocks is a bounded sort, and the one block that is taken in part a small share of its source.
 BLOCK_WORDS = 50_000
 MOST_BLOCKS = 1 << 16
-SHARDS = 64
+#: Output shards at least, and words of a shard above which there are more.
+SHARDS, SHARD_WORDS = 64, 100_000_000
 
 
 def word_count(text: str = "text"):
@@ -75,7 +76,7 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """A row per document: doc_id, size, source, source_size, target, taken (words), epochs (whole passes of its source),
     drawn (1 if taken once more), the shard and place of that last draw, and copies: pass, shard and place of every copy."""
     spark = docs.sparkSession
@@ -83,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     by_source = base.groupBy("source").agg(F.sum("size").alias("words")).collect()
     by_source.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
     goal = targets([r.words for r in by_source], weights, share, most)
-    plan = []
+    shards, plan = shards or max(SHARDS, int(sum(goal) // SHARD_WORDS) + 1), []
     for r, g in zip(by_source, goal):
         epochs = int(g // r.words) if r.words else 0
         plan.append((r.source, r.words, g, epochs, g - epochs * r.words, min(MOST_BLOCKS, r.words // BLOCK_WORDS + 1)))
@@ -137,12 +138,14 @@ def _fill(pdf):
     return pdf.assign(drawn=drawn)
 
 
-def mixed(docs: DataFrame, shards: int = SHARDS, **how) -> DataFrame:
+def mixed(docs: DataFrame, shards: int | None = None, **how) -> DataFrame:
     """The mix itself: the columns of ``docs``, each document as often as it is taken. Each shard is whole in one partition,
     its rows in the order of their places."""
     taken = mix(docs, shards=shards, **how).filter(F.size("copies") > 0)
     times = taken.groupBy(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.first("copies").alias("_copies"))
-    times = broadcast_if_small(written(times, "times"))
+    times = written(times, "times")
+    last = times.agg(F.max(F.array_max(F.transform("_copies", lambda x: x["shard"])))).first()[0] or 0
+    times = broadcast_if_small(times)
     same = docs["doc_id"].eqNullSafe(times["_doc"]) & docs["source"].eqNullSafe(times["_source"]) & (word_count() == times["_size"])
     dealt = docs.join(times, same).withColumn("_copy", F.explode("_copies")).select(*[docs[c] for c in docs.columns], F.col("_copy.shard").alias("_shard"), F.col("_copy.place").alias("_place"))
-    return dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "_place", "doc_id").drop("_shard", "_place")
+    return dealt.repartitionById(last + 1, "_shard").sortWithinPartitions("_shard", "_place", "doc_id").drop("_shard", "_place")
