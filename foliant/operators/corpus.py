@@ -43,9 +43,10 @@ def resolve_tiers(cases: DataFrame) -> DataFrame:
 
 def unambiguous_documents(chunks: DataFrame) -> DataFrame:
     """(document_id, title, source_file) of documents with one distinct title (null is one); the first source file seen."""
-    titles = F.collect_set(F.struct("title"))
-    grouped = chunks.groupBy("document_id").agg(titles.alias("t"), F.min_by("source_file", "seq").alias("source_file"))
-    return grouped.filter(F.size("t") == 1).select("document_id", F.col("t")[0]["title"].alias("title"), "source_file")
+    title, no = F.col("title"), F.count_if(F.col("title").isNull())
+    grouped = chunks.groupBy("document_id").agg(F.min(title).alias("title"), F.max(title).alias("_last"), no.alias("_none"), F.min_by("source_file", "seq").alias("source_file"))
+    one = F.col("title").isNull() | ((F.col("title") == F.col("_last")) & (F.col("_none") == 0))
+    return grouped.filter(one).select("document_id", "title", "source_file")
 
 
 def keyed_match(documents: DataFrame, records: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
+from foliant.functions.udfs import MOST, TARGET
 from foliant.operators import audits as A
 from foliant.operators import corpus as C
 from foliant.operators import structure as T
@@ -12,6 +13,8 @@ from foliant.operators import upserts as U
 from foliant.plans.literals import literal, literal_sql, rows, rows_sql
 from foliant.plans.registry import query
 from foliant.plans.retrieval import CHUNKS_SQL, DOCS_SQL, chunks, documents
+from foliant.sources import npy
+from foliant.sources.shared import once
 from foliant.sources.tables import spread, table
 
 TIER_SQL = r"""SELECT *, coalesce(nullif(regexp_extract(parse_tier, '^(.*?)_split(\d+)of(\d+)$', 1), ''), parse_tier) AS base,
@@ -95,6 +98,18 @@ def missing_embeddings(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
 
 
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, CAST(len(embedding) AS INTEGER) AS dims, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings WHERE embedding IS NOT NULL")
+def vectors_by_position(spark, d):
+    """All embeddings, written as pairs of NPY and JSON lines and read back by position."""
+
+    def write(path: str) -> None:
+        npy.write_pairs(spread(table(spark, d, "embeddings")).filter("embedding is not null").select(F.col("vec_id").cast("string").alias("id"), "embedding"), path, 64)
+
+    own = npy.last_of_id(npy.read_pairs(spark, npy.pairs_in(once(spark, f"pairs {d}", write, f"{d}/embeddings.parquet")), range_bytes=10_000))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return own.select("id", F.size("embedding").alias("dims"), F.round(total, 6).alias("total"))
+
+
 @query("SELECT count(*) AS n FROM documents LEFT JOIN embeddings ON doc_id = vec_id WHERE embedding IS NULL")
 def missing_embedding(spark, d):
     both = table(spark, d, "documents").select("doc_id").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left")
@@ -198,12 +213,28 @@ def chunk_id(spark, d):
     return table(spark, d, "documents").select("doc_id", X.chunk_id(F.col("doc_id"), F.lit(0), F.col("text")).alias("chunk_id"))
 
 
-@query()
+_bare = lambda x: f"regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
+#: Chunks in SQL: paragraphs, or sentences of long ones, in order; one after the other joins the chunk before it or begins another.
+CHUNKED_SQL = rf"""cp AS (SELECT doc_id, i, {_bare("w[i]")} AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\n\s*\n') AS w FROM documents WHERE text IS NOT NULL)) WHERE {_bare("w[i]")} <> ''),
+cs AS (SELECT doc_id, i, j, w[j] AS s FROM (SELECT doc_id, i, w, unnest(range(1, len(w) + 1)) AS j FROM (SELECT doc_id, i, string_split(regexp_replace(p, '([.!?。])\s+', '\1' || chr(1), 'g'), chr(1)) AS w FROM cp WHERE length(p) > {MOST}))),
+ce AS (SELECT doc_id, i, 0 AS j, 0 AS k, p AS s, 'paragraph' AS kind, {TARGET} AS most FROM cp WHERE length(p) <= {MOST} UNION ALL SELECT doc_id, i, j, 0, s, 'sentence', {MOST} FROM cs WHERE length(s) <= {MOST}
+  UNION ALL SELECT doc_id, i, j, k, substr(s, k * {MOST} + 1, {MOST}), 'slice', 0 FROM (SELECT *, unnest(range(CAST(ceil(length(s) / {MOST}.0) AS BIGINT))) AS k FROM cs WHERE length(s) > {MOST})),
+cn AS (SELECT *, row_number() OVER w AS n, kind = 'slice' OR lag(kind) OVER w IS DISTINCT FROM kind OR (kind = 'sentence' AND lag(i) OVER w <> i) AS anew FROM ce WINDOW w AS (PARTITION BY doc_id ORDER BY i, j, k)),
+cr AS (SELECT doc_id, n, length(s) AS held, 0 AS c FROM cn WHERE n = 1 UNION ALL
+  SELECT cn.doc_id, cn.n, CASE WHEN anew OR held + length(s) > most THEN length(s) ELSE held + length(s) END, CASE WHEN anew OR held + length(s) > most THEN c + 1 ELSE c END FROM cr JOIN cn ON cn.doc_id = cr.doc_id AND cn.n = cr.n + 1),
+cj AS (SELECT doc_id, c, CASE WHEN any_value(kind) = 'paragraph' THEN string_agg(s, chr(10) || chr(10) ORDER BY n) ELSE string_agg(s, ' ' ORDER BY n) END AS s FROM cn JOIN cr USING (doc_id, n) GROUP BY doc_id, c),
+cx AS (SELECT doc_id, c, k, substr(s, k * {MOST} + 1, {MOST}) AS text FROM (SELECT *, unnest(range(CAST(ceil(length(s) / {MOST}.0) AS BIGINT))) AS k FROM cj)),
+chunked AS (SELECT doc_id AS document_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY c, k) - 1 AS INTEGER) AS chunk_index, text FROM cx),
+fresh AS (SELECT document_id, chunk_index, document_id || '_' || left(md5(document_id || '_' || chunk_index || '_' || left(text, 30)), 8) AS chunk_id, text FROM chunked)"""
+
+
+@query(f"WITH RECURSIVE {CHUNKED_SQL} SELECT * FROM fresh")
 def chunk_documents(spark, d):
     return T.chunk_rows(spread(table(spark, d, "documents")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHUNKED_SQL}, {CHUNKS_SQL} SELECT chunk_id, document_id, true AS to_embed FROM fresh UNION ALL
+SELECT chunk_id, document_id, embedding IS NULL FROM chunks WHERE document_id NOT IN (SELECT document_id FROM fresh)""")
 def rechunk_replace(spark, d):
     fresh = T.chunk_rows(spread(table(spark, d, "documents"))).select("chunk_id", "document_id", "text")
     return U.rechunk_replace(chunks(spark, d), fresh).select("chunk_id", "document_id", F.col("embedding").isNull().alias("to_embed"))

@@ -18,6 +18,7 @@ from foliant.operators import markup as M
 from foliant.operators import structure as T
 from foliant.operators import summaries as Z
 from foliant.plans.auditing import LINES_SQL
+from foliant.plans.construction import CHUNKED_SQL
 from foliant.plans.literals import rows, rows_sql
 from foliant.plans.registry import query
 from foliant.plans.repairing import GLYPHS_SQL as GLYPHS_MASKED_SQL
@@ -150,9 +151,9 @@ def lines_by_sql(spark, d):
     return spark.sql("SELECT doc_id, l.* FROM {docs}, LATERAL text_lines(text) l", docs=reports(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {CHUNKED_SQL} SELECT document_id, chunk_index, text AS chunk FROM fresh")
 def chunks_by_sql(spark, d):
-    """The chunks of documents by a table function; a test holds it against chunk_documents."""
+    """The chunks of documents by a table function."""
     register(spark)
     return spark.sql("SELECT doc_id AS document_id, c.chunk_index, c.chunk FROM {docs}, LATERAL chunks(doc_id, text) c", docs=spread(table(spark, d, "documents")))
 

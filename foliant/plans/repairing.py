@@ -47,17 +47,34 @@ for _ch in X.MASK_GLYPHS:
     GLYPHS_SQL = f"regexp_replace({GLYPHS_SQL}, '{_ch}{{2,}}', '{X.DEPARTMENT}', 'g')"
 
 
+#: Chains and runs digit by digit, as SQL's patterns cannot refer back.
+CHAIN_SQL = "(?:(?:" + "|".join(f"{n}{{2,4}}" for n in range(10)) + ") ?){2,}"
+_ONCE = "m"
+for _n in range(10):
+    _ONCE = f"regexp_replace({_ONCE}, '{_n}+', '{_n}', 'g')"
+_PASS = f"""(SELECT id, array_to_string(list_transform(range(1, len(b) + 1), lambda i: b[i] || coalesce(f[i], '')), '') AS text FROM (SELECT id, b, list_transform(f, lambda m: CASE WHEN len(list_distinct(regexp_extract_all(m, '\\d'))) < 2 THEN m ELSE {_ONCE} END) AS f
+  FROM (SELECT id, string_split_regex(text, '{CHAIN_SQL}') AS b, regexp_extract_all(text, '{CHAIN_SQL}') AS f FROM OWN)))"""
+DIGITS_SQL = REPAIRED_SQL
+for _n in range(5):
+    DIGITS_SQL = _PASS.replace("OWN", DIGITS_SQL)
+_bare = lambda x: f"regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
+TITLE_NUMBER_SQL = f"""WITH l AS (SELECT id, string_split(text, chr(10)) AS l FROM {REPAIRED_SQL}), k AS (SELECT *, coalesce(list_position(list_transform(l[1:5], lambda x: {_bare("x")} <> ''), true), 0) AS k FROM l),
+t AS (SELECT *, {_bare("l[greatest(k, 1)]")} AS title, {_bare(f"list_filter(l[k + 1:k + 2], lambda x: {_bare('x')} <> '')[1]")} AS after FROM k)
+SELECT id, CASE WHEN k > 0 AND regexp_matches(title, '{X.TITLE_WITHOUT_NUMBER.removeprefix("(?U)")}') AND NOT regexp_matches(title, '{X.NUMBERED_LINE.removeprefix("(?U)")}') AND coalesce(TRY_CAST(nullif(regexp_extract(after, '{X.NUMBERED_LINE.removeprefix("(?U)")}', 1), '') AS INTEGER), 0) >= 2
+  THEN array_to_string(list_concat(l[1:k - 1], ['1. ' || title], l[k + 1:]), chr(10)) END AS fixed FROM t"""
+
+
 def _each(name, f, sql=None):
     def run(spark, d):
         return damaged(spark, d).select("id", f(F.col("text")).alias("fixed"))
 
     run.__name__ = name
-    return query(sql and f"SELECT id, {sql} AS fixed FROM {REPAIRED_SQL}")(run)
+    return query(sql if sql is None or "SELECT" in sql else f"SELECT id, {sql} AS fixed FROM {REPAIRED_SQL}")(run)
 
 
 for _name, _f, _sql in [
-    ("dedup_chars", X.dedup_chars, None), ("dedup_digits", X.dedup_digits, None), ("title_colon", X.title_colon, COLON_SQL), ("strip_markup", markup, None), ("mask_glyphs", X.mask_glyphs, GLYPHS_SQL),
-    ("title_number", X.title_number, None), ("full_fix", full_fix_column, None),
+    ("dedup_chars", X.dedup_chars, None), ("dedup_digits", X.dedup_digits, f"SELECT id, text AS fixed FROM {DIGITS_SQL}"), ("title_colon", X.title_colon, COLON_SQL), ("strip_markup", markup, None), ("mask_glyphs", X.mask_glyphs, GLYPHS_SQL),
+    ("title_number", X.title_number, TITLE_NUMBER_SQL), ("full_fix", full_fix_column, None),
 ]:
     globals()[_name] = _each(_name, _f, _sql)
 

@@ -178,7 +178,19 @@ def text_rank(spark, d):
     return S.ranked_topk(own.postings, QUERY, 1 << 30).select("chunk_id", "document_id", F.round("score", 6).alias("score"))
 
 
-@query()
+#: Sentence ends of a text's first characters, and of the window around the target, by place; \\d is what may not stand before one.
+_ENDS = "list_filter(range(1, length({0}) + 1), lambda i: {0}[i] IN ('.', '!', '?') AND (i = 1 OR NOT regexp_matches({0}[i - 1], '\\d')))"
+PREVIEW_SQL = f"""pv1 AS (SELECT *, {_ENDS.format("head")}[1] AS p FROM (SELECT *, left(body, 80) AS head FROM {{of}})),
+pv2 AS (SELECT * EXCLUDE (body), coalesce(p < length(body), false) AS cut, CASE WHEN p < length(body) THEN regexp_replace(substr(body, p + 1), '^\\s+', '') ELSE body END AS body FROM pv1),
+pv3 AS (SELECT *, {_ENDS.format("near")}[-1] AS q, strpos(substr(body, 201, 60), ' ') AS space FROM (SELECT *, substr(body, 141, 120) AS near FROM pv2)),
+pv AS (SELECT *, CASE WHEN cut THEN '…' ELSE '' END || regexp_replace(CASE WHEN length(body) <= 200 THEN body ELSE left(body, CASE WHEN q IS NOT NULL THEN 140 + q WHEN space > 0 THEN 199 + space ELSE 200 END) END, '\\s+$', '') || CASE WHEN length(body) > 200 THEN '…' ELSE '' END AS preview FROM pv3)"""
+CARDS_SQL = SEARCH_SQL.replace("SELECT top.document_id, top.chunk_id, institution, year, parsing_quality, round(score, 9) AS score, left(raw_text, 200) AS title_buffer, left(text, 320) AS chunk_buffer",
+  ", found AS (SELECT top.document_id, institution, year, parsing_quality, score, left(text, 320) AS body, left(raw_text, 200) AS title_buffer") + f"""), {PREVIEW_SQL.format(of="found")}
+SELECT document_id, institution, year, nullif(trim(regexp_extract(string_split(title_buffer, chr(10))[1], '^\\s*제\\s*목(?:\\s*[:：]\\s*|\\s+)(.+?)\\s*$', 1)), '') AS title, preview, CASE WHEN parsing_quality = 'standard' THEN '신뢰도 높음' ELSE '일부 참고' END AS confidence,
+  '{CDN}' || institution || '/' || document_id || '.pdf' AS source_url, score FROM pv"""
+
+
+@query(CARDS_SQL)
 def search_cards(spark, d):
     return S.cards(found(spark, d), debug=True, base=CDN)
 
@@ -232,7 +244,7 @@ def extract_title(spark, d):
     return rows(spark, d, "titles").select("id", X.extract_title(F.col("text")).alias("title"))
 
 
-@query()
+@query(f"WITH own AS (SELECT doc_id, text AS body FROM documents), {PREVIEW_SQL.format(of='own')} SELECT doc_id, preview FROM pv")
 def preview(spark, d):
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", preview_udf("text").alias("preview"))
 

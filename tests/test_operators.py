@@ -112,6 +112,41 @@ def test_exact_quantiles(spark, monkeypatch):
         ranks.quantile(spark.createDataFrame([(float("inf"),)], "v double"), "v")
 
 
+def test_vectors_beside_ids(spark, tmp_path):
+    """Files that numpy writes, lines of any length, ranges that cut lines, repeated and null ids, several pairs."""
+    import json
+
+    import numpy as np
+
+    from foliant.sources import npy
+
+    rng, pairs, want = np.random.default_rng(0), [], []
+    for k, (n, kind) in enumerate(((50, "<f8"), (0, "<f4"), (7, "<f4"))):
+        x = rng.normal(size=(n, 5)).astype(kind)
+        ids = [None if i == 3 else f"{'가' * (i % 9)}{i % 40}" for i in range(n)]
+        np.save(tmp_path / f"{k}.npy", x)
+        (tmp_path / f"{k}.jsonl").write_text("\n".join(json.dumps({"x": "y" * (i % 13), "id": v}, ensure_ascii=k == 0) for i, v in enumerate(ids)) + ("\n" if k == 0 else ""))
+        pairs.append((str(tmp_path / f"{k}.jsonl"), str(tmp_path / f"{k}.npy")))
+        want += [(len(want) + i, v, x[i].astype(np.float32).tolist()) for i, v in enumerate(ids)]
+    want = [(i, *r[1:]) for i, r in enumerate(want)]
+    assert npy.pairs_in(str(tmp_path)) == pairs
+    for size in (1, 10, 100, 1 << 20):
+        got = sorted((r.pos, r.id, list(r.embedding)) for r in npy.read_pairs(spark, pairs, range_bytes=size).collect())
+        assert got == want
+    last = {r.id: list(r.embedding) for r in npy.last_of_id(npy.read_pairs(spark, pairs)).collect()}
+    assert last == {i: v for _, i, v in want}
+    assert npy.read_pairs(spark, []).count() == npy.read_pairs(spark, pairs[1:2]).count() == 0
+    with pytest.raises(ValueError, match="lines"):
+        npy.read_pairs(spark, [(pairs[0][0], pairs[2][1])])
+    (tmp_path / "odd.npy").write_bytes(b"not at all, no")
+    with pytest.raises(ValueError):
+        npy.header(str(tmp_path / "odd.npy"))
+    rows = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(20)], "id string, embedding array<float>").repartition(3)
+    npy.write_pairs(rows, at := f"file://{tmp_path}/out", 2)
+    assert {(r.id, *r.embedding) for r in npy.read_pairs(spark, npy.pairs_in(at)).collect()} == {(str(i), float(i), 1.0) for i in range(20)}
+    assert np.load(next((tmp_path / "out").glob("*.npy"))).shape[1] == 2
+
+
 def test_embedding(spark):
     from foliant.operators import embedding
 
