@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and is written before the next one
 reads it. All but the last return the columns of documents.
+
+Defined cases, for all stages: a null text counts as an empty one; it is scored like any other, is near to nothing, contains nothing, is taken 0 times by the mix, and would be an end id alone in
+the store. Very long texts go through whole. Rows of one doc_id are judged alike by quality (each by its text) and stay or go together as near duplicates; equal rows are taken equally often. A null
+doc_id has no near duplicate. Of equal choices the smallest doc_id counts. Columns of any names travel along. Empty tables give empty results; without labels nothing is rejected.
 """
 
 from __future__ import annotations

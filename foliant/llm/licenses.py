@@ -12,7 +12,7 @@ saves most bytes wins. It is reported unless the same license is already reporte
 
 Defined cases: null and empty texts have no blocks. Templates that save equally much rank by their name. Rows each have their own
 results; a block that occurs twice in a text is reported at each place. Very long texts and lines are read whole. Within a line or paragraph, a place for names holds at most
-SLOT words.
+SLOT words. Other columns are not read, whatever they are called, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

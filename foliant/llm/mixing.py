@@ -11,7 +11,7 @@ reaches its target is taken in part: whole documents in hash order, each one tha
 All that moves is (doc_id, size, source): texts are read once, to count their words. What reaches the driver is a row
 per source, and a quota per source and shard. Draws depend on the seed and on hashes of ids, so reruns agree.
 
-Defined cases: a null text has size 0 and is taken 0 times. A null source is a source of its own, ordered last. Rows of
+Defined cases: a null text has size 0 and is taken 0 times. A document larger than what is left of its source's target in that last block is passed over; in a source of one such document the target stays out of reach. A null source is a source of its own, ordered last. Rows of
 equal doc_id, source and size are each counted and are all taken equally often. A very long text is one document like any other. Other columns
 travel along with :func:`mixed`, which needs none of the names that it adds. An empty table gives an empty mix.
 """

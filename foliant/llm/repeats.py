@@ -18,7 +18,8 @@ Equal texts are treated as one text that occurs several times. Texts are told ap
 their whole, windows through hot anchors by 64 bits; contexts that are compared in suffix arrays are compared byte by byte.
 
 Defined cases: a null text counts as empty: 0 bytes, nothing removed, the SHA-256 of nothing. Texts under LENGTH bytes lose
-nothing. Rows of equal doc_id are texts of their own, each with its row.
+nothing. Rows of equal doc_id are texts of their own, each with its row. Very long texts are read in pieces that overlap. Other columns are not read, whatever
+they are called, and an empty table gives an empty result. A ValueError ends the job if more than MOST_SHARED pairs of texts share a 64-bit hash by chance.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ HOT = 64
 #: Anchors or contexts in one block, about.
 BLOCK_ANCHORS, BLOCK_CONTEXTS = 1_000_000, 20_000
 UNIQUE, SETTLED, SEND, WINDOWS = 0, 1, 2, 3
-#: Seed of the second hash of a text; texts that may share the first (chance gives some 30 among 10**11 texts).
+#: Seed of the second hash of a text; texts that may share the first (chance gives some 270 among 10**11 texts).
 SECOND, MOST_SHARED = 99, 10_000
 
 

@@ -25,7 +25,7 @@ Queries are dealt with in blocks of at most QUERY_TERMS terms, each broadcast to
 Defined cases: a query without words finds nothing, and a document without words is found by none. Fewer than k documents that share a
 term with the query: all of them. Scores are rounded to DIGITS places; equal ones rank by doc_id. Rows of equal doc_id are documents of their
 own; a query has the words of all rows of its id. Rows whose doc_id is null are neither queries nor documents. A very long text is a
-document like any other; its shard ends with it. An empty table gives an empty result.
+document like any other; its shard ends with it. Other columns are not read, whatever they are called. An empty table gives an empty result.
 """
 
 from __future__ import annotations

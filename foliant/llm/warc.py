@@ -14,7 +14,7 @@ Defined cases: a null payload is empty. A record that ends before its declared l
 number of fields and a length that is not a number give a row with ``problem`` set and no further records of that file.
 An empty archive gives no row, and an empty table no archive. Only the first record of a file is its version block: later ones whose url
 begins with ``filedesc://`` are records. A very long page ends its archive. Of equal payloads of at least MIN_REVISIT bytes, the one with the largest key is the response;
-rows with that same key are all responses; where every key is null all are.
+rows with that same key are all responses; where every key is null all are. Repeated rows are records of their own. Other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
