@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
@@ -73,9 +74,23 @@ def state(owner: str) -> dict:
             del _states[k]
         gc.collect()
         pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # else freed memory stays with the process
+            trim(0)
     return _states.setdefault(owner, {})
 
 
+def release(spark: SparkSession) -> None:
+    """Has idle workers let go of what operators keep in them, by a job of empty tasks: executors hand these to the worker that has been idle longest."""
+
+    def run(batches):
+        state("")
+        yield from batches
+
+    tasks = 6 * spark.sparkContext.defaultParallelism
+    ship(spark)
+    spark.range(0, tasks, 1, tasks).mapInArrow(run, "id long").count()
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, _mixed, mix, powers, shipped, slices, state, utf8
+from .common import U64, _mixed, mix, powers, release, shipped, slices, state, utf8
 
 END_ID = 0
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, 511
@@ -271,6 +271,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, special: bool = True
     raw = shipped(docs).select("doc_id", "text").mapInArrow(_objects(tokenizer, wide, special), "kind int, digest binary, blob binary, doc_id long, sizes binary")
     dealt = raw.repartition(F.xxhash64("kind", "digest", "doc_id")).sortWithinPartitions("kind", "digest")
     dealt.mapInArrow(_once, dealt.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
+    release(spark)  # encoders are done with
     recipes = objects(spark, path, 1).select(F.col("doc_id"), F.col("blob").alias("digests"), "sizes", _ids_of("sizes").alias("n_ids"))
     runs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), recipes.count() // RECIPES_PER_RUN + 1)
     recipes.repartitionByRange(runs, F.col("doc_id").asc_nulls_first(), "digests").withColumn("run", F.spark_partition_id()).write.parquet(f"{path}/unplaced")
@@ -282,6 +283,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, special: bool = True
     placed.write.parquet(f"{path}/recipes")
     manifest = spark.read.parquet(f"{path}/recipes").groupBy("run").applyInPandas(_roots, ROOTS)
     manifest.write.parquet(f"{path}/manifest")
+    spark.createDataFrame([(bytearray(manifest_root(spark, path)),)], "root binary").coalesce(1).write.parquet(f"{path}/root")
 
 
 def _ids_of(sizes: str):
@@ -384,8 +386,8 @@ def document_sums(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, valid) of every document, from the files of the store.
 
     ids_crc32 is the CRC-32 of all ids of the document as little-endian unsigned 32-bit integers. valid: every chunk is
-    there and has the digest it is named by, and the Merkle root over the run of recipes that the document's stands in is that
-    of the manifest.
+    there and has the digest it is named by, the Merkle root over the run of recipes that the document's stands in is that
+    of the manifest, and the root over all runs, stored last, is that of the manifest as read.
     """
 
     @F.pandas_udf("long")
@@ -396,7 +398,8 @@ def document_sums(spark: SparkSession, path: str) -> DataFrame:
     rows = joined.select("doc_id", "start", "run", "n", F.coalesce("ok", F.lit(False)).alias("ok"), shifted("crc", "after").alias("crc"))
     sums = rows.groupBy("doc_id", "start", "run").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"), F.min("ok").alias("ok"))
     bad = F.broadcast(verify(spark, path).select("run", F.lit(True).alias("bad")))  # a row at most for RECIPES_PER_RUN documents
-    return sums.join(bad, "run", "left").select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("ok") & F.col("bad").isNull()).alias("valid"))
+    whole = bytes(spark.read.parquet(f"{path}/root").first().root) == manifest_root(spark, path)
+    return sums.join(bad, "run", "left").select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("ok") & F.col("bad").isNull() & F.lit(whole)).alias("valid"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

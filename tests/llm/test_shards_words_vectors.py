@@ -289,3 +289,21 @@ def test_what_one_operator_keeps_goes_when_another_begins():
     licenses.best(long), licenses.best("MIT License")
     assert licenses._remembered.cache_info().currsize == 1
     assert jaccard.deals(10, 5 * jaccard.GROUP_TOKENS) == 6
+
+
+def test_a_run_that_is_lost_with_its_recipes_is_noticed(spark):
+    """The root over all runs is stored last, and without it no document is valid."""
+    import public_tokenizers
+
+    from foliant.llm import tokenstore
+
+    docs = spark.createDataFrame([(i, f"text number {i} and more") for i in range(40)], "doc_id long, text string")
+    tokenstore.write_store(docs, path := new_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
+    assert all(r.valid for r in tokenstore.document_sums(spark, path).collect())
+    runs = [r.run for r in spark.read.parquet(f"{path}/manifest").collect()]
+    assert len(runs) > 1
+    for name in ("manifest", "recipes"):
+        rows = spark.read.parquet(f"{path}/{name}").filter(f"run <> {max(runs)}").collect()
+        spark.createDataFrame(rows, spark.read.parquet(f"{path}/{name}").schema).write.mode("overwrite").parquet(f"{path}/{name}")
+    got = tokenstore.document_sums(spark, path).collect()
+    assert 0 < len(got) < 40 and not any(r.valid for r in got)
