@@ -13,13 +13,19 @@ LEAST_LINES, LEAST_SIDE, LEAST_SPAN, GAP_SHARE = 5, 3, 100, 0.15
 PAGE = ["doc_id", "page"]
 
 
+BOX = [F.min, "x0"], [F.min, "y0"], [F.max, "x1"], [F.max, "y1"], [F.max, "page_width"]
+
+
 def page_rows(glyphs: DataFrame, tolerance: float = ROW_TOLERANCE, gap: float = ROW_GAP) -> DataFrame:
     """Fragments (doc_id, page, fragment and its box) with the row they belong to.
 
     Fragments sorted by (y0, x0) are of one band as long as each begins within the tolerance of the one before it; in a
     band, sorted by x0, a gap wider than ``gap`` begins another row.
     """
-    boxes = glyphs.groupBy(*PAGE, "fragment").agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))], F.max("page_width").alias("page_width"))
+    return _placed(glyphs.groupBy(*PAGE, "fragment").agg(*[f(c).alias(c) for f, c in BOX]), tolerance, gap)
+
+
+def _placed(boxes: DataFrame, tolerance: float = ROW_TOLERANCE, gap: float = ROW_GAP) -> DataFrame:
     down = Window.partitionBy(*PAGE).orderBy("y0", "x0", "fragment")
     new_band = F.abs(F.col("y0") - F.lag("y0").over(down)) > tolerance
     boxes = boxes.withColumn("band", F.sum(F.coalesce(new_band, F.lit(True)).cast("int")).over(down.rowsBetween(Window.unboundedPreceding, 0)))
@@ -30,16 +36,18 @@ def page_rows(glyphs: DataFrame, tolerance: float = ROW_TOLERANCE, gap: float =
 
 
 def page_lines(glyphs: DataFrame, space: float = SPACE_GAP, **how) -> DataFrame:
-    """Rows as text, with their boxes: a gap of ``space`` or more between glyphs, neither of them a space, becomes one."""
-    rows = page_rows(glyphs, **how)
-    own = glyphs.select(*PAGE, "fragment", "seq", "c", F.col("x0").alias("gx0"), F.col("x1").alias("gx1")).join(rows, [*PAGE, "fragment"])
-    along = Window.partitionBy(*PAGE, "band", "part").orderBy("place", "seq")
-    before, left = F.lag("c").over(along), F.lag("gx1").over(along)
-    wide = (F.col("gx0") - left >= space) & (before != " ") & (F.col("c") != " ")
-    spaced = own.withColumn("s", F.concat(F.when(wide, " ").otherwise(""), F.col("c")))
-    out = spaced.groupBy(*PAGE, "band", "part").agg(
-        F.array_sort(F.collect_list(F.struct("place", "seq", "s"))).alias("g"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"), (F.max, "page_width"))]
-    )
+    """Rows as text, with their boxes: a gap of ``space`` or more between glyphs, neither of them a space, becomes one. Glyphs become the texts of their fragments
+    first, so that windows go over fragments."""
+    wide = lambda c, x1, d, x0: (x0 - x1 >= space) & (c != " ") & (d != " ")
+    own = glyphs.groupBy(*PAGE, "fragment").agg(F.array_sort(F.collect_list(F.struct("seq", "c", "x0", "x1"))).alias("g"), *[f(c).alias(c) for f, c in BOX])
+    before = lambda i: F.get("g", i - 1)
+    spaced = F.transform("g", lambda x, i: F.concat(F.when(wide(before(i)["c"], before(i)["x1"], x["c"], x["x0"]), " ").otherwise(""), x["c"]))
+    first, last = F.element_at("g", 1), F.element_at("g", -1)
+    own = own.select(*PAGE, "fragment", *[c for _, c in BOX], F.array_join(spaced, "").alias("s"), first["c"].alias("c0"), first["x0"].alias("gx0"), last["c"].alias("c1"), last["x1"].alias("gx1"))
+    along = Window.partitionBy(*PAGE, "band", "part").orderBy("place")
+    apart = wide(F.lag("c1").over(along), F.lag("gx1").over(along), F.col("c0"), F.col("gx0"))
+    rows = _placed(own, **how).withColumn("s", F.concat(F.when(apart, " ").otherwise(""), F.col("s")))
+    out = rows.groupBy(*PAGE, "band", "part").agg(F.array_sort(F.collect_list(F.struct("place", "s"))).alias("g"), *[f(c).alias(c) for f, c in BOX])
     out = out.withColumn("text", X.strip(F.array_join(F.col("g.s"), ""))).drop("g")
     return out.filter("text <> ''")
 
