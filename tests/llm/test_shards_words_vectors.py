@@ -307,3 +307,34 @@ def test_a_run_that_is_lost_with_its_recipes_is_noticed(spark):
         spark.createDataFrame(rows, spark.read.parquet(f"{path}/{name}").schema).write.mode("overwrite").parquet(f"{path}/{name}")
     got = tokenstore.document_sums(spark, path).collect()
     assert 0 < len(got) < 40 and not any(r.valid for r in got)
+
+
+@pytest.mark.parametrize("shards", [64, 1000])
+def test_a_partition_for_each_shard_of_a_mix(spark, shards):
+    """However many shards there are, a partition holds one, and all copies are in that of their shard."""
+    from foliant.llm import mixing
+
+    rng = random.Random(shards)
+    rows = [(i, " ".join(["word"] * rng.randrange(1, 40)), f"s{i % 3}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keep, mixing.BLOCK_WORDS = mixing.BLOCK_WORDS, 20
+    try:
+        where = collections.defaultdict(collections.Counter)
+        for r in mixing.mix(docs, shards=shards).collect():
+            for c in r.copies:
+                where[c.shard][r.doc_id] += 1
+        parts = mixing.mixed(docs, shards=shards).rdd.glom().collect()
+    finally:
+        mixing.BLOCK_WORDS = keep
+    assert len(parts) == max(where) + 1 > shards // 2
+    assert [collections.Counter(r.doc_id for r in p) for p in parts] == [where[k] for k in range(len(parts))]
+
+
+def test_larger_mixes_have_more_shards(spark, monkeypatch):
+    from foliant.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARDS", 2)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 100)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 10)
+    docs = spark.createDataFrame([(i, "one two three four five", "s") for i in range(200)], "doc_id long, text string, source string")
+    assert {c.shard for r in mixing.mix(docs).collect() for c in r.copies} == set(range(16))
