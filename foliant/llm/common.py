@@ -72,18 +72,29 @@ def state(owner: str) -> dict:
     if others := [k for k in _states if k != owner]:
         for k in others:
             del _states[k]
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # else freed memory stays with the process
-            trim(0)
+        _give_back()
     return _states.setdefault(owner, {})
 
 
+def _give_back() -> None:
+    """What is freed, to the system: else it stays with the process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def _let_go() -> None:
+    state("")
+    _powers.clear()
+    _give_back()
+
+
 def release(spark: SparkSession) -> None:
     """Has idle workers let go of what operators keep in them, by a job of empty tasks: executors hand these to the worker that has been idle longest."""
 
     def run(batches):
-        state("")
+        _let_go()
         yield from batches
 
     tasks = 6 * spark.sparkContext.defaultParallelism
@@ -140,13 +151,13 @@ BYTE_VALUES = _mixed(256, 77)
 LOWER_VALUES = BYTE_VALUES.copy()
 LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
 _BASE = 0x2545F4914F6CDD1D
-_powers = {"n": 0}
+_powers: dict = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and of its inverse, at least n of each."""
-    if _powers["n"] < n:
-        size = 1 << max(16, n.bit_length())
+    if _powers.get("n", 0) < n:
+        size = -(-n // 65_536) * 65_536
         out = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             x = np.full(size, base, U64)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, broadcast_if_small, mix, slices, state, task_lot, utf8, written
+from .common import U64, Words, broadcast_if_small, mix, release, slices, state, task_lot, utf8, written
 from .components import connected_components, roots_of
 
 #: Shingles in one block of the product, about.
@@ -395,4 +395,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with the document of the smallest doc_id of each component only (of rows of that doc_id, all)."""
     rest = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(broadcast_if_small(written(rest, "copies")), "doc_id", "left_anti").select(docs.columns)
+    copies = broadcast_if_small(written(rest, "copies"))
+    release(docs.sparkSession)  # sets are done with
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
