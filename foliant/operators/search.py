@@ -217,6 +217,6 @@ def search(index: Index, documents: DataFrame, vector: list[float], query: str,
     return cards(hybrid_search(index, documents, vector, query, most or (DEBUG_RESULTS if debug else RESULTS)), debug)
 
 
-def document(documents: DataFrame, document_id) -> DataFrame:
-    """The row of one document, or none."""
-    return documents.filter(F.col("document_id") == F.lit(document_id)).limit(1)
+def document(documents: Callable[[list], DataFrame], texts: Callable[[list], DataFrame], document_id) -> DataFrame:
+    """The row of one document with its text, or none. Both are what reads rows by ids, texts from a store of their own."""
+    return documents([document_id]).join(texts([document_id]), "document_id")

@@ -231,7 +231,7 @@ def index_diff(spark, d):
 
 @query(f"WITH {DOCS_SQL} SELECT document_id, raw_text, parsing_quality FROM docs WHERE document_id = 7")
 def document_detail(spark, d):
-    return by_id(spark, d)([7]).join(by_id(spark, d, "texts")([7]), "document_id").select("document_id", "raw_text", "parsing_quality")
+    return S.document(by_id(spark, d), by_id(spark, d, "texts"), 7).select("document_id", "raw_text", "parsing_quality")
 
 
 @query(f"WITH {DOCS_SQL} SELECT document_id, CASE WHEN parsing_quality = 'standard' THEN '신뢰도 높음' ELSE '일부 참고' END AS label FROM docs")
