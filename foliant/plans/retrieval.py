@@ -68,6 +68,13 @@ def by_id(spark: SparkSession, d: str, table: str = "documents"):
     return lambda ids: read_points(spark, f"{store(spark, d)}/{table}", "document_id", ids)
 
 
+@query(rf"WITH {CHUNKS_SQL} SELECT count(*) AS chunks, count(embedding) AS vectors, CAST((SELECT count(*) FROM (SELECT DISTINCT chunk_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) FROM chunks)) AS BIGINT) AS postings FROM chunks")
+def search_index(spark, d):
+    """What the index holds; the first query that reads it writes it."""
+    own = index(spark, d)
+    return own.chunks.agg(F.count("*").alias("chunks"), F.count("unit").alias("vectors")).withColumn("postings", F.lit(own.postings.count()))
+
+
 @query(rf"WITH {CHUNKS_SQL}, w AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM chunks) SELECT term, count(*) AS times FROM w GROUP BY term")
 def search_terms(spark, d):
     return index(spark, d).postings.groupBy("term").agg(F.sum("times").alias("times"))
