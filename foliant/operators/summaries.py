@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
+from foliant.functions.udfs import pieces
 from foliant.operators.upserts import update
 
 ATTEMPTS = 2
@@ -38,26 +39,36 @@ def structured(answer: str | None) -> list[str] | None:
 def summarise(docs: DataFrame, summariser: Callable[[str], str | None]) -> DataFrame:
     """(doc_id, point, cause, action, result, failed): the first usable of ATTEMPTS answers, or failed."""
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                got = next((x for _ in range(ATTEMPTS) if (x := structured(summariser(text)))), None)
-                rows.append((doc_id, *(got or [None] * 4), got is None))
-            yield pd.DataFrame(rows, columns=["doc_id", "point", "cause", "action", "result", "failed"])
+    def one(text: str | None) -> tuple:
+        got = next((x for _ in range(ATTEMPTS) if (x := structured(summariser(text)))), None)
+        return (*(got or [None] * 4), got is None)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, point string, cause string, action string, result string, failed boolean")
+    return _answers(docs, one, "point string, cause string, action string, result string, failed boolean")
+
+
+def _answers(docs: DataFrame, one: Callable[[str | None], tuple], columns: str) -> DataFrame:
+    """doc_id and what ``one`` makes of the text, by pieces of the batches (:func:`pieces`)."""
+    names = [x.split()[0] for x in columns.split(", ")]
+    kinds = [pa.bool_() if x.endswith(" boolean") else pa.string() for x in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, n in pieces(batch["text"]):
+                own = batch.slice(a, n)
+                got = zip(*map(one, own["text"].to_pylist()))
+                yield pa.RecordBatch.from_arrays([own["doc_id"].cast(pa.int64()), *(pa.array(list(x), k) for x, k in zip(got, kinds))], ["doc_id", *names])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {columns}")
 
 
 def summarise_freeform(docs: DataFrame, summariser: Callable[[str], str | None], fallback: str) -> DataFrame:
     """(doc_id, freeform, failed): any answer that is not blank and has not the fallback phrase."""
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            got = [next((x for _ in range(ATTEMPTS) if (x := (summariser(t) or "").strip()) and fallback not in x), None) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "freeform": got, "failed": [x is None for x in got]})
+    def one(text: str | None) -> tuple:
+        got = next((x for _ in range(ATTEMPTS) if (x := (summariser(text) or "").strip()) and fallback not in x), None)
+        return got, got is None
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, freeform string, failed boolean")
+    return _answers(docs, one, "freeform string, failed boolean")
 
 
 def cache(docs: DataFrame, results: DataFrame) -> DataFrame:
