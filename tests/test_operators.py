@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.operators import layout, search, summaries
-from foliant.plans import reading
+from foliant.plans import reading, retrieval
 from foliant.sources import tables
 from foliant.streaming.incremental import load_incrementally
 from tests.conftest import DATA
@@ -374,3 +374,13 @@ def test_texts_reach_workers_by_pieces(spark):
     assert got == {k: 100_000 if k % 2 else None for k in range(12)}
     answers = summaries.summarise(docs, lambda t: "a\nb\nc\nd" if t else None).collect()
     assert sorted((r.doc_id, r.failed) for r in answers) == [(k, k % 2 == 0) for k in range(12)]
+
+
+def test_titles_are_cut_before_the_join(spark):
+    """The store that searches read moves first characters only; whole texts are read by id from their own."""
+    own = retrieval.documents(spark, DATA, F.substring("text", 1, 5).alias("title_buffer"))
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("substring(")
+    whole = {r.document_id: r.raw_text for r in retrieval.documents(spark, DATA).collect()}
+    assert {r.document_id: r.title_buffer for r in own.collect()} == {k: x[:5] for k, x in whole.items()}
+    assert [r.raw_text for r in retrieval.document_detail(spark, DATA).collect()] == [whole[7]]
