@@ -72,11 +72,11 @@ def state(owner: str) -> dict:
     if others := [k for k in _states if k != owner]:
         for k in others:
             del _states[k]
-        _give_back()
+        give_back()
     return _states.setdefault(owner, {})
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """What is freed, to the system: else it stays with the process."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -87,7 +87,7 @@ def _give_back() -> None:
 def _let_go() -> None:
     state("")
     _powers.clear()
-    _give_back()
+    give_back()
 
 
 def release(spark: SparkSession) -> None:

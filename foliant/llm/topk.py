@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix, slices, utf8, written
+from .common import U64, Words, give_back, mix, release, slices, utf8, written
 
 K, K1, B = 10, 1.2, 0.75
 DIGITS = 9
@@ -77,23 +77,35 @@ KINDS = {"docs": np.int64, "lengths": np.uint32, "terms": U64, "first": np.uint3
 
 
 def build_shard(ids: list, counted: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+    """The shard of some documents' terms and counts; ``counted`` is put into the shard's order."""
     top = [int(t[c.argmax()]) if len(t) else 0 for t, c in counted]
     lengths = [int(c.sum()) for _, c in counted]
     order = sorted(range(len(ids)), key=lambda i: (top[i], lengths[i], i))
-    counted = [counted[i] for i in order]
-    sizes = [len(t) for t, _ in counted]
+    counted[:] = [counted[i] for i in order]
+    docs = np.repeat(np.arange(len(counted), dtype=np.uint16), [len(t) for t, _ in counted])
+    counts = np.concatenate([c.astype(np.uint32) for _, c in counted]) if counted else np.zeros(0, np.uint32)
     terms = np.concatenate([t for t, _ in counted]) if counted else np.zeros(0, U64)
-    docs = np.repeat(np.arange(len(counted), dtype=np.uint16), sizes)
-    counts = np.concatenate([c for _, c in counted]) if counted else np.zeros(0, np.int64)
+    counted.clear()
     by = np.argsort(terms, kind="stable")
-    own, first = np.unique(terms[by], return_index=True)
-    return {"docs": np.array([ids[i] for i in order], np.int64), "lengths": np.array([lengths[i] for i in order]), "terms": own, "first": np.append(first, len(terms)), "post_docs": docs[by], "post_counts": counts[by]}
+    docs, counts, terms = docs[by], counts[by], terms[by]
+    del by
+    first = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1]))) if len(terms) else np.zeros(0, np.int64)
+    return {"docs": np.array([ids[i] for i in order], np.int64), "lengths": np.array([lengths[i] for i in order]), "terms": terms[first], "first": np.append(first, len(terms)), "post_docs": docs, "post_counts": counts}
 
 
 def _pack(number: int, shard: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([shard[n].astype(k).tobytes()], pa.binary()) for n, k in KINDS.items()]], ["shard", *KINDS])
 
 
+def _packed_shard(number: int, ids: list, counted: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The shard of what the lists hold, which are empty afterwards; what it was built from goes back to the system."""
+    out = _pack(number, build_shard(ids, counted))
+    ids.clear()
+    counted.clear()
+    give_back()
+    return out
+
+
 def write_index(docs: DataFrame) -> DataFrame:
     """The shards, numbered by task and place in it, as binary columns."""
 
@@ -105,10 +117,10 @@ def write_index(docs: DataFrame) -> DataFrame:
                 counted.append(own)
                 held += len(own[0])
                 if len(ids) == SHARD_DOCS or held >= SHARD_POSTINGS:
-                    yield _pack(number, build_shard(ids, counted))
-                    ids, counted, held, number = [], [], 0, number + 1
+                    yield _packed_shard(number, ids, counted)
+                    held, number = 0, number + 1
         if ids:
-            yield _pack(number, build_shard(ids, counted))
+            yield _packed_shard(number, ids, counted)
 
     return written(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, SHARD), "index")
 
@@ -402,10 +414,12 @@ def search_rounds(index: DataFrame, n_shards: int, block: Queries, mean_length:
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents for each query (doc_id, text), the query's own row included."""
     index = write_index(docs)
+    release(docs.sparkSession)
     n, mean_length, df = statistics(index)
     n_shards, out = index.count(), None
     for block in query_blocks(queries, df, n):
         found = _named(search_rounds(index, n_shards, block, mean_length, k), block)
+        release(docs.sparkSession)  # the block and the shards as searched
         out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")

@@ -782,3 +782,15 @@ def test_a_cluster_needs_a_shared_folder():
 def test_written_tables_are_in_the_shared_folder(spark):
     df = written(spark.range(3).toDF("x"), "t")
     assert df.count() == 3 and df.foliant_path.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_a_shard_leaves_nothing_behind_that_it_was_built_from(monkeypatch):
+    """The lists that a shard is built from are empty when it is put out, and memory is handed back; the shard is as before."""
+    handed = []
+    monkeypatch.setattr(topk, "give_back", lambda: handed.append(1))
+    ids, counted = [7, 8, 9], list(topk.term_counts([b"a b a", b"", b"b c"]))
+    batch = topk._packed_shard(3, ids, counted)
+    assert ids == [] and counted == [] and handed == [1]
+    own = {n: np.frombuffer(batch.column(n)[0].as_py(), k) for n, k in topk.KINDS.items()}
+    assert sorted(own["docs"].tolist()) == [7, 8, 9] and sorted(own["lengths"].tolist()) == [0, 2, 3]
+    assert len(own["terms"]) == 3 and np.diff(own["first"]).tolist().count(2) == 1 and sorted(own["post_counts"].tolist()) == [1, 1, 1, 2]
