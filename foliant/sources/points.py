@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a row group, about: what one lookup reads.
 GROUP_BYTES = 1 << 20
-#: Keys in one filter at most. Longer lists, and lists of Spark's own (``isin``), become ranges, which prune little.
+#: Keys in a filter at most. Longer lists are joined: their equalities would be more code than a stage can be compiled to, and they want most row groups anyway.
 MOST_KEYS = 500
 
 
@@ -29,8 +30,7 @@ def read_points(spark: SparkSession, path: str, key: str, values: list) -> DataF
     rows, wanted = spark.read.parquet(path), sorted({v for v in values if v is not None})
     if not wanted:
         return rows.filter(F.lit(False))
-    parts = [rows.filter(one_of(key, wanted[k : k + MOST_KEYS])) for k in range(0, len(wanted), MOST_KEYS)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if len(wanted) <= MOST_KEYS:
+        return rows.filter(one_of(key, wanted))
+    keys = spark.createDataFrame([(v,) for v in wanted], T.StructType([T.StructField("_key", rows.schema[key].dataType)]))
+    return rows.join(F.broadcast(keys), F.col(key) == F.col("_key"), "left_semi")

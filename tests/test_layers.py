@@ -100,3 +100,15 @@ def test_an_index_that_changes_is_searched_as_one_written_anew(spark, tmp_path):
     search.merge_index(spark, f)
     assert find(search.open_index(spark, f)) == find(new) and len(layers.latest(spark, f).layers) == 1
     assert find(search.open_index(spark, f, layers.version(spark, f, 1))) != find(new)
+
+
+def test_long_lists_of_keys_are_joined_and_not_compiled(spark, tmp_path):
+    """A list of more than MOST_KEYS has no equality for each key in its plan, and one of as many is a filter still."""
+    from foliant.sources import points
+
+    points.write_points(spark.range(5000).selectExpr("id", "concat('x', id) as name"), path := str(tmp_path / "points"), "name")
+    many = [f"x{i}" for i in range(1000, 4000)]
+    got = points.read_points(spark, path, "name", [*many, "none", None, "x1000"])
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert got.columns == ["id", "name"] and sorted(r.name for r in got.collect()) == sorted(many)
+    assert {r.id for r in points.read_points(spark, path, "name", many[:20]).collect()} == set(range(1000, 1020))
