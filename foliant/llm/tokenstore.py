@@ -26,7 +26,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import groupby, repeat
+from itertools import chain, repeat
 from unicodedata import category
 
 import numpy as np
@@ -93,27 +93,28 @@ class Encoder:
             self.seen |= own
         return PIECES.findall(text)
 
-    def _encoded(self, pieces: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids, number of ids of each piece), run by run. Pieces that are no white space are encoded as the lines of one text: a
+    def _encoded(self, kind: int, pieces: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of ids of each piece) of pieces of one kind. Those that are no white space are encoded as the lines of one text: a
         newline is a piece of its own there, with an id that nothing else has."""
-        for lines, run in groupby(pieces, lambda x: kind(x) in (0, 2) and self.newline is not None):
-            run = list(run)
-            for a in range(0, len(run), 4096):
-                own = run[a : a + 4096]
-                if lines:
-                    (ids,) = self._whole(["\n".join(own)])
-                    ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
-                    yield ids[ids != self.newline], np.diff(ends, prepend=-1) - 1
-                else:
-                    each = self._whole([x[0] if isinstance(x, tuple) else x for x in own])
-                    yield np.concatenate(each), np.array([len(x) for x in each])
+        for a in range(0, len(pieces), 4096):
+            own = pieces[a : a + 4096]
+            if kind in (0, 2) and self.newline is not None:
+                (ids,) = self._whole(["\n".join(own)])
+                ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
+                yield ids[ids != self.newline], np.diff(ends, prepend=-1) - 1
+            else:
+                each = self._whole([x[0] if isinstance(x, tuple) else x for x in own])
+                yield np.concatenate(each), np.array([len(x) for x in each])
 
     def _learn(self, pieces: list) -> dict:
         """Places of new pieces. The first CACHED short ones stay; the others are there for one call."""
-        pieces.sort(key=kind)
-        kept = max(0, min(sum(kind(x) < 2 for x in pieces), CACHED - len(self.slots)))
+        kinds: list[list] = [[], [], [], [], []]  # short, short white space, long, long white space, texts to be encoded as they are
+        for p in pieces:
+            kinds[4 if type(p) is tuple else 2 * (len(p) > LONG) + p.isspace()].append(p)
+        kept = max(0, min(len(kinds[0]) + len(kinds[1]), CACHED - len(self.slots)))
+        pieces = list(chain.from_iterable(kinds))
         found = dict(zip(pieces, range(len(self.begin), len(self.begin) + len(pieces))))
-        for ids, lengths in self._encoded(pieces):
+        for ids, lengths in chain.from_iterable(self._encoded(k, own) for k, own in enumerate(kinds)):
             self.begin.frombytes((len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int64).tobytes())
             self.lengths.frombytes(lengths.astype(np.int64).tobytes())
             self.flat.frombytes(ids.tobytes())
@@ -143,11 +144,6 @@ class Encoder:
         return out
 
 
-def kind(piece) -> int:
-    """0 and 1 are short, 2 and 3 long, 1 and 3 white space; 4 is a text to be encoded as it is."""
-    return 4 if isinstance(piece, tuple) else 2 * (len(piece) > LONG) + piece.isspace()
-
-
 def encoder(path: str, special: bool = True) -> Encoder:
     """The worker's encoder, with the pieces that it has seen, as long as the worker does nothing else."""
     kept = state("tokenstore")
