@@ -586,6 +586,17 @@ def test_filters_do_not_copy_the_statistics(spark, sf_dir):
     assert plan.count("{2,}") == 1
 
 
+def test_the_plan_of_scores_does_not_grow_with_the_rules(spark, sf_dir):
+    """Rules are one constant: the driver plans and compiles as much for many of them as for one, and their weights still add up."""
+    own = docs(spark, [(1, "a b c d e"), (2, "a b")])
+    many = lambda n: quality.RuleEnsemble(0.5, [quality.Rule((("words", 3.0, True),), 0.01), *[quality.Rule((("words", 4.5, i % 2 == 0), ("stops", -float(i), True)), 0.01) for i in range(1, n)]])
+    whens = [quality.score(own, many(n))._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") for n in (1, 200)]
+    assert whens[0] == whens[1]
+    got = {r.doc_id: r._score for r in quality.score(own, many(200)).collect()}
+    assert got[1] == pytest.approx(1 / (1 + math.exp(-0.5 - 0.01 * 100)), abs=1e-12)
+    assert got[2] == pytest.approx(1 / (1 + math.exp(-0.5 - 0.01 * 100)), abs=1e-12)
+
+
 def test_first_split_is_the_best_of_all():
     """A tree's first condition against every threshold of every statistic."""
     r = np.random.default_rng(4)
