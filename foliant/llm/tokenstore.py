@@ -26,7 +26,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 from unicodedata import category
 
 import numpy as np
@@ -54,28 +54,92 @@ def usual(c: str) -> bool:
     return not "\x1c" <= c <= "\x1f" and (not c.isnumeric() or c.isdecimal() or c.isalpha() and not category(c).startswith("N"))
 
 
+LETTER, DIGIT, OTHER, SPACE, UNUSUAL, END, UNKNOWN = range(7)
+
+
+def kind_of(c: str) -> int:
+    return UNUSUAL if not usual(c) else SPACE if c.isspace() else DIGIT if c.isdecimal() else LETTER if c.isalnum() else OTHER
+
+
+def piece_starts(code: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where the pieces of :data:`PIECES` begin in texts of usual characters (END behind each text, a piece of its own)."""
+    before, after = np.concatenate(([END], kind[:-1])), np.append(kind[1:], END)
+    start = (kind != before) | (kind == END) | (kind == SPACE) & (after < SPACE)  # the last white space before something else
+    start[1:] &= (code[:-1] != 32) | (kind[1:] >= SPACE)  # a blank goes with what follows it
+    q = np.flatnonzero((code == 39) & start & (kind != before) & (after == LETTER))
+    a, b = code[q + 1], code[np.minimum(q + 2, len(code) - 1)]
+    one = np.isin(a, [ord(c) for c in "stmd"])
+    two = ((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108)
+    start[q[one | two] + 1] = False
+    beyond = np.concatenate((q[one] + 2, q[two] + 3))
+    start[beyond] |= kind[beyond] == LETTER
+    return np.flatnonzero(start)
+
+
+class Table:
+    """Numbers by keys of two 64-bit words, the second never 0: open addresses in arrays, asked for many keys at once."""
+
+    BITS = 20
+
+    def __init__(self):
+        self.words, self.numbers = np.zeros((2, 1 << self.BITS), U64), np.zeros(1 << self.BITS, np.int32)
+
+    def _places(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (mix(low ^ high * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.BITS)).astype(np.int64)
+
+    def get(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The numbers of the keys, -1 for those that are not there."""
+        out, left, at = np.full(len(low), -1, np.int64), np.arange(len(low)), self._places(low, high)
+        while len(left):
+            there = self.words[1][at]
+            same = (there == high[left]) & (self.words[0][at] == low[left])
+            out[left[same]] = self.numbers[at[same]]
+            further = ~same & (there != 0)
+            left, at = left[further], (at[further] + 1) & ((1 << self.BITS) - 1)
+        return out
+
+    def add(self, low: np.ndarray, high: np.ndarray, numbers: np.ndarray) -> None:
+        """Of distinct keys that are not there."""
+        left, at = np.arange(len(low)), self._places(low, high)
+        while len(left):
+            free = np.flatnonzero(self.words[1][at] == 0)
+            put = free[np.unique(at[free], return_index=True)[1]]
+            self.words[0][at[put]], self.words[1][at[put]], self.numbers[at[put]] = low[left[put]], high[left[put]], numbers[left[put]]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, at = left[rest], (at[rest] + 1) & ((1 << self.BITS) - 1)
+
+
+#: Bytes of a piece that is its own key in a :class:`Table`: these, and their number in the last byte.
+SHORT = 15
+_LOWEST = np.array([(1 << (8 * i)) - 1 for i in range(9)], U64)
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, with a cache of pieces.
 
     Merges never cross the pieces that the pre-tokenizer cuts a text into, so each distinct piece needs encoding once. Texts with a special
-    token's string or an unusual character are encoded whole, and so is every text if the tokenizer cuts in another way.
+    token's string or an unusual character are encoded whole, and so is every text if the tokenizer cuts in another way. Pieces are cut and
+    looked up as arrays, all of some texts at once; only new and long ones become strings.
     """
 
     def __init__(self, path: str, special: bool = True):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        cutter = self.tokenizer.pre_tokenizer
+        self.cutter = cutter = self.tokenizer.pre_tokenizer
+        self.by_lines = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         own = json.loads(cutter.__getstate__()) if cutter else {}
         plain = self.tokenizer.normalizer is None and not getattr(self.tokenizer.model, "dropout", None)
         self.cuts = plain and {k: own.get(k) for k in BYTE_LEVEL} == BYTE_LEVEL
         named = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if special or not x.special]
         self.named = re.compile("|".join(map(re.escape, named))) if named else None
-        self.seen: set[str] = set()  # usual characters
-        self.slots: dict[str, int] = {}  # piece to its place in begin and lengths
+        self.kinds = np.full(0x110000, UNKNOWN, np.uint8)  # of characters
+        self.short, self.long, self.kept = Table(), {}, 0  # pieces to their places in begin and lengths; how many there are
         self.flat, self.begin, self.lengths = array("I", [END_ID]), array("q", [0]), array("q", [1])
         newline = self._whole(["\n"])[0]
         self.newline = int(newline[0]) if len(newline) == 1 else None
@@ -83,15 +147,13 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list:
-        """What a text is encoded from: its pieces, or itself as the one element of a tuple."""
-        if not self.cuts or self.named and self.named.search(text):
-            return [(text,)]
-        if not self.seen.issuperset(own := set(text)):
-            if not all(map(usual, own - self.seen)):
-                return [(text,)]
-            self.seen |= own
-        return PIECES.findall(text)
+    def _lines(self, pieces: list[str]) -> np.ndarray:
+        """Ids of pieces as the lines of one text, each encoded as it is."""
+        self.tokenizer.pre_tokenizer = self.by_lines
+        try:
+            return self._whole(["\n".join(pieces)])[0]
+        finally:
+            self.tokenizer.pre_tokenizer = self.cutter
 
     def _encoded(self, kind: int, pieces: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, number of ids of each piece) of pieces of one kind. Those that are no white space are encoded as the lines of one text: a
@@ -99,7 +161,7 @@ class Encoder:
         for a in range(0, len(pieces), 4096):
             own = pieces[a : a + 4096]
             if kind in (0, 2) and self.newline is not None:
-                (ids,) = self._whole(["\n".join(own)])
+                ids = self._lines(own)
                 ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
                 yield ids[ids != self.newline], np.diff(ends, prepend=-1) - 1
             else:
@@ -111,34 +173,66 @@ class Encoder:
         kinds: list[list] = [[], [], [], [], []]  # short, short white space, long, long white space, texts to be encoded as they are
         for p in pieces:
             kinds[4 if type(p) is tuple else 2 * (len(p) > LONG) + p.isspace()].append(p)
-        kept = max(0, min(len(kinds[0]) + len(kinds[1]), CACHED - len(self.slots)))
+        kept = max(0, min(len(kinds[0]) + len(kinds[1]), CACHED - self.kept))
         pieces = list(chain.from_iterable(kinds))
         found = dict(zip(pieces, range(len(self.begin), len(self.begin) + len(pieces))))
         for ids, lengths in chain.from_iterable(self._encoded(k, own) for k, own in enumerate(kinds)):
             self.begin.frombytes((len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int64).tobytes())
             self.lengths.frombytes(lengths.astype(np.int64).tobytes())
             self.flat.frombytes(ids.tobytes())
-        self.slots.update((p, found[p]) for p in pieces[:kept])
+        self.kept += kept
+        staying = [(p.encode(), found[p]) for p in pieces[:kept]]
+        self.long.update((p, at) for p, at in staying if len(p) > SHORT)
+        keys = np.frombuffer(b"".join(p.ljust(SHORT, b"\0") + bytes([len(p)]) for p, _ in staying if len(p) <= SHORT), "<u8").reshape(-1, 2)
+        self.short.add(keys[:, 0], keys[:, 1], np.array([at for p, at in staying if len(p) <= SHORT], np.int32))
         return found
 
+    def _characters(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """UTF-8 of the texts with a character more behind each; code points; their kinds."""
+        joined = "\0".join([*texts, ""])
+        code = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kind = self.kinds[code]
+        if (unknown := kind == UNKNOWN).any():
+            for c in np.unique(code[unknown]).tolist():
+                self.kinds[c] = kind_of(chr(c))
+            kind = self.kinds[code]
+        kind[np.cumsum([len(x) + 1 for x in texts], dtype=np.int64) - 1] = END
+        return joined.encode(), code, kind
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of ids of each text."""
-        pieces, counts = [], []
-        for text in texts:
-            own = self._pieces(text)
-            pieces += own
-            counts.append(len(own))
-        at = np.fromiter(map(self.slots.get, pieces, repeat(-1)), np.int64, len(pieces))
-        if len(lacking := np.flatnonzero(at < 0)):
-            new = [pieces[i] for i in lacking.tolist()]
-            found = self._learn(list(dict.fromkeys(new)))
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, int)
+        whole = {i for i, x in enumerate(texts) if not self.cuts or self.named and self.named.search(x)}
+        cut = ["" if i in whole else x for i, x in enumerate(texts)]
+        data, code, kind = self._characters(cut)
+        if len(odd := np.flatnonzero(kind == UNUSUAL)):
+            whole.update(np.searchsorted(np.flatnonzero(kind == END), odd).tolist())
+            data, code, kind = self._characters(["" if i in whole else x for i, x in enumerate(texts)])
+        starts = piece_starts(code, kind)
+        ends = np.flatnonzero(kind[starts] == END)
+        buf = np.frombuffer(data + bytes(16), np.uint8)
+        first = np.flatnonzero((buf[: len(data)] & 0xC0) != 0x80)[starts]
+        n = np.diff(first, append=len(data))
+        words = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+        low, high = words[first] & _LOWEST[np.minimum(n, 8)], words[first + 8] & _LOWEST[np.clip(n - 8, 0, 7)] | n.astype(U64) << U64(56)
+        at, long = np.full(len(n), -1, np.int64), n > SHORT
+        at[~long] = self.short.get(low[~long], high[~long])
+        for i in np.flatnonzero(long).tolist():
+            at[i] = self.long.get(data[first[i] : first[i] + n[i]], -1)
+        at[ends] = 0  # slot 0: the end id
+        lacking = np.flatnonzero(at < 0)
+        new = [data[a:b].decode() for a, b in zip(first[lacking].tolist(), (first + n)[lacking].tolist())]
+        if new or whole:
+            found = self._learn([*dict.fromkeys(new), *dict.fromkeys((texts[i],) for i in sorted(whole))])
             at[lacking] = [found[p] for p in new]
-        at = np.insert(at, np.cumsum(counts, dtype=np.int64), 0)  # slot 0: the end id
+            more = np.array(sorted(whole), np.int64)
+            at = np.insert(at, ends[more], [found[texts[i],] for i in more.tolist()])
+            ends = ends + np.searchsorted(more, np.arange(len(ends)), side="right")
         sizes = np.frombuffer(self.lengths, np.int64)[at]
         place = np.repeat(np.frombuffer(self.begin, np.int64)[at] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-        first = np.concatenate(([0], np.cumsum(np.array(counts) + 1)[:-1])) if counts else np.zeros(0, int)
-        out = np.frombuffer(self.flat, np.uint32)[place], np.add.reduceat(sizes, first) if counts else np.zeros(0, int)
-        kept = 1 + len(self.slots)
+        out = np.frombuffer(self.flat, np.uint32)[place], np.add.reduceat(sizes, np.concatenate(([0], ends[:-1] + 1)))
+        kept = 1 + self.kept
         if kept < len(self.begin):
             del self.flat[self.begin[kept] :], self.begin[kept:], self.lengths[kept:]
         return out

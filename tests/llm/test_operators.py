@@ -519,6 +519,28 @@ def test_decided_rows_meet_in_no_one_block(spark, blocks):
     assert sum(sizes) >= 100 and max(sizes) <= 16
 
 
+def test_pieces_are_cut_as_the_pattern_cuts(rng):
+    """Places found over arrays are those of the pattern, and keys of a table come back with their numbers, however they collide."""
+    import public_tokenizers
+
+    enc = tokenstore.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    letters = list("ab'strevelmdLl  \n\t\r_.!,019\u00e9\u4e2d\u3000\u00a0\u0663\0")
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += ["", "'", "'s", " 's", "''s", "'lla'rex", "a  ", "  ", "\n\n x"]
+    _, code, kind = enc._characters(texts)
+    starts, first = tokenstore.piece_starts(code, kind), np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])))
+    for x, a, b in zip(texts, first, first[1:]):
+        own = (starts[(starts >= a) & (starts < b)] - a).tolist()
+        assert [x[i:j] for i, j in zip(own, own[1:])] == tokenstore.PIECES.findall(x)
+    enc.encode(["the house"] * 3)
+    assert enc.kept == 2 and not enc.long  # pieces of few bytes are no Python objects
+    table = tokenstore.Table()
+    low, high = np.arange(100_000, dtype=np.uint64) % 7, np.arange(1, 100_001, dtype=np.uint64)
+    table.add(low[::2], high[::2], np.arange(50_000, dtype=np.int32))
+    got = table.get(low, high)
+    assert (got[::2] == np.arange(50_000)).all() and (got[1::2] == -1).all()
+
+
 def test_long_texts_are_read_in_pieces(spark, rng, monkeypatch):
     monkeypatch.setattr(repeats, "SLICE_BYTES", 1500)
     text = "".join(rng.choice("abcdef ") for _ in range(9000))
