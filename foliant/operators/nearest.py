@@ -1,9 +1,10 @@
 """A nearest-neighbour index: cells around centroids, codes of what vectors differ from these by, and the vectors themselves by id.
 
-Of a vector the index keeps its cell and, for every SUB dimensions of the rest, the number of the nearest of 256 code words: a byte in place of SUB floats. A search has two steps. The
-first reads codes only, those of the cells nearest to the query, and then of every other cell that can hold one of its neighbours: no vector of a cell is nearer than the cell's radius allows,
-and the vectors found already, less what their codes lose, say how near it must be. The second reads the exact vectors of a short list by id (:mod:`foliant.sources.points`) and ranks these.
-Cells are skipped without loss; what recall there is to lose is in the short list.
+Of a vector the index keeps its cell and, for every SUB dimensions of the rest, the number of the nearest of 256 code words: a byte in place of SUB floats. A search has three steps. The
+first reads the codes of the cells nearest to the query, and the exact vectors (:mod:`foliant.sources.points`) of a short list of these: the last of as many as are asked for says how near a neighbour must be.
+The second reads the codes of every cell that can hold one, as no vector of a cell is nearer than the cell's radius allows, and keeps each vector that can be so near: what a code loses is known for each. The
+third ranks these by their exact vectors. Cells and vectors are left out without loss, so the result is that of a scan of all vectors; equal vectors have equal distances in both. A short list that is longer
+moves work from the third step to the first.
 
 Centroids and code words are fitted on a bounded sample (SAMPLE vectors at most, those whose ids have the smallest hashes); every vector is indexed. Cells are partitions of the written table, so
 a cell with many vectors has many files. The fitted numbers reach the driver and the tasks: at most MOST_CELLS + 256 vectors.
@@ -21,13 +22,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.sources.points import read_points, write_points
+from foliant.sources.points import MOST_KEYS, read_points, write_points
 
 SAMPLE, MOST_CELLS, ROUNDS = 100_000, 4096, 8
 #: Dimensions of a code word, and how many words there are at most.
 SUB, WORDS = 2, 256
 #: The short list, as a multiple of what is asked for; vectors whose codes the first step reads before it looks for more cells, as a multiple of that list.
 SHORT, FIRST = 1.4, 4
+#: Candidates that pass through the driver at most, so that the vectors of a few are read by id; more of them are joined where they are found.
+LISTED = 100_000
+#: What sums in double precision may be off by.
+SLACK = 1e-9
 HIT = "query_id long, chunk_id string, document_id long, near double, lost double"
 
 
@@ -111,27 +116,73 @@ def _best(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
 
 
-def _scan(spark: SparkSession, path: str, codes: Codes, number: np.ndarray, queries: dict[int, np.ndarray], cells: dict[int, list[int]], short: int) -> DataFrame:
-    """Of each query the ``short`` best by code in its cells. Tasks put out their own best only."""
+def products(own: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Products of rows with a query. Each row is added up alone, so that equal rows have equal products wherever they stand, which a product of matrices does not promise."""
+    return (own * query).sum(axis=1)
+
+
+class Best:
+    """The ``most`` best rows of each query so far; ties by chunk_id."""
+
+    def __init__(self, most: int):
+        self.most, self.found = most, {}
+
+    def add(self, query: int, rows: pd.DataFrame, near: np.ndarray) -> None:
+        """Of ``rows``, whose products with the query are ``near``."""
+        before = self.found.get(query)
+        if before is not None and len(before) == self.most:
+            there = np.flatnonzero(near >= before["near"].iloc[-1])
+            rows, near = rows.iloc[there], near[there]
+        elif len(near) > self.most:
+            there = np.flatnonzero(near >= np.partition(near, len(near) - self.most)[len(near) - self.most])
+            rows, near = rows.iloc[there], near[there]
+        if len(near):
+            own = rows.assign(query_id=query, near=near)
+            both = own if before is None else pd.concat([before, own])
+            self.found[query] = both.sort_values(["near", "chunk_id"], ascending=[False, True]).head(self.most)
+
+    def frames(self):
+        for own in self.found.values():
+            yield own[[x.split()[0] for x in HIT.split(", ")]]
+
+
+def _scan(spark: SparkSession, path: str, codes: Codes, number: np.ndarray, queries: dict[int, np.ndarray], cells: dict[int, list[int]], short: int, least: dict[int, float] | None = None) -> DataFrame:
+    """Of each query the ``short`` best by code in its cells, of which tasks put out their own best only; with ``least`` every vector whose product with the query can be as high."""
     wanted = {q: np.isin(number, c) for q, c in cells.items()}
     row_of = np.full(int(number.max(initial=-1)) + 1, -1)
     row_of[number] = np.arange(len(number))
 
     def run(frames):
-        best: dict[int, pd.DataFrame] = {}
+        best = Best(short)
         for f in frames:
             at, code = row_of[f["cell"].to_numpy()], np.frombuffer(b"".join(f["code"]), np.uint8).reshape(len(f), -1)
+            rows, lost = f[["chunk_id", "document_id", "lost"]], f["lost"].to_numpy()
             for q, query in queries.items():
                 if (there := np.flatnonzero(wanted[q][at])).size:
-                    own = f.iloc[there][["chunk_id", "document_id", "lost"]].assign(query_id=q, near=codes.near(at[there], code[there], query))
-                    both = pd.concat([best[q], own]) if q in best else own
-                    best[q] = both.sort_values(["near", "chunk_id"], ascending=[False, True]).head(short)
-        for own in best.values():
-            yield own[[x.split()[0] for x in HIT.split(", ")]]
+                    near = codes.near(at[there], code[there], query)
+                    if least is None:
+                        best.add(q, rows.iloc[there], near)
+                    elif (may := near + lost[there] >= least[q] - SLACK).any():
+                        yield rows.iloc[there[may]].assign(query_id=q, near=near[may])[[x.split()[0] for x in HIT.split(", ")]]
+        yield from best.frames()
 
     union = sorted({int(c) for x in cells.values() for c in x})
-    rows = _codes(spark, path).filter(F.col("cell").isin(union) if union else F.lit(False)).select("chunk_id", "document_id", "cell", "code", "lost")
-    return _best(rows.mapInPandas(run, HIT), short)
+    rows = _codes(spark, path).filter(F.col("cell").isin(union) if union else F.lit(False)).select("chunk_id", "document_id", "cell", "code", "lost").mapInPandas(run, HIT)
+    return _best(rows, short) if least is None else rows
+
+
+def _exact(spark: SparkSession, path: str, units: dict[int, np.ndarray], hits: DataFrame, ids: list[str] | None) -> DataFrame:
+    """(query_id, chunk_id, document_id, near) of hits (query_id, chunk_id), by their exact vectors. ids: all that are among the hits, if they are few enough to be read by."""
+    rows = spark.read.parquet(f"{path}/vectors") if ids is None else read_points(spark, f"{path}/vectors", "chunk_id", ids)
+
+    @F.pandas_udf(T.DoubleType())
+    def near(query: pd.Series, own: pd.Series) -> pd.Series:
+        out, own = np.zeros(len(own)), np.stack(own).astype(np.float64) if len(own) else np.zeros((0, 0))
+        for q, at in query.groupby(query).indices.items():
+            out[at] = products(own[at], units[q])
+        return pd.Series(out)
+
+    return rows.join(hits.select("query_id", "chunk_id"), "chunk_id").select("query_id", "chunk_id", "document_id", near("query_id", "unit").alias("near"))
 
 
 def nearest_to(spark: SparkSession, path: str, queries: dict[int, list[float]], most: int, short: float = SHORT) -> DataFrame:
@@ -154,26 +205,22 @@ def nearest_to(spark: SparkSession, path: str, queries: dict[int, list[float]],
     first = {}
     for q in units:
         order = np.argsort(-near[q], kind="stable")
-        first[q] = order[: int(np.searchsorted(np.cumsum(counts[order]), FIRST * keep)) + 1]
-    hits = _scan(spark, path, codes, number, units, {q: number[c].tolist() for q, c in first.items()}, keep).toPandas()
-    rest = {}
-    for q in units:
-        sure = np.sort((hits["near"] - hits["lost"])[hits["query_id"] == q].to_numpy())[::-1]
-        least = sure[most - 1] if len(sure) >= most else -np.inf
-        may = near[q] + radius >= least
-        may[first[q]] = False
-        rest[q] = number[may].tolist()
-    if any(rest.values()):
-        hits = pd.concat([hits, _scan(spark, path, codes, number, units, rest, keep).toPandas()])
-    hits = hits.sort_values(["near", "chunk_id"], ascending=[False, True]).groupby("query_id").head(keep)
-    wanted = F.broadcast(spark.createDataFrame(hits[["query_id", "chunk_id"]], "query_id long, chunk_id string"))
-    rows = read_points(spark, f"{path}/vectors", "chunk_id", hits["chunk_id"].tolist()).join(wanted, "chunk_id")
-
-    @F.pandas_udf(T.DoubleType())
-    def distance(query: pd.Series, own: pd.Series) -> pd.Series:
-        return pd.Series([1 - float(units[q] @ np.asarray(x, np.float64)) for q, x in zip(query, own)])
-
-    scored = rows.select("query_id", "chunk_id", "document_id", distance("query_id", "unit").alias("distance"))
+        first[q] = number[order[: int(np.searchsorted(np.cumsum(counts[order]), FIRST * keep)) + 1]].tolist()
+
+    def listed(hits: DataFrame, most: int) -> tuple[DataFrame, list[str] | None]:
+        """``hits`` by way of the driver, and their ids, if there are at most so many."""
+        rows = hits.select("query_id", "chunk_id").limit(most + 1).toPandas()
+        if len(rows) > most:
+            return hits, None
+        ids = rows["chunk_id"].unique().tolist()
+        return F.broadcast(spark.createDataFrame(rows, "query_id long, chunk_id string")), ids if len(ids) <= MOST_KEYS else None
+
+    best = _exact(spark, path, units, *listed(_scan(spark, path, codes, number, units, first, keep), keep * len(units)))
+    least = {r.query_id: r.sure[-1] for r in best.groupBy("query_id").agg(F.sort_array(F.collect_list("near"), asc=False).alias("sure")).select("query_id", F.slice("sure", 1, most).alias("sure")).collect() if len(r.sure) == most}
+    least = {q: least.get(q, -np.inf) for q in units}
+    may = {q: number[near[q] + radius >= least[q] - SLACK].tolist() for q in units}
+    scored = _exact(spark, path, units, *listed(_scan(spark, path, codes, number, units, may, keep, least), LISTED))
+    scored = scored.select("query_id", "chunk_id", "document_id", (1 - F.col("near")).alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
@@ -188,13 +235,13 @@ def exactly_nearest(chunks: DataFrame, queries: dict[int, list[float]], most: in
     units = {q: np.asarray(v, float) / np.linalg.norm(v) for q, v in queries.items()}
 
     def run(frames):
-        best: dict[int, pd.DataFrame] = {}
+        best = Best(most)
         for f in frames:
-            own = np.stack(f["unit"]).astype(np.float64)
-            for q, v in units.items():
-                rows = pd.concat([*([best[q]] if q in best else []), pd.DataFrame({"query_id": q, "chunk_id": f["chunk_id"], "document_id": f["document_id"], "near": own @ v, "lost": 0.0})])
-                best[q] = rows.sort_values(["near", "chunk_id"], ascending=[False, True]).head(most)
-        yield from best.values()
+            if len(f):
+                own, rows = np.stack(f["unit"]).astype(np.float64), f[["chunk_id", "document_id"]].assign(lost=0.0)
+                for q, v in units.items():
+                    best.add(q, rows, products(own, v))
+        yield from best.frames()
 
     return _best(chunks.filter("unit is not null").select("chunk_id", "document_id", "unit").mapInPandas(run, HIT), most).select("query_id", "chunk_id")
 

@@ -234,6 +234,28 @@ def test_cells_find_the_nearest(spark, sf_dir, tmp_path):
     assert N.nearest(spark, path, [1.0], 10).count() == 0
 
 
+def test_cells_lose_no_neighbour_among_many(spark, tmp_path, monkeypatch):
+    """Of vectors without clusters, of a tight cluster whose vectors codes do not tell apart, and of one vector many times, the index finds what a scan finds: by list through the driver and by join."""
+    import numpy as np
+
+    from foliant.operators import nearest as N
+
+    rng = np.random.default_rng(3)
+    tight = rng.normal(size=64) + rng.normal(size=(400, 64)) * 0.02
+    own = np.vstack([rng.normal(size=(3000, 64)), tight, np.repeat(rng.normal(size=(1, 64)), 300, axis=0)])
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(f"c{i}", i, v.tolist()) for i, v in enumerate(own)], "chunk_id string, document_id long, unit array<float>").repartition(7)
+    N.write_cells(rows, path := str(tmp_path / "cells"))
+    queries = {i: own[i].tolist() for i in (0, 1, 2, 3001, 3100, 3500)}
+    exact = {(r.query_id, r.chunk_id) for r in N.exactly_nearest(rows, queries, 100).collect()}
+    # ties by id: the first of the copies in the order of ids
+    assert {c for q, c in exact if q == 3500} == set(sorted(f"c{i}" for i in range(3400, 3700))[:100])
+    found = lambda: {(r.query_id, r.chunk_id) for r in N.nearest_to(spark, path, queries, 100).collect()}
+    assert found() == exact
+    monkeypatch.setattr(N, "LISTED", 50)
+    assert found() == exact
+
+
 def test_a_lookup_reads_one_row_group(spark, tmp_path):
     from foliant.sources.points import read_points, write_points
 
