@@ -232,7 +232,8 @@ def mask_glyphs(c: Column) -> Column:
 
 
 def strip_footers(c: Column) -> Column:
-    return F.array_join(F.filter(lines(c), lambda x: ~strip(x).rlike(r"(?U)^-\s*\d+\s*-\z")), "\n")
+    footer = r"-\s*\d+\s*-"  # most texts have none anywhere, and are not taken apart
+    return F.when(c.rlike(f"(?U){footer}"), F.array_join(F.filter(lines(c), lambda x: ~strip(x).rlike(rf"(?U)^{footer}\z")), "\n")).otherwise(c)
 
 
 def title_number(c: Column) -> Column:

@@ -406,3 +406,19 @@ def test_titles_are_cut_before_the_join(spark):
     whole = {r.document_id: r.raw_text for r in retrieval.documents(spark, DATA).collect()}
     assert {r.document_id: r.title_buffer for r in own.collect()} == {k: x[:5] for k, x in whole.items()}
     assert [r.raw_text for r in retrieval.document_detail(spark, DATA).collect()] == [whole[7]]
+
+
+def test_fragments_hold_glyphs_in_two_ways(spark):
+    """Rows of glyphs, arrays of glyphs and arrays of their fields give the same lines, in order or not, touching or apart; glyphs of documents are laid out and boxed without a lambda for each."""
+    own = [(f, [(q, c, 10.0 * f + x, 10.0 * f + x + w, 5.0, 9.0) for q, c, x, w in g]) for f, g in enumerate([
+        [(0, "a", 0.0, 6.0), (1, "b", 6.0, 6.0), (2, "c", 12.0, 6.0)], [(2, "c", 12.0, 6.0), (0, "a", 0.0, 6.0), (1, "b", 6.0, 6.0)], [(0, "a", 0.0, 6.0), (1, "b", 9.0, 6.0), (2, " ", 20.0, 6.0), (3, "c", 40.0, 6.0)],
+        [(0, "z", 6.0, 6.0), (5, "y", 12.0, 6.0)], [(0, "q", 0.0, 6.0)], [(0, "a", 0.0, 6.0), (1, None, 6.0, 6.0), (2, "b", 12.0, 6.0)], [(1, "y", 6.0, 6.0), (1, "x", 0.0, 6.0)], [(0, "a", 0.0, float("nan")), (1, "b", float("nan"), 6.0)],
+    ])]
+    arrays = spark.createDataFrame([(1, f, 600.0, 0, g) for f, g in own], "doc_id long, page int, page_width double, fragment int, glyphs array<struct<seq: int, c: string, x0: double, x1: double, y0: double, y1: double>>")
+    fields = ["seq", "c", "x0", "x1", "y0", "y1"]
+    structs = arrays.withColumn("glyphs", F.struct(*[F.col(f"glyphs.{c}").alias(c) for c in fields]))
+    rows = arrays.select("doc_id", "page", "page_width", "fragment", F.explode("glyphs").alias("g")).select("doc_id", "page", "page_width", "fragment", "g.*")
+    read = lambda g: {r.page: r.text for r in layout.page_lines(g).collect()}
+    assert read(structs) == read(arrays) == read(rows) == {0: "abc", 1: "abc", 2: "a b c", 3: "zy", 4: "q", 5: "ab", 6: "xy", 7: "a b"}
+    plan = layout.page_rows(reading.laid_out(spark, DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
