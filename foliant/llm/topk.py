@@ -9,11 +9,10 @@ How a query is searched in a shard, with the k-th best score that is known for i
 
 1. Blocks. The largest weights of the query's terms are added up for each block; blocks whose sum is under the threshold are
    left out, and so are shards without any other.
-2. Pivot. In the blocks left, frequent terms are added up from their rows. The lists of the other terms are taken in the order of what
-   a posting can add, up to the pivot: what the lists before it can add together is under what even the best document
-   lacks, so that a document without a term from the pivot on cannot come in. Only lists from the pivot on are read.
-3. Candidates. Documents that still can come in have the lists before the pivot read in steps, the largest bounds first; sums so
-   far raise the threshold. What is left is scored exactly, in double precision, term by term in one order in all shards.
+2. Pivot. In the blocks left, frequent terms that enough of the queries at hand ask for are added up from their rows, for all these queries by one product of matrices. The lists of the other terms are taken in the
+   order of what a posting can add, up to the pivot: what the lists before it can add together is under a share of what even the best document lacks, so that a document without a term from the pivot on cannot come
+   in. Lists from the pivot on are read.
+3. Candidates. If many documents still can come in, the lists before the pivot are read as well; sums raise the threshold. What is left is scored exactly, in double precision, term by term in one order in all shards.
 
 The shards of a query are searched in rounds, in an order drawn for each query: FIRST of them, then up to MORE times as many as before. The k-th best
 score so far is the threshold that the query takes to the shards of the next round, so a round finds some k * MORE documents a query, however
@@ -46,13 +45,17 @@ SHARD_DOCS, SHARD_POSTINGS = 8_192, 3_000_000
 BLOCK, REGION = 64, 512
 #: Terms of at least this share of a shard's documents, the most frequent MOST_ROWS of them, are laid out as rows.
 FREQUENT, MOST_ROWS = 0.06, 1024
-QUERY_TERMS, TOGETHER = 1_000_000, 64
+QUERY_TERMS, TOGETHER = 3_000_000, 256
 #: Shards that a query is searched in in the first round, and how many times as many it has behind it after each further round.
 FIRST, MORE = 2, 6
 #: Single-precision sums are trusted up to this share; what is nearer to a threshold is scored exactly.
 SLACK = 1e-4
-#: Candidates that are scored exactly at once rather than narrowed by another list.
-FEW = 12
+#: Candidates that are scored exactly at once rather than narrowed by the lists before the pivot. The share of what the best document lacks that these lists may add: more of them leave more candidates.
+FEW, LACK = 16, 0.1
+#: Sums over a row of all documents that cost as much as one posting of a list.
+DENSE = 200
+#: A posting as lists are read: both parts from one place in memory.
+POST = np.dtype([("weight", np.float32), ("doc", np.uint32)])
 
 
 def term_counts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -151,7 +154,9 @@ def statistics(index: DataFrame) -> tuple[int, float, DataFrame]:
 def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """All numbers of all ranges, one range after the other."""
     n = last - first
-    return np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    out = np.repeat(last - np.cumsum(n), n)
+    out += np.arange(len(out))
+    return out
 
 
 class Shard:
@@ -168,53 +173,56 @@ class Shard:
         self.place_of = np.full(len(vocabulary), -1, np.int32)
         self.place_of[at[known]] = np.arange(known.sum())
         self.df, asked = sizes[known], np.repeat(known, sizes)
-        self.post_docs = own["post_docs"][asked]
+        post_docs = own["post_docs"][asked]
         term = np.repeat(np.arange(len(self.df), dtype=np.int32), self.df)
         self.first = np.concatenate(([0], np.cumsum(self.df)))
         tf, norm = own["post_counts"][asked].astype(np.float64), K1 * (1 - B + B * own["lengths"] / max(mean_length, 1e-9))
         del asked
-        exact = norm[self.post_docs]
+        exact = norm[post_docs]
         exact += tf
         np.divide(tf, exact, out=exact)
         exact *= (idf[at[known]] * (K1 + 1))[term]
         del tf
-        self.weights = exact.astype(np.float32)
-        self.most = np.maximum.reduceat(self.weights, self.first[:-1]).astype(float) if len(self.df) else np.zeros(0)
-        by = np.argsort(self.post_docs, kind="stable").astype(np.int32)  # documents' own terms, for exact scores
+        by = np.argsort(post_docs, kind="stable")  # documents' own terms, for exact scores
         self.own_terms, self.own_weights = term[by], exact[by]
-        self.own_first = np.concatenate(([0], np.cumsum(np.bincount(self.post_docs, minlength=n))))
-        del by, exact
+        del by
+        self.own_first = np.concatenate(([0], np.cumsum(np.bincount(post_docs, minlength=n))))
+        self.asked = np.zeros(len(self.df), bool)
+        self.posts = np.empty(len(exact), POST)
+        self.posts["doc"], self.posts["weight"] = post_docs, exact
+        del exact
+        weights = self.posts["weight"].copy()
+        self.most = np.maximum.reduceat(weights, self.first[:-1]).astype(float) if len(self.df) else np.zeros(0)
+        self.each = self.most / self.df
         frequent = np.flatnonzero(self.df >= max(1, FREQUENT * n))
         if len(frequent) > MOST_ROWS:
             frequent = np.sort(frequent[np.argsort(-self.df[frequent], kind="stable")[:MOST_ROWS]])
         self.row_of = np.full(len(self.df), -1, np.int32)
         self.row_of[frequent] = np.arange(len(frequent))
+        self.row_df = self.df[frequent]
         self.n_blocks, self.n_regions = -(-n // BLOCK), -(-n // REGION)
         self.rows = np.zeros((len(frequent), self.n_blocks * BLOCK), np.float32)
         for j, (a, b) in enumerate(zip(self.first[frequent], self.first[frequent + 1])):
-            self.rows[j, self.post_docs[a:b]] = self.weights[a:b]
+            self.rows[j, post_docs[a:b]] = weights[a:b]
         self.row_most = np.ascontiguousarray(self.rows.reshape(len(frequent), self.n_blocks, BLOCK).max(axis=2))
         rest = np.flatnonzero(self.row_of[term] < 0)
-        region, term = self.post_docs[rest] // REGION, term[rest]
+        region, term = post_docs[rest] // REGION, term[rest]
         new = (term[1:] != term[:-1]) | (region[1:] != region[:-1])
         entry = np.flatnonzero(np.concatenate(([True], new))) if len(rest) else np.zeros(0, int)
         self.entry_region, self.entry_first = region[entry], np.searchsorted(term[entry], np.arange(len(self.df) + 1, dtype=np.int32))
-        self.entry_most = np.maximum.reduceat(self.weights[rest], entry) if len(entry) else np.zeros(0, np.float32)
+        self.entry_most = np.maximum.reduceat(weights[rest], entry) if len(entry) else np.zeros(0, np.float32)
 
     def exact(self, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Scores of some documents; terms (at ascending places) are added in the order of their hashes in every shard."""
-        out = np.empty(len(docs))
-        for i, (a, b) in enumerate(zip(self.own_first[docs], self.own_first[docs + 1])):
-            own = self.own_terms[a:b]
-            at = own.searchsorted(places)
-            at[at == b - a] = 0
-            out[i] = self.own_weights[a:b][at[own[at] == places]].sum()
-        return np.round(out, DIGITS)
+        """Scores of some documents; their terms at ``places`` are added in the order of hashes in every shard."""
+        self.asked[places] = True
+        out = [self.own_weights[a:b][self.asked[self.own_terms[a:b]]].sum() for a, b in zip(self.own_first[docs].tolist(), self.own_first[docs + 1].tolist())]
+        self.asked[places] = False
+        return np.round(np.array(out), DIGITS)
 
     def lists(self, places: np.ndarray) -> np.ndarray:
         """What the lists at ``places`` add to each document."""
-        post = ranges(self.first[places], self.first[places + 1])
-        return np.bincount(self.post_docs[post], weights=self.weights[post], minlength=len(self.docs))
+        posts = self.posts.view(np.int64).take(ranges(self.first[places], self.first[places + 1])).view(POST)
+        return np.bincount(posts["doc"], weights=posts["weight"], minlength=len(self.docs))
 
 
 def better(scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,14 +250,16 @@ def lowered(score):
 
 def search_shard(shard: Shard, queries: list[int], places: list[np.ndarray], best: Best) -> None:
     """The best of some queries (by number; the places of their terms in the shard) that the shard adds."""
-    frequent = np.zeros((len(queries), len(shard.rows)), np.float32)
-    rest, bounds = [], np.zeros((len(queries), shard.n_regions))
+    frequent, rest = np.zeros((len(queries), len(shard.rows)), np.float32), []
     for j, p in enumerate(places):
         row = shard.row_of[p]
         frequent[j, row[row >= 0]] = 1
         rest.append(p[row < 0])
-        e = ranges(shard.entry_first[rest[-1]], shard.entry_first[rest[-1] + 1])
-        bounds[j] = np.bincount(shard.entry_region[e], weights=shard.entry_most[e], minlength=shard.n_regions)
+    dense = frequent.sum(axis=0) * shard.row_df * DENSE > len(queries) * len(shard.docs)
+    flat = np.concatenate(rest)
+    first, last = shard.entry_first[flat], shard.entry_first[flat + 1]
+    e, of = ranges(first, last), np.repeat(np.repeat(np.arange(len(queries)), [len(p) for p in rest]), last - first)
+    bounds = np.bincount(of * shard.n_regions + shard.entry_region[e], weights=shard.entry_most[e], minlength=len(queries) * shard.n_regions).reshape(len(queries), shard.n_regions)
     least = lowered(best.least[queries])
     bounds = np.repeat(bounds, REGION // BLOCK, axis=1)[:, : shard.n_blocks] + frequent @ shard.row_most
     live = (bounds >= least[:, None]) & (bounds > 0)
@@ -257,38 +267,37 @@ def search_shard(shard: Shard, queries: list[int], places: list[np.ndarray], bes
     if not len(blocks):
         return
     lo, hi = int(blocks[0]) * BLOCK, min((int(blocks[-1]) + 1) * BLOCK, len(shard.docs))
-    sums = frequent @ shard.rows[:, lo:hi]
+    sums = frequent[:, dense] @ shard.rows[dense, lo:hi]
+    added = np.append(dense, False)  # at -1, where terms without a row look
     for j, i in enumerate(queries):
         own = np.flatnonzero(live[j])
         if len(own):
+            listed = places[j][~added[shard.row_of[places[j]]]]
             a, b = max(lo, int(own[0]) * BLOCK), min(hi, (int(own[-1]) + 1) * BLOCK)
-            _search(shard, i, places[j], rest[j], a, sums[j, a - lo : b - lo], best)
+            _search(shard, i, places[j], listed, a, sums[j, a - lo : b - lo], best)
 
 
 def _search(shard: Shard, i: int, places: np.ndarray, rest: np.ndarray, start: int, sums: np.ndarray, best: Best) -> None:
-    """One query in the documents from ``start`` on, whose frequent terms add up to ``sums``; rest: its other terms."""
+    """One query in the documents from ``start`` on, whose terms but ``rest`` add up to ``sums``."""
     k, least, high = best.k, lowered(best.least[i]), float(sums.max())
-    bound = shard.most[rest]
-    order = np.argsort(bound / shard.df[rest], kind="stable")
-    rest, before = rest[order], np.cumsum(bound[order])
+    rest = rest[np.argsort(shard.each[rest], kind="stable")]
+    before = np.cumsum(shard.most[rest])
     if high + (before[-1] if len(before) else 0) < least:
         return
-    pivot = int(np.searchsorted(before, least - high))  # the lists before it add less than the best document lacks
+    pivot = int(np.searchsorted(before, LACK * (least - high)))  # the lists before it add less than a share of what the best document lacks
     if pivot < len(rest):
         sums = sums + shard.lists(rest[pivot:])[start : start + len(sums)]
-    at = None
-    while True:
-        room = before[pivot - 1] if pivot else 0.0
-        if len(sums) > k:
-            least = max(least, lowered(np.partition(sums, len(sums) - k)[len(sums) - k]))
-        keep = np.flatnonzero(sums >= max(least, 1e-12) - room)
-        at, sums = keep + start if at is None else at[keep], sums[keep]
-        if not pivot or len(at) <= FEW:
-            break
-        step = pivot // 2
-        sums, pivot = sums + shard.lists(rest[step:pivot])[at], step
+    at = np.flatnonzero(sums >= max(least - (before[pivot - 1] if pivot else 0.0), 1e-12))
+    if pivot and len(at) > FEW:
+        sums, pivot = sums[at] + shard.lists(rest[:pivot])[at + start], 0
+        at = at[keep := np.flatnonzero(sums >= max(least, 1e-12))]
+        sums = sums[keep]
+    else:
+        sums = sums[at]
+    if not pivot and len(at) > k:
+        at = at[sums >= lowered(np.partition(sums, len(sums) - k)[len(sums) - k])]
     if len(at):
-        scores = shard.exact(at, places)
+        scores = shard.exact(at := at + start, places)
         hit = (scores >= best.least[i]) & (scores > 0)
         if hit.any():
             best.add(i, scores[hit], shard.docs[at[hit]])

@@ -741,6 +741,40 @@ def brute_bm25(rows, query, k):
     return [(i, -s) for s, i in sorted(out)[:k]]
 
 
+def test_rows_that_few_queries_ask_for_are_not_added_up():
+    """Of a shard in two languages, queries of one have rows of their own words added up, others are read as lists; what comes out is the exact best under any threshold."""
+    rng, chance = np.random.default_rng(5), 1 / np.arange(1, 1001)
+    texts = [b" ".join(b"%c%d" % (b"wv"[i % 2], k) for k in {*rng.choice(1000, 80, p=chance / chance.sum())}) + (b" v0" if i == 30 else b"") for i in range(800)]
+    counted = list(topk.term_counts(texts))
+    terms, df = np.unique(np.concatenate([t for t, _ in counted]), return_counts=True)
+    idf, asked = np.log1p((800 - df + 0.5) / (df + 0.5)), list(range(0, 800, 10))
+    own = topk.Queries(asked, [counted[i][0] for i in asked], [idf[np.searchsorted(terms, counted[i][0])] for i in asked])
+    own.vocabulary, at = terms, np.searchsorted(terms, own.vocabulary)
+    own.own, own.idf = at[own.own].astype(np.int32), idf
+    shard = topk.Shard({n: x.astype(topk.KINDS[n]).tobytes() for n, x in topk.build_shard(list(range(800)), counted).items()}, 100.0, own.vocabulary, own.idf)
+    every = [shard.exact(np.arange(800), shard.place_of[own.own[a:b]]) for a, b in zip(own.first[:-1], own.first[1:])]
+
+    class Taken(np.ndarray):
+        def __getitem__(self, at):
+            taken.append(len(out := np.asarray(self)[at]))
+            return out
+
+    taken, shard.rows = [], shard.rows.view(Taken)
+    for share in (0.0, 0.9, 1.0):  # of the score that the tenth has
+        best = topk.Best(10, np.array([share * np.sort(scores)[-10] for scores in every]))
+        topk.search_all(shard, own, list(range(len(asked))), best)
+        for i, scores in enumerate(every):
+            want = topk.better(scores, shard.docs, 10)
+            assert np.array_equal(best.found[i][0], want[0]) and np.array_equal(best.found[i][1], want[1])
+    assert len(shard.rows) > 40 and 0 < max(taken) <= 0.6 * len(shard.rows)
+    # no word is frequent: there are no rows
+    counted = list(topk.term_counts([b"a%d b%d" % (k, k // 2) for k in range(100)]))
+    own = topk.Queries([7], [counted[7][0]], [np.ones(2)])
+    shard = topk.Shard({n: x.astype(topk.KINDS[n]).tobytes() for n, x in topk.build_shard(list(range(100)), counted).items()}, 2.0, own.vocabulary, own.idf)
+    topk.search_all(shard, own, [0], best := topk.Best(10, np.zeros(1)))
+    assert len(shard.rows) == 0 and best.found[0][1].tolist() == [7, 6]
+
+
 def test_bm25(spark, rng, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_DOCS", 40)
     monkeypatch.setattr(topk, "QUERY_TERMS", 60)
